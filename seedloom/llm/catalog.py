@@ -1,10 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from seedloom.llm import decontaminate, packing, simhash
+from seedloom.llm import decontaminate, licenses, packing, quality_rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_secrets": secrets.op7_secrets,
     "op9_packing": packing.op9_packing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-SQL = {"op1_decontamination": decontaminate.OP1_SQL}
+SQL = {"op1_decontamination": decontaminate.OP1_SQL, "op4_sharding": sharding.OP4_SQL, "op10_quality_rules": quality_rules.OP10_SQL}

@@ -68,21 +68,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<s:int, e:int, m:string>> of the leftmost non-overlapping matches, in code points from 0.
+MATCHES = "array<struct<s:int,e:int,m:string>>"
+
+
+def match_spans(text: Column, pattern: str | Column) -> Column:
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points from 0.
 
     The pieces between the matches and the matches themselves alternate, so their lengths add up to the positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)").alias("out"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = F.expr(f"cast(array() as {MATCHES})")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
+    def step(a: Column, x: Column) -> Column:
+        s = a["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    def positions(ms: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(ms)).alias("g"), ms.alias("m"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def positions(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), found.alias("m"))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda a: a["out"]))
 
-    return let(found, positions)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), positions).cast(MATCHES)
