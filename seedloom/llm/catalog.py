@@ -1,13 +1,16 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from seedloom.llm import decontaminate, licenses, packing, quality_rules, secrets, sharding, simhash
+from seedloom.llm import decontaminate, html_text, licenses, packing, pii, quality_model, quality_rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_html_text": html_text.op2_html_text,
+    "op3_pii": pii.op3_pii,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
     "op6_licenses": licenses.op6_licenses,
     "op7_secrets": secrets.op7_secrets,
+    "op8_quality_model": quality_model.op8_quality_model,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }

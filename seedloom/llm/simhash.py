@@ -121,7 +121,11 @@ class BKTree:
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all values within the radius of each other, by chains, and no more than that."""
-    tree, n = BKTree(values), len(values)
+    n = len(values)
+    if n == 2:  # a tree of a root and a child
+        a, b = values.tolist()
+        return [(a, b)] if (a ^ b).bit_count() <= radius else []
+    tree = BKTree(values)
     root = np.arange(n)
     out: list[tuple[int, int]] = []
     block = max(16, _LIMIT // n)
@@ -151,10 +155,11 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def shard_links(radius: int):
-    def links(t: pa.Table) -> pa.Table:
-        found = forest(np.unique(t["fp"].to_numpy()).view(np.uint64), radius) if t.num_rows > 1 else []
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for fps in batch.column(0) for x in forest(np.unique(fps.values.to_numpy()).view(np.uint64), radius)]
+            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return links
 
@@ -191,7 +196,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
         if large is not None:
             dealt = settle(keys.join(large, ["k", "bits"], "left_semi").select("fp").distinct())
             keys = keys.join(large, ["k", "bits"], "left_anti")
-        links = keys.groupBy("k", "bits").applyInArrow(shard_links(radius), "a long, b long")
+        # Most shards hold one fingerprint and end here; the others are bounded by shard_rows, or by the bits left.
+        shards = keys.groupBy("k", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+        links = shards.mapInArrow(shard_links(radius), "a long, b long")
         out = links if out is None else out.unionByName(links)
         if large is None:
             break
