@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedloom.shared import settle, shared_dir  # noqa: F401 - for the operators
+
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 a_z = A_Z.lower()
 
@@ -22,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="seedloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/seedloom-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df below the shared folder and read it back: later jobs don't depend on executors' local disks, and a row
-    is computed once even where its value depends on task order."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, also where body uses it in lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

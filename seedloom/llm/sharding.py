@@ -12,41 +12,16 @@ Extra columns are kept; if they clash with the added names, the added ones get a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from seedloom.functions.permute import ROUNDS, permute
 from seedloom.llm.common import fresh, settle, table
 
 SHARDS = 24
-ROUNDS = 6
 SEED = 7
-#: Steps of the cycle walk that every row takes; what is then still outside goes on as far as a walk can go.
-WALK = 4
-
-
-def noise(x: Column, seed: int, round_: Column) -> Column:
-    """32 bits of a hash that other SQL engines have as well."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), round_.cast("string"), x.cast("string"))), 1, 8), 16, 10).cast("long")
-
-
-def feistel(p: Column, side: Column, seed: int) -> Column:
-    """A permutation of 0..side * side - 1."""
-    halves = F.struct(F.floor(p / side).cast("long").alias("a"), F.pmod(p, side).alias("b"))
-    step = lambda h, k: F.struct(h["b"].alias("a"), F.pmod(h["a"] + noise(h["b"], seed, k), side).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, step, lambda h: h["a"] * side + h["b"])
-
-
-def permute(p: Column, n: Column, side: Column, seed: int) -> Column:
-    """A permutation of 0..n-1: walk the cycle of feistel() until it is back below n.
-
-    At most side * side - n numbers lie outside, so no walk is longer; few rows take more than the first steps."""
-    walk = lambda a: F.when(a < n, a).otherwise(feistel(a, side, seed))
-    q = feistel(p, side, seed)
-    rest = lambda a: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(side * side - n, F.lit(1).cast("long"))), a, lambda acc, _: walk(acc))
-    near = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), q, lambda acc, _: walk(acc))
-    return F.element_at(F.transform(F.array(near), lambda a: F.when(a < n, a).otherwise(rest(a))), 1)
 
 
 def placed(docs: DataFrame) -> DataFrame:
