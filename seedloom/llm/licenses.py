@@ -27,21 +27,21 @@ GATE = (
 #: Label, keyword, and the license's names as words.
 NAMES: list[tuple[str, str, str]] = [
     ("mit", "mit", r"mit"), ("mit-0", "mit", r"mit no attribution|mit 0"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("apache-1", "apache", r"apache(?: software)? licen[cs]e (?:version |v )?1(?: [01])?|apache 1(?: [01])?"),
-    ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v )?2(?: 0)?|apache 2(?: 0)?"),
+    ("apache-1", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?1(?: [01])?|apache 1(?: [01])?"),
+    ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2(?: 0)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd|bsd 2 clause|2 clause bsd"), ("bsd-3-clause", "bsd", r"(?:new |modified |revised )bsd|bsd 3 clause|3 clause bsd"),
     ("bsd-4-clause", "bsd", r"(?:original |old )bsd|bsd 4 clause|4 clause bsd"), ("0bsd", "0bsd", r"0bsd|zero clause bsd"),
-    ("gpl-1", "gnu", r"gnu general public licen[cs]e (?:version |v )?1(?: 0)?"), ("gpl-2", "gnu", r"gnu general public licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("gpl-3", "gnu", r"gnu general public licen[cs]e (?:version |v )?3(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"), ("lgpl-2", "lesser", r"gnu (?:lesser|library) general public licen[cs]e (?:version |v )?2(?: [01])?"),
-    ("lgpl-3", "lesser", r"gnu lesser general public licen[cs]e (?:version |v )?3(?: 0)?"), ("lgpl-2", "lgpl", r"lgpl ?v?(?:ersion)? ?2(?: [01])?"),
-    ("lgpl-3", "lgpl", r"lgpl ?v?(?:ersion)? ?3(?: 0)?"), ("agpl-3", "affero", r"gnu affero general public licen[cs]e (?:version |v )?3(?: 0)?"),
-    ("agpl-3", "agpl", r"agpl ?v?(?:ersion)? ?3(?: 0)?"), ("mpl-1", "mozilla", r"mozilla public licen[cs]e (?:version |v )?1(?: [01])?"),
-    ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?"), ("mpl-2", "mpl", r"mpl ?v?2(?: 0)?"),
-    ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v )?1(?: 0)?"), ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("cddl-1", "common development", r"common development and distribution licen[cs]e(?: (?:version |v )?1 [01])?"), ("eupl-1.2", "european union", r"european union public licen[cs]e(?: (?:version |v )?1 2)?"),
-    ("artistic-1", "artistic", r"artistic licen[cs]e (?:version |v )?1(?: 0)?"), ("artistic-2", "artistic", r"artistic licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("bsl-1", "boost", r"boost software licen[cs]e(?: (?:version |v )?1(?: 0)?)?"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
+    ("gpl-1", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("gpl-2", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?2(?: 0)?"),
+    ("gpl-3", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?2(?: 0)?"),
+    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"), ("lgpl-2", "lesser", r"gnu (?:lesser|library) general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
+    ("lgpl-3", "lesser", r"gnu lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("lgpl-2", "lgpl", r"lgpl ?v?(?:ersion)? ?2(?: [01])?"),
+    ("lgpl-3", "lgpl", r"lgpl ?v?(?:ersion)? ?3(?: 0)?"), ("agpl-3", "affero", r"gnu affero general public licen[cs]e (?:version |v ?)?3(?: 0)?"),
+    ("agpl-3", "agpl", r"agpl ?v?(?:ersion)? ?3(?: 0)?"), ("mpl-1", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?1(?: [01])?"),
+    ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("mpl-2", "mpl", r"mpl ?v?2(?: 0)?"),
+    ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?"),
+    ("cddl-1", "common development", r"common development and distribution licen[cs]e(?: (?:version |v ?)?1 [01])?"), ("eupl-1.2", "european union", r"european union public licen[cs]e(?: (?:version |v ?)?1 2)?"),
+    ("artistic-1", "artistic", r"artistic licen[cs]e (?:version |v ?)?1(?: 0)?"), ("artistic-2", "artistic", r"artistic licen[cs]e (?:version |v ?)?2(?: 0)?"),
+    ("bsl-1", "boost", r"boost software licen[cs]e(?: (?:version |v ?)?1(?: 0)?)?"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"), ("cc0", "creative commons", r"creative commons zero"), ("odbl-1", "open database", r"open database licen[cs]e"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e"), ("psf-2", "python", r"python software foundation licen[cs]e"), ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("gfdl", "free documentation", r"gnu free documentation licen[cs]e"), ("vim", "vim", r"vim licen[cs]e"), ("ruby", "ruby", r"ruby licen[cs]e"), ("php-3", "php", r"php licen[cs]e"),
