@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.functions import generators
-from seedloom.functions.coerce import coerce, truncated
+from seedloom.functions import faker, generators
+from seedloom.functions.coerce import canonical, coerce, printed, truncated
 from seedloom.functions.draw import Draw
 from seedloom.functions.permute import ROUNDS, permute, side_of
 from seedloom.functions.strategies import ALPHABET, SIMPLE, Context, chosen
 from seedloom.operators import audit, evaluate, gaps, repair
 from seedloom.operators import survey as S
-from seedloom.operators.generate import NULL_SLOT, lookup
+from seedloom.operators.generate import NULL_SLOT, Generator, lookup
 from seedloom.plans.dialect import translate_sql
-from seedloom.sources.ddl import ColumnDef
+from seedloom.sources.ddl import ColumnDef, parse_single
 from seedloom.sources.gaprules import GapRule
-from seedloom.sources.rules import ColumnRule, Evaluation, Expectation
+from seedloom.sources.rules import ColumnRule, Evaluation, Expectation, Rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,6 +311,70 @@ def coerce_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", coerce(price, ColumnDef("v", "decimal", precision=10, scale=2), T.DecimalType(20, 6)).alias("v"))
 
 
+# Vocabularies and text forms ------------------------------------------------------------------------------------------------
+
+
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_pick(column: str, values: list[str], slot: object) -> str:
+    return f"list_extract({sql_list(values)}, CAST({bits(column, slot)} % {len(values)} + 1 AS INTEGER))"
+
+
+def sql_digits(column: str, n: int, slot: int) -> str:
+    return " || ".join(f"lpad(CAST({bits(column, slot + k, wide=10 ** min(12, n - k) > 1 << 32)} % {10 ** min(12, n - k)} AS VARCHAR), {min(12, n - k)}, '0')" for k in range(0, n, 12))
+
+
+strategy("fake_full_name", "varchar", ColumnRule("faker", method="name.fullName"), sql_pick("fake_full_name", faker.FIRST, 1) + " || ' ' || " + sql_pick("fake_full_name", faker.LAST, 2))
+strategy("fake_email", "varchar", ColumnRule("faker", method="internet.email"), f"lower({sql_pick('fake_email', faker.FIRST, 1)}) || '.' || lower({sql_pick('fake_email', faker.LAST, 2)}) || ({bits('fake_email', 3)} % 1000) || '@example.test'")
+strategy("fake_ip", "varchar", ColumnRule("faker", method="internet.ip"), " || '.' || ".join(f"({bits('fake_ip', k)} % 256)" for k in range(4)))
+strategy("fake_phone", "varchar", ColumnRule("faker", method="phone.phoneNumber"), f"'(' || {sql_digits('fake_phone', 3, 1)} || ') ' || {sql_digits('fake_phone', 3, 20)} || '-' || {sql_digits('fake_phone', 4, 40)}")
+strategy("fake_vin", "varchar", ColumnRule("faker", method="vehicle.vin"), f"array_to_string(list_transform(range(1, 18), lambda k: {sql_pick('fake_vin', list('ABCDEFGHJKLMNPRSTUVWXYZ0123456789'), 'k')}), '')")
+_BODY = f"({sql_digits('fake_iban', 18, 1)})"
+strategy("fake_iban", "varchar", ColumnRule("faker", method="finance.iban"), f"'DE' || lpad(CAST(98 - CAST({_BODY} || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || {_BODY}")
+_EAN = f"({sql_digits('fake_ean13', 12, 1)})"
+strategy("fake_ean13", "varchar", ColumnRule("faker", method="commerce.ean13"), f"{_EAN} || ((10 - list_sum(list_transform(range(1, 13), lambda k: CAST(substr({_EAN}, CAST(k AS INTEGER), 1) AS INTEGER) * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)")
+
+
+@query(f"SELECT c_custkey, 'DE' || {sql_digits('fix_security_id', 3, 1)} || {' || '.join(sql_pick('fix_security_id', list(generators.ID_ALPHABET), k) for k in range(20, 26))} AS v FROM customer")
+def fix_security_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "customer").select("c_custkey", generators.security_id(Draw(SEED, "dbo.customer", "fix_security_id", F.col("c_custkey"))).alias("v"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date_cell, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS bit_cell, '0x' || hex(encode(o_orderstatus)) AS bytes_cell, coalesce(nullif(o_orderpriority, '5-LOW'), '') AS text_cell,
+strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS key_text FROM orders""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as CSV cells show them, and as keys and plans write them."""
+    orders = t(spark, sf_dir, "orders")
+    low = F.expr("nullif(o_orderpriority, '5-LOW')")
+    return orders.select(
+        "o_orderkey", printed(F.col("o_orderdate"), T.TimestampNTZType()).alias("date_cell"), printed(F.col("o_orderstatus") == "F", T.BooleanType()).alias("bit_cell"),
+        printed(F.col("o_orderstatus").cast("binary"), T.BinaryType()).alias("bytes_cell"), printed(low, T.StringType()).alias("text_cell"), canonical(F.col("o_orderdate"), T.TimestampNTZType()).alias("key_text"))
+
+
+@query("SELECT CAST(900 AS BIGINT) AS rows, CAST(900 AS BIGINT) AS values, CAST(2 AS INTEGER) AS low, CAST(2 AS INTEGER) AS high")
+def gen_unique_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique texts of two characters: many rows collide at first and draw again."""
+    table = parse_single("CREATE TABLE dbo.U (Code CHAR(2) NOT NULL)")
+    g = Generator(spark, table, Rules(rows=900, seed=SEED, columns={"Code": ColumnRule("string", length=2, unique=True)}))
+    return g.frame().agg(F.count("*").alias("rows"), F.countDistinct("Code").alias("values"), F.min(F.length("Code")).alias("low"), F.max(F.length("Code")).alias("high"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS known, count(*) > 0 AS spread FROM customer")
+def gen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table by rules, as many rows as customers, with a foreign key drawn from the nations."""
+    n = t(spark, sf_dir, "customer").count()
+    nations = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    if not n:
+        return spark.createDataFrame([(0, True, False)], "rows long, known boolean, spread boolean")
+    table = parse_single("CREATE TABLE dbo.G (Id INT IDENTITY PRIMARY KEY, Nation INT NOT NULL REFERENCES dbo.nation(n_nationkey), Name NVARCHAR(40) NOT NULL)")
+    rules = Rules(rows=n, seed=SEED, columns={"Nation": ColumnRule("query", query="SELECT n_nationkey FROM dbo.nation"), "Name": ColumnRule("faker", method="company.companyName")})
+    made = Generator(spark, table, rules, lookups={"Nation": nations}).frame()
+    known = made.join(nations, made["Nation"] == nations["k"], "left")
+    return known.agg(F.count("*").alias("rows"), F.bool_and(F.col("k").isNotNull()).alias("known"), (F.countDistinct("Nation") > 1).alias("spread"))
+
+
 # Repair -------------------------------------------------------------------------------------------------------------------
 
 

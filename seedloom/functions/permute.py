@@ -17,7 +17,7 @@ def noise(x: Column, seed: int | str, round_: Column) -> Column:
 
 def feistel(p: Column, side: Column, seed: int | str) -> Column:
     """A permutation of 0..side * side - 1."""
-    halves = F.struct(F.floor(p / side).cast("long").alias("a"), F.pmod(p, side).alias("b"))
+    halves = F.struct(F.call_function("div", p, side).alias("a"), F.pmod(p, side).alias("b"))
     step = lambda h, k: F.struct(h["b"].alias("a"), F.pmod(h["a"] + noise(h["b"], seed, k), side).alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, step, lambda h: h["a"] * side + h["b"])
 
