@@ -12,21 +12,18 @@ def corrupt(w: Warehouse, cells: dict[tuple[str, str], list[tuple[str, str, str
     """cells: for (table, key column) a list of (key, column, value). rows: new rows by table, missing columns null; a row
     is added only if no row has the same primary key. Returns how many cells and rows were written."""
     base, folders, n = w.manifest(), {}, 0
-    frames = {}
     for (table, key), own in cells.items():
-        frames[table], _ = patched(w, table, key, own)
+        folders[Warehouse.key(table)], _ = patched(w, table, key, own)
         n += len(own)
     for table, own in (rows or {}).items():
-        frame = frames.get(table, w.table(table))
+        frame, name = w.table(table), Warehouse.key(table)
         schema = frame.schema
         text = w.spark.createDataFrame([tuple(None if r.get(f.name) is None else str(r.get(f.name)) for f in schema.fields) for r in own], ", ".join(f"`{f.name}` string" for f in schema.fields))
         new = text.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
         keys = list(w.definition(table).primary_key)
         new = new.join(frame.select(keys), keys, "left_anti").select(schema.names) if keys else new
         n += new.count()
-        frames[table] = frame.unionByName(new)
-    for table, frame in frames.items():
-        folders[Warehouse.key(table)] = w.stage(Warehouse.key(table), frame)
+        folders[name] = [*folders.get(name, base.folders[name]), w.stage(name, new)]
     w.publish(base, folders)
     return n
 

@@ -32,6 +32,8 @@ ATTEMPTS = 100
 NULL_SLOT, PICK_SLOT = 1_000_003, 1_000_004
 #: Unique columns over ranges up to this size take a permutation of the range instead of draws.
 SMALL_DOMAIN = 10_000_000
+#: Buckets in which the values of a lookup are sorted and numbered.
+LOOKUP_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,8 @@ def lookup(spark: SparkSession, frame: DataFrame, column: str) -> Source:
     Numbers are counted by hash bucket: no partition has to hold or sort the whole list."""
     values = frame.select(F.col(frame.columns[0]).alias("value")).filter("value is not null")
     kind = values.schema[0].dataType
-    grouped = values.groupBy("value").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.hash(F.md5(F.col("value").cast("string"))), F.lit(64)))
-    bucket_sizes = {r["bucket"]: r["n"] for r in grouped.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # 64 rows at most
+    grouped = values.groupBy("value").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.hash(F.md5(F.col("value").cast("string"))), F.lit(LOOKUP_BUCKETS)))
+    bucket_sizes = {r["bucket"]: r["n"] for r in grouped.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # as many as buckets
     size = sum(bucket_sizes.values())
     if not size:
         raise GenerationError(f"column {column!r}: the lookup query returned no values; load the referenced table first")

@@ -241,8 +241,11 @@ def overlay(frame: DataFrame, key: Column, patches: DataFrame, columns: list[str
 BROADCAST_PATCHES = 100_000
 
 
-def patched(w: Warehouse, table: str, key: str, cells: list[tuple[str, str, str | None]]) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
-    """The table with (key, column, value) cells set, and the old values. Each key must have exactly one row."""
+def patched(w: Warehouse, table: str, key: str, cells: list[tuple[str, str, str | None]]) -> tuple[list[str], list[tuple[str, str, str | None]]]:
+    """The table's folders and files with (key, column, value) cells set, staged, and the old values.
+
+    Each key must have exactly one row. One pass over the key and the patched columns finds the rows; only the files that
+    hold them are written anew."""
     frame = w.table(table)
     kinds = {f.name.lower(): f for f in frame.schema.fields}
     columns = sorted({kinds[c.lower()].name for _, c, _ in cells})
@@ -251,17 +254,22 @@ def patched(w: Warehouse, table: str, key: str, cells: list[tuple[str, str, str
         rows.setdefault(k, {})[kinds[c.lower()].name] = (v,)
     schema = T.StructType([T.StructField("key", T.StringType())] + [T.StructField(f"__new_{c}", T.StructType([T.StructField("v", T.StringType())])) for c in columns])
     patches = w.spark.createDataFrame([(k, *[v.get(c) for c in columns]) for k, v in rows.items()], schema)
-    key_field = kinds[key.lower()]
-    out = overlay(frame, canonical(F.col(f"`{key_field.name}`"), key_field.dataType), F.broadcast(patches) if len(rows) <= BROADCAST_PATCHES else patches, columns)
-    hit = out.filter(" or ".join(f"`__old_{c}` is not null" for c in columns)).select("__key", *[F.col(f"`__old_{c}`") for c in columns]).collect()  # as many as patches
+    patches = F.broadcast(patches) if len(rows) <= BROADCAST_PATCHES else patches
+    key_text = canonical(F.col(f"`{kinds[key.lower()].name}`"), kinds[key.lower()].dataType)
+    cell = [F.col(f"`{c}`").cast("string").alias(f"__old_{k}") for k, c in enumerate(columns)]
+    hits = frame.select(key_text.alias("key"), F.col("_metadata.file_path").alias("__file"), *cell).join(patches.select("key"), "key").collect()  # as many as patches
     seen: dict[str, list] = {}
-    for x in hit:
-        seen.setdefault(x["__key"], []).append(x)
+    for x in hits:
+        seen.setdefault(x["key"], []).append(x)
     bad = [k for k in rows if len(seen.get(k, [])) != 1]
     if bad:
         raise SeedloomError(f"{table}: {len(bad)} keys don't have exactly one row ({', '.join(bad[:5])}); nothing was changed")
-    old = [(k, c, seen[k][0][f"__old_{c}"]["v"]) for k, v in rows.items() for c in v]
-    return out.select([f"`{f.name}`" for f in frame.schema.fields]), old
+    old = [(k, c, seen[k][0][f"__old_{columns.index(c)}"]) for k, v in rows.items() for c in v]
+    touched = {tuple(x["__file"].rsplit("/", 2)[-2:]) for x in hits}
+    entries = w.manifest().folders[Warehouse.key(table)]
+    within = w.spark.read.schema(frame.schema).parquet(*sorted({x["__file"] for x in hits}))
+    new = overlay(within, key_text, patches, columns).select([f"`{f.name}`" for f in frame.schema.fields])
+    return [*w.without(entries, touched), w.stage(Warehouse.key(table), new)], old
 
 
 def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink=None) -> list[dict]:
@@ -274,19 +282,19 @@ def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink=None) -> list[
         raise ConfigError("plan.json is not what was approved")
     refuse_blocked(plan_doc)
     base, stamp = w.manifest(), A.now()
-    log, by_table, entries = [], {}, []
+    log, by_table, identities_ = [], {}, []
     for doc in plan_doc["rules"]:
         r = rules.get(doc["id"])
         for p in doc["patches"]:
             by_table.setdefault((r.table_name, r.key), []).append((p["key"][r.key], r, p["value"]))
             if r.kind == "identity":
-                entries.append((r.table_name, p["key"][r.key], r.column, p["value"], r.id, stamp, approval.get("gitEmail") or approval.get("osUser")))
+                identities_.append((r.table_name, p["key"][r.key], r.column, p["value"], r.id, stamp, approval.get("gitEmail") or approval.get("osUser")))
     if len({t for t, _ in by_table}) < len(by_table):
         raise ConfigError("rules of one table must name the same key")
     folders = {}
-    if entries:
-        rows = w.spark.createDataFrame(entries, "TargetTable string, RowKey string, ColumnName string, Value string, RuleId string, CreatedAt string, CreatedBy string").withColumn("CreatedAt", F.col("CreatedAt").cast("timestamp"))
-        folders[LEDGER_NAME] = w.stage(LEDGER_NAME, w.with_entries(rows))
+    if identities_:
+        rows = w.spark.createDataFrame(identities_, "TargetTable string, RowKey string, ColumnName string, Value string, RuleId string, CreatedAt string, CreatedBy string").withColumn("CreatedAt", F.col("CreatedAt").cast("timestamp"))
+        folders[LEDGER_NAME] = [*base.folders.get(LEDGER_NAME, []), w.stage(LEDGER_NAME, w.with_entries(rows))]
     if sink is not None:
         w.publish(base, folders)
         for patches in by_table.values():
@@ -294,9 +302,9 @@ def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink=None) -> list[
                 log.append({"ts": stamp, "rule": r.id, "id": {r.key: k}, "col": r.column, "old": sink.patch(r.table_name, r.key, k, r.column, v), "new": v, "reason": r.reason})
     else:
         for (table, key), patches in by_table.items():
-            frame, old = patched(w, table, key, [(k, r.column, v) for k, r, v in patches])
+            entries, old = patched(w, table, key, [(k, r.column, v) for k, r, v in patches])
             before = {(k, c.lower()): v for k, c, v in old}
-            folders[Warehouse.key(table)] = w.stage(Warehouse.key(table), frame)
+            folders[Warehouse.key(table)] = entries
             log += [{"ts": stamp, "rule": r.id, "id": {r.key: k}, "col": r.column, "old": before[k, r.column.lower()], "new": v, "reason": r.reason} for k, r, v in patches]
     part = folder / "patches.jsonl.staged"
     A.write_lines(part, log)
@@ -317,8 +325,7 @@ def revert(w: Warehouse, rules: GapRules, log: list[dict], only: list[str] | Non
         cells.setdefault((r.table_name, r.key), {})[entry["id"][r.key], entry["col"]] = entry["old"]
     base, folders = w.manifest(), {}
     for (table, key), own in cells.items():
-        frame, _ = patched(w, table, key, [(k, c, v) for (k, c), v in own.items()])
-        folders[Warehouse.key(table)] = w.stage(Warehouse.key(table), frame)
+        folders[Warehouse.key(table)], _ = patched(w, table, key, [(k, c, v) for (k, c), v in own.items()])
     if folders:
         w.publish(base, folders)
     return sum(len(c) for c in cells.values())

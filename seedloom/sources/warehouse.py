@@ -1,8 +1,9 @@
 """A folder of versioned Parquet tables with an append-only ledger, published by numbered manifests.
 
-Every write goes to a new folder; a manifest that names the current folder of each table makes it visible. Manifests are
-created under the next free number by a rename that fails if the number is taken, so of two writers one has to start
-again, and a reader sees all of a publication or none of it.
+Every write goes to a new folder; a manifest that names the current folders and files of each table makes it visible. An
+append adds a folder; a change of cells writes only the files anew that hold them. Manifests are created under the next
+free number by a rename that fails if the number is taken, so of two writers one has to start again, and a reader sees
+all of a publication or none of it.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def guard(root: str, allowed: list[str]) -> None:
 @dataclass(frozen=True)
 class Manifest:
     number: int
-    #: Folder of each table by its lower-case name, and of the ledger.
-    folders: dict[str, str]
+    #: Folders and files below the root, of each table by its lower-case name, and of the ledger.
+    folders: dict[str, list[str]]
     tables: dict[str, dict]
 
 
@@ -97,7 +98,7 @@ class Warehouse:
         doc = json.loads(self.files.read(f"_manifests/{max(numbers):08d}.json"))
         return Manifest(max(numbers), doc["folders"], doc["tables"])
 
-    def publish(self, base: Manifest, folders: dict[str, str], tables: dict[str, dict] | None = None) -> None:
+    def publish(self, base: Manifest, folders: dict[str, list[str]], tables: dict[str, dict] | None = None) -> None:
         doc = {"folders": base.folders | folders, "tables": base.tables | (tables or {})}
         if not self.files.create(f"_manifests/{base.number + 1:08d}.json", json.dumps(doc, indent=1, sort_keys=True)):
             raise SeedloomError("another writer has published meanwhile; start again")
@@ -119,7 +120,7 @@ class Warehouse:
         """Add a table, empty or with rows; computed columns and row versions are not stored."""
         base, key = self.manifest(), self.key(table.full_name)
         rows = frame if frame is not None else self.spark.createDataFrame([], table.struct())
-        self.publish(base, {key: self.stage(key, rows)}, {key: asdict(table)})
+        self.publish(base, {key: [self.stage(key, rows)]}, {key: asdict(table)})
 
     def definition(self, table: str) -> TableDef:
         doc = self.manifest().tables.get(self.key(table))
@@ -136,20 +137,36 @@ class Warehouse:
         m, key = self.manifest(), self.key(name)
         if key not in m.folders:
             raise ConfigError(f"no table {name!r}; tables: {', '.join(self.tables()) or 'none'}")
-        return self.spark.read.schema(self.definition(name).struct()).parquet(f"{self.root}/{m.folders[key]}")
+        return self.read(m.folders[key], self.definition(name).struct())
+
+    def read(self, entries: list[str], schema: T.StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{e}" for e in entries])
 
     def append(self, name: str, frame: DataFrame, truncate: bool = False) -> None:
         base, key = self.manifest(), self.key(name)
-        rows = frame if truncate else self.table(name).unionByName(frame)
-        self.publish(base, {key: self.stage(key, rows.select(self.definition(name).struct().names))})
+        new = self.stage(key, frame.select(self.definition(name).struct().names))
+        self.publish(base, {key: [new] if truncate else [*base.folders[key], new]})
+
+    def without(self, entries: list[str], touched: set[tuple[str, str]]) -> list[str]:
+        """entries without some files, each given by the names of its folder and itself."""
+        out = []
+        for entry in entries:
+            if entry.endswith(".parquet"):
+                out += [] if tuple(entry.rsplit("/", 2)[-2:]) in touched else [entry]
+            elif any(entry.rsplit("/", 1)[-1] == folder for folder, _ in touched):
+                folder = entry.rsplit("/", 1)[-1]
+                out += [f"{entry}/{n}" for n in self.files.names(entry) if n.endswith(".parquet") and (folder, n) not in touched]
+            else:
+                out.append(entry)
+        return out
 
     def ledger(self) -> DataFrame:
-        folder = self.manifest().folders.get(LEDGER_NAME)
-        return self.spark.createDataFrame([], LEDGER) if folder is None else self.spark.read.schema(LEDGER).parquet(f"{self.root}/{folder}")
+        entries = self.manifest().folders.get(LEDGER_NAME)
+        return self.read(entries, LEDGER) if entries else self.spark.createDataFrame([], LEDGER)
 
     def with_entries(self, entries: DataFrame) -> DataFrame:
-        """The ledger with more entries. What is there already is a no-op; a different value for a cell, or a value that
-        another row has in the same column, is a conflict: entries are never changed or removed."""
+        """Those of the entries that the ledger doesn't have yet. A different value for a cell, or a value that another row
+        has in the same column, is a conflict: entries are never changed or removed."""
         old = self.ledger()
         cell, value = ["TargetTable", "RowKey", "ColumnName"], ["TargetTable", "ColumnName", "Value"]
         new = entries.join(old.select(*cell, "Value"), [*cell, "Value"], "left_anti").persist()
@@ -159,7 +176,7 @@ class Warehouse:
             bad = both.join(touched, keys, "left_semi").groupBy(keys).agg(F.count("*").alias("n")).filter("n > 1").limit(3).collect()
             if bad:
                 raise LedgerConflict(f"{what}: " + "; ".join(", ".join(str(r[k]) for k in keys) for r in bad))
-        return both
+        return new
 
     # SQL ------------------------------------------------------------------------------------------------------------
 

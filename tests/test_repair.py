@@ -152,10 +152,22 @@ def test_a_key_without_its_one_row_changes_nothing(w):
         repair.patched(w, "dbo.Security", "PropertyId", [("999", "Bathrooms", "1")])
 
 
+def test_only_files_with_patched_rows_are_written(w):
+    w.append("dbo.Security", w.spark.createDataFrame([(201, "X", "EFH", 1, 1)], SECURITY.struct()))
+    key = Warehouse.key("dbo.Security")
+    before = w.manifest().folders[key]
+    entries, old = repair.patched(w, "dbo.Security", "PropertyId", [("201", "Rooms", "5"), ("201", "Bathrooms", None)])
+    assert len(before) == 2 and before[0] in entries and before[1] not in entries and sorted(old) == [("201", "Bathrooms", "1"), ("201", "Rooms", "1")]
+    w.publish(w.manifest(), {key: entries})
+    assert content(w)[201] == ("X", "EFH", 5, None) and len(content(w)) == 9
+    w.publish(w.manifest(), {key: repair.patched(w, "dbo.Security", "PropertyId", [("101", "Rooms", "9")])[0]})
+    assert content(w)[101][2] == 9 and content(w)[201][2] == 5 and len(content(w)) == 9
+
+
 def test_ledger_is_append_only(w, spark):
     row = lambda k, v: spark.sql(f"SELECT 'dbo.Security' TargetTable, '{k}' RowKey, 'SecurityId' ColumnName, '{v}' Value, 'r' RuleId, current_timestamp() CreatedAt, 'me' CreatedBy")
-    w.publish(w.manifest(), {"ledger": w.stage("ledger", w.with_entries(row("1", "A")))})
-    assert w.with_entries(row("1", "A")).count() == 1 and w.with_entries(row("2", "B")).count() == 2
+    w.publish(w.manifest(), {"ledger": [w.stage("ledger", w.with_entries(row("1", "A")))]})
+    assert w.with_entries(row("1", "A")).count() == 0 and w.with_entries(row("2", "B")).count() == 1
     for key, value in (("1", "B"), ("2", "A")):
         with pytest.raises(LedgerConflict):
             w.with_entries(row(key, value))
