@@ -22,6 +22,8 @@ from seedloom.llm.common import fresh, settle, table
 
 SHARDS = 24
 SEED = 7
+#: Input files whose numbers (some 100 bytes each) are sent to every task; beyond, they are joined by a shuffle.
+MAX_FILES = 500_000
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -43,9 +45,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[Data
         "f", (F.sum("n_file").over(W.orderBy("f")) - F.col("n_file")).alias("before"),
         F.sum("n_file").over(W.orderBy("f").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n_all"),
     ).withColumn("side", F.ceil(F.sqrt("n_all")).cast("long"))
+    if len(docs.inputFiles()) <= MAX_FILES:
+        files = F.broadcast(files)
     rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
     rows = rows.join(files, F.col(path) == F.col("f")).withColumn(p, permute(F.col(index) + F.col("before"), F.col("n_all"), F.col("side"), seed))
-    return rows.select(*docs.columns, F.pmod(F.col(p), F.lit(shards)).cast("int").alias(out), F.floor(F.col(p) / shards).cast("long").alias(slot)), [out, slot]
+    return rows.select(*docs.columns, F.pmod(F.col(p), F.lit(shards)).cast("int").alias(out), F.call_function("div", F.col(p), F.lit(shards).cast("long")).alias(slot)), [out, slot]
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
