@@ -246,7 +246,7 @@ def strategy(name: str, kind: str, rule: ColumnRule, sql: str) -> None:
 
 
 _HEX = f"md5('{SEED}|dbo.customer|gen_guid|' || c_custkey || '|0|0')"
-_ALL = f"array_to_string(list_transform(range(1, 13), lambda k: substr('{ALPHABET}', CAST({bits('gen_string', 'k')} % 62 + 1 AS INTEGER), 1)), '')"
+_ALL = f"array_to_string(list_transform(range(0, 12), lambda k: substr('{ALPHABET}', CAST({bits('gen_string', 'k // 8', wide=True)} // CAST(pow(62, k % 8) AS BIGINT) % 62 + 1 AS INTEGER), 1)), '')"
 strategy("gen_int", "int", ColumnRule("int", min="18", max="65"), f"CAST({bits('gen_int')} % 48 + 18 AS INTEGER)")
 strategy("gen_decimal", "decimal", ColumnRule("decimal", min="10", max="99.5"), f"CAST(floor(10.0::DOUBLE + {bits('gen_decimal')} / 4294967296.0::DOUBLE * 89.5::DOUBLE + 0.5::DOUBLE) AS DECIMAL(18,0))")
 strategy("gen_bool", "bit", ColumnRule("bool", true_rate=0.8), f"{bits('gen_bool')} / 4294967296.0::DOUBLE < 0.8::DOUBLE")
@@ -254,6 +254,8 @@ strategy("gen_date", "date", ColumnRule("date", min="2020-01-01", max="2025-12-3
 strategy("gen_datetime", "datetime2", ColumnRule("datetime", min="2020-01-01", max="2025-12-31"), f"TIMESTAMP '2020-01-01' + to_seconds({bits('gen_datetime')} % 189302401)")
 strategy("gen_guid", "uniqueidentifier", ColumnRule("guid"), f"substr({_HEX}, 1, 8) || '-' || substr({_HEX}, 9, 4) || '-4' || substr({_HEX}, 14, 3) || '-' || substr('89ab', CAST(CAST('0x' || substr({_HEX}, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1) || substr({_HEX}, 18, 3) || '-' || substr({_HEX}, 21, 12)")
 strategy("gen_string", "varchar", ColumnRule("string", length=12), _ALL)
+_LONG = f"array_to_string(list_transform(range(0, 70), lambda k: substr('{ALPHABET}', CAST({bits('gen_long_string', 'k // 8', wide=True)} // CAST(pow(62, k % 8) AS BIGINT) % 62 + 1 AS INTEGER), 1)), '')"
+strategy("gen_long_string", "varchar", ColumnRule("string", length=70), _LONG)
 strategy("gen_template", "varchar", ColumnRule("template", template="C{row}-{rand:10-99}-{rand:7}"), f"'C' || c_custkey || '-' || ({bits('gen_template', 2)} % 90 + 10) || '-7'")
 strategy("gen_pick", "varchar", ColumnRule("pick", values=("a", "b", "c")), f"list_extract(['a', 'b', 'c'], CAST({bits('gen_pick')} % 3 + 1 AS INTEGER))")
 strategy("gen_pick_weighted", "varchar", ColumnRule("pick", values=("a", "b", "c"), weights=(6.0, 3.0, 1.0)), f"CASE WHEN {bits('gen_pick_weighted')} / 4294967296.0::DOUBLE < 0.6::DOUBLE THEN 'a' WHEN {bits('gen_pick_weighted')} / 4294967296.0::DOUBLE < CAST({0.6 + 0.3!r} AS DOUBLE) THEN 'b' ELSE 'c' END")

@@ -107,9 +107,20 @@ def guid(c: Context) -> Column:
     return guid_of(c.draw.text())
 
 
+#: Characters that one 60-bit draw gives: 62**8 is far below 2**60, so all are nearly equally likely.
+CHARACTERS = 8
+#: Lengths up to which each character is an expression of its own, which code generation shares draws among.
+UNROLLED = 64
+
+
 def string(c: Context) -> Column:
-    n = max(1, c.rule.length if c.rule.length is not None else capped(c.column.length, 20))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.substring(F.lit(ALPHABET), (c.draw.below(len(ALPHABET), k) + 1).cast("int"), F.lit(1))), "")
+    n, base = max(1, c.rule.length if c.rule.length is not None else capped(c.column.length, 20)), len(ALPHABET)
+    letter = lambda bits, power: F.substring(F.lit(ALPHABET), (F.call_function("div", bits, power) % base + 1).cast("int"), F.lit(1))
+    if n <= UNROLLED:
+        return F.concat(*[letter(c.draw.bits(k // CHARACTERS, wide=True), F.lit(base ** (k % CHARACTERS)).cast("long")) for k in range(n)])
+    powers = F.array(*[F.lit(base**k).cast("long") for k in range(CHARACTERS)])
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // CHARACTERS)), lambda b: F.array_join(F.transform(F.array(c.draw.bits(b, wide=True)), lambda v: F.array_join(F.transform(powers, lambda p: letter(v, p)), "")), ""))
+    return F.substring(F.array_join(blocks, ""), 1, n)
 
 
 def bytes_(c: Context) -> Column:
