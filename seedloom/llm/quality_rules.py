@@ -111,11 +111,14 @@ def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
     fence = arrays.withColumn("mid", quantile(Q_MID)).withColumn("high", quantile(Q_HIGH)).select(
         "level", "lang", "source", "total", "rate", (F.col("high") + F.greatest((F.col("high") - F.col("mid")) * SPREAD, least[F.col("rate")])).alias("fence"))
     each = fence.groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("m"), F.max("total").alias("total"))
-    own, by_lang, whole = (each.filter(F.col("level") == k) for k in (0, 1, 2))
-    by_lang = by_lang.select(F.col("lang").alias("l_lang"), F.col("m").alias("l_m"), F.col("total").alias("l_total"))
-    whole = whole.select(F.col("m").alias("w_m"), F.lit(1).alias("one"))
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("one", F.lit(1)).join(whole, "one")
-    chosen = F.when(F.col("total") >= MIN_GROUP, F.col("m")).when(F.col("l_total") >= MIN_GROUP, F.col("l_m")).otherwise(F.col("w_m"))
+    each = settle(each)
+    # One map of a limit for each rate.
+    whole = each.filter("level = 2").select("m").first()
+    whole = F.create_map(*[F.lit(x) for kv in (whole["m"] if whole else {"": 0}).items() for x in kv]).cast("map<string,bigint>")
+    own = each.filter("level = 0")
+    by_lang = each.filter("level = 1").select(F.col("lang").alias("l_lang"), F.col("m").alias("l_m"), F.col("total").alias("l_total"))
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")))
+    chosen = F.when(F.col("total") >= MIN_GROUP, F.col("m")).when(F.col("l_total") >= MIN_GROUP, F.col("l_m")).otherwise(whole)
     return joined.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), chosen.alias("limits"))
 
 
@@ -125,7 +128,8 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     rows = docs.select(*keep, F.col(lang_col).cast("string").alias(lang), F.col(source_col).cast("string").alias(source), counts(F.col(text_col).cast("string")).alias(name))
     rows = settle(rows)
     c = F.col(name)
-    fences = limits(sketch(rows, [lang, source], rates(c)), lang, source).select(F.col("q_lang").alias("f_lang"), F.col("q_source").alias("f_source"), F.col("limits").alias("f_limits"))
+    # Written first, so that its size is known when the join is planned: broadcast while it is small, a shuffle beyond.
+    fences = settle(limits(sketch(rows, [lang, source], rates(c)), lang, source)).select(F.col("q_lang").alias("f_lang"), F.col("q_source").alias("f_source"), F.col("limits").alias("f_limits"))
     out = rows.join(fences, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)
     for rate, value in rates(c).items():
