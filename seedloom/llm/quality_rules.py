@@ -20,7 +20,7 @@ MIN_GROUP = 200
 #: Leading bits that a sketch bucket keeps.
 SKETCH_BITS = 7
 #: Rate names with the least distance in per mille between the limit and the upper quantile.
-RATES = {"symbol_rate": 60, "mark_rate": 100, "upper_rate": 200, "dup_line_rate": 400, "repeat_rate": 190}
+RATES = {"symbol_rate": 60, "mark_rate": 100, "upper_rate": 200, "dup_line_rate": 400, "repeat_rate": 250}
 #: The limit is q_high + max(SPREAD * (q_high - q_mid), the least distance of the rate).
 Q_MID, Q_HIGH, SPREAD = 25, 75, 4
 
