@@ -113,13 +113,13 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def rejected(rows: DataFrame, name: str) -> DataFrame:
-    """One row: a map of length class to the highest bin whose tokens count as text (Benjamini-Hochberg)."""
+def rejected(rows: DataFrame, name: str) -> dict[int, int]:
+    """For each length class the highest bin whose tokens count as text (Benjamini-Hochberg); a few numbers."""
     bins = rows.select(F.explode(name).alias("x")).groupBy(length_class(F.col("x.n")).alias("c"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
     by = W.partitionBy("c")
     cut = bins.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("m", F.sum("n").over(by))
     cut = cut.filter((F.col("bin") + 1) * F.col("m") <= F.col("below") * (FDR * BINS)).groupBy("c").agg(F.max("bin").alias("bin"))
-    return cut.agg(F.map_from_entries(F.collect_list(F.struct("c", "bin"))).alias("cut")).withColumn("one", F.lit(1))
+    return {r["c"]: r["bin"] for r in cut.collect()}
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[DataFrame, str, str]:
@@ -127,9 +127,16 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[Data
     base, more, text = fresh(docs, "base_spans", "spans", "scanned_text")
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text)))
     rows = settle(rows.withColumn(more, candidates(F.col(text), F.col(base))).drop(text))
-    out = rows.withColumn("one", F.lit(1)).join(F.broadcast(rejected(rows, more)), "one", "left").drop("one")
-    random = F.filter(more, lambda x: x["bin"] > F.coalesce(F.col("cut")[length_class(x["n"])], F.lit(-1)))
-    return out.withColumn(more, F.sort_array(F.concat(F.col(base), kind_of(random, "random").cast(SPANS)))).drop("cut"), base, more
+    cut = rejected(rows, more)
+
+    def passed(x: Column) -> Column:
+        least = F.lit(-1)
+        for n, b in cut.items():
+            least = F.when(length_class(x["n"]) == n, b).otherwise(least)
+        return x["bin"] > least
+
+    random = kind_of(F.filter(more, passed), "random").cast(SPANS)
+    return rows.withColumn(more, F.sort_array(F.concat(F.col(base), random))), base, more
 
 
 def spelled(spans: Column) -> Column:
