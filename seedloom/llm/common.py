@@ -47,6 +47,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 MATCHES = "array<struct<s:int,e:int,m:string>>"
+#: Matches added to the result at once.
+BLOCK = 256
 
 
 def match_spans(text: Column, pattern: str | Column) -> Column:
@@ -62,8 +64,19 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
+    # An array that grows by one match at a time is copied each time, so it grows in blocks.
+    def of_block(at: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)
+
+    def more(a: Column, block: Column) -> Column:
+        return let(of_block(a["at"], block), lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], b["out"]).alias("out")))
+
+    def in_blocks(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(BLOCK)), lambda k: F.slice(pairs, k + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, start, more, lambda a: a["out"])
+
     def positions(found: Column) -> Column:
         pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), found.alias("m"))
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda a: a["out"]))
+        return F.when(F.size(found) == 0, none).otherwise(let(pairs, in_blocks))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), positions).cast(MATCHES)

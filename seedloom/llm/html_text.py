@@ -52,7 +52,6 @@ BAD = re.compile(
 )
 GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|page)(?:$|[\s_-])")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
-BAD_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "figcaption"}
 
 FEATURES = ["article", "main", "nav", "footer", "aside", "form", "header", "own_header", "bad_name", "good_name", "hidden", "links", "words", "ends", "heading", "item", "body"]
 
