@@ -73,11 +73,11 @@ def op3(text):
     return out
 
 
-def op5(text):
+def op5(text, n=3):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
-    shingles = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    shingles = [b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))]
     h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
