@@ -31,8 +31,10 @@ RADIUS = 3
 SHINGLE = 5
 #: Fingerprints in a shard above which it is dealt again.
 SHARD_ROWS = 20_000
-#: Bits fixed by the blocks of each further dealing; after four, at most 2**20 distinct fingerprints can agree.
 BITS = 64
+#: Dealings by 2, 3 and at last 4 blocks; 43 bits or more are fixed then, so a shard holds at most 2**21 fingerprints.
+DEPTHS = (2, 3, 4)
+#: Pairs of query and node that a search holds at once.
 _LIMIT = 1 << 21
 
 
@@ -187,10 +189,10 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     """a, b: links between the distinct fingerprints of fps, enough to join all within the radius."""
     dealt = fps.select("fp")
     out = None
-    for depth in (2, 3, 4):
+    for depth in DEPTHS:
         keys = dealt.select("fp", F.explode(deal(depth, radius)).alias("key")).select("fp", "key.k", "key.bits")
         large = None
-        if depth < 4:
+        if depth < DEPTHS[-1]:
             large = settle(keys.groupBy("k", "bits").count().filter(F.col("count") > shard_rows).select("k", "bits"))
             large = None if large.isEmpty() else large
         if large is not None:
