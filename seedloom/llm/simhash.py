@@ -18,6 +18,7 @@ smallest non-null id. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedloom.llm.common import fresh, settle, table
+from seedloom.llm.minhash import KINDS, shingle_hashes, signature, similar_links
 
 RADIUS = 3
 SHINGLE = 5
@@ -38,24 +40,17 @@ DEPTHS = (2, 3, 4)
 _LIMIT = 1 << 21
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """Of shingle hashes: the bits that most of them have, as a signed number."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprinter(shingle: int, name: str = "fp"):
     def one(text: bytes) -> int:
-        import xxhash
-
-        words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
-        if not words:
-            return 0
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        n = max(1, len(words) - shingle + 1)
-        starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-        stops = ends[-n:].tolist()
-        h64 = xxhash.xxh64_intdigest
-        counts = np.zeros(64, dtype=np.int64)
-        for k in range(0, n, 1 << 16):
-            h = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)), dtype="<u8")
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+        return fingerprint(shingle_hashes(text, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,6 +61,23 @@ def fingerprinter(shingle: int, name: str = "fp"):
     return run
 
 
+def signer(shingle: int, names: list[str]):
+    """The last column, a text, gives way to its fingerprint and signature."""
+
+    def one(text: bytes) -> tuple:
+        h = shingle_hashes(text, shingle)
+        return fingerprint(h), *signature(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        for batch in batches:
+            found = [one((t.as_py() or "").encode()) for t in batch.column(batch.num_columns - 1)]
+            columns = [pa.array((x[k] for x in found), kind, size=batch.num_rows) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp: a signed 64-bit fingerprint for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -238,11 +250,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
 
 
-def group_rows(rows: DataFrame, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """From rows (doc_id, fp): fp with its component_id and label; and (doc_id, fp) pairs with their count."""
+def group_rows(rows: DataFrame, radius: int, shard_rows: int, signed: DataFrame | None = None, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, fp): fp with its component_id and label; and (doc_id, fp) pairs with their count.
+
+    With signed rows (see minhash) similar texts are joined too, however far apart their fingerprints are."""
     pairs = settle(rows.groupBy("fp", "doc_id").count())
     fps = pairs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(near_links(settle(fps.select("fp")), radius, shard_rows))
+    links = near_links(settle(fps.select("fp")), radius, shard_rows)
+    if signed is not None:
+        links = settle(links)
+        labels_of = lambda more: components(reduce(DataFrame.unionByName, more, links))
+        links = reduce(DataFrame.unionByName, similar_links(signed, shingle, labels_of), links)
+    labels = components(links)
     # A node that is the label of its component has no row in labels.
     named = fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -256,15 +275,19 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id, null only where there is no other.
 
-    Of rows with that id and different texts the smaller fingerprint stays, of equal rows one."""
-    (fp,) = fresh(docs, "fp")
+    Of rows with that id and different texts the smaller fingerprint stays, of equal rows one. With similar, texts whose
+    shingles have a Jaccard similarity of minhash.SIMILAR or more are near duplicates besides those by fingerprint."""
+    names = fresh(docs, "fp", "same", "n", "keys")
+    fp = names[0]
     last, text = fresh(docs, "text_for_fp")[0], F.col(text_col).cast("string")
-    kept = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    whole = settle(docs.withColumn(last, text).mapInArrow(fingerprinter(shingle, fp), kept))
-    of, pairs = group_rows(whole.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), radius, shard_rows)
+    kept = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in zip(names, ("bigint", *KINDS), strict=True))
+    kept = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(kept).fields[: 4 if similar else 1]])
+    whole = settle(docs.withColumn(last, text).mapInArrow(signer(shingle, names) if similar else fingerprinter(shingle, fp), kept))
+    signed = whole.select(*[F.col(n).alias(k) for n, k in zip(names, ("fp", "same", "n", "keys"), strict=True)], text.alias("text")) if similar else None
+    of, pairs = group_rows(whole.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), radius, shard_rows, signed, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "count")
     best = pairs.join(of, "fp").groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("k_id"), F.col("x.fp").alias("k_fp"), F.col("x.count").alias("k_n"))
     best = settle(best)
