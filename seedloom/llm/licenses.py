@@ -1,6 +1,6 @@
 """License scans: ordered signature rules behind a keyword prefilter, with containment suppression.
 
-Texts are reduced to lower-case words. A text without any of the keywords is done; in the others each rule runs only if
+Texts are reduced to lower-case words. A text without any of the keywords, which come from the rules, is done; in the others each rule runs only if
 its own keyword occurs. Detections are resolved from left to right: one inside a longer one goes, of two that overlap
 the one with the higher priority stays. Three base phrases are counted besides, whatever the rules say.
 
@@ -10,6 +10,8 @@ long texts are scanned whole. Extra columns are kept. An empty table gives an em
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,9 @@ from seedloom.llm.common import ALNUM_WORD, fresh, let, lower_az, match_spans, t
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: A text in which none of these occurs has neither base phrases nor detections.
-GATE = (
-    r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|rights reserved|[^a-z](?:gpl|lgpl|agpl|mpl|epl|cc0|wtfpl|eupl)"
-    r"|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons"
-)
-
-#: Label, keyword, and the license's names as words.
+#: Label, keyword, and the license's names as words. Each name has the keyword, at the start of a word.
 NAMES: list[tuple[str, str, str]] = [
-    ("mit", "mit", r"mit"), ("mit-0", "mit", r"mit no attribution|mit 0"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib(?: libpng)?"),
+    ("mit", "mit", r"mit"), ("mit-0", "mit no attribution", r"mit no attribution"), ("mit-0", "mit 0", r"mit 0"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("apache-1", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?1(?: [01])?|apache 1(?: [01])?"),
     ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2(?: 0)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd|bsd 2 clause|2 clause bsd"), ("bsd-3-clause", "bsd", r"(?:new |modified |revised )bsd|bsd 3 clause|3 clause bsd"),
@@ -66,15 +62,36 @@ PLAIN: list[tuple[str, str, float, str]] = [
 ]
 
 
+def alone(name: str) -> bool:
+    """A name of several words says enough by itself."""
+    return " " in name.replace(" ?", "")
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
     """Priority, keyword, pattern over words, label, confidence: some hundreds, from names and forms."""
     out = [(key, form.replace("{}", f"(?:{name})"), label, sure) for sure, form in FORMS for label, key, name in NAMES]
-    # A name of several words says enough by itself.
-    out += [(key, f"(?:{name})", label, 0.6) for label, key, name in NAMES if " " in name.replace(" ?", "")]
+    out += [(key, f"(?:{name})", label, 0.6) for label, key, name in NAMES if alone(name)]
     out += [(key, pattern, label, sure) for label, key, sure, pattern in PLAIN]
     return [(k, key, f"(?<= )(?:{pattern})(?= )", label, sure) for k, (key, pattern, label, sure) in enumerate(out)]
 
 
+def started(keys: Iterable[str]) -> str:
+    """A pattern for texts in which a word, or words in a row, begin like one of the keys."""
+    return f"(?i)(?<!{ALNUM_WORD[:-1]})(?:{'|'.join(sorted({k.strip().replace(' ', SEPARATORS) for k in keys}))})"
+
+
+#: Words of which each of FORMS has one, and the keywords of names that only these forms make a detection.
+FORM_WORDS = ["spdx", "under", "subject", "governed", "covered", "licens", "licenc"]
+IN_FORM = [key for _, key, name in NAMES if not alone(name)]
+#: Keywords of the rules that need no form.
+ALONE = [key for _, key, name in NAMES if alone(name)] + [key for _, key, _, _ in PLAIN]
+
+
+def gate(text: Column) -> Column:
+    """Whether text may have base phrases or detections."""
+    return text.rlike(started(ALONE)) | (text.rlike(started(IN_FORM)) & text.rlike(started(FORM_WORDS)))
+
+
 def normal(text: Column) -> Column:
     """The words in lower case, a space before and after each."""
     return lower_az(F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" ")))
@@ -121,7 +138,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]
     names = fresh(docs, "n_words", "places", "detections", "score")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = f"struct<places:{PLACES},found:{FOUND}>"
-    both = F.when(text.rlike(GATE), let(normal(text), lambda w: F.struct(base_places(w).alias("places"), detections(w).alias("found")).cast(kind)))
+    both = F.when(gate(text), let(normal(text), lambda w: F.struct(base_places(w).alias("places"), detections(w).alias("found")).cast(kind)))
     (b,) = fresh(docs, "both")
     none = lambda k: F.expr(f"cast(array() as {k})")
     out = docs.withColumn(b, both).withColumns({
