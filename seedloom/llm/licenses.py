@@ -26,10 +26,11 @@ NAMES: list[tuple[str, str, str]] = [
     ("apache-1", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?1(?: [01])?|apache 1(?: [01])?"),
     ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2(?: 0)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd|bsd 2 clause|2 clause bsd"), ("bsd-3-clause", "bsd", r"(?:new |modified |revised )bsd|bsd 3 clause|3 clause bsd"),
-    ("bsd-4-clause", "bsd", r"(?:original |old )bsd|bsd 4 clause|4 clause bsd"), ("0bsd", "0bsd", r"0bsd|zero clause bsd"),
+    ("bsd-4-clause", "bsd", r"(?:original |old )bsd|bsd 4 clause|4 clause bsd"), ("0bsd", "0bsd", r"0bsd"), ("0bsd", "bsd", r"zero clause bsd"),
     ("gpl-1", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("gpl-2", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?2(?: 0)?"),
     ("gpl-3", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"), ("lgpl-2", "lesser", r"gnu (?:lesser|library) general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
+    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"), ("lgpl-2", "lesser", r"gnu lesser general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
+    ("lgpl-2", "library", r"gnu library general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
     ("lgpl-3", "lesser", r"gnu lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("lgpl-2", "lgpl", r"lgpl ?v?(?:ersion)? ?2(?: [01])?"),
     ("lgpl-3", "lgpl", r"lgpl ?v?(?:ersion)? ?3(?: 0)?"), ("agpl-3", "affero", r"gnu affero general public licen[cs]e (?:version |v ?)?3(?: 0)?"),
     ("agpl-3", "agpl", r"agpl ?v?(?:ersion)? ?3(?: 0)?"), ("mpl-1", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?1(?: [01])?"),

@@ -60,3 +60,14 @@ def test_each_rule_passes_the_gate(spark):
 def test_labels_behind_the_gate(spark, text, labels):
     rows, (_, _, found, _) = licenses.scan(spark.createDataFrame([(text,)], "text string"))
     assert {x["label"] for x in rows.first()[found]} == labels
+
+
+def test_each_alternative_has_its_keyword():
+    for key, words in samples(40):
+        assert key in f" {words} " and f" {key}" in f" {words} ", (key, words)
+
+
+def test_labels_of_each_alternative(spark):
+    texts = [("Zero-Clause BSD license", "0bsd"), ("0BSD licensed", "0bsd"), ("GNU Library General Public License version 2", "lgpl-2"), ("GNU Lesser General Public License v2.1", "lgpl-2")]
+    rows, (_, _, found, _) = licenses.scan(spark.createDataFrame(texts, "text string, label string"))
+    assert all({x["label"] for x in r[found]} == {r["label"]} for r in rows.collect())
