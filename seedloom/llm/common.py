@@ -47,36 +47,70 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 MATCHES = "array<struct<s:int,e:int,m:string>>"
-#: Matches added to the result at once.
+#: Items added to an array at once.
 BLOCK = 256
 
 
-def match_spans(text: Column, pattern: str | Column) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points from 0.
+def in_blocks(items: Column) -> Column:
+    """A non-empty array cut into arrays of BLOCK items."""
+    return F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), lambda k: F.slice(items, k + 1, F.lit(BLOCK)))
 
-    The pieces between the matches and the matches themselves alternate, so their lengths add up to the positions."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    none = F.expr(f"cast(array() as {MATCHES})")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+def fold(items: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column] | None = None) -> Column:
+    """The arrays (of type out) that step(state, item) gives beside the next state, and last(state), one after the other.
+
+    An array that grows by one item at a time is copied each time, so the result grows in blocks."""
+    none = F.expr(f"cast(array() as {out})")
+    pair = lambda s, o: F.struct(s.alias("s"), o.cast(out).alias("o"))
 
-    # An array that grows by one match at a time is copied each time, so it grows in blocks.
-    def of_block(at: Column, block: Column) -> Column:
-        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)
+    def one(a: Column, x: Column) -> Column:
+        s, o = step(a["s"], x)
+        return pair(s, F.concat(a["o"], o))
 
     def more(a: Column, block: Column) -> Column:
-        return let(of_block(a["at"], block), lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], b["out"]).alias("out")))
+        return let(F.aggregate(block, pair(a["s"], none), one), lambda b: pair(b["s"], F.concat(a["o"], b["o"])))
+
+    end = (lambda a: F.concat(a["o"], last(a["s"])).cast(out)) if last else (lambda a: a["o"])
+    return let(items, lambda xs: F.when(F.size(xs) == 0, none).otherwise(F.aggregate(in_blocks(xs), pair(state, none), more, end)))
+
+
+def match_spans(text: Column, pattern: str | Column, measure: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points from 0, or in what measure counts.
+
+    The pieces between the matches and the matches themselves alternate, so their lengths add up to the positions."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def in_blocks(pairs: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(BLOCK)), lambda k: F.slice(pairs, k + 1, F.lit(BLOCK)))
-        return F.aggregate(blocks, start, more, lambda a: a["out"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + measure(x["g"])
+        e = s + measure(x["m"])
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
 
     def positions(found: Column) -> Column:
         pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), found.alias("m"))
-        return F.when(F.size(found) == 0, none).otherwise(let(pairs, in_blocks))
+        return F.when(F.size(found) == 0, F.expr(f"cast(array() as {MATCHES})")).otherwise(fold(pairs, F.lit(0), MATCHES, step))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), positions).cast(MATCHES)
+
+
+STRETCHES = "array<struct<s:int,e:int>>"
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """text with each stretch of overlapping spans (s, e; sorted by s) replaced by mark; null stays null."""
+    stretch = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    none = F.expr(f"cast(array() as {STRETCHES})")
+
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        joins = x["s"] < a["e"]
+        return stretch(F.when(joins, a["s"]).otherwise(x["s"]), F.when(joins, F.greatest(a["e"], x["e"])).otherwise(x["e"])), F.when(joins | (a["e"] < 0), none).otherwise(F.array(a))
+
+    def cut(m: Column) -> Column:
+        def piece(block: Column, j: Column) -> Column:
+            low = F.coalesce(F.get(m, j * BLOCK - 1)["e"], F.lit(0))
+            return let(F.struct(low.alias("low"), F.substring(text, low + 1, F.element_at(block, -1)["e"] - low).alias("t")), lambda b: F.array_join(F.transform(
+                block, lambda x, i: let(F.coalesce(F.get(block, i - 1)["e"], b["low"]), lambda at: F.concat(F.substring(b["t"], at - b["low"] + 1, x["s"] - at), F.lit(mark)))), ""))
+
+        return F.concat(F.array_join(F.transform(in_blocks(m), piece), ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text)))
+
+    whole = fold(spans, stretch(F.lit(-1), F.lit(-1)), STRETCHES, step, F.array)
+    return let(whole, lambda m: F.when(F.size(m) == 0, text).otherwise(cut(m)))

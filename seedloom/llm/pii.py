@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.llm import trees
-from seedloom.llm.common import MATCHES, fresh, let, match_spans, table
+from seedloom.llm.common import MATCHES, fresh, let, match_spans, replaced, table
 
 # A match can start after the end of another one or at the start of a run; within a run, later starts match no better
 # than the first, and trying them all would take quadratic time. Possessive loops take what greedy ones take here.
@@ -224,11 +224,9 @@ def scan(docs: DataFrame, text_col: str = "text", model: Model | None = None) ->
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with all spans of text_col replaced by [PRIVATE]."""
-    from seedloom.llm.secrets import redacted
-
     rows, base, more = scan(docs, text_col)
     spans = F.sort_array(F.transform(F.concat(base, more), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    return rows.withColumn(text_col, redacted(F.col(text_col), spans, "[PRIVATE]")).select(docs.columns)
+    return rows.withColumn(text_col, replaced(F.col(text_col), spans, "[PRIVATE]")).select(docs.columns)
 
 
 def spelled(spans: Column) -> Column:

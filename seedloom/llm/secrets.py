@@ -1,23 +1,36 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Base spans come from three patterns. Further candidates are long tokens of letters and digits outside of them; their
-encoding is inferred from the characters used, and three tests ask whether the token could be uniform random text of
-that encoding: chi-squared over the alphabet, runs above and below its middle, and serial correlation. Natural words
-and identifiers fail them. Which tokens count as failed is decided for each length class by the Benjamini-Hochberg
-rule over the p-values of all candidates of the corpus, so that at most FDR of the tokens set aside as text are random;
-the others become spans of kind "random". P-values are kept in bins, so the rule needs counts only.
+Base spans come from three patterns. Further candidates are all tokens of 16 or more characters that aren't inside a base
+span. A token's encoding is inferred from its characters, and a battery asks whether it could be uniform random text of
+that encoding:
+
+* chi-squared over the alphabet, by the number of pairs of equal letters: its exact distribution up to EXACT letters, the
+  Wilson-Hilferty form beyond; and over lower case, upper case and the other letters;
+* runs above and below the middle of the alphabet; and the serial correlation of neighbours.
+
+The smallest p-value, times the number of tests, says how random a token looks. How random text looks to the same battery
+is known from DECOYS made-up identifiers, paths and words of each class of tokens (by length, and whether there are
+letters only): the share of them that looks as random is a candidate's p-value as a text. The Benjamini-Hochberg rule over
+all candidates of a class selects the secrets, so at most FDR of what is reported is expected to be text. Selected tokens
+become spans of kind "random"; they may hold or overlap base spans. P-values are kept in bins, so the rule needs counts
+only. Shorter tokens are found by the base patterns alone: in under 16 letters the battery can't tell keys from words.
 
 Null text counts as empty. Positions are code points. Repeated rows are scanned each on its own, ties end in the same
-bin. Very long texts are scanned whole. Extra columns are kept. An empty table gives an empty result.
+bin. Very long texts and tokens are scanned whole. Extra columns are kept; if they clash with added names, the added ones
+get a suffix. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import random
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import fresh, let, match_spans, settle, table
+from seedloom.llm.common import fold, fresh, let, match_spans, replaced, settle, table
 
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -25,21 +38,49 @@ ASSIGN_MIN = 12
 #: A maximal run of the characters has the asked length or none of its matches has: filtering after or in the pattern is the same.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+SHORTEST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}"
 KINDS = ["assign", "access", "hex", "random"]
 
 FDR = 0.05
-BINS = 1000
+#: Bins of a p-value's binary logarithm: STEPS to a power of two, BINS at most.
+STEPS, BINS = 8, 400
 #: Lengths from which the tests have more power, each a class of its own.
-LENGTHS = [20, 32, 64]
-#: Encodings in the order in which they are tried: a pattern for the token and the alphabet in its order.
+LENGTHS = [16, 24, 40]
+#: Made-up text tokens of each class.
+DECOYS = 4000
+#: Letters up to which the number of equal pairs is tested exactly.
+EXACT = 64
+TESTS = 4
+
+_LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Encodings in the order in which they are tried: a pattern for the token and the alphabet in its order. What fits none is base 64.
 ENCODINGS = [
-    (r"^[0-9a-f]+$", "0123456789abcdef"), (r"^[0-9A-F]+$", "0123456789ABCDEF"), (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    (r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    (r"^[0-9A-Za-z_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    (r"^[0-9a-f]+$", _DIGITS + "abcdef"), (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"), (r"^[a-z]+$", _LOW), (r"^[A-Z]+$", _UP), (r"^[A-Za-z]+$", _UP + _LOW), (r"^[A-Z2-7]+$", _UP + "234567"),
+    (r"^[0-9a-z]+$", _DIGITS + _LOW), (r"^[0-9A-Z]+$", _DIGITS + _UP), (r"^[0-9A-Za-z]+$", _DIGITS + _UP + _LOW),
 ]
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+BASE64 = _UP + _LOW + _DIGITS + "+/"
+
+
+@functools.cache
+def pair_tails(k: int) -> list[list[int]]:
+    """For n = SHORTEST..EXACT uniform letters of k: -10 log2 P(at least c pairs of equal letters), for c = 0, 1, ... until it is above 300.
+
+    Counts of letters are independent Poisson numbers given their sum, so the joint distribution of the number of letters
+    and of pairs is a k-fold convolution."""
+    rate, most = 40.0 / k, 22
+    one = np.zeros((160, 1024))
+    weight = np.exp(-rate)
+    for c in range(most + 1):
+        one[c, c * (c - 1) // 2] = weight
+        weight *= rate / (c + 1)
+    both = np.fft.irfft2(np.fft.rfft2(one) ** k, s=one.shape)
+    out = []
+    for n in range(SHORTEST, EXACT + 1):
+        tail = np.cumsum(np.maximum(both[n], 0)[::-1])[::-1]
+        bits = -10 * np.log2(np.maximum(tail / tail[0], 1e-12))
+        out.append([round(b) for b in bits[: int(np.argmax(bits > 300))]])
+    return out
 
 
 def upper_tail(z: Column) -> Column:
@@ -49,34 +90,139 @@ def upper_tail(z: Column) -> Column:
 
 
 def p_value(token: Column) -> Column:
-    """The smallest of the three tests' p-values, times three: small if the token isn't uniform in its encoding."""
+    """The smallest of the battery's p-values times their number: small if the token isn't uniform in its encoding."""
+    token = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     alphabet = F.lit(BASE64)
     for pattern, chars in reversed(ENCODINGS):
         alphabet = F.when(token.rlike(pattern), F.lit(chars)).otherwise(alphabet)
-
-    def tests(a: Column) -> Column:
-        k = F.length(a).cast("double")
-        codes = F.transform(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: F.position(c, a))
-        return let(F.filter(codes, lambda x: x > 0), lambda x: battery(x, k))
-
-    return let(alphabet, tests)
-
-
-def battery(x: Column, k: Column) -> Column:
-    n = F.size(x).cast("double")
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
-    number = lambda arr, f: F.size(F.filter(arr, f)).cast("double")
-    squares = total(F.transform(F.array_distinct(x), lambda c: F.pow(number(x, lambda v: v == c), F.lit(2.0))))
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt((k - 1) * 2 * (n - 1) / n)
-    high = F.transform(x, lambda v: v > k / 2)
-    n1 = number(high, lambda v: v)
-    runs = number(F.transform(high, lambda v, i: F.coalesce(v != F.get(high, i - 1), F.lit(True))), lambda v: v)
-    mean = n1 * (n - n1) * 2 / n + 1
-    var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    run_z = F.abs(runs - mean) / F.sqrt(var)
-    mid = let(total(F.transform(x, lambda v: v.cast("double"))) / n, lambda m: F.transform(x, lambda v: v - m))
-    serial = let(mid, lambda d: F.abs(total(F.transform(d, lambda v, i: v * F.coalesce(F.get(d, i - 1), F.lit(0.0))))) / F.greatest(total(F.transform(d, lambda v: v * v)), F.lit(1e-9))) * F.sqrt(n)
-    return F.least(F.lit(1.0), F.lit(3.0) * F.least(upper_tail(chi), upper_tail(run_z) * 2, upper_tail(serial) * 2))
+    return let(F.struct(token.alias("t"), alphabet.alias("a")), lambda x: battery(x["t"], x["a"]))
+
+
+def battery(t: Column, a: Column) -> Column:
+    n, k = F.length(t).cast("double"), F.length(a).cast("double")
+    without = lambda s, part: F.length(F.replace(s, part, F.lit("")))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda u, v: u + v)
+
+    # Over the alphabet.
+    equal = F.aggregate(F.transform(F.filter(F.split(a, ""), lambda c: c != ""), lambda c: (F.length(t) - without(t, c)).cast("long")), F.lit(0).cast("long"), lambda u, v: u + v * (v - 1)) / 2
+    tails = F.create_map(*[x for size in sorted({len(c) for _, c in ENCODINGS} | {len(BASE64)}) for x in (F.lit(size), F.from_json(F.lit(json.dumps(pair_tails(size))), "array<array<int>>"))])
+    bits = F.coalesce(F.get(F.get(F.element_at(tails, F.length(a)), F.length(t) - SHORTEST), equal.cast("int")), F.lit(300))
+    chi = (equal * 2 + n) * k / n - n
+    spread = F.lit(2.0) / ((k - 1) * 9)
+    letters = F.when(n <= EXACT, F.pow(F.lit(2.0), bits / -10.0)).otherwise(upper_tail((F.pow(chi / (k - 1), F.lit(1 / 3)) - 1 + spread) / F.sqrt(spread)))
+
+    # Over lower case, upper case, and others.
+    def part(chars: str) -> Column:
+        size = F.regexp_count(a, F.lit(chars)).cast("double")
+        seen = F.regexp_count(t, F.lit(chars)).cast("double")
+        return F.when(size > 0, seen * seen * k / (n * size)).otherwise(0.0)
+
+    parts = ["[a-z]", "[A-Z]", "[0-9+/]"]
+    kinds = sum((F.when(a.rlike(p), 1).otherwise(0) for p in parts), F.lit(0))
+    mix = let(F.greatest(sum(map(part, parts), F.lit(0.0)) - n, F.lit(0.0)), lambda c: F.when(kinds == 3, F.exp(-c / 2)).when(kinds == 2, upper_tail(F.sqrt(c)) * 2).otherwise(1.0))
+
+    # Runs.
+    def of_halves(s: Column) -> Column:
+        high = (F.length(s) - without(s, F.lit("H"))).cast("double")
+        runs = (F.length(s) - without(s, F.lit("LH")) + F.length(s) - without(s, F.lit("HL"))) / 2 + 1
+        mean = high * (n - high) * 2 / n + 1
+        var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+        return upper_tail(F.greatest(F.abs(runs - mean) - 0.5, F.lit(0.0)) / F.sqrt(var)) * 2
+
+    half = F.floor(k / 2).cast("int")
+    halves = F.call_function("translate", t, a, F.concat(F.repeat(F.lit("L"), half), F.repeat(F.lit("H"), k.cast("int") - half)))
+
+    # Serial correlation.
+    codes = F.filter(F.transform(F.split(t, ""), lambda c: F.position(c, a).cast("double")), lambda v: v > 0)
+    centred = let(codes, lambda x: let(total(x) / n, lambda m: F.transform(x, lambda v: v - m)))
+    of_codes = lambda d: F.abs(total(F.zip_with(d, F.slice(d, F.lit(2), F.greatest(F.size(d) - 1, F.lit(0))), lambda u, v: u * F.coalesce(v, F.lit(0.0))))) / F.greatest(total(F.transform(d, lambda v: v * v)), F.lit(1e-9)) * F.sqrt(n)
+    return F.least(F.lit(1.0), F.least(letters, mix, let(halves, of_halves), upper_tail(let(centred, of_codes)) * 2) * TESTS)
+
+
+def bin_of(token: Column) -> Column:
+    """The bin of its p-value: the lower, the more random."""
+    return F.least(F.floor(F.log2(F.greatest(p_value(token), F.lit(1e-30))) * -STEPS), F.lit(BINS)).cast("int")
+
+
+def class_of(token: Column) -> Column:
+    """The class of a token: its least length, and whether it has letters alone."""
+    n = F.length(F.rtrim(token, F.lit("=")))
+    out = F.lit(LENGTHS[0])
+    for least in LENGTHS[1:]:
+        out = F.when(n >= least, F.lit(least)).otherwise(out)
+    return out * 2 + F.when(token.rlike("^[A-Za-z]+$"), 1).otherwise(0)
+
+
+#: Parts of made-up identifiers.
+WORDS = """account action address admin after array async average backup batch before block browser buffer build button cache
+category center channel check child client cluster collection column command comment commit config connection container content
+context controller copy count create current customer data database date default delete deploy description detail device dialog
+directory document download driver dynamic editor element email enable engine entity error event example export factory feature
+field file filter folder format framework function gateway general generator global group handler header height history image
+import index input instance integration interface internal international invoice item javascript job language layout length
+library license link list loader local logger login manager mapper memory message method migration minimum mobile model module
+monitor network node notification number object offset operation option order output package page parent parser partition
+password payment percentage performance permission platform plugin pointer policy position preview process product profile
+program project property protocol provider public quality query queue random range reader record reference region register
+release remote report repository request resource response result return review role route sample schema scheduler script search
+section security selection server service session setting shared signature simple snapshot source standard start state static
+status storage stream string structure style summary support symbol system table target task template temporary terminal test
+text thread timestamp title token tracking transaction transfer translation type update upload user utility validation value
+variable vector verification version video view virtual warning width window worker workflow wrapper""".split()
+
+
+def decoy(r: random.Random, low: int, high: int, letters: bool) -> str:
+    """A made-up identifier, path or word of low to high - 1 characters."""
+    style = r.choice(["camel", "pascal", "run", "upper"] if letters else ["camel", "snake", "kebab", "path", "constant", "run"])
+    joint = {"snake": "_", "kebab": "-", "path": "/", "constant": "_"}.get(style, "")
+    while True:
+        parts, n = [], r.randint(low, high - 1)
+        while len(joint.join(parts)) < n:
+            word = r.choice(WORDS)
+            word = word.upper() if style in ("upper", "constant") else word.capitalize() if style == "pascal" or (style == "camel" and parts) else word
+            parts.append(word)
+            if not letters and r.random() < 0.35:
+                parts.append(r.choice([str(r.randint(0, 9)), str(r.randint(10, 99)), str(r.randint(1990, 2030)), f"v{r.randint(1, 20)}", f"{r.randint(2000, 2030)}{r.randint(1, 12):02}{r.randint(1, 28):02}", str(r.randint(100, 99999))]))
+        out = joint.join(parts)[:n]
+        if len(out) >= low and out.isalpha() == letters:
+            return out
+
+
+@functools.cache
+def made_up(seed: int = 7) -> list[str]:
+    r = random.Random(seed)
+    ends = [*LENGTHS[1:], 2 * LENGTHS[-1]]
+    return [decoy(r, low, high, letters) for low, high in zip(LENGTHS, ends, strict=True) for letters in (False, True) for _ in range(DECOYS)]
+
+
+_decoy_bins: dict[tuple[int, int], int] = {}
+
+
+def decoy_bins(spark: SparkSession) -> dict[tuple[int, int], int]:
+    """How many decoys each class has in each bin; counted once in a Python process."""
+    if not _decoy_bins:
+        tokens = spark.createDataFrame([(t,) for t in made_up()], "t string")
+        _decoy_bins.update(counted(tokens.select(class_of(F.col("t")).alias("c"), bin_of(F.col("t")).alias("bin"))))
+    return _decoy_bins
+
+
+def counted(bins: DataFrame) -> dict[tuple[int, int], int]:
+    """Rows of each class and bin: a bounded table."""
+    return {(r["c"], r["bin"]): r["count"] for r in bins.groupBy("c", "bin").count().collect()}
+
+
+def selected(seen: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int]) -> dict[int, int]:
+    """For each class the highest bin whose tokens count as secrets (Benjamini-Hochberg); classes without one are left out."""
+    out = {}
+    for c in {c for c, _ in seen}:
+        m, d = (sum(n for (k, _), n in counts.items() if k == c) for counts in (seen, decoys))
+        found = text = 0
+        for b in range(BINS + 1):
+            found += seen.get((c, b), 0)
+            text += decoys.get((c, b), 0)
+            if found and (1 + text) * m <= FDR * found * (1 + d):
+                out[c] = b
+    return out
 
 
 def kind_of(spans: Column, kind: str) -> Column:
@@ -96,30 +242,15 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<s, e, n, bin>> of tokens of letters and digits that overlap no base span, with their p-value's bin."""
-    free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    found = F.filter(match_spans(text, CANDIDATE), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & free(x))
-    scored = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.length(x["m"]).alias("n"), F.floor(p_value(x["m"]) * BINS).cast("int").alias("bin")))
-    kind = "array<struct<s:int,e:int,n:int,bin:int>>"
-    # A run with letters and digits has a place where one kind follows the other.
-    mixed = text.rlike(r"[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]") & text.rlike(r"[A-Za-z0-9+/_-]{20}")
-    return F.when(mixed, scored).otherwise(F.expr(f"cast(array() as {kind})")).cast(kind)
-
-
-def length_class(n: Column) -> Column:
-    out = F.lit(LENGTHS[0])
-    for least in LENGTHS[1:]:
-        out = F.when(n >= least, F.lit(least)).otherwise(out)
-    return out
-
-
-def rejected(rows: DataFrame, name: str) -> dict[int, int]:
-    """For each length class the highest bin whose tokens count as text (Benjamini-Hochberg); a few numbers."""
-    bins = rows.select(F.explode(name).alias("x")).groupBy(length_class(F.col("x.n")).alias("c"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
-    by = W.partitionBy("c")
-    cut = bins.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("m", F.sum("n").over(by))
-    cut = cut.filter((F.col("bin") + 1) * F.col("m") <= F.col("below") * (FDR * BINS)).groupBy("c").agg(F.max("bin").alias("bin"))
-    return {r["c"]: r["bin"] for r in cut.collect()}
+    """array<struct<s, e, c, bin>> of long tokens that aren't inside a base span, with their class and bin."""
+    kind = "array<struct<s:int,token:boolean,e:int,m:string>>"
+    mark = lambda spans, token: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(token).alias("token"), x["e"].alias("e"), (x["m"] if token else F.lit("")).alias("m"))).cast(kind)
+    # By start, so that a token is inside a base span if one of those before it ends no earlier.
+    step = lambda at, x: (F.when(x["token"], at).otherwise(F.greatest(at, x["e"])), F.filter(F.array(x), lambda y: y["token"] & (y["e"] > at)))
+    found = fold(F.sort_array(F.concat(mark(base, False), mark(match_spans(text, CANDIDATE), True))), F.lit(0), kind, step)
+    scored = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), class_of(x["m"]).alias("c"), bin_of(x["m"]).alias("bin")))
+    out = "array<struct<s:int,e:int,c:int,bin:int>>"
+    return F.when(text.rlike(rf"[A-Za-z0-9+/_-]{{{SHORTEST}}}"), scored).otherwise(F.expr(f"cast(array() as {out})")).cast(out)
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[DataFrame, str, str]:
@@ -127,16 +258,17 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[Data
     base, more, text = fresh(docs, "base_spans", "spans", "scanned_text")
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text)))
     rows = settle(rows.withColumn(more, candidates(F.col(text), F.col(base))).drop(text))
-    cut = rejected(rows, more)
+    seen = counted(rows.select(F.explode(more).alias("x")).select("x.c", "x.bin"))
+    cut = selected(seen, decoy_bins(docs.sparkSession)) if seen else {}
 
     def passed(x: Column) -> Column:
-        least = F.lit(-1)
-        for n, b in cut.items():
-            least = F.when(length_class(x["n"]) == n, b).otherwise(least)
-        return x["bin"] > least
+        most = F.lit(-1)
+        for c, b in cut.items():
+            most = F.when(x["c"] == c, b).otherwise(most)
+        return x["bin"] <= most
 
-    random = kind_of(F.filter(more, passed), "random").cast(SPANS)
-    return rows.withColumn(more, F.sort_array(F.concat(F.col(base), random))), base, more
+    found = kind_of(F.filter(more, passed), "random").cast(SPANS)
+    return rows.withColumn(more, F.sort_array(F.concat(F.col(base), found))), base, more
 
 
 def spelled(spans: Column) -> Column:
@@ -144,24 +276,10 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each stretch of overlapping spans replaced."""
-    pair = "struct<out:string,at:int>"
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        return F.when(x["e"] <= a["at"], a).otherwise(F.struct(
-            F.when((x["s"] < a["at"]), a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark))).alias("out"), x["e"].alias("at")).cast(pair))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at")).cast(pair)
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
-
-
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with all spans of text_col replaced by [SECRET]."""
     rows, _, spans = scan(docs, docs.columns, text_col)
-    return rows.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).select(docs.columns)
+    return rows.withColumn(text_col, replaced(F.col(text_col), F.col(spans), "[SECRET]")).select(docs.columns)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
