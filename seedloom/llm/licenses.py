@@ -1,135 +1,79 @@
 """License scans: ordered signature rules behind a keyword prefilter, with containment suppression.
 
-Texts are reduced to lower-case words. A text without any of the keywords, which come from the rules, is done; in the others each rule runs only if
-its own keyword occurs. Detections are resolved from left to right: one inside a longer one goes, of two that overlap
-the one with the higher priority stays. Three base phrases are counted besides, whatever the rules say.
+Texts become lists of lower-case words. A keyword is a word that every match of a rule has (see license_rules); which
+keywords a text has is found in one pass over its words, and a rule runs only where all of its keywords occur. Detections
+are resolved from left to right: one inside a longer one goes, of two that overlap the one with the higher priority
+stays. Three base phrases are counted besides, whatever the rules say.
 
 Null text counts as empty. Repeated rows are scanned each on its own; of equal detections the first rule's stays. Very
-long texts are scanned whole. Extra columns are kept. An empty table gives an empty result.
+long texts, also with very many detections, are scanned whole. Extra columns are kept; if they clash with added names,
+the added ones get a suffix. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import ALNUM_WORD, fresh, let, lower_az, match_spans, table
+from seedloom.llm.common import fold, fresh, let, match_spans, table
+from seedloom.llm.license_rules import read
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, keyword, and the license's names as words. Each name has the keyword, at the start of a word.
-NAMES: list[tuple[str, str, str]] = [
-    ("mit", "mit", r"mit"), ("mit-0", "mit no attribution", r"mit no attribution"), ("mit-0", "mit 0", r"mit 0"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("apache-1", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?1(?: [01])?|apache 1(?: [01])?"),
-    ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd|bsd 2 clause|2 clause bsd"), ("bsd-3-clause", "bsd", r"(?:new |modified |revised )bsd|bsd 3 clause|3 clause bsd"),
-    ("bsd-4-clause", "bsd", r"(?:original |old )bsd|bsd 4 clause|4 clause bsd"), ("0bsd", "0bsd", r"0bsd"), ("0bsd", "bsd", r"zero clause bsd"),
-    ("gpl-1", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("gpl-2", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?2(?: 0)?"),
-    ("gpl-3", "gnu", r"gnu general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"), ("lgpl-2", "lesser", r"gnu lesser general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
-    ("lgpl-2", "library", r"gnu library general public licen[cs]e (?:version |v ?)?2(?: [01])?"),
-    ("lgpl-3", "lesser", r"gnu lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("lgpl-2", "lgpl", r"lgpl ?v?(?:ersion)? ?2(?: [01])?"),
-    ("lgpl-3", "lgpl", r"lgpl ?v?(?:ersion)? ?3(?: 0)?"), ("agpl-3", "affero", r"gnu affero general public licen[cs]e (?:version |v ?)?3(?: 0)?"),
-    ("agpl-3", "agpl", r"agpl ?v?(?:ersion)? ?3(?: 0)?"), ("mpl-1", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?1(?: [01])?"),
-    ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("mpl-2", "mpl", r"mpl ?v?2(?: 0)?"),
-    ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?"),
-    ("cddl-1", "common development", r"common development and distribution licen[cs]e(?: (?:version |v ?)?1 [01])?"), ("eupl-1.2", "european union", r"european union public licen[cs]e(?: (?:version |v ?)?1 2)?"),
-    ("artistic-1", "artistic", r"artistic licen[cs]e (?:version |v ?)?1(?: 0)?"), ("artistic-2", "artistic", r"artistic licen[cs]e (?:version |v ?)?2(?: 0)?"),
-    ("bsl-1", "boost", r"boost software licen[cs]e(?: (?:version |v ?)?1(?: 0)?)?"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?"), ("cc0", "creative commons", r"creative commons zero"), ("odbl-1", "open database", r"open database licen[cs]e"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e"), ("psf-2", "python", r"python software foundation licen[cs]e"), ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
-    ("gfdl", "free documentation", r"gnu free documentation licen[cs]e"), ("vim", "vim", r"vim licen[cs]e"), ("ruby", "ruby", r"ruby licen[cs]e"), ("php-3", "php", r"php licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"), ("openssl", "openssl", r"openssl licen[cs]e"), ("ncsa", "illinois", r"university of illinois ncsa open source"),
-]
-_CC = {"by": "attribution", "by nc": "attribution non ?commercial", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
-NAMES += [("cc-" + short.replace(" ", "-"), key, name + r"(?: [1-4] [05])?") for short, full in _CC.items() for key, name in (("cc ", f"cc {short}"), ("creative commons", f"creative commons {full}"))]
-
-#: Confidence and form, most specific first: the order is the priority. {} is the license's name.
-FORMS: list[tuple[float, str]] = [
-    (1.0, "spdx license identifier {}"),
-    (0.98, "(?:licensed|released|distributed|published|available|provided|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?"),
-    (0.95, "(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?"),
-    (0.95, "under (?:the )?(?:terms of )?(?:the )?{} licen[cs]e"),
-    (0.9, "(?:dual |tri )?licen[cs]ed? {}"),
-    (0.7, "{} licen[cs]ed?"),
-]
-#: Rules that name no license.
-PLAIN: list[tuple[str, str, float, str]] = [
-    ("all-rights-reserved", "rights reserved", 0.6, "all rights reserved"), ("public-domain", "public domain", 0.8, "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("copyright", "copyright", 0.5, "copyright (?:c )?(?:19|20)[0-9]{2}"),
-]
-
-
-def alone(name: str) -> bool:
-    """A name of several words says enough by itself."""
-    return " " in name.replace(" ?", "")
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """Priority, keyword, pattern over words, label, confidence: some hundreds, from names and forms."""
-    out = [(key, form.replace("{}", f"(?:{name})"), label, sure) for sure, form in FORMS for label, key, name in NAMES]
-    out += [(key, f"(?:{name})", label, 0.6) for label, key, name in NAMES if alone(name)]
-    out += [(key, pattern, label, sure) for label, key, sure, pattern in PLAIN]
-    return [(k, key, f"(?<= )(?:{pattern})(?= )", label, sure) for k, (key, pattern, label, sure) in enumerate(out)]
-
-
-def started(keys: Iterable[str]) -> str:
-    """A pattern for texts in which a word, or words in a row, begin like one of the keys."""
-    return f"(?i)(?<!{ALNUM_WORD[:-1]})(?:{'|'.join(sorted({k.strip().replace(' ', SEPARATORS) for k in keys}))})"
-
-
-#: Words of which each of FORMS has one, and the keywords of names that only these forms make a detection.
-FORM_WORDS = ["spdx", "under", "subject", "governed", "covered", "licens", "licenc"]
-IN_FORM = [key for _, key, name in NAMES if not alone(name)]
-#: Keywords of the rules that need no form.
-ALONE = [key for _, key, name in NAMES if alone(name)] + [key for _, key, _, _ in PLAIN]
-
-
-def gate(text: Column) -> Column:
-    """Whether text may have base phrases or detections."""
-    return text.rlike(started(ALONE)) | (text.rlike(started(IN_FORM)) & text.rlike(started(FORM_WORDS)))
-
-
-def normal(text: Column) -> Column:
-    """The words in lower case, a space before and after each."""
-    return lower_az(F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" ")))
+
+
+@functools.cache
+def rules() -> list[tuple[int, list[str], str, str, float]]:
+    """Priority, keywords, pattern over words between spaces, label, confidence."""
+    return [(k, keys, f"(?<= )(?:{pattern})(?= )", label, sure) for k, (label, keys, sure, pattern) in enumerate(read())]
+
+
+def lowered(text: Column) -> Column:
+    """In lower case, so that words and their a-z are the same as with A-Z lowered alone: the kelvin sign has no letter k."""
+    return F.lower(F.replace(text, F.lit("K"), F.lit("é")))
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(lowered(text), SEPARATORS), "")
 
 
 FOUND = "array<struct<s:int,e:int,rank:int,label:string,sure:double>>"
 
 
-def detections(words: Column) -> Column:
-    """What the rules find in normal text, resolved, by start."""
-    table_ = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(key).alias("key"), F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(sure).alias("sure")) for k, key, p, label, sure in rules()])
-    live = F.filter(table_, lambda r: F.contains(words, r["key"]))
-    found = F.flatten(F.transform(live, lambda r: F.transform(match_spans(words, r["p"]), lambda x: F.struct(
+def detections(normal: Column, present: Column) -> Column:
+    """What the rules find in words with a space before and after each, resolved, by start; present: the text's keywords."""
+    kind = "array<struct<rank:int,keys:array<string>,p:string,label:string,sure:double>>"
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("rank", "keys", "p", "label", "sure"), r, strict=True)) for r in rules()])), kind)
+    live = F.filter(listed, lambda r: F.forall(r["keys"], lambda k: F.array_contains(present, k)))
+    found = F.flatten(F.transform(live, lambda r: F.transform(match_spans(normal, r["p"]), lambda x: F.struct(
         x["s"].alias("s"), (-x["e"]).alias("back"), r["rank"].alias("rank"), r["label"].alias("label"), r["sure"].alias("sure")))))
-    ordered = F.transform(F.sort_array(found), lambda x: F.struct(x["s"].alias("s"), (-x["back"]).alias("e"), x["rank"].alias("rank"), x["label"].alias("label"), x["sure"].alias("sure"))).cast(FOUND)
+    ordered = F.transform(F.sort_array(found), lambda x: F.struct(x["s"].alias("s"), (-x["back"]).alias("e"), x["rank"].alias("rank"), x["label"].alias("label"), x["sure"].alias("sure")))
+    none = F.expr(f"cast(array() as {FOUND})")
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        apart = (F.size(kept) == 0) | (x["s"] >= last["e"])
-        inside = x["e"] <= last["e"]
-        return F.when(apart, F.concat(kept, F.array(x))).when(inside | (x["rank"] > last["rank"]), kept).otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).cast(FOUND)
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["s"] >= last["e"]
+        stays = (x["e"] <= last["e"]) | (x["rank"] > last["rank"])
+        return F.when(apart | ~stays, x).otherwise(last), F.when(apart & (last["e"] >= 0), F.array(last).cast(FOUND)).otherwise(none)
 
-    return F.aggregate(ordered, F.expr(f"cast(array() as {FOUND})"), step)
+    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(-1).alias("rank"), F.lit("").alias("label"), F.lit(0.0).alias("sure"))
+    return fold(ordered.cast(FOUND), start, FOUND, step, F.array)
 
 
 PLACES = "array<struct<w:int,label:string>>"
 
 
-def base_places(words: Column) -> Column:
-    """Where the base phrases stand, by the number of their first word."""
+def base_places(normal: Column) -> Column:
+    """Where the base phrases stand, by the number of their first word: the spaces before it, which are counted once."""
     none = F.expr(f"cast(array() as {PLACES})")
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
     def of(phrase: str, label: str) -> Column:
-        before = lambda x: F.substring(words, 1, x["s"])
-        word = lambda x: F.length(before(x)) - F.length(F.replace(before(x), F.lit(" "), F.lit(""))) - 1
-        places = F.transform(match_spans(words, f"(?<= ){phrase}(?= )"), lambda x: F.struct(word(x).alias("w"), F.lit(label).alias("label")))
-        return F.when(F.contains(words, F.lit(f" {phrase} ")), places.cast(PLACES)).otherwise(none)
+        places = F.transform(match_spans(normal, f"(?<= ){phrase}(?= )", spaces), lambda x: F.struct((x["s"] - 1).alias("w"), F.lit(label).alias("label")))
+        return F.when(F.contains(normal, F.lit(f" {phrase} ")), places.cast(PLACES)).otherwise(none)
 
     return F.concat(*[of(phrase, label) for phrase, label in BASE.items()])
 
@@ -137,15 +81,20 @@ def base_places(words: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """docs with four more columns and their names: n_words, base places, detections, score."""
     names = fresh(docs, "n_words", "places", "detections", "score")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = f"struct<places:{PLACES},found:{FOUND}>"
-    both = F.when(gate(text), let(normal(text), lambda w: F.struct(base_places(w).alias("places"), detections(w).alias("found")).cast(kind)))
-    (b,) = fresh(docs, "both")
+    (b,) = fresh(docs, "all_found")
+    known = sorted({k for _, keys, _, _, _ in rules() for k in keys} | {w for phrase in BASE for w in phrase.split()})
+    kind = f"struct<n:bigint,places:{PLACES},found:{FOUND}>"
     none = lambda k: F.expr(f"cast(array() as {k})")
-    out = docs.withColumn(b, both).withColumns({
-        names[0]: F.regexp_count(text, F.lit(ALNUM_WORD)).cast("long"), names[1]: F.coalesce(F.col(b)["places"], none(PLACES)),
-        names[2]: F.coalesce(F.col(b)["found"], none(FOUND)),
-    }).drop(b)
+    whole = lambda n, places, found: F.struct(n.cast("long").alias("n"), places.alias("places"), found.alias("found")).cast(kind)
+
+    def found(words: Column, present: Column) -> Column:
+        normal = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        return F.when(F.size(present) == 0, whole(F.size(words), none(PLACES), none(FOUND))).otherwise(let(normal, lambda t: whole(F.size(words), base_places(t), detections(t, present))))
+
+    keywords = F.split(F.lit(" ".join(known)), " ")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    of = let(words_of(text), lambda words: let(F.array_intersect(words, keywords), lambda present: found(words, present)))
+    out = docs.withColumn(b, of).withColumns({names[0]: F.col(b)["n"], names[1]: F.col(b)["places"], names[2]: F.col(b)["found"]}).drop(b)
     best = F.coalesce(F.array_max(F.transform(names[2], lambda x: x["sure"])), F.lit(0.0))
     return out.withColumn(names[3], F.when(F.size(names[1]) > 0, F.greatest(best, F.lit(0.95))).otherwise(best)), names
 
