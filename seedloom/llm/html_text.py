@@ -1,14 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks of text. A classifier gives each block the cost of calling it content and of calling it
-boilerplate; these are the capacities of its edges to the two terminals. Blocks that follow each other, and blocks next
-to each other under one parent, are joined by smoothness edges, weaker the further apart they stand in the tree. The
-minimum cut (Dinic's maximum flow) is the labelling of least total cost.
+boilerplate; these are the capacities of its edges to the two terminals, at most CERTAIN each, so that no block is beyond
+doubt. Blocks that follow each other, and blocks next to each other under one parent, are joined by smoothness edges,
+weaker the further apart they stand in the tree. The minimum cut (Dinic's maximum flow) is the labelling of least total
+cost: a short heading or line goes with what surrounds it, although it says little by itself. Of cuts of equal cost the
+one with the fewest blocks of content is taken.
 
 The classifier is a logistic regression over where a block stands and what it looks like, fitted once on made-up pages.
-Null and empty pages have an empty text. Markup that is cut off or not closed is read as far as it goes. Repeated rows
-are read each on its own; very long pages are read whole. Extra columns are kept by extract(); if they clash with the
-added name, the added one gets a suffix.
+Null and empty pages have an empty text, an empty table an empty result. Markup that is cut off or not closed is read as
+far as it goes. Repeated rows are read each on its own; very long pages are read whole. Extra columns are kept by
+extract(); if they clash with the added name, the added one gets a suffix.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from seedloom.llm import trees
 from seedloom.llm.common import fresh, table
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+TAG_START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|aria-label|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-#: Elements whose content isn't text of the page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "xmp"}
+#: Elements whose content is no markup: it isn't text of the page, or it is (LITERAL).
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes"}
+LITERAL = {"xmp", "listing"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "td", "th", "img", "wbr", "br", "input",
+    "noscript", "object", "svg", "g", "text", "tspan", "math", "mrow", "mi", "mn", "mo", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mstyle", "mover", "munder", "mtable", "mtr", "mtd", "semantics", "annotation",
 }
 #: Elements that make a gap between words although they are inline.
 GAP = {"br", "td", "th", "img", "input"}
@@ -45,15 +49,29 @@ GAP = {"br", "td", "th", "img", "input"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 CLOSES |= {f"h{k}": {"p"} for k in range(1, 7)} | {k: {"p"} for k in ("div", "ul", "ol", "section", "article", "aside", "nav", "header", "footer", "form", "table", "blockquote", "main", "pre")}
 
-BAD = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|register|sidebar|side|rail|"
-    r"widget|comments?|reply|replies|respond|disqus|related|recommend\w*|share|social|follow|nav\w*|menu|breadcrumbs?|topbar|toolbar|pager|pagination|footer|foot|header|masthead|search|form|tags?|"
-    r"complementary|contentinfo|dialog|skip|legal|copyright|disclaimer|teaser|outbrain|taboola)(?:$|[\s_-])"
-)
-GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|page)(?:$|[\s_-])")
+#: Words in names of boilerplate, and words that say nothing beside them. A name with any other word says nothing either.
+BAD = set("""ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login register
+sidebar rail widget comment comments reply replies respond disqus related recommended recommendations share sharing social follow nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar pager pagination
+footer foot masthead search form complementary contentinfo dialog skip legal copyright disclaimer teaser header""".split())
+NEUTRAL = set("""site page main global top bottom left right inner outer wrap wrapper container box block area section list item items bar links link buttons button text content body inline unit slot module group row
+column col primary secondary small large fixed sticky js the and v2""".split())
+GOOD = set("article content post entry story main body text page".split())
+NAME = re.compile(r"[a-z]+|[0-9]+")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
-FEATURES = ["article", "main", "nav", "footer", "aside", "form", "header", "own_header", "bad_name", "good_name", "hidden", "links", "words", "ends", "heading", "item", "body"]
+
+@functools.lru_cache(4096)
+def says(names: str) -> tuple[bool, bool]:
+    """Whether names of an element tell of boilerplate, and of content."""
+    bad = good = False
+    for name in names.split():
+        words = [w for w in NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower()) if not w.isdigit()]
+        bad |= any(w in BAD for w in words) and all(w in BAD or w in NEUTRAL for w in words)
+        good |= bool(words) and all(w in GOOD for w in words)
+    return bad, good
+
+
+FEATURES = ["article", "outside", "nav", "footer", "aside", "form", "header", "bad_name", "good_name", "hidden", "links", "words", "ends", "heading", "item"]
 
 
 class Block:
@@ -66,19 +84,26 @@ class Block:
         self.hidden = any(x[2] for x in stack)
         self.ids = [x[3] for x in stack]
 
-    def features(self) -> list[float]:
+    def features(self, has_article: bool) -> list[float]:
         p, words = set(self.path), self.text.split()
-        article = "article" in p
+        article = bool(p & ARTICLE)
         last = self.path[-1] if self.path else ""
-        bad = any(BAD.search(n) for n in self.names if n)
-        own = article and "header" in self.path[self.path.index("article") :]
+        named = [says(n) for n in self.names if n]
         return [
-            article, "main" in p, "nav" in p or "menu" in p, "footer" in p, "aside" in p, bool(p & {"form", "button", "select", "fieldset", "dialog"}), "header" in p and not own, own,
-            bad, any(GOOD.search(n) for n in self.names if n), self.hidden, min(1.0, self.links / max(1, len(self.text))), min(4.0, np.log1p(len(words))),
-            self.text[-1:] in ".!?:…”\"", last in {"h1", "h2", "h3", "h4", "h5", "h6"}, last in {"li", "option"}, not p - {"html", "body", "div", "p"},
+            article, has_article and not article, "nav" in p or "menu" in p, "footer" in p, "aside" in p, bool(p & {"form", "button", "select", "fieldset", "dialog"}), "header" in p and not article,
+            any(bad for bad, _ in named), any(good for _, good in named), self.hidden, min(1.0, self.links / max(1, len(self.text))), min(4.0, np.log1p(len(words))),
+            self.text[-1:] in ".!?:…”\"", last in {"h1", "h2", "h3", "h4", "h5", "h6"}, last in {"li", "option"},
         ]
 
 
+ARTICLE = {"article", "main"}
+
+
+def features(found: list[Block]) -> np.ndarray:
+    has_article = any(not ARTICLE.isdisjoint(b.path) for b in found)
+    return np.array([b.features(has_article) for b in found], dtype=float).reshape(-1, len(FEATURES))
+
+
 def attributes(raw: str) -> tuple[str, bool]:
     names, hidden = [], False
     if "=" in raw or "hidden" in raw:
@@ -95,6 +120,19 @@ def attributes(raw: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where a tag ends in which a quote isn't closed: after the first > behind that quote. Each kind of quote can be so once."""
+    while m := re.compile("[>\"']").search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            close = page.find(">", m.end())
+            return len(page) if close < 0 else close + 1
+        at = close + 1
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
@@ -103,7 +141,6 @@ def blocks(page: str) -> list[Block]:
     links = number = at = 0
     in_link = False
     end = len(page)
-    quotes = True  # until one is found that isn't closed
 
     def flush() -> None:
         nonlocal links
@@ -130,23 +167,28 @@ def blocks(page: str) -> list[Block]:
             close = page.find("-->" if comment else ">", lt + (4 if comment else 2))
             at = end if close < 0 else close + (3 if comment else 1)
             continue
-        m = TAG.match(page, lt) if quotes else None
-        if m is None and (following.isalpha() or following == "/"):
-            m = LOOSE_TAG.match(page, lt)
-            quotes = quotes and m is None
+        m = TAG.match(page, lt) or TAG_START.match(page, lt)
         if m is None:
-            if following == "/" or following.isalpha():  # cut off
+            if following == "/":
                 at = page.find(">", lt)
                 at = end if at < 0 else at + 1
             else:
                 parts.append("<")
                 at = lt + 1
             continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
-        if tag in RAW and not closing:
-            if not m[3].endswith("/"):
+        closing, tag = m[1], m[2].lower()
+        at = m.end() if m.re is TAG else tag_end(page, m.end())
+        inside = m[3] if m.re is TAG else page[m.end() : at].rstrip(">")
+        if tag in LITERAL or (tag in RAW and not any(x[0] == "svg" for x in stack)):
+            if not closing and not inside.endswith("/"):
                 close = re.compile(rf"(?i)</{tag}(?=[\s>/])[^>]*>").search(page, at)
-                at = end if close is None else close.end()
+                if close is not None:
+                    if tag in LITERAL:
+                        flush()
+                        out.extend(Block(t, 0, [*stack, (tag, "", False, number)]) for t in [" ".join(page[at : close.start()].split())] if t)
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = end
             continue
         if tag in INLINE:
             if tag == "a":
@@ -168,11 +210,12 @@ def blocks(page: str) -> list[Block]:
             if stack and stack[-1][0] in shut:
                 stack.pop()
                 in_link = False
-            names, hidden = attributes(m[3])
+            names, hidden = attributes(inside)
+            hidden |= tag == "template"
             number += 1
             if tag == "body":
                 stack = [x for x in stack if x[0] != "head"]
-            if not m[3].endswith("/"):
+            if not inside.endswith("/"):
                 stack.append((tag, names, hidden, number))
     flush()
     return [b for b in out if "head" not in b.path]
@@ -232,7 +275,9 @@ def maximum_flow(n: int, edges: list[tuple[int, int, float, float]], source: int
 
 
 #: Weight of an edge between neighbours under one parent; it falls by FADE for each step in the tree.
-SMOOTH, FADE = 1.0, 0.5
+SMOOTH, FADE = 1.6, 0.5
+#: Greatest capacity of an edge to a terminal.
+CERTAIN = 5.0
 
 
 def apart(a: Block, b: Block) -> int:
@@ -245,10 +290,10 @@ def apart(a: Block, b: Block) -> int:
     return max(0, max(len(a.ids), len(b.ids)) - common - 1)
 
 
-def content(found: list[Block], weights: tuple[float, np.ndarray]) -> list[Block]:
+def content(found: list[Block], weights: tuple[float, np.ndarray], smooth: float = SMOOTH) -> list[Block]:
     if not found:
         return []
-    z = np.clip(weights[0] + np.array([b.features() for b in found], dtype=float) @ weights[1], -12, 12)
+    z = np.clip(weights[0] + features(found) @ weights[1], -CERTAIN, CERTAIN)
     n = len(found)
     edges = [(n, i, float(v), 0.0) if v > 0 else (i, n + 1, float(-v), 0.0) for i, v in enumerate(z)]
     last_under: dict[int, int] = {}
@@ -261,7 +306,7 @@ def content(found: list[Block], weights: tuple[float, np.ndarray]) -> list[Block
             near.add(last_under[parent])
         last_under[parent] = i
         for j in near:
-            w = SMOOTH * FADE ** apart(found[j], b)
+            w = smooth * FADE ** apart(found[j], b)
             edges.append((j, i, w, w))
     side = maximum_flow(n + 2, edges, n, n + 1)
     return [b for i, b in enumerate(found) if side[i]]
@@ -280,31 +325,33 @@ def made_up_page(seed: int) -> tuple[str, list[str]]:
     para = lambda: " ".join(sentence() for _ in range(r.randint(1, 5)))
     item = lambda: f'<li><a href="/{word()}">{words(1, 3)}</a></li>'
     items = lambda: "<ul>" + "".join(item() for _ in range(r.randint(3, 8))) + "</ul>"
-    named = lambda *names: f'{r.choice(["class", "id"])}="{r.choice(names)}"'
+    # Names tell what an element is, or nothing.
+    named = lambda *names: f'{r.choice(["class", "id"])}="{r.choice(names) if r.random() < 0.6 else word()}"'
     top = [
         f"<nav>{items()}</nav>", f"<div {named('nav', 'menu', 'main-menu', 'breadcrumbs')}>{items()}</div>", f"<header><h2>{words(1, 3)}</h2><p>{sentence()}</p></header>",
-        f"<div {named('header', 'masthead')}><p>{words(2, 5)}</p></div>", f"<div {named('ad', 'advert', 'banner', 'promo')}>{para()}</div>", f"<div {named('cookie-notice', 'consent', 'notice')}><p>{para()}</p></div>",
+        f"<div {named('header', 'masthead')}><p>{words(2, 5)}</p></div>", f"<div {named('ad', 'advert', 'banner', 'promo')}>{sentence()}</div>", f"<div {named('cookie-notice', 'consent', 'notice')}><p>{sentence()}</p><a href='/'>{word()}</a></div>",
     ]
     low = [
-        f"<footer>&copy; {words(2, 9)}</footer>", f"<div {named('footer', 'legal')}><p>{sentence()}</p></div>", f"<aside><h3>{words(1, 3)}</h3>{items()}<p>{para()}</p></aside>",
-        f"<div {named('sidebar', 'widget', 'related')}><h3>{words(1, 3)}</h3><p>{para()}</p></div>",
-        f"<section {named('comments', 'comment-list', 'replies')}><h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{para()}</p></div>' for _ in range(r.randint(1, 4))) + "</section>",
-        f"<form><label>{words(1, 3)}</label><input type=text><button>{word()}</button><p>{sentence()}</p></form>", f"<div {named('newsletter', 'share', 'social')}><p>{sentence()}</p></div>",
+        f"<footer>&copy; {words(2, 9)}</footer>", f"<div {named('footer', 'legal')}><p>&copy; {words(2, 9)}</p></div>", f"<aside><h3>{words(1, 3)}</h3>{items()}<p>{para()}</p></aside>",
+        f"<div {named('sidebar', 'widget', 'related')}><h3>{words(1, 3)}</h3>{items()}</div>",
+        f"<section class={r.choice(['comments', 'comment-list', 'replies'])}><h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{para()}</p></div>' for _ in range(r.randint(1, 4))) + "</section>",
+        f"<form><label>{words(1, 3)}</label><input type=text><button>{word()}</button><p>{sentence()}</p></form>", f"<div {named('newsletter', 'share', 'social')}><p>{words(1, 4)}</p><a href='/'>{words(1, 3)}</a></div>",
         f"<div hidden><p>{para()}</p></div>", f'<div style="display:none"><p>{para()}</p></div>', f'<div role="{r.choice(["complementary", "navigation", "contentinfo", "alert"])}"><p>{para()}</p></div>',
     ]
     title, text = words(2, 9).capitalize(), [para() if r.random() < 0.85 else sentence() for _ in range(r.randint(1, 12))]
     inside = [f"<h1>{title}</h1>" if r.random() < 0.8 else f"<header><h1>{title}</h1></header>"]
     for t in text:
-        inside.append(r.choice([f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<h2>{t}</h2>", f"<ul><li>{t}</li></ul>", f"<p>{t}</p>", f"<blockquote>{t}</blockquote>"]))
+        odd = f'<div class="{r.choice(["social-history", "banner-years", "share-of-trade", "comment-on-law", word()])}"><p>{t}</p></div>'
+        inside.append(r.choice([f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<h2>{t}</h2>", f"<ul><li>{t}</li></ul>", f"<p>{t}</p>", f"<blockquote>{t}</blockquote>", odd]))
     if r.random() < 0.3:
         inside.insert(r.randint(1, len(inside)), r.choice(top[4:] + low[3:]))
-    open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ('<div id="main"><div class="post">', "</div></div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>")])
+    open_, close = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ('<div id="main"><div class="post">', "</div></div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"), (f"<div><div id={word()}>", "</div></div>")])
     page = "".join(r.sample(top, r.randint(1, 3))) + open_ + "".join(inside) + close + "".join(r.sample(low, r.randint(1, 4)))
     return f"<!DOCTYPE html><html><head><title>{title}</title><script>var t = '</p>';</script></head><body>{page}</body></html>", [title, *text]
 
 
 #: Made-up pages that the classifier is fitted on.
-PAGES, LASSO = 300, 0.0005
+PAGES, LASSO = 600, 0.0005
 
 
 @functools.cache
@@ -312,10 +359,10 @@ def fit() -> tuple[float, np.ndarray]:
     x, y = [], []
     for seed in range(PAGES):
         page, wanted = made_up_page(seed)
-        for b in blocks(page):
-            x.append(b.features())
-            y.append(b.text in wanted)
-    return trees.lasso(np.array(x, dtype=float), np.array(y, dtype=float), LASSO, 1500)
+        found = blocks(page)
+        x.append(features(found))
+        y += [b.text in wanted for b in found]
+    return trees.lasso(np.vstack(x), np.array(y, dtype=float), LASSO, 1500)
 
 
 def extractor(weights: tuple[float, np.ndarray], at: int):
