@@ -2,11 +2,14 @@
 
 Texts are lower-cased in A-Z; words are runs of ASCII letters and digits and of any non-ASCII characters. The windows of
 the benchmark go to the executors in blocks of bounded size: a benchmark beyond one block makes further passes over the
-documents, without any shuffle. A window is found by its rolling hash and then compared word by word.
+documents, without any shuffle; an item beyond a block is cut at words into pieces that share their last windows. A block
+holds its text, the places of its words, and its windows' hashes in order: some 30 bytes a word. A window is found by its
+rolling hash and then compared word by word.
 
 Null or wordless texts have no words and no hits; null or wordless items have no windows; items without an id count as
-hits but are not listed; items that share an id count once; repeated rows are judged each on its own. Extra columns of
-the documents are kept; if they clash with the added names, the added ones get a suffix.
+hits but are not listed; items that share an id or a window count once each; repeated rows are judged each on its own. An
+empty table of documents gives an empty result, an empty benchmark no hits. Very long texts are scanned whole, each alone.
+Extra columns of the documents are kept; if they clash with the added names, the added ones get a suffix.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import types as T
 from seedloom.llm.common import fresh, table
 
 WINDOW = 10
-#: Words of benchmark windows in one broadcast block: some 100 MB in a worker.
+#: Words of the benchmark in one broadcast block: some 120 MB in a worker (a test measures it).
 BLOCK_WORDS = 4_000_000
+#: Windows whose items a task remembers.
+REMEMBERED = 1 << 16
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
@@ -77,17 +82,48 @@ class Words:
 class Windows:
     """A block of the benchmark's windows, by their number of words."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
-        self.items: dict[bytes, set[str | None]] = {}
-        hashes: dict[int, list[int]] = {}
-        for item_id, text in items:
-            words = Words([text.encode()])
-            n = min(window, len(words.hash))
-            if n:
-                for i, h in enumerate(words.windows(n).tolist()):
-                    hashes.setdefault(n, []).append(h)
-                    self.items.setdefault(words.text(i, n), set()).add(item_id)
-        self.hashes = {n: np.unique(np.array(h, dtype=np.uint64)) for n, h in hashes.items()}
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
+        self.ids = [item_id for item_id, _ in items]
+        data, begin, end, found = [], [], [], {}
+        size = words_before = start = 0
+        while start < len(items):  # a chunk of texts at a time: hashing takes some hundred bytes for each of its own
+            stop, n = start, 0
+            while stop < len(items) and (stop == start or n + len(items[stop][1]) <= CHUNK_BYTES):
+                n += len(items[stop][1])
+                stop += 1
+            words = Words([text for _, text in items[start:stop]])
+            counts = np.bincount(words.owner, minlength=stop - start)
+            for k in {min(window, c) for c in counts.tolist() if c}:
+                h = words.windows(k)
+                at = np.arange(len(h))
+                own = words.owner[at]
+                # Items with fewer words than the window are one window, of all their words.
+                here = (own == words.owner[at + k - 1]) & ((counts[own] == k) if k < window else True)
+                found.setdefault(k, []).append((h[here], (at[here] + words_before).astype(np.uint32), (own[here] + start).astype(np.uint32)))
+            data.append(words.low.tobytes() + b"\n")
+            begin.append((words.begin + size).astype(np.uint32))
+            end.append((words.end + size).astype(np.uint32))
+            size += len(words.low) + 1
+            words_before += len(words.begin)
+            start = stop
+        self.data = b"".join(data)
+        self.begin, self.end = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (begin, end))
+        #: For each number of words: sorted hashes, and of each the first word and the item.
+        self.hashes: dict[int, np.ndarray] = {}
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, parts in found.items():
+            h, at, own = map(np.concatenate, zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.hashes[k], self.places[k] = h[order], (at[order], own[order])
+
+    def text(self, i: int, n: int) -> bytes:
+        return b" ".join(self.data[self.begin[j] : self.end[j]] for j in range(i, i + n))
+
+    def items(self, n: int, h: int, text: bytes) -> set[str | None]:
+        """The items with a window of n words that has this hash and text."""
+        low, high = (int(np.searchsorted(self.hashes[n], np.uint64(h), side)) for side in ("left", "right"))
+        at, own = self.places[n]
+        return {self.ids[own[j]] for j in range(low, high) if self.text(int(at[j]), n) == text}
 
     def filters(self) -> dict[int, np.ndarray]:
         out = {}
@@ -97,14 +133,26 @@ class Windows:
         return out
 
 
+def pieces(text: bytes, window: int) -> Iterator[tuple[bytes, int]]:
+    """A text and its number of words; in pieces of at most BLOCK_WORDS windows if it has more."""
+    edges = np.diff(np.concatenate(([0], _IS_WORD[np.frombuffer(text, dtype=np.uint8)].view(np.int8), [0])))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    n = len(begin)
+    for k in range(0, max(1, n - window + 1), BLOCK_WORDS) if n else ():
+        last = min(k + BLOCK_WORDS + window - 1, n)
+        yield text[begin[k] : end[last - 1]], last - k
+
+
 def blocks(bench: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Windows]:
-    items, words = [], 0
-    for row in bench.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        items.append((row[0], row[1]))
-        words += window * (len(row[1]) // 2 + 1)
-        if words > window * BLOCK_WORDS:
-            yield Windows(items, window)
-            items, words = [], 0
+    items: list[tuple[str | None, bytes]] = []
+    words = 0
+    for row in bench.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator():
+        for text, n in pieces(row[1].encode(), window):
+            if items and words + n > BLOCK_WORDS:
+                yield Windows(items, window)
+                items, words = [], 0
+            items.append((row[0], text))
+            words += n
     yield Windows(items, window)
 
 
@@ -129,6 +177,7 @@ def scanner(shared, text_at: int, n_before: int):
 
         block: Windows = shared.value
         filters = block.filters()
+        known: dict[tuple[int, int, bytes], set] = {}
         for whole in batches:
             for batch in chunks(whole):
                 if not batch.num_rows:
@@ -142,13 +191,18 @@ def scanner(shared, text_at: int, n_before: int):
                     for d, (old, names) in enumerate(zip(batch.column(n_before + 1).to_pylist(), batch.column(n_before + 2).to_pylist(), strict=True)):
                         spans[d] = [(int(first[d]) + s["w0"], int(first[d]) + s["w1"]) for s in old]
                         items[d] = set(names)
-                for size, known in block.hashes.items():
+                for size, hashes in block.hashes.items():
                     h = words.windows(size)
                     here = np.flatnonzero(filters[size][h >> np.uint64(44)])
                     here = here[owner[here] == owner[here + size - 1]]
-                    here = here[np.isin(h[here], known)]
+                    here = here[hashes[np.minimum(np.searchsorted(hashes, h[here]), len(hashes) - 1)] == h[here]]
                     for i in here.tolist():
-                        if (hit := block.items.get(words.text(i, size))) is not None:
+                        key = size, int(h[i]), words.text(i, size)
+                        if (hit := known.get(key)) is None:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            hit = known[key] = block.items(*key)
+                        if hit:
                             spans[owner[i]].append((i, i + size))
                             items[owner[i]] |= hit
                 hits = []
