@@ -6,7 +6,9 @@ in any order, by language and over all, and give the same limits at every partit
 takes its language's limits, a language with too few those of all documents. The limits are joined to the documents.
 
 A null or wordless text has zero counts and fails the base rule of ten words. A null language or source is a group like
-others. Repeated rows are judged each on its own. Very long texts are handled whole. Extra columns are kept.
+others. Repeated rows are judged each on its own; rates that tie with a limit pass. Very long texts are handled whole.
+Repeated windows inside a text are found by 64-bit hashes. Extra columns are kept; if they clash with added names, the
+added ones get a suffix. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from seedloom.llm.common import fresh, let, settle, table
 MIN_GROUP = 200
 #: Leading bits that a sketch bucket keeps.
 SKETCH_BITS = 7
-#: Rate names with the least distance in per mille between the limit and the upper quantile.
-RATES = {"symbol_rate": 60, "mark_rate": 100, "upper_rate": 200, "dup_line_rate": 400, "repeat_rate": 250}
+#: Rate names with the least distance in per mille between the limit and the upper quantile: most texts have rates of zero,
+#: and without it any other text would be beyond their limits. For repeats it leaves the limit below the base rule's share.
+RATES = {"symbol_rate": 60, "mark_rate": 100, "upper_rate": 200, "dup_line_rate": 400, "repeat_rate": 150}
 #: The limit is q_high + max(SPREAD * (q_high - q_mid), the least distance of the rate).
 Q_MID, Q_HIGH, SPREAD = 25, 75, 4
 
