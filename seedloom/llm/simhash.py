@@ -6,13 +6,16 @@
    searched alone and no link is lost. A shard above SHARD_ROWS is dealt again by a block of what bits are left, until
    so few bits are left that the number of distinct fingerprints in a shard is bounded.
 3. Each shard is one BK-tree: a child's key is its Hamming distance to the parent, and a search follows the edges
-   within the radius of the distance to the node. Trees are built and searched a level at a time over arrays, by the
-   task that holds the shard: sending all trees to all executors would not be bounded. A shard returns a spanning
-   forest of its links, never all pairs.
+   within the radius of the distance to the node. Trees are built on the executors and written. While they hold at most
+   BROADCAST_NODES fingerprints together (those that are alone in their shards have no tree), they are broadcast, and each
+   fingerprint searches the trees of its own shards; beyond that bound each shard is searched by the task that holds it,
+   for trees that grow with the corpus can't be sent to everyone. Searches go a level at a time over arrays and return
+   links that join what they found, never all pairs.
 4. Components by alternating large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder.
 
 Copies share a fingerprint and so cost one node. Repeated rows, ties and null ids are kept: a component's id is its
-smallest non-null id. An empty table gives an empty result.
+smallest non-null id. Very long texts are read whole. Extra columns are kept by near_dedup(), whatever their names; the
+columns it adds on the way get other names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SHARD_ROWS = 20_000
 BITS = 64
 #: Dealings by 2, 3 and at last 4 blocks; 43 bits or more are fixed then, so a shard holds at most 2**21 fingerprints.
 DEPTHS = (2, 3, 4)
+#: Fingerprints in trees that are broadcast, at most: some 40 MB.
+BROADCAST_NODES = 1 << 20
+#: Rows that near_dedup drops, up to which their ids are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: Pairs of query and node that a search holds at once.
 _LIMIT = 1 << 21
 
@@ -86,10 +93,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 class BKTree:
-    """Nodes in the order of levels; children[n] has each child's distance to n and its number, in arrays."""
+    """Nodes in the order of levels; a node's children are kid[first:last], their distances to it edge[first:last]."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = values
+    def __init__(self, values: np.ndarray, root: int, kid: np.ndarray, edge: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        self.values, self.root, self.kid, self.edge, self.first, self.last = values, root, kid, edge, first, last
+        self.visited = 0
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> BKTree:
         n = len(values)
         group = np.zeros(n, dtype=np.int64)  # by its parent and distance
         rest = np.arange(n)
@@ -114,15 +125,14 @@ class BKTree:
         parents, edges, nodes = map(np.concatenate, (parents, edges, nodes))
         order = np.lexsort((edges, parents))
         order = order[parents[order] >= 0]
-        self.root = int(nodes[0])
-        self.kid, self.edge = nodes[order], edges[order]
-        self.first = np.searchsorted(parents[order], np.arange(n), side="left")
-        self.last = np.searchsorted(parents[order], np.arange(n), side="right")
+        first, last = (np.searchsorted(parents[order], np.arange(n), side=side) for side in ("left", "right"))
+        return cls(values, int(nodes[0]), nodes[order], edges[order], first, last)
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of (query, node) within the radius; a level of the tree at a time."""
         q, node = np.arange(len(queries)), np.full(len(queries), self.root)
         while len(q):
+            self.visited += len(q)
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             near = d <= radius
             yield q[near], node[near]
@@ -133,77 +143,134 @@ class BKTree:
             q, node = q[follow], self.kid[at[follow]]
 
 
-def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join all values within the radius of each other, by chains, and no more than that."""
-    n = len(values)
-    if n == 2:  # a tree of a root and a child
-        a, b = values.tolist()
-        return [(a, b)] if (a ^ b).bit_count() <= radius else []
-    tree = BKTree(values)
-    root = np.arange(n)
-    out: list[tuple[int, int]] = []
-    block = max(16, _LIMIT // n)
-    for k in range(0, n, block):
-        found = [(q + k, node) for q, node in tree.search(values[k : k + block], radius)]
-        a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        ra, rb = root[a], root[b]
-        apart = np.flatnonzero(ra != rb)
-        if not len(apart):
-            continue
-        _, once = np.unique(np.minimum(ra, rb)[apart] * n + np.maximum(ra, rb)[apart], return_index=True)
-        parent = list(range(n))
-
-        def find(x: int, parent: list[int] = parent) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i in apart[once].tolist():
-            x, y = find(int(ra[i])), find(int(rb[i]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(values[a[i]]), int(values[b[i]])))
-        root = np.array([find(x) for x in range(n)])[root]
-    return out
+class Joiner:
+    """Links between the fingerprints of a tree, only those that join what wasn't joined before."""
+
+    def __init__(self, tree: BKTree) -> None:
+        self.tree, self.root = tree, np.arange(len(tree.values))
+        self.order = np.argsort(tree.values)
+
+    def links(self, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
+        """Of queries, which are among the tree's fingerprints."""
+        tree, n = self.tree, len(self.tree.values)
+        own = self.order[np.searchsorted(tree.values, queries, sorter=self.order)]
+        out: list[tuple[int, int]] = []
+        block = max(16, _LIMIT // n)
+        for k in range(0, len(queries), block):
+            found = list(tree.search(queries[k : k + block], radius))
+            a, b = own[k : k + block][np.concatenate([x[0] for x in found])], np.concatenate([x[1] for x in found])
+            ra, rb = self.root[a], self.root[b]
+            apart = np.flatnonzero(ra != rb)
+            if not len(apart):
+                continue
+            _, once = np.unique(np.minimum(ra, rb)[apart] * n + np.maximum(ra, rb)[apart], return_index=True)
+            parent = list(range(n))
+
+            def find(x: int, parent: list[int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i in apart[once].tolist():
+                x, y = find(int(ra[i])), find(int(rb[i]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(tree.values[a[i]]), int(tree.values[b[i]])))
+            self.root = np.array([find(x) for x in range(n)])[self.root]
+        return out
+
+
+def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+#: A shard's key and its tree.
+TREE = "k int, bits long, vals array<long>, root long, kid array<long>, edge array<long>, first array<long>, last array<long>"
+
+
+def tree_builder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From k, bits, fps."""
+    for batch in batches:
+        made = [BKTree.of(np.unique(fps.values.to_numpy()).view(np.uint64)) for fps in batch.column(2)]
+        lists = [pa.array([getattr(t, x).view(np.int64) for t in made], pa.list_(pa.int64())) for x in ("values", "kid", "edge", "first", "last")]
+        columns = [batch.column(0), batch.column(1), lists[0], pa.array([t.root for t in made], pa.int64()), *lists[1:]]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TREE.split(", ")])
+
+
+def read_trees(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, BKTree]]:
+    for k, bits, values, root, *rest in zip(*(table.column(x) for x in table.schema.names), strict=True):
+        arrays = [x.values.to_numpy(zero_copy_only=False) for x in (values, *rest)]
+        yield k.as_py(), bits.as_py(), BKTree(arrays[0].view(np.uint64), root.as_py(), *arrays[1:])
 
 
 def shard_links(radius: int):
+    """Links of shards, each by the task that holds its tree."""
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for fps in batch.column(0) for x in forest(np.unique(fps.values.to_numpy()).view(np.uint64), radius)]
-            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pairs_batch([x for _, _, tree in read_trees(batch) for x in Joiner(tree).links(tree.values, radius)])
 
     return links
 
 
-def deal(depth: int, radius: int) -> Column:
-    """The shard keys of a fingerprint at a depth: each is a choice of blocks and their bits."""
+def broadcast_links(shared, masks: list[int], radius: int):
+    """Links of fingerprints, each by the broadcast trees of its shards."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, tuple[np.ndarray, list[Joiner]]] = {}
+        by_mask: dict[int, list[tuple[int, BKTree]]] = {}
+        for k, bits, tree in read_trees(shared.value):
+            by_mask.setdefault(k, []).append((bits, tree))
+        for k, trees in by_mask.items():
+            trees.sort(key=lambda x: x[0])
+            shards[k] = np.array([b for b, _ in trees], dtype=np.int64), [Joiner(t) for _, t in trees]
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int]] = []
+            for k, (keys, joiners) in shards.items():
+                bits = fps & np.int64(masks[k])
+                at = np.minimum(np.searchsorted(keys, bits), len(keys) - 1)
+                mine = np.flatnonzero(keys[at] == bits)
+                mine = mine[np.argsort(at[mine], kind="stable")]
+                for own in np.split(mine, np.flatnonzero(np.diff(at[mine])) + 1) if len(mine) else ():
+                    out += joiners[at[own[0]]].links(fps[own].view(np.uint64), radius)
+            yield pairs_batch(out)
+
+    return links
+
+
+def masks(depth: int, radius: int) -> list[int]:
+    """The choices of blocks of bits at a depth, as signed numbers."""
     blocks = radius + 1
 
     def split(free: list[int]) -> list[list[int]]:
         edge = [round(k * len(free) / blocks) for k in range(blocks + 1)]
         return [free[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
-    def masks(free: list[int], fixed: int, left: int) -> Iterator[int]:
+    def chosen(free: list[int], fixed: int, left: int) -> Iterator[int]:
         if not left:
             yield fixed
             return
         for block in split(free):
-            yield from masks([b for b in free if b not in block], fixed | sum(1 << b for b in block), left - 1)
+            yield from chosen([b for b in free if b not in block], fixed | sum(1 << b for b in block), left - 1)
 
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks(list(range(BITS)), 0, depth)]
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen(list(range(BITS)), 0, depth)]
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def deal(depth: int, radius: int) -> Column:
+    """The shard keys of a fingerprint at a depth: each is a choice of blocks and their bits."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(depth, radius))])
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """a, b: links between the distinct fingerprints of fps, enough to join all within the radius."""
-    dealt = fps.select("fp")
+    spark, dealt = fps.sparkSession, fps.select("fp")
     out = None
     for depth in DEPTHS:
         keys = dealt.select("fp", F.explode(deal(depth, radius)).alias("key")).select("fp", "key.k", "key.bits")
-        large = None
+        large, own = None, dealt
         if depth < DEPTHS[-1]:
             large = settle(keys.groupBy("k", "bits").count().filter(F.col("count") > shard_rows).select("k", "bits"))
             large = None if large.isEmpty() else large
@@ -211,8 +278,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
             dealt = settle(keys.join(large, ["k", "bits"], "left_semi").select("fp").distinct())
             keys = keys.join(large, ["k", "bits"], "left_anti")
         # Most shards hold one fingerprint and end here; the others are bounded by shard_rows, or by the bits left.
-        shards = keys.groupBy("k", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
-        links = shards.mapInArrow(shard_links(radius), "a long, b long")
+        shards = keys.groupBy("k", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("k", "bits", "fps")
+        trees = settle(shards.mapInArrow(tree_builder, TREE))
+        if (trees.agg(F.sum(F.size("vals"))).first()[0] or 0) <= broadcast_nodes:
+            links = own.mapInArrow(broadcast_links(spark.sparkContext.broadcast(trees.toArrow()), masks(depth, radius), radius), "a long, b long")
+        else:
+            links = trees.mapInArrow(shard_links(radius), "a long, b long")
         out = links if out is None else out.unionByName(links)
         if large is None:
             break
@@ -288,13 +359,20 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, sh
     whole = settle(docs.withColumn(last, text).mapInArrow(signer(shingle, names) if similar else fingerprinter(shingle, fp), kept))
     signed = whole.select(*[F.col(n).alias(k) for n, k in zip(names, ("fp", "same", "n", "keys"), strict=True)], text.alias("text")) if similar else None
     of, pairs = group_rows(whole.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), radius, shard_rows, signed, shingle)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "count")
-    best = pairs.join(of, "fp").groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("k_id"), F.col("x.fp").alias("k_fp"), F.col("x.count").alias("k_n"))
-    best = settle(best)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    best = settle(pairs.join(of, "fp").groupBy("label").agg(F.min(order).alias("best")))
+    judged = pairs.join(of.join(best, "label").select("fp", "best"), "fp").select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "count", (order != F.col("best")).alias("goes"))
+    judged = settle(judged.filter("goes or count > 1"))
     match = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col(fp) == F.col("k_fp"))
-    once = whole.join(best.filter("k_n = 1"), match, "left_semi")
-    again = whole.join(best.filter("k_n > 1"), match, "left_semi").dropDuplicates([id_col, fp])
-    return once.unionByName(again).select(docs.columns)
+
+    # The texts stay where they are unless very many rows go: what moves is the ids of those that do.
+    def listed(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    kept = whole.join(listed(judged.filter("goes")), match, "left_anti")
+    again = listed(judged.filter("not goes"))
+    once = kept.join(again, match, "left_anti")
+    return once.unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_col, fp])).select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
