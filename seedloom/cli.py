@@ -1,4 +1,4 @@
-"""Command line: init, generate, evaluate, and patch verbs. One scheme of exit codes (errors.py)."""
+"""Command line: init, generate, evaluate, patch verbs, and damage for demonstrations. One scheme of exit codes (errors.py)."""
 
 from __future__ import annotations
 
@@ -21,13 +21,15 @@ def parser() -> argparse.ArgumentParser:
             "warehouse": dict(help="folder of tables"), "csv": dict(help="write CSV here instead"), "rows": dict(type=int), "seed": dict(type=int), "truncate": dict(action="store_true", help="replace the table's rows"),
             "dry-run": dict(action="store_true", help="show the first rows only"), "json": dict(action="store_true"), "artifacts": dict(default="artifacts", help="folder of the run"), "consumer": dict(help="file of consumer checks"),
             "only": dict(help="rule ids, by commas"), "survey": dict(help="survey.json"), "tests": dict(help="folder of tests"), "allowlist": dict(help="JSON list of warehouse roots"), "repository": dict(help="git folder"), "email": dict(),
+            "jdbc": dict(help="write to the database with this URL instead"), "yes": dict(action="store_true", help="approve what was planned"), "key": dict(required=True, help="key column"), "column": dict(required=True), "value": dict(help="new value; NULL if left out"),
+            "keys": dict(help="keys of the rows to damage, by commas"), "first": dict(type=int, help="damage so many rows that have a value, by key"), "insert": dict(help="rows to add, as a JSON list of objects"),
         }
         own = to.add_parser(name, help=text)
         for o in options:
             own.add_argument(f"--{o}", **known[o])
 
     add(verbs, "init", "a first rules file for a table", "ddl", "table", "rows", "seed", "out")
-    add(verbs, "generate", "rows by rules, then their evaluations", "ddl", "table", "rules", "warehouse", "csv", "rows", "seed", "truncate", "dry-run", "json")
+    add(verbs, "generate", "rows by rules, then their evaluations", "ddl", "table", "rules", "warehouse", "csv", "jdbc", "rows", "seed", "truncate", "dry-run", "json")
     add(verbs, "evaluate", "evaluations only", "rules", "warehouse", "json")
     patch = verbs.add_parser("patch", help="find and repair bad values").add_subparsers(dest="patch", required=True)
     common = ("rules", "warehouse", "artifacts", "only", "allowlist")
@@ -40,7 +42,11 @@ def parser() -> argparse.ArgumentParser:
     add(patch, "report", "facts and a report", "artifacts")
     add(patch, "notary", "check artifacts against each other", "rules", "artifacts", "repository")
     add(patch, "revert", "put old values back", *common)
+    add(patch, "run", "plan, approve, apply, verify and report; without --yes it ends with the plan", *common, "consumer", "seed", "email", "yes")
+    add(patch, "dashboard", "a page of the run's artifacts", "artifacts", "out")
     add(patch, "generators", "keys that rules can name")
+    damage = verbs.add_parser("sample", help="demonstrations").add_subparsers(dest="sample", required=True)
+    add(damage, "damage", "set cells of a table and add rows to it", "warehouse", "table", "key", "column", "value", "keys", "first", "insert")
     return p
 
 
@@ -79,7 +85,7 @@ def generate(a) -> int:
     from seedloom.sources import rules as R
     from seedloom.sources.datasets import DatasetStore
     from seedloom.sources.ddl import parse_single
-    from seedloom.sources.warehouse import CsvSink, TableSink, sample
+    from seedloom.sources.warehouse import CsvSink, JdbcSink, TableSink, sample
 
     rules = R.load(a.rules)
     rules = replace(rules, **{k: v for k, v in (("rows", a.rows), ("seed", a.seed)) if v is not None}, truncate_before_load=a.truncate or rules.truncate_before_load)
@@ -90,8 +96,8 @@ def generate(a) -> int:
     w = warehouse(a) if a.warehouse else None
     if lookups and w is None:
         raise ConfigError(f"columns {', '.join(lookups)} look up values: --warehouse is needed")
-    if w is None and not a.csv and not a.dry_run:
-        raise ConfigError("one of --warehouse, --csv and --dry-run is needed")
+    if w is None and not a.csv and not a.jdbc and not a.dry_run:
+        raise ConfigError("one of --warehouse, --csv, --jdbc and --dry-run is needed")
     g = Generator(session(), table, rules, datasets, {c: w.sql(q) for c, q in lookups.items()})
     for warning in g.plan.warnings:
         print(f"warning: {warning}", file=sys.stderr)
@@ -100,10 +106,11 @@ def generate(a) -> int:
         return OK
     frame = g.frame()
     g.check_unique(frame)
-    n = (CsvSink(a.csv) if a.csv else TableSink(w, table)).load(frame, rules.truncate_before_load)
+    sink = CsvSink(a.csv) if a.csv else JdbcSink(a.jdbc, table.full_name, rules.batch_size) if a.jdbc else TableSink(w, table)
+    n = sink.load(frame, rules.truncate_before_load)
     for column, cut in g.truncations().items():
         print(f"warning: {cut} values of {column!r} were cut to its length", file=sys.stderr)
-    results = evaluate.run(rules.evaluations, w.sql) if w is not None and not a.csv else []
+    results = evaluate.run(rules.evaluations, w.sql) if w is not None and not a.csv and not a.jdbc else []
     return told(results, a.json, {"rows": n})
 
 
@@ -145,6 +152,11 @@ def patch(a) -> int:
         print("\n".join(repair.summary(A.read_json(folder / "plan.json"))))
         repair.approve(folder, a.email)
         return OK
+    if verb == "dashboard":
+        from seedloom.operators import dashboard
+
+        A.write_text(Path(a.out or folder / "dashboard.html"), dashboard.page(folder))
+        return OK
     if verb == "report":
         A.write_json(folder / "facts.json", doc := audit.facts(folder))
         if not (folder / "report.md").exists():
@@ -167,6 +179,13 @@ def patch(a) -> int:
             print("\n".join(f"{t['table']}.{c['name']}: {'; '.join(c['signals'])}" for c in t["columns"] if c["signals"] and not c["coveredByRule"]))
         return OK
     checks = gaprules.consumer_checks(getattr(a, "consumer", None))
+    if verb == "run":
+        doc = repair.run(w, rules, folder, checks, a.seed or 0, A.sha256(a.rules), a.email, a.yes)
+        print("\n".join(repair.summary(doc["plan"])))
+        if "verify" in doc:
+            print(json.dumps({k: doc["verify"][k] for k in ("l1", "l2", "l3", "regressions", "preexistingReds", "remainingPlannedGaps")}))
+            return repair.exit_code(doc["verify"])
+        return OK
     if verb == "plan":
         doc = repair.plan(w, rules, a.seed or 0, A.sha256(a.rules))
         A.write_json(folder / "plan.json", doc)
@@ -184,10 +203,22 @@ def patch(a) -> int:
     return OK
 
 
+def damage(a) -> int:
+    from seedloom.operators.corrupt import corrupt, first_keys
+
+    w = warehouse(a)
+    if not a.table:
+        raise ConfigError("--table is needed")
+    keys = a.keys.split(",") if a.keys else first_keys(w, a.table, a.key, f"`{a.column}` is not null", a.first) if a.first else []
+    rows = json.loads(a.insert) if a.insert else []
+    print(f"{corrupt(w, {(a.table, a.key): [(k, a.column, a.value) for k in keys]} if keys else {}, {a.table: rows} if rows else None)} cells and rows")
+    return OK
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        return {"init": init, "generate": generate, "evaluate": evaluate_, "patch": patch}[a.verb](a)
+        return {"init": init, "generate": generate, "evaluate": evaluate_, "patch": patch, "sample": damage}[a.verb](a)
     except SeedloomError as e:
         print(f"error: {e}", file=sys.stderr)
         return e.code

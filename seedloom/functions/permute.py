@@ -28,10 +28,11 @@ def side_of(n: Column) -> Column:
 
 
 def permute(p: Column, n: Column, side: Column, seed: int | str) -> Column:
-    """A permutation of 0..n-1: walk the cycle of feistel() until it is back below n.
+    """A permutation of 0..n-1: walk the cycle of feistel() until it is back below n. A number outside 0..n-1 is an error.
 
     At most side * side - n numbers lie outside, so no walk is longer; few numbers take more than the first steps."""
     walk = lambda a: F.when(a < n, a).otherwise(feistel(a, side, seed))
     rest = lambda a: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(side * side - n, F.lit(1).cast("long"))), a, lambda acc, _: walk(acc))
-    near = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel(p, side, seed), lambda acc, _: walk(acc))
+    inside = F.when((p >= 0) & (p < n), p).when(p.isNotNull(), F.raise_error(F.concat(F.lit("not a number to permute: "), p.cast("string"))).cast("long"))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel(inside, side, seed), lambda acc, _: walk(acc))
     return F.element_at(F.transform(F.array(near), lambda a: F.when(a < n, a).otherwise(rest(a))), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
@@ -80,12 +82,38 @@ def judge(e: Evaluation, value: object) -> Result:
         return Result(e.name, value, describe(e.expect), False, str(error))
 
 
-def run(evaluations: Iterable[Evaluation], sql: Callable[[str], DataFrame]) -> list[Result]:
-    """Each query's first cell against its expectation. A query that fails is a failed result; the others go on."""
+#: Fixed value: seconds after which a query is given up.
+TIMEOUT = 300.0
+
+
+def first_within(frame: DataFrame, seconds: float):
+    """The first row. Jobs that still run after so many seconds are cancelled, and the query fails."""
+    context, tag, late = frame.sparkSession.sparkContext, f"evaluation-{uuid.uuid4().hex}", threading.Event()
+
+    def give_up() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, give_up)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return frame.first()
+    except Exception as error:
+        if late.is_set():
+            raise SeedloomError(f"given up after {seconds:g} s") from error
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
+def run(evaluations: Iterable[Evaluation], sql: Callable[[str], DataFrame], timeout: float = TIMEOUT) -> list[Result]:
+    """Each query's first cell against its expectation. A query that fails or takes too long is a failed result; the others go on."""
     out = []
     for e in evaluations:
         try:
-            row = sql(e.query).first()
+            row = first_within(sql(e.query), timeout)
             out.append(judge(e, row[0] if row else None))
         except (PySparkException, SeedloomError) as error:
             out.append(Result(e.name, None, describe(e.expect), False, f"query failed: {str(error).splitlines()[0]}"))

@@ -1,7 +1,8 @@
 """Rows of a table from its generation plan: one select over a range of row numbers.
 
-Values depend on seed, table, column and row number alone. Lookups and datasets are joined by pick index; the join is
-left to Catalyst, which broadcasts them while they are small. Only lookups and unique columns shuffle.
+Values depend on seed, table, column and row number alone; those of a unique column also on the rows before, never on
+rows after. Lookups and datasets are joined by pick index; the join is left to Catalyst, which broadcasts them while they
+are small. Only lookups and unique columns shuffle.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ ROW = "__row"
 ATTEMPTS = 100
 #: Slots beyond those that strategies use.
 NULL_SLOT, PICK_SLOT = 1_000_003, 1_000_004
-#: Unique columns over ranges up to this size take a permutation of the range instead of draws.
-SMALL_DOMAIN = 10_000_000
-#: Buckets in which the values of a lookup are sorted and numbered.
+#: Buckets in which the values of a lookup are sorted and numbered, and ranges in which rows are.
 LOOKUP_BUCKETS = 256
+#: Numbers of one value that are listed at once.
+LISTED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -61,10 +62,24 @@ def lookup(spark: SparkSession, frame: DataFrame, column: str) -> Source:
     start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("bucket"))
     by = W.partitionBy("bucket").orderBy(F.md5(F.col("value").cast("string")), "value")
     placed = grouped.withColumn("from", start + F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = placed.select(F.explode(F.sequence(F.col("from").cast("long"), F.col("from").cast("long") + F.col("n") - 1)).alias("pick"), F.col("value").cast(kind).alias("value"))
+    # A value may occur any number of times: its numbers are listed in two steps, so no array is long.
+    first, end = F.col("from").cast("long"), F.col("from").cast("long") + F.col("n") - 1
+    parts = placed.select(F.explode(F.sequence(first, end, F.lit(LISTED).cast("long"))).alias("part"), end.alias("end"), "value")
+    out = parts.select(F.explode(F.sequence("part", F.least(F.col("part") + (LISTED - 1), F.col("end")))).alias("pick"), F.col("value").cast(kind).alias("value"))
     return Source(out, size)
 
 
+def numbered(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """ROW and a number from 0 in its order, for rows of 1..most; counted by ranges, so no task has to see all rows."""
+    ranges = rows.select(ROW, F.floor((F.col(ROW) - 1) * LOOKUP_BUCKETS / F.lit(most)).cast("int").alias("range"))
+    sizes = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}  # as many as ranges
+    starts, at = {-1: 0}, 0
+    for k in sorted(sizes):
+        starts[k], at = at, at + sizes[k]
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long" if k % 2 else "int") for kv in starts.items() for k, x in enumerate(kv)]), F.col("range"))
+    return ranges.select(ROW, (start + F.row_number().over(W.partitionBy("range").orderBy(ROW)) - 1).alias(name))
+
+
 class Generator:
     def __init__(self, spark: SparkSession, table: TableDef, rules: Rules, datasets: DatasetStore | None = None, lookups: dict[str, DataFrame] | None = None, partitions: int | None = None) -> None:
         self.spark, self.table, self.rules = spark, table, rules
@@ -108,9 +123,9 @@ class Generator:
             n = 2
         else:
             return None
-        return n if n <= SMALL_DOMAIN or n < 2 * self.rules.rows else None
+        return n
 
-    def numbered(self, p: Planned, index: Column) -> Column:
+    def value_at(self, p: Planned, index: Column) -> Column:
         """The value with an index of a domain."""
         c, s = self.context(p), p.rule.strategy
         if s == "int":
@@ -124,18 +139,20 @@ class Generator:
         return F.element_at(F.array(*[F.lit(v) for v in dict.fromkeys(p.rule.values or ())]), (index + 1).cast("int"))
 
     def ranks(self, rows: DataFrame, p: Planned, size: int) -> tuple[DataFrame, Column]:
-        """A number from 0 for each row that gets a value, below size, and a permutation of it."""
+        """A permutation of the row numbers, as numbers from 0 below size. Rows beyond the size take the numbers that rows
+        without a value leave, in order; so no row's number depends on rows after it."""
         key = f"{self.rules.seed}|{self.table.full_name}|{p.column.name}".lower()
         n = F.lit(size).cast("long")
         if self.rules.rows <= size:
             return rows, permute(F.col(ROW) - 1, n, side_of(n), key)
-        live = rows.filter(~self.nulls(p))
-        if live.count() > size:
+        base, empty, rank = self.base(), self.nulls(p) if p.rule.null_rate else F.lit(False), f"__rank_{p.column.name}"
+        free = numbered(base.filter((F.col(ROW) <= size) & empty), self.rules.rows, "k")
+        late = numbered(base.filter((F.col(ROW) > size) & ~empty), self.rules.rows, "k")
+        if late.count() > free.count():
             raise self.exhausted(p, size)
-        # More rows than values, and yet enough values: the rows are fewer than a bounded domain's size.
-        rank = f"__rank_{p.column.name}"
-        placed = live.select(ROW, (F.row_number().over(W.orderBy(ROW)) - 1).cast("long").alias(rank))
-        return rows.join(placed, ROW, "left"), F.when(F.col(rank).isNotNull(), permute(F.col(rank), n, side_of(n), key))
+        taken = late.join(free.select("k", F.col(ROW).alias(rank)), "k").select(ROW, rank)
+        at = F.when(F.col(ROW) <= size, F.col(ROW)).otherwise(F.col(rank)) - 1
+        return rows.join(taken, ROW, "left"), permute(at, n, side_of(n), key)
 
     @staticmethod
     def redrawn(p: Planned) -> bool:
@@ -147,23 +164,29 @@ class Generator:
     def tries(self, p: Planned) -> DataFrame | None:
         """For an open domain: the rows that need another attempt, with the attempt that gives them a value of their own.
 
-        The rounds touch only rows that collided; rows with the smallest number keep their value."""
+        A row's value is its first draw that no row before it has. Each round, rows that aren't the first with their value
+        draw again; a value that a later row holds goes to the earlier one, and the later one draws again. Only rows that
+        collide move."""
         value = lambda a: coerce(SIMPLE[p.rule.strategy][0](self.context(p, a)), p.column, SIMPLE[p.rule.strategy][1])
-        live = self.base().filter(~self.nulls(p))
+        live = self.base().filter(~self.nulls(p)) if p.rule.null_rate else self.base()
         first = live.select(ROW, value(0).alias("v"))
         twice = first.groupBy("v").agg(F.min(ROW).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-        losers = settle(first.join(twice, "v").filter(F.col(ROW) != F.col("keep")).select(ROW))
-        if losers.isEmpty():
-            return None
-        taken, done = settle(first.join(losers, ROW, "left_anti").select("v")), None
-        for attempt in range(1, ATTEMPTS):
-            drawn = losers.select(ROW, value(attempt).alias("v")).join(taken, "v", "left_anti")
-            won = settle(drawn.groupBy("v").agg(F.min(ROW).alias(ROW)).select(ROW, "v", F.lit(attempt).alias("attempt")))
-            done = won if done is None else done.unionByName(won)
-            taken = taken.unionByName(won.select("v"))
-            losers = settle(losers.join(won, ROW, "left_anti"))
-            if losers.isEmpty():
-                return done.select(ROW, "attempt")
+        losers = settle(first.join(twice, "v").filter(F.col(ROW) != F.col("keep")).select(ROW, F.lit(1).alias("attempt")))
+        moved = self.spark.createDataFrame([], f"{ROW} long, attempt int, v string")
+        while not losers.isEmpty():
+            if not losers.filter(F.col("attempt") >= ATTEMPTS).isEmpty():
+                break
+            drawn = settle(losers.select(ROW, "attempt", value(F.col("attempt")).alias("v")))
+            # Who holds the values that were drawn: rows of the first draw that didn't move, rows that did, and the new ones.
+            asked = drawn.select("v").distinct()
+            gone = moved.select(ROW).unionByName(drawn.select(ROW))
+            still = first.join(asked, "v", "left_semi").join(gone, ROW, "left_anti").select(ROW, F.lit(0).alias("attempt"), "v")
+            moved = settle(moved.select(ROW, "attempt", F.col("v").cast(drawn.schema["v"].dataType).alias("v")).join(drawn.select(ROW), ROW, "left_anti").unionByName(drawn))
+            rivals = still.unionByName(moved.join(asked, "v", "left_semi").select(ROW, "attempt", "v"))
+            keep = rivals.groupBy("v").agg(F.min(ROW).alias("keep"))
+            losers = settle(rivals.join(keep, "v").filter(F.col(ROW) != F.col("keep")).select(ROW, (F.col("attempt") + 1).alias("attempt")))
+        else:
+            return None if moved.isEmpty() else moved.select(ROW, "attempt")
         raise GenerationError(f"column {p.column.name!r}: no unique value within {ATTEMPTS} attempts. Widen the range or the length, or lower 'rows'.")
 
     # The table ------------------------------------------------------------------------------------------------------
@@ -223,7 +246,7 @@ class Generator:
                 raise GenerationError(f"column {name!r}: unknown strategy {s!r}")
             elif p.rule.unique and (size := self.domain(p)) is not None:
                 rows, index = self.ranks(rows, p, size)
-                raw[name] = self.numbered(p, index), SIMPLE[s][1]
+                raw[name] = self.value_at(p, index), SIMPLE[s][1]
             else:
                 attempt: Column | int = 0
                 if p.rule.unique and self.redrawn(p):

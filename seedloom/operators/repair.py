@@ -23,12 +23,16 @@ from seedloom.functions.draw import Draw
 from seedloom.functions.strategies import chosen
 from seedloom.operators import evaluate, gaps
 from seedloom.operators.generate import ATTEMPTS, lookup
+from seedloom.shared import settle
 from seedloom.sources import artifacts as A
 from seedloom.sources.datasets import DatasetStore
 from seedloom.sources.gaprules import GapRule, GapRules
 from seedloom.sources.rules import Evaluation
 from seedloom.sources.warehouse import LEDGER_NAME, Warehouse
 
+#: Patches that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_PATCHES = 100_000
+
 # Planning --------------------------------------------------------------------------------------------------------------
 
 
@@ -112,7 +116,7 @@ def identities(w: Warehouse, r: GapRule, rows: DataFrame, draw) -> dict:
     ledger = w.ledger().filter((F.lower("TargetTable") == r.table_name.lower()) & (F.lower("ColumnName") == r.column.lower()))
     known = rows.select("__key").join(ledger.select(F.col("RowKey").alias("__key"), F.col("Value").alias("v")), "__key", "left")
     reused = known.filter("v is not null")
-    left = known.filter("v is null").select("__key").persist()
+    left = settle(known.filter("v is null").select("__key"))
     table = w.table(r.table_name)
     column = next(f for f in table.schema.fields if f.name.lower() == r.column.lower())
     taken = table.filter(F.col(f"`{column.name}`").isNotNull()).select(canonical(F.col(f"`{column.name}`"), column.dataType).alias("v")).unionByName(ledger.select(F.col("Value").alias("v")))
@@ -129,7 +133,7 @@ def identities(w: Warehouse, r: GapRule, rows: DataFrame, draw) -> dict:
         minted += [(x["__key"], x["v"]) for x in fresh]
         if fresh:
             now = w.spark.createDataFrame([(x["__key"], x["v"]) for x in fresh], "__key string, v string")
-            left = left.join(now, "__key", "left_anti").persist()
+            left = settle(left.join(now, "__key", "left_anti"))
             taken = taken.unionByName(now.select("v"))
     else:
         if not left.isEmpty():
@@ -184,7 +188,8 @@ def verify(w: Warehouse, rules: GapRules, plan_doc: dict, before: dict, checks:
         r = rules.get(doc["id"])
         if doc["patches"]:
             keys = w.spark.createDataFrame([(p["key"][r.key],) for p in doc["patches"]], "key string")
-            left += [f"{r.id}:{x['key']}" for x in gaps.remaining(r, w.table(r.table_name), F.broadcast(keys)).orderBy("key").collect()]
+            keys = F.broadcast(keys) if len(doc["patches"]) <= BROADCAST_PATCHES else keys
+            left += [f"{r.id}:{x['key']}" for x in gaps.remaining(r, w.table(r.table_name), keys).orderBy("key").collect()]
     now = {"invariants": invariants(w, rules), "consumer": consumer(w, checks)}
     inv, con = (regressions(before[k], now[k]) for k in ("invariants", "consumer"))
     return {"runId": plan_doc["runId"], "l1": not left, "l2": not inv[0], "l3": not con[0], "regressions": inv[0] + con[0], "preexistingReds": inv[1] + con[1], **now, "remainingPlannedGaps": left}
@@ -237,10 +242,6 @@ def overlay(frame: DataFrame, key: Column, patches: DataFrame, columns: list[str
     return joined.select(*[new[f].alias(f) if f in new else F.col(f"`{f}`") for f in kinds], *old, F.col("__key"))
 
 
-#: Patches that are sent to every task; more of them are joined by a shuffle.
-BROADCAST_PATCHES = 100_000
-
-
 def patched(w: Warehouse, table: str, key: str, cells: list[tuple[str, str, str | None]]) -> tuple[list[str], list[tuple[str, str, str | None]]]:
     """The table's folders and files with (key, column, value) cells set, staged, and the old values.
 
@@ -314,6 +315,25 @@ def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink=None) -> list[
     return log
 
 
+def run(w: Warehouse, rules: GapRules, folder: str | Path, checks: Iterable[Evaluation] = (), seed: int = 0, rules_sha: str = "", email: str | None = None, approved: bool = False) -> dict:
+    """Plan, approve, apply, verify and report, each with its artifacts; without an approval it ends after the plan."""
+    from seedloom.operators import audit
+
+    folder, checks = Path(folder), list(checks)
+    doc = {"plan": plan(w, rules, seed, rules_sha)}
+    A.write_json(folder / "plan.json", doc["plan"])
+    A.write_json(folder / "baseline.json", before := baseline(w, rules, checks, doc["plan"]["runId"]))
+    refuse_blocked(doc["plan"])
+    if not approved:
+        return doc
+    doc["approval"] = approve(folder, email)
+    doc["log"] = apply(w, rules, folder)
+    A.write_json(folder / "verify.json", found := verify(w, rules, doc["plan"], before, checks))
+    A.write_json(folder / "facts.json", facts := audit.facts(folder))
+    A.write_text(folder / "report.md", audit.fallback(facts))
+    return doc | {"verify": found, "facts": facts}
+
+
 def revert(w: Warehouse, rules: GapRules, log: list[dict], only: list[str] | None = None) -> int:
     """Put back the earliest old value of each patched cell; the ledger keeps its entries."""
     wanted = {i.lower() for i in only} if only else None

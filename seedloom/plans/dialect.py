@@ -43,7 +43,8 @@ def translate_sql(sql: str, names: dict[str, str] | None = None) -> str:
     """A query for spark.sql. names: what tables are registered as, by 'schema.table' and 'table' in lower case.
 
     Handled: quoting, TOP, N'..', renamed functions, CONVERT, type names, + between strings where one side is a
-    literal, != and the like. An integer division can't be told by tokens; predicates are parsed with types instead."""
+    literal, != and the like. Tokens don't tell the types of what is divided: the result chooses by the operands' types. It
+    is a double then, of a whole number where both are whole. NEWID() takes a fixed seed."""
     names = {k.lower(): v for k, v in (names or {}).items()}
     tokens = tokenize(sql)
     out: list[str] = []
@@ -77,6 +78,16 @@ def translate_sql(sql: str, names: dict[str, str] | None = None) -> str:
                 k = j + 1
                 continue
         word = t.word()
+        if word == "NEWID" and nxt.text == "(" and tokens[k + 2].text == ")":
+            out.append(f" uuid({NEWID_SEED})")
+            k += 3
+            continue
+        if t.text == "/" and out:
+            start, end = _chain_start(out), _primary_end(tokens, k + 1)
+            left, right = "".join(out[start:]).strip(), translate_sql(sql[nxt.at : tokens[end].at], names)
+            out[start:] = [f" {divided(left, right)}"]
+            k = end
+            continue
         if word == "TOP" and t.kind == "word" and (nxt.kind == "number" or nxt.text == "("):
             if nxt.text == "(":
                 tops.append((depth, tokens[k + 2].text))
@@ -118,6 +129,64 @@ def translate_sql(sql: str, names: dict[str, str] | None = None) -> str:
     return "".join(out).strip()
 
 
+NEWID_SEED = 0
+WHOLE = "('tinyint', 'smallint', 'int', 'bigint')"
+#: Words before a parenthesis that aren't functions.
+KEYWORDS = set("SELECT WHERE AND OR NOT IN ON WHEN THEN ELSE BETWEEN LIKE BY HAVING AS FROM JOIN CASE DISTINCT ALL UNION EXISTS LIMIT".split())
+
+
+def divided(left: str, right: str) -> str:
+    """A division that cuts off fractions if both sides are whole numbers; which it is, is known once the query is analysed."""
+    whole = f"typeof({left}) IN {WHOLE} AND typeof({right}) IN {WHOLE}"
+    return f"(CASE WHEN {whole} THEN try_cast({left} AS bigint) div try_cast({right} AS bigint) ELSE ({left}) / ({right}) END)"
+
+
+def _chain_start(out: list[str]) -> int:
+    """Where the product begins that the written pieces end in."""
+    i = len(out) - 1
+    while True:
+        if out[i].strip() == ")":
+            level = 1
+            while level and i:
+                i -= 1
+                level += (out[i].strip() == ")") - (out[i].strip() == "(")
+            before = out[i - 1].strip() if i else ""
+            if before and before.replace("_", "").isalnum() and before.upper() not in KEYWORDS:
+                i -= 1
+        elif out[i].strip().upper() == "END":
+            level = 1
+            while level and i:
+                i -= 1
+                level += (out[i].strip().upper() == "END") - (out[i].strip().upper() == "CASE")
+        if i > 1 and out[i - 1].strip() in ("*", "%"):
+            i -= 2
+            continue
+        return i
+
+
+def _primary_end(tokens: list[Token], k: int) -> int:
+    """The number of the token after the operand at k."""
+    while tokens[k].text in ("-", "+"):
+        k += 1
+    if tokens[k].word() == "CASE":
+        level = 1
+        while level:
+            k += 1
+            level += (tokens[k].word() == "CASE") - (tokens[k].word() == "END")
+        return k + 1
+    if tokens[k].text != "(":
+        k += 1
+        while tokens[k].text == ".":
+            k += 2
+    if tokens[k].text == "(":
+        level = 1
+        while level:
+            k += 1
+            level += (tokens[k].text == "(") - (tokens[k].text == ")")
+        k += 1
+    return k
+
+
 def _in_cast(tokens: list[Token], k: int) -> bool:
     level = 0
     for j in range(k - 1, -1, -1):
@@ -367,6 +436,15 @@ class Predicate(Reader):
         return f"({translate_sql(text, self.names)})"
 
 
+def translate_value(text: str, table: str, schema: T.StructType) -> str:
+    """An expression over one table's columns as Spark SQL, with types known: + joins strings, / of whole numbers is whole."""
+    p = Predicate(text, unbracketed(table), schema)
+    out, _ = p.either()
+    if p.now.kind != "end":
+        raise p.fail("the end of the expression")
+    return out
+
+
 def unbracketed(name: str) -> str:
     return ".".join(t.value for t in tokenize(name) if t.kind in ("name", "word"))
 

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from seedloom.errors import AllowlistError, ConfigError, LedgerConflict, SeedloomError
 from seedloom.functions.coerce import printed
-from seedloom.plans.dialect import translate_sql, unbracketed
+from seedloom.plans.dialect import translate_sql, translate_value, unbracketed
+from seedloom.shared import settle
 from seedloom.sources.ddl import ColumnDef, ForeignKey, TableDef
 
 LEDGER = "TargetTable string, RowKey string, ColumnName string, Value string, RuleId string, CreatedAt timestamp, CreatedBy string"
@@ -139,6 +140,17 @@ class Warehouse:
             raise ConfigError(f"no table {name!r}; tables: {', '.join(self.tables()) or 'none'}")
         return self.read(m.folders[key], self.definition(name).struct())
 
+    def whole(self, name: str) -> DataFrame:
+        """The table with its computed columns. Those whose expression can't be translated are left out."""
+        frame, stored = self.table(name), self.table(name).schema
+        for c in self.definition(name).columns:
+            if c.computed is not None:
+                try:
+                    frame = frame.withColumn(c.name, F.expr(translate_value(c.computed, self.key(name), stored)))
+                except ConfigError:
+                    continue
+        return frame
+
     def read(self, entries: list[str], schema: T.StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{e}" for e in entries])
 
@@ -169,7 +181,8 @@ class Warehouse:
         has in the same column, is a conflict: entries are never changed or removed."""
         old = self.ledger()
         cell, value = ["TargetTable", "RowKey", "ColumnName"], ["TargetTable", "ColumnName", "Value"]
-        new = entries.join(old.select(*cell, "Value"), [*cell, "Value"], "left_anti").persist()
+        new = entries.join(old.select(*cell, "Value"), [*cell, "Value"], "left_anti")
+        new = settle(new)
         both = old.unionByName(new)
         for keys, what in ((cell, "a cell has two values"), (value, "a value is given to two rows")):
             touched = new.select(keys).distinct()
@@ -181,11 +194,11 @@ class Warehouse:
     # SQL ------------------------------------------------------------------------------------------------------------
 
     def sql(self, query: str) -> DataFrame:
-        """A T-SQL query over the tables. Bits are 0 and 1 there."""
+        """A T-SQL query over the tables with their computed columns. Bits are 0 and 1 there."""
         names = {}
         for name in self.tables():
             view = "seedloom__" + name.lower().replace(".", "__").replace(" ", "_")
-            frame = self.table(name)
+            frame = self.whole(name)
             frame = frame.select([F.col(f"`{f.name}`").cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else F.col(f"`{f.name}`") for f in frame.schema.fields])
             frame.createOrReplaceTempView(view)
             names[name.lower()] = view
