@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,17 @@ from seedloom.functions import faker, generators
 from seedloom.functions.coerce import canonical, coerce, printed, truncated
 from seedloom.functions.draw import Draw
 from seedloom.functions.permute import ROUNDS, permute, side_of
-from seedloom.functions.strategies import ALPHABET, SIMPLE, Context, chosen
+from seedloom.functions.strategies import ALPHABET, SIMPLE, Context
 from seedloom.operators import audit, evaluate, gaps, repair
 from seedloom.operators import survey as S
-from seedloom.operators.generate import NULL_SLOT, Generator, lookup
+from seedloom.operators.generate import NULL_SLOT, PICK_SLOT, Generator, lookup
 from seedloom.plans.dialect import translate_sql
-from seedloom.sources.ddl import ColumnDef, parse_single
-from seedloom.sources.gaprules import GapRule
+from seedloom.shared import shared_dir
+from seedloom.sources.datasets import Dataset, DatasetStore
+from seedloom.sources.ddl import ColumnDef, parse_script, parse_single
+from seedloom.sources.gaprules import GapRule, GapRules
 from seedloom.sources.rules import ColumnRule, Evaluation, Expectation, Rules
+from seedloom.sources.warehouse import LEDGER_NAME, Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,10 +158,11 @@ def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.gap_rows(_PRIORITY, t(spark, sf_dir, "orders"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_custkey % 3 = 0")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F'")
 def gap_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned are all finished orders; those that are still bad remain."""
     orders = t(spark, sf_dir, "orders")
-    return gaps.remaining(_PRIORITY, orders, orders.filter("o_custkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("key")))
+    return gaps.remaining(_PRIORITY, orders, orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("key")))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,31 +201,61 @@ covered("cov_selected_valid", "lang = 'fr' OR quality IS NULL", "quality IS NOT
 covered("cov_indeterminate", "quality = 0", "quality = 1", "quality = 0", "quality = 1")
 
 
+def house(spark: SparkSession, ddl: str, **frames: DataFrame) -> Warehouse:
+    """A warehouse in the shared folder with the script's tables; frames by table name."""
+    w = Warehouse(spark, f"{shared_dir(spark)}/house-{uuid.uuid4().hex}")
+    for table in parse_script(ddl):
+        w.create(table, frames[table.name].select([F.col(f.name).cast(f.dataType) for f in table.struct().fields]) if table.name in frames else None)
+    return w
+
+
+CUSTOMER = "CREATE TABLE dbo.customer (c_custkey BIGINT NOT NULL PRIMARY KEY, c_acctbal FLOAT, c_mktsegment VARCHAR(20))"
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return house(spark, CUSTOMER, customer=t(spark, sf_dir, "customer"))
+
+
+def gap_rule(rule_id: str, gap: str, **more: object) -> GapRule:
+    given = {"table": "dbo.customer", "key": "c_custkey", "column": "c_mktsegment", "kind": "ephemeral", "fix": "lorem.word", "threshold": 10**9, "reason": "-"}
+    return GapRule(**given | {"id": rule_id, "gap": gap} | more)
+
+
 @query("""
-SELECT rule, n, threshold, CASE WHEN n > threshold THEN 'BLOCKED' ELSE 'OK' END AS status FROM (
+SELECT rule, n, threshold, CASE WHEN n > threshold THEN 'BLOCKED' ELSE 'OK' END AS status, CASE WHEN n > threshold THEN 0 ELSE n END AS patches FROM (
 SELECT 'low' AS rule, count(*) FILTER (WHERE c_acctbal < 0) AS n, CAST(10 AS BIGINT) AS threshold FROM customer
 UNION ALL SELECT 'segment', count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT c_acctbal BETWEEN 0 AND 5000), CAST(1000000 AS BIGINT) FROM customer)
 """)
 def plan_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = t(spark, sf_dir, "customer")
-    rules = [GapRule(id="low", table="dbo.customer", gap="c_acctbal < 0", threshold=10), GapRule(id="segment", table="dbo.customer", gap="c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT c_acctbal BETWEEN 0 AND 5000", threshold=1_000_000)]
-    one = customer.agg(*[F.count_if(gaps.gap(r, customer)).alias(r.id) for r in rules])
-    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(r.id).alias("n"), F.lit(r.threshold).cast("long").alias("threshold")) for r in rules])
-    return one.select(F.explode(each).alias("x")).select("x.*", F.when(F.col("x.n") > F.col("x.threshold"), "BLOCKED").otherwise("OK").alias("status"))
+    rules = GapRules((gap_rule("low", "c_acctbal < 0", threshold=10), gap_rule("segment", "c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT c_acctbal BETWEEN 0 AND 5000", threshold=1_000_000)), DatasetStore())
+    made = repair.plan(customers(spark, sf_dir), rules, SEED)["rules"]
+    return spark.createDataFrame([(r["id"], r["count"], r["threshold"], r["status"], len(r["patches"])) for r in made], "rule string, n long, threshold long, status string, patches long")
+
+
+def patches(spark: SparkSession, doc: dict, key: str) -> DataFrame:
+    rows = [(p["key"][key], p["value"], "patched") for p in doc["patches"]] + [(p["key"][key], None, p["why"]) for p in doc.get("skipped", [])]
+    return spark.createDataFrame(rows, "key string, value string, what string")
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS key, list_extract([{', '.join(repr(w) for w in faker.LOREM)}], CAST(CAST('0x' || substr(md5('{SEED}|dbo.customer|e1|' || c_custkey || '|1|0'), 1, 8) AS BIGINT) % {len(faker.LOREM)} + 1 AS INTEGER)) AS value, 'patched' AS what FROM customer WHERE c_acctbal < 0")
+def plan_ephemeral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = customers(spark, sf_dir)
+    return patches(spark, repair.values(w, gap_rule("E1", "c_acctbal < 0"), DatasetStore(), w.table("dbo.customer"), SEED), "c_custkey")
 
 
-@query("SELECT p_partkey, nullif(p_size % 12, 5) AS rooms, CASE WHEN nullif(p_size % 12, 5) < 1 THEN 1 ELSE (nullif(p_size % 12, 5) + 2) // 3 END AS value, CASE WHEN nullif(p_size % 12, 5) IS NULL THEN 'skipped' ELSE 'patched' END AS what FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(CASE WHEN rooms IS NULL THEN NULL WHEN rooms < 1 THEN 1 ELSE (rooms + 2) // 3 END AS VARCHAR) AS value, CASE WHEN rooms IS NULL THEN 'an input is NULL' ELSE 'patched' END AS what FROM (SELECT p_partkey, nullif(p_size % 12, 5) AS rooms FROM part)")
 def plan_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = t(spark, sf_dir, "part").select("p_partkey", F.expr("nullif(p_size % 12, 5)").alias("rooms"))
-    value = generators.find(generators.DERIVED, "security.bathroomsFromRooms").value({"rooms": F.col("rooms")})
-    return part.select("p_partkey", "rooms", F.when(F.col("rooms").isNotNull(), value).alias("value"), F.when(F.col("rooms").isNull(), "skipped").otherwise("patched").alias("what"))
+    w = house(spark, "CREATE TABLE dbo.part (p_partkey BIGINT NOT NULL PRIMARY KEY, rooms INT, baths INT)", part=t(spark, sf_dir, "part").select("p_partkey", F.expr("nullif(p_size % 12, 5)").alias("rooms"), F.lit(None).alias("baths")))
+    rule = gap_rule("D1", "baths IS NULL", table="dbo.part", key="p_partkey", column="baths", kind="derived", fix="security.bathroomsFromRooms", inputs=("rooms",))
+    return patches(spark, repair.values(w, rule, DatasetStore(), w.table("dbo.part"), SEED), "p_partkey")
 
 
-@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END AS value, CASE WHEN n_regionkey > 2 THEN 'skipped' ELSE 'patched' END AS what FROM nation")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END AS value, CASE WHEN n_regionkey > 2 THEN 'no dataset row has these inputs' ELSE 'patched' END AS what FROM nation")
 def plan_dataset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([("0", "south"), ("1", "west"), ("2", "east")], "k string, value string")
-    found = t(spark, sf_dir, "nation").join(F.broadcast(table), F.col("n_regionkey").cast("string") == F.col("k"), "left")
-    return found.select("n_nationkey", "value", F.when(F.col("value").isNull(), "skipped").otherwise("patched").alias("what"))
+    w = house(spark, "CREATE TABLE dbo.nation (n_nationkey INT NOT NULL PRIMARY KEY, n_regionkey INT, zone VARCHAR(9))", nation=t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lit(None).alias("zone")))
+    zones = DatasetStore([Dataset("zones", ("n_regionkey", "zone"), (("0", "south"), ("1", "west"), ("2", "east")))])
+    rule = gap_rule("D2", "zone IS NULL", table="dbo.nation", key="n_nationkey", column="zone", kind="derived", fix="dataset.zones", inputs=("n_regionkey",))
+    return patches(spark, repair.values(w, rule, zones, w.table("dbo.nation"), SEED), "n_nationkey")
 
 
 # Draws and strategies -----------------------------------------------------------------------------------------------------
@@ -268,37 +303,69 @@ strategy("gen_time", "time", ColumnRule("time"), f"lpad(CAST({_SEC} // 3600 AS V
 
 
 @query(f"""
-SELECT c_custkey, n_nationkey IS NOT NULL AS known FROM (SELECT c_custkey, {bits("gen_lookup", 0, wide=True)} % (SELECT count(*) FROM nation) AS pick FROM customer) c
-LEFT JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) x ON pick = p
+SELECT c_custkey, n_nationkey AS v FROM (SELECT c_custkey, {bits("gen_lookup", 0, wide=True)} % (SELECT count(*) FROM nation) AS pick FROM customer) c
+JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY md5(CAST(n_nationkey AS VARCHAR))) - 1 AS p FROM nation) x ON pick = p
 """)
 def gen_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's pick of a nation is one of the nations. Which one follows from the order of the lookup's numbers."""
+    """Every customer's pick of a nation; the list is in the order of its values' hashes."""
     source = lookup(spark, t(spark, sf_dir, "nation").select("n_nationkey"), "gen_lookup")
     picks = t(spark, sf_dir, "customer").select("c_custkey", Draw(SEED, "dbo.customer", "gen_lookup", F.col("c_custkey")).below(F.lit(source.size).cast("long")).alias("pick"))
-    return picks.join(source.frame, "pick", "left").select("c_custkey", F.col("value").isNotNull().alias("known"))
+    return picks.join(source.frame, "pick", "left").select("c_custkey", F.col("value").alias("v"))
 
 
-_REGIONS = [("AF", "Africa"), ("AM", "America"), ("AS", "Asia"), ("EU", "Europe")]
-_PICK = bits("gen_dataset", 0)
+def generated(spark: SparkSession, ddl: str, rows: int, columns: dict[str, ColumnRule], datasets: DatasetStore | None = None, **lookups: DataFrame) -> DataFrame:
+    """A table with its row numbers (k)."""
+    g = Generator(spark, parse_single(ddl), Rules(rows=rows, seed=SEED, columns=columns), datasets, lookups)
+    return g.frame(with_row=True).withColumnRenamed("__row", "k")
 
 
-@query(f"SELECT c_custkey, list_extract(['AF', 'AM', 'AS', 'EU'], CAST({_PICK} % 4 + 1 AS INTEGER)) AS code, list_extract(['Africa', 'America', 'Asia', 'Europe'], CAST({_PICK} % 4 + 1 AS INTEGER)) AS name FROM customer")
+_REGIONS = DatasetStore([Dataset("regions", ("Code", "Name"), (("AF", "Africa"), ("AM", "America"), ("AS", "Asia"), ("EU", "Europe")))])
+_ROWS = "(SELECT unnest(range(1, CAST((SELECT count(*) FROM customer) AS BIGINT) + 1)) AS k)"
+_PICK = bits("dataset regions", PICK_SLOT, "k", table="dbo.d")
+
+
+@query(f"SELECT k, list_extract(['AF', 'AM', 'AS', 'EU'], CAST({_PICK} % 4 + 1 AS INTEGER)) AS Code, list_extract(['Africa', 'America', 'Asia', 'Europe'], CAST({_PICK} % 4 + 1 AS INTEGER)) AS Name FROM {_ROWS}")
 def gen_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = chosen(list(_REGIONS), None, Draw(SEED, "dbo.customer", "gen_dataset", F.col("c_custkey")))
-    column = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in _REGIONS]), F.col("pick") + 1)
-    return t(spark, sf_dir, "customer").select("c_custkey", pick.alias("pick")).select("c_custkey", column(0).alias("code"), column(1).alias("name"))
+    """Two columns of one dataset: each row has both from the same pick."""
+    return generated(spark, "CREATE TABLE dbo.D (Code CHAR(2) NOT NULL, Name VARCHAR(20) NOT NULL)", t(spark, sf_dir, "customer").count(), {"Code": ColumnRule("dataset", dataset="regions"), "Name": ColumnRule("dataset", dataset="regions")}, _REGIONS)
 
 
-@query(f"""
-WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM supplier),
-walk AS (SELECT s_suppkey, 0 AS k, (s_suppkey - 1) // side AS a, (s_suppkey - 1) % side AS b FROM supplier, n
-         UNION ALL SELECT s_suppkey, k + 1, b, (a + CAST('0x' || substr(md5('{SEED}:' || (k % {ROUNDS} + 1) || ':' || b), 1, 8) AS BIGINT)) % side FROM walk, n WHERE k = 0 OR k % {ROUNDS} <> 0 OR a * side + b >= n.n)
-SELECT s_suppkey, a * side + b AS v FROM walk, n WHERE k > 0 AND k % {ROUNDS} = 0 AND a * side + b < n.n
-""")
+def permuted(n: str, key: str, columns: str, more: str) -> str:
+    """SQL that permutes 0..n-1 (n: a query); a * side + b is the number that p becomes."""
+    return f"""
+WITH RECURSIVE n AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM ({n})),
+walk AS (SELECT p, 0 AS k, p // side AS a, p % side AS b FROM (SELECT unnest(range(n)) AS p, side FROM n)
+         UNION ALL SELECT p, k + 1, b, (a + CAST('0x' || substr(md5('{key}:' || (k % {ROUNDS} + 1) || ':' || b), 1, 8) AS BIGINT)) % side FROM walk, n WHERE k = 0 OR k % {ROUNDS} <> 0 OR a * side + b >= n.n),
+done AS (SELECT p, a * side + b AS v FROM walk, n WHERE k > 0 AND k % {ROUNDS} = 0 AND a * side + b < n.n)
+SELECT {columns} FROM done {more}
+"""
+
+
+@query(permuted("SELECT count(*) AS n FROM supplier", str(SEED), "s_suppkey, v", "JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS q FROM supplier) ON p = q"))
 def gen_unique_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A permutation of the suppliers' places in the order of their keys."""
     supplier = t(spark, sf_dir, "supplier").select("s_suppkey")
     n = F.lit(supplier.count()).cast("long")
-    return supplier.select("s_suppkey", permute(F.col("s_suppkey") - 1, n, side_of(n), SEED).alias("v"))
+    placed = lookup_order(supplier, "s_suppkey")
+    return placed.select("s_suppkey", permute(F.col("place"), n, side_of(n), SEED).alias("v"))
+
+
+def lookup_order(frame: DataFrame, key: str) -> DataFrame:
+    """frame with each row's place in the order of a distinct whole-number key, counted by ranges."""
+    low, high = frame.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return frame.withColumn("place", F.lit(0).cast("long"))
+    from seedloom.operators.generate import ROW, numbered
+
+    rows = numbered(frame.select((F.col(key) - low + 1).alias(ROW)), high - low + 1, "place")
+    return frame.join(rows, F.col(key) - low + 1 == F.col(ROW)).select(*frame.columns, "place")
+
+
+@query(permuted("SELECT count(*) AS n FROM customer", f"{SEED}|dbo.u|code", "p + 1 AS k, CAST(v + 1 AS BIGINT) AS Code", ""))
+def gen_unique_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many unique numbers as the range has."""
+    n = t(spark, sf_dir, "customer").count()
+    return generated(spark, "CREATE TABLE dbo.U (Code BIGINT NOT NULL)", n, {"Code": ColumnRule("int", min="1", max=str(n), unique=True)})
 
 
 @query("SELECT c_custkey, substr(c_name, 1, 10) AS v, length(c_name) > 10 AS cut FROM customer")
@@ -339,6 +406,55 @@ _EAN = f"({sql_digits('fake_ean13', 12, 1)})"
 strategy("fake_ean13", "varchar", ColumnRule("faker", method="commerce.ean13"), f"{_EAN} || ((10 - list_sum(list_transform(range(1, 13), lambda k: CAST(substr({_EAN}, CAST(k AS INTEGER), 1) AS INTEGER) * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)")
 
 
+
+
+def fake(method: str, sql: Callable[[str], str], kind: str = "varchar") -> None:
+    """A vocabulary method; sql gets the column's name."""
+    name = "fake_" + "".join("_" + c.lower() if c.isupper() else c for c in method.replace(".", "_"))
+    strategy(name, kind, ColumnRule("faker", method=method), sql(name))
+
+
+def lorem(c: str, slot: int) -> str:
+    """Words of a sentence: their number and each of them are draws."""
+    word = f"list_extract({sql_list(faker.LOREM)}, CAST({bits(c, f'(k + {slot * 1000})')} % {len(faker.LOREM)} + 1 AS INTEGER))"
+    text = f"array_to_string(list_transform(range(1, CAST({bits(c, slot)} % 9 + 5 AS BIGINT)), lambda k: {word}), ' ')"
+    return f"(upper(substr({text}, 1, 1)) || substr({text}, 2) || '.')"
+
+
+def _street(c: str) -> str:
+    return f"({bits(c, 11)} % 200 + 1) || ' ' || {sql_pick(c, faker.STREETS, 12)} || ' ' || {sql_pick(c, faker.KINDS, 13)}"
+
+
+def _domain(c: str) -> str:
+    return f"{sql_pick(c, faker.WORDS, 21)} || {sql_pick(c, faker.WORDS, 22)} || '.' || {sql_pick(c, faker.TLDS, 23)}"
+
+
+def _picks(*lists: list[str], lower: tuple[int, ...] = ()) -> Callable[[str], str]:
+    """One of each list, with spaces between."""
+    return lambda c: " || ' ' || ".join(f"lower({sql_pick(c, x, k)})" if k in lower else sql_pick(c, x, k) for k, x in enumerate(lists, 1))
+
+
+for _method, _lists in {
+    "name.firstName": (faker.FIRST,), "name.jobTitle": (faker.LEVELS, faker.AREAS, faker.ROLES), "address.city": (faker.CITIES,), "address.state": (faker.STATES,), "address.country": ([c[0] for c in faker.COUNTRIES],), "address.countryCode": ([c[1] for c in faker.COUNTRIES],),
+    "company.companyName": (faker.LAST, faker.FORMS), "commerce.productName": (faker.ADJECTIVES, faker.MATERIALS, faker.NOUNS), "commerce.department": (faker.DEPARTMENTS,), "commerce.color": (faker.COLORS,), "lorem.word": (faker.LOREM,),
+    "finance.currencyCode": (faker.CURRENCIES,), "vehicle.manufacturer": (faker.MAKERS,), "vehicle.model": (faker.MODELS,),
+}.items():
+    fake(_method, _picks(*_lists))
+fake("name.lastName", lambda c: sql_pick(c, faker.LAST, 2))
+fake("internet.userName", lambda c: f"lower({sql_pick(c, faker.FIRST, 1)}) || '.' || lower({sql_pick(c, faker.LAST, 2)}) || ({bits(c, 3)} % 1000)")
+fake("internet.domainName", _domain)
+fake("internet.url", lambda c: f"'https://' || {_domain(c)} || '/' || {sql_pick(c, faker.WORDS, 24)}")
+fake("address.zipCode", lambda c: sql_digits(c, 5, 1))
+fake("address.streetAddress", _street)
+fake("address.fullAddress", lambda c: f"{_street(c)} || ', ' || {sql_pick(c, faker.CITIES, 1)} || ', ' || {sql_pick(c, faker.STATES, 2)}")
+fake("address.latitude", lambda c: f"round({bits(c, 1)} / 4294967296.0::DOUBLE * 180 - 90, 4)", "float")
+fake("address.longitude", lambda c: f"round({bits(c, 1)} / 4294967296.0::DOUBLE * 360 - 180, 4)", "float")
+fake("company.catchPhrase", _picks(faker.VERBS, faker.AREAS, faker.WORDS, lower=(2,)))
+fake("lorem.sentence", lambda c: lorem(c, 1))
+fake("lorem.paragraph", lambda c: " || ' ' || ".join(lorem(c, k) for k in range(1, 5)))
+fake("finance.accountName", lambda c: f"{sql_pick(c, faker.ACCOUNTS, 1)} || ' Account'")
+
+
 @query(f"SELECT c_custkey, 'DE' || {sql_digits('fix_security_id', 3, 1)} || {' || '.join(sql_pick('fix_security_id', list(generators.ID_ALPHABET), k) for k in range(20, 26))} AS v FROM customer")
 def fix_security_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").select("c_custkey", generators.security_id(Draw(SEED, "dbo.customer", "fix_security_id", F.col("c_custkey"))).alias("v"))
@@ -355,26 +471,34 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         printed(F.col("o_orderstatus").cast("binary"), T.BinaryType()).alias("bytes_cell"), printed(low, T.StringType()).alias("text_cell"), canonical(F.col("o_orderdate"), T.TimestampNTZType()).alias("key_text"))
 
 
-@query("SELECT CAST(900 AS BIGINT) AS rows, CAST(900 AS BIGINT) AS values, CAST(2 AS INTEGER) AS low, CAST(2 AS INTEGER) AS high")
+def _letter(row: str, attempt: str) -> str:
+    return f"substr('{ALPHABET}', CAST(CAST('0x' || substr(md5('{SEED}|dbo.u|code|' || {row} || '|0|' || {attempt}), 1, 15) AS BIGINT) % 62 + 1 AS INTEGER), 1)"
+
+
+@query(f"""
+WITH RECURSIVE made AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL SELECT k + 1, list_append(taken, list_filter(list_transform(range(0, 100), lambda a: {_letter("(k + 1)", "a")}), lambda v: NOT list_contains(taken, v))[1]) FROM made WHERE k < 45)
+SELECT k, taken[CAST(k AS INTEGER)] AS Code FROM made WHERE k > 0
+""")
 def gen_unique_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique texts of two characters: many rows collide at first and draw again."""
-    table = parse_single("CREATE TABLE dbo.U (Code CHAR(2) NOT NULL)")
-    g = Generator(spark, table, Rules(rows=900, seed=SEED, columns={"Code": ColumnRule("string", length=2, unique=True)}))
-    return g.frame().agg(F.count("*").alias("rows"), F.countDistinct("Code").alias("values"), F.min(F.length("Code")).alias("low"), F.max(F.length("Code")).alias("high"))
+    """Unique letters: most rows collide and draw again; a row's value is the first draw that no row before it has."""
+    return generated(spark, "CREATE TABLE dbo.U (Code CHAR(1) NOT NULL)", 45, {"Code": ColumnRule("string", length=1, unique=True)})
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS known, count(*) > 0 AS spread FROM customer")
+_FOUND = f"(SELECT n_nationkey, row_number() OVER (ORDER BY md5(CAST(n_nationkey AS VARCHAR))) - 1 AS p FROM nation)"
+
+
+@query(f"""
+SELECT k, CAST(k AS INTEGER) AS Id, CAST(n_nationkey AS INTEGER) AS Nation, list_extract({"[" + ", ".join(repr(x) for x in faker.LAST) + "]"}, CAST({bits("name", 1, "k", table="dbo.g")} % {len(faker.LAST)} + 1 AS INTEGER)) || ' ' ||
+list_extract({"[" + ", ".join(repr(x) for x in faker.FORMS) + "]"}, CAST({bits("name", 2, "k", table="dbo.g")} % {len(faker.FORMS)} + 1 AS INTEGER)) AS Name
+FROM {_ROWS} r JOIN {_FOUND} x ON {bits("nation", PICK_SLOT, "k", table="dbo.g")} % (SELECT count(*) FROM nation) = p
+""")
 def gen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole table by rules, as many rows as customers, with a foreign key drawn from the nations."""
     n = t(spark, sf_dir, "customer").count()
-    nations = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    if not n:
-        return spark.createDataFrame([(0, True, False)], "rows long, known boolean, spread boolean")
-    table = parse_single("CREATE TABLE dbo.G (Id INT IDENTITY PRIMARY KEY, Nation INT NOT NULL REFERENCES dbo.nation(n_nationkey), Name NVARCHAR(40) NOT NULL)")
-    rules = Rules(rows=n, seed=SEED, columns={"Nation": ColumnRule("query", query="SELECT n_nationkey FROM dbo.nation"), "Name": ColumnRule("faker", method="company.companyName")})
-    made = Generator(spark, table, rules, lookups={"Nation": nations}).frame()
-    known = made.join(nations, made["Nation"] == nations["k"], "left")
-    return known.agg(F.count("*").alias("rows"), F.bool_and(F.col("k").isNotNull()).alias("known"), (F.countDistinct("Nation") > 1).alias("spread"))
+    ddl = "CREATE TABLE dbo.G (Id INT IDENTITY PRIMARY KEY, Nation INT NOT NULL REFERENCES dbo.nation(n_nationkey), Name NVARCHAR(40) NOT NULL)"
+    rules = {"Nation": ColumnRule("query", query="SELECT n_nationkey FROM dbo.nation"), "Name": ColumnRule("faker", method="company.companyName")}
+    return generated(spark, ddl, max(n, 1), rules, Nation=t(spark, sf_dir, "nation").select("n_nationkey")).filter(F.col("k") <= n)
 
 
 # Repair -------------------------------------------------------------------------------------------------------------------
@@ -408,26 +532,31 @@ def facts_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.patch_facts(_log(spark, sf_dir)).select("rule", "patched", F.array_join("samples", ",").alias("samples"))
 
 
-@query(f"SELECT id, min(struct_pack(seq := seq, old := old)).old AS old FROM {_LOG_SQL} GROUP BY id")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN CAST(CAST(c_custkey AS DOUBLE) / 2 AS DOUBLE) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 def revert_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir).groupBy("id").agg(F.min(F.struct("seq", "old"))["old"].alias("old"))
+    """A log that patched cells twice is taken back: each gets its earliest old value."""
+    w = customers(spark, sf_dir)
+    rules = GapRules((gap_rule("B1", "c_acctbal < 0", column="c_acctbal"),), DatasetStore())
+    keys = [r[0] for r in gaps.gap_rows(rules.rules[0], w.table("dbo.customer")).collect()]  # as many as patches
+    entry = lambda k, old, new: {"rule": "B1", "id": {"c_custkey": str(k)}, "col": "c_acctbal", "old": old, "new": new}
+    repair.revert(w, rules, [entry(k, str(k / 2), "1") for k in keys] + [entry(k, "1", "2") for k in keys])
+    return w.table("dbo.customer")
 
 
-@query(f"""
-WITH led AS (SELECT s_suppkey AS k, s_suppkey + 100000 AS v FROM supplier WHERE s_suppkey % 4 = 0),
-r AS (SELECT s_suppkey AS k, CAST('0x' || substr(md5('{SEED}|dbo.supplier|plan_identity|' || s_suppkey || '|0|0'), 1, 8) AS BIGINT) % 3000 + 1 AS v FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 2 = 0)
-SELECT k, v, 'ledger' AS origin FROM led
-UNION ALL SELECT min(k), v, 'minted' FROM r WHERE v NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1) AND v NOT IN (SELECT v FROM led) GROUP BY v
-""")
 def plan_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One round: what the ledger knows is used again; drawn values that are taken go, of equal draws the smaller key has it."""
-    supplier = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    ledger = supplier.filter("k % 4 = 0").select("k", (F.col("k") + 100_000).alias("v"))
-    rows = supplier.filter("k % 2 = 0")
-    known = rows.join(ledger, "k").select("k", "v", F.lit("ledger").alias("origin"))
-    new = rows.join(ledger, "k", "left_anti").select("k", (Draw(SEED, "dbo.supplier", "plan_identity", F.col("k")).below(3000) + 1).alias("v"))
-    taken = supplier.filter("k % 2 = 1").select(F.col("k").alias("v")).unionByName(ledger.select("v"))
-    return known.unionByName(new.join(taken, "v", "left_anti").groupBy("v").agg(F.min("k").alias("k")).select("k", "v", F.lit("minted").alias("origin")))
+    """Identities for all suppliers: what the ledger has is used again, others draw until each has a value of its own. The
+    rounds are beyond SQL; a test holds them against a plain version."""
+    supplier = t(spark, sf_dir, "supplier").select("s_suppkey", F.lit(None).cast("string").alias("code"), "s_nationkey")
+    w = house(spark, "CREATE TABLE dbo.supplier (s_suppkey BIGINT NOT NULL PRIMARY KEY, code VARCHAR(20))", supplier=supplier)
+    known = supplier.filter("s_nationkey < 12").select(F.lit("dbo.supplier").alias("TargetTable"), F.col("s_suppkey").cast("string").alias("RowKey"), F.lit("code").alias("ColumnName"), F.concat(F.lit("K"), "s_suppkey").alias("Value"), F.lit("I1").alias("RuleId"), F.current_timestamp().alias("CreatedAt"), F.lit("x").alias("CreatedBy"))
+    w.publish(w.manifest(), {LEDGER_NAME: [w.stage(LEDGER_NAME, w.with_entries(known))]})
+    rule = gap_rule("I1", "code IS NULL", table="dbo.supplier", key="s_suppkey", column="code", kind="identity", fix="address.zipCode")
+    doc = repair.values(w, rule, DatasetStore(), w.table("dbo.supplier"), SEED)
+    minted = {p["key"]["s_suppkey"] for p in doc["newIdentities"]}
+    return spark.createDataFrame([(p["key"]["s_suppkey"], p["value"], "minted" if p["key"]["s_suppkey"] in minted else "ledger") for p in doc["patches"]], "key string, value string, origin string")
+
+
+QUERIES["plan_identity"] = plan_identity
 
 
 @query("""

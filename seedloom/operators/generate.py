@@ -46,12 +46,12 @@ class Source:
 
 
 def lookup(spark: SparkSession, frame: DataFrame, column: str) -> Source:
-    """The first column of a query's result, without nulls, numbered from 0; duplicates count.
+    """The first column of a query's result, without nulls, numbered from 0 in the order of its hash; duplicates count.
 
     Numbers are counted by hash bucket: no partition has to hold or sort the whole list."""
     values = frame.select(F.col(frame.columns[0]).alias("value")).filter("value is not null")
     kind = values.schema[0].dataType
-    grouped = values.groupBy("value").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.hash(F.md5(F.col("value").cast("string"))), F.lit(LOOKUP_BUCKETS)))
+    grouped = values.groupBy("value").agg(F.count("*").alias("n")).withColumn("bucket", F.conv(F.substring(F.md5(F.col("value").cast("string")), 1, 2), 16, 10).cast("int"))
     bucket_sizes = {r["bucket"]: r["n"] for r in grouped.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # as many as buckets
     size = sum(bucket_sizes.values())
     if not size:
