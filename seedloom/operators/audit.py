@@ -56,9 +56,10 @@ def verdict(violations: list[dict]) -> dict:
 
 def fallback(doc: dict) -> str:
     """A report that only repeats the facts, and so passes its audit. Nothing is counted here."""
-    short = lambda sha: f"`{sha[:12]}`" if sha else "(none)"
+    # Whole hashes: of a part of one that has digits only the facts would know nothing.
+    spelled = lambda sha: f"`{sha}`" if sha else "(none)"
     key = lambda k: ", ".join(f"{a} {b}" for a, b in k.items())
-    lines = ["# Repair run", "", f"Run `{doc['runId']}`, plan {short(doc['planSha'])}, rules {short(doc['rulesSha'])}, approved by {doc.get('approver', 'nobody known')} at {doc['ts']}.", "", "| rule | column | kind | patched | skipped |", "|---|---|---|---|---|"]
+    lines = ["# Repair run", "", f"Run `{doc['runId']}`, plan {spelled(doc['planSha'])}, rules {spelled(doc['rulesSha'])}, approved by {doc.get('approver', 'nobody known')} at {doc['ts']}.", "", "| rule | column | kind | patched | skipped |", "|---|---|---|---|---|"]
     for r in doc["rules"]:
         lines.append(f"| {r['id']} | {r['column']} | {r['kind']} | {r['patched']} | {'; '.join(key(s['key']) for s in r['skipped']) or 'none'} |")
     lines += ["", "New identities, permanent:", ""] + [f"- {key(i['key'])}: `{i['value']}`" for i in doc["newIdentities"]] + (["- none"] if not doc["newIdentities"] else [])

@@ -39,13 +39,14 @@ def type_name(tokens: list[Token], k: int) -> tuple[str, int]:
     return spark + args, k
 
 
-def translate_sql(sql: str, names: dict[str, str] | None = None) -> str:
+def translate_sql(sql: str, names: dict[str, str] | None = None, made: dict[str, tuple[str, str]] | None = None) -> str:
     """A query for spark.sql. names: what tables are registered as, by 'schema.table' and 'table' in lower case.
 
     Handled: quoting, TOP, N'..', renamed functions, CONVERT, type names, + between strings where one side is a
     literal, != and the like. Tokens don't tell the types of what is divided: the result chooses by the operands' types. It
     is a double then, of a whole number where both are whole. NEWID() takes a fixed seed."""
     names = {k.lower(): v for k, v in (names or {}).items()}
+    made = {} if made is None else made
     tokens = tokenize(sql)
     out: list[str] = []
     tops: list[tuple[int, str]] = []  # depth of the SELECT, rows
@@ -84,8 +85,8 @@ def translate_sql(sql: str, names: dict[str, str] | None = None) -> str:
             continue
         if t.text == "/" and out:
             start, end = _chain_start(out), _primary_end(tokens, k + 1)
-            left, right = "".join(out[start:]).strip(), translate_sql(sql[nxt.at : tokens[end].at], names)
-            out[start:] = [f" {divided(left, right)}"]
+            left, right = "".join(out[start:]).strip(), translate_sql(sql[nxt.at : tokens[end].at], names, made)
+            out[start:] = [f" {divided(left, right, made)}"]
             k = end
             continue
         if word == "TOP" and t.kind == "word" and (nxt.kind == "number" or nxt.text == "("):
@@ -135,10 +136,24 @@ WHOLE = "('tinyint', 'smallint', 'int', 'bigint')"
 KEYWORDS = set("SELECT WHERE AND OR NOT IN ON WHEN THEN ELSE BETWEEN LIKE BY HAVING AS FROM JOIN CASE DISTINCT ALL UNION EXISTS LIMIT".split())
 
 
-def divided(left: str, right: str) -> str:
-    """A division that cuts off fractions if both sides are whole numbers; which it is, is known once the query is analysed."""
-    whole = f"typeof({left}) IN {WHOLE} AND typeof({right}) IN {WHOLE}"
-    return f"(CASE WHEN {whole} THEN try_cast({left} AS bigint) div try_cast({right} AS bigint) ELSE ({left}) / ({right}) END)"
+def divided(left: str, right: str, made: dict[str, tuple[str, str]]) -> str:
+    """A division that cuts off fractions if both sides are whole numbers; which it is, is known once the query is analysed.
+
+    made: for divisions written before, when they are whole and what they are then; one inside an operand counts as whole."""
+    conditions, sides = [], []
+    for side in (left, right):
+        for text, (condition, whole) in made.items():
+            if text in side:
+                conditions.append(condition)
+                side = side.replace(text, whole)
+        sides.append(side)
+        conditions.append(f"typeof({side}) IN {WHOLE}")
+    condition, whole = " AND ".join(conditions), f"(try_cast({sides[0]} AS bigint) div try_cast({sides[1]} AS bigint))"
+    out = f"(CASE WHEN {condition} THEN {whole} ELSE ({left}) / ({right}) END)"
+    for text in [t for t in made if t in out]:
+        del made[text]
+    made[out] = condition, whole
+    return out
 
 
 def _chain_start(out: list[str]) -> int:

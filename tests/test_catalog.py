@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from seedloom import catalog
+from seedloom import catalog, catalog_parts  # noqa: F401
 
 WORDS = "amber basin cedar delta ember fable grove".split()
 
