@@ -119,3 +119,41 @@ def test_customers_end_to_end(spark, tmp_path):
     assert results[-1].informational and evaluate.lines(results)[-1].startswith("INFO")
     broken = evaluate.run(R.loads("evaluations:\n  - {name: x, query: SELECT nope FROM dbo.Customers}").evaluations, w.sql)
     assert not broken[0].passed and "query failed" in broken[0].error
+
+
+@pytest.mark.parametrize("rule", [
+    "{strategy: int, min: 1, max: 60, unique: true, nullRate: 0.5}", "{strategy: int, min: 1, max: 40000000, unique: true}", "{strategy: string, length: 1, unique: true}", "{strategy: date, min: 2020-01-01, max: 2020-03-09, unique: true, nullRate: 0.4}",
+])
+def test_unique_values_stay_when_rows_are_added(spark, rule):
+    kind = "INT" if "int" in rule else "DATE" if "date" in rule else "VARCHAR(9)"
+    table = parse_single(f"CREATE TABLE T (V {kind} NULL)")
+
+    def made(rows):
+        r = Generator(spark, table, R.loads(f"rows: {rows}\ncolumns:\n  V: {rule}\n")).frame(with_row=True).collect()
+        values = [x["V"] for x in r if x["V"] is not None]
+        assert len(r) == rows and len(set(values)) == len(values)
+        return {x["__row"]: x["V"] for x in r}
+
+    few, many = made(30), made(55 if "string" in rule else 75)
+    assert all(many[k] == v for k, v in few.items())
+
+
+def test_permutations_take_their_own_numbers_only(spark):
+    from pyspark.sql import functions as F
+
+    from seedloom.functions.permute import permute, side_of
+
+    n = F.lit(100).cast("long")
+    assert sorted(r[0] for r in spark.range(100).select(permute(F.col("id"), n, side_of(n), 42)).collect()) == list(range(100))
+    for bad in (-1, 100):
+        with pytest.raises(Exception, match="not a number to permute"):
+            spark.range(bad, bad + 1).select(permute(F.col("id"), n, side_of(n), 42)).collect()
+
+
+def test_lookups_with_a_value_very_many_times(spark, monkeypatch):
+    from seedloom.operators import generate
+
+    monkeypatch.setattr(generate, "LISTED", 10)
+    source = generate.lookup(spark, spark.createDataFrame([("a",)] * 57 + [("b",)] + [(None,)], "v string"), "V")
+    rows = source.frame.collect()
+    assert source.size == 58 and sorted(r["pick"] for r in rows) == list(range(58)) and sum(r["value"] == "a" for r in rows) == 57

@@ -13,7 +13,7 @@ from seedloom.sources import rules as R
 from seedloom.sources.datasets import Dataset, DatasetStore, from_mapping
 from seedloom.sources.ddl import parse_script, parse_single
 from seedloom.sources.rules import Evaluation, Expectation
-from seedloom.sources.warehouse import CsvSink, Warehouse, guard, sample
+from seedloom.sources.warehouse import JdbcSink, CsvSink, Warehouse, guard, sample
 
 
 def test_ddl():
@@ -158,6 +158,28 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["patch", "approve", "--artifacts", run, "--email", "a@example.test"]) == 0 and cli.main(["patch", "apply", *base]) == 0
     assert cli.main(["patch", "verify", *base]) == 0 and cli.main(["patch", "report", "--artifacts", run]) == 0
     assert cli.main(["patch", "notary", "--rules", str(gaps), "--artifacts", run]) == 0 and cli.main(["patch", "revert", *base]) == 0
+    capsys.readouterr()
+    assert cli.main(["sample", "damage", "--warehouse", str(tmp_path / "w"), "--table", "dbo.T", "--key", "Id", "--column", "Age", "--first", "2", "--insert", '[{"Id": 99, "Name": "New"}, {"Id": 1, "Name": "there"}]']) == 0
+    assert "3 cells and rows" in capsys.readouterr().out
+    again = [*base[:-1], str(tmp_path / "again")]
+    assert cli.main(["patch", "run", *again]) == 0 and not (tmp_path / "again/plan.approved").exists()
+    assert cli.main(["patch", "run", *again, "--yes", "--email", "a@example.test"]) == 0 and (tmp_path / "again/report.md").exists()
+    assert cli.main(["patch", "dashboard", "--artifacts", str(tmp_path / "again")]) == 0 and "<h2>Verification</h2>" in (tmp_path / "again/dashboard.html").read_text()
     allow = tmp_path / "allow.json"
     allow.write_text('["/elsewhere"]')
     assert cli.main(["patch", "survey", *base, "--allowlist", str(allow)]) == 4
+
+
+def test_jdbc_sink(spark, tmp_path):
+    """Into a database that comes with Spark, by the sink and by the command line."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    frame = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
+    sink = JdbcSink(url, "T1", batch_size=1)
+    assert sink.load(frame) == 2 and sink.load(frame) == 2 and sink.load(frame, truncate=True) == 2
+    read = lambda name: spark.read.format("jdbc").options(url=url, dbtable=name).load()
+    assert sorted(map(tuple, read("T1").collect())) == [(1, "a"), (2, None)]
+    ddl, rules = tmp_path / "d.sql", tmp_path / "r.yaml"
+    ddl.write_text("CREATE TABLE App.Names (Id INT NOT NULL PRIMARY KEY, Name NVARCHAR(40) NOT NULL)")
+    rules.write_text("rows: 7\ncolumns:\n  Name: {strategy: constant, value: x}\n")
+    assert cli.main(["generate", "--ddl", str(ddl), "--rules", str(rules), "--jdbc", url]) == 0
+    assert read("App.Names").count() == 7
