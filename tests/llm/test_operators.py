@@ -162,6 +162,64 @@ def test_op3_long_runs_and_redaction(spark):
     assert [[(pii.KINDS[x["k"]], x["s"], x["e"]) for x in r[base]] for r in rows.orderBy("doc_id").collect()][2] == op3(long)
 
 
+def planted(seed, n=300):
+    """Texts with personal data and with other numbers, and where the personal data stand."""
+    r = random.Random(seed)
+    words = "the old town lies by a river and its people trade in wool while boats carry grain from hills to markets near harbours".split()
+    some = lambda: " ".join(r.choice(words) for _ in range(r.randint(4, 15)))
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    h = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    data = [
+        lambda: ("please call ", f"({d(3)}) {d(3)}-{d(4)}"), lambda: ("her mobile: ", f"{d(3)}-{d(3)}-{d(4)}"), lambda: ("my account is ", pii.account_number(r.choice(["DE", "ES"]), d(18))), lambda: ("write to ", f"anna.berg [at] {r.choice(words)}.org"),
+        lambda: ("social security ", f"{d(3)}-{d(2)}-{d(4)}"), lambda: ("device ", ":".join(h(2) for _ in range(6))), lambda: ("host address ", f"2001:db8::{h(4)}:{h(3)}"), lambda: ("he was born ", f"19{r.randint(30, 99)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"),
+    ]
+    others = [
+        lambda: ("version ", f"{d(1)}.{d(2)}.{d(3)}"), lambda: ("order ", f"{d(3)} {d(3)} {d(4)}"), lambda: ("part ", f"{d(3)}-{d(2)}-{d(4)}"), lambda: ("at ", f"{r.randint(0, 23)}:{d(2)}:{d(2)}"), lambda: ("table ", f"{d(2)}-{d(2)}-{d(2)}"),
+        lambda: ("release ", f"2024-{r.randint(1, 12):02}-{r.randint(1, 28):02}"), lambda: ("model ", f"AB{d(2)} {d(4)} {d(4)}"), lambda: ("page ", d(3)),
+    ]
+    rows, spans = [], set()
+    for k in range(n):
+        text = some()
+        for _ in range(r.randint(0, 3)):
+            good = r.random() < 0.5
+            before, span = r.choice(data if good else others)()
+            text += " " + before
+            if good:
+                spans.add((k, len(text), len(text) + len(span)))
+            text += span + r.choice([". ", ", ", " "]) + some()
+        rows.append((k, text))
+    return rows, spans
+
+
+def test_op3_planted(spark):
+    """Personal data of kinds that no base pattern finds, planted by another generator than the one of the fit."""
+    rows, wanted = planted(5)
+    found, base, more = pii.scan(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = {(r["doc_id"], x["s"], x["e"]) for r in found.collect() for c in (base, more) for x in r[c]}
+    assert len(got & wanted) / len(wanted) > 0.85 and len(got & wanted) / len(got) > 0.9
+
+
+def test_op3_features_are_the_same_in_both_forms(spark):
+    r = random.Random(3)
+    x, _ = zip(*[pii.examples(k, 1, [], [], {}) for k in range(3)], strict=True)
+    assert x[0].shape == (1, len(pii.FEATURES))
+    spans = ["DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "(415) 555-1234", "2001:db8::1:2", "1980-02-03", "a [at] b.org", "aa:bb:cc:dd:ee:ff"]
+    words = {"call": 1.25, "order": -0.5}
+    rows = [(k, r.choice(spans), r.choice(["please call now ", "an order ", "x/", ""]), r.choice([" and", "/y", ""])) for k in range(60)]
+    kind = F.lit(5)
+    got = spark.createDataFrame(rows, "k int, x string, b string, a string").select("k", F.array(*[f.cast("double") for f in pii.features(F.col("x"), kind, F.col("b"), F.col("a"), words)]).alias("f")).collect()
+    assert all(g["f"] == [float(v) for v in pii.features_of(rows[g["k"]][1], 5, rows[g["k"]][2], rows[g["k"]][3], words)] for g in got)
+
+
+def test_op3_contexts_of_documents(spark):
+    """Words that stand before base spans only become telling."""
+    rows = [(k, f"some text here and there, reach me under jo{k}@a.example today" if k % 2 else "some text here and there about nothing at all that matters") for k in range(200)]
+    near, plain = pii.contexts(spark.createDataFrame(rows, "doc_id int, text string"))
+    words = pii.telling_words(near, plain)
+    assert len(near) == 100 and len(plain) == 200 and words["under"] > 1 and words["reach"] > 1
+    assert pii.contexts(spark.createDataFrame([], "doc_id int, text string")) == ([], [])
+
+
 def test_op4(spark, docs, tables):
     for frame in (docs, spark.read.parquet(f"{tables}/documents.parquet")):
         out, (name, slot) = sharding.shard(frame, 7)
