@@ -6,7 +6,8 @@ that encoding:
 
 * chi-squared over the alphabet, by the number of pairs of equal letters: its exact distribution up to EXACT letters, the
   Wilson-Hilferty form beyond; and over lower case, upper case and the other letters;
-* runs above and below the middle of the alphabet; and the serial correlation of neighbours.
+* runs above and below the middle of the alphabet, and runs of lower case, upper case and other letters, of which text has
+  few and long ones; and the serial correlation of neighbours.
 
 The smallest p-value, times the number of tests, says how random a token looks. How random text looks to the same battery
 is known from DECOYS made-up identifiers, paths and words of each class of tokens (by length, and whether there are
@@ -51,7 +52,7 @@ LENGTHS = [16, 24, 40]
 DECOYS = 4000
 #: Letters up to which the number of equal pairs is tested exactly.
 EXACT = 64
-TESTS = 4
+TESTS = 5
 
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings in the order in which they are tried: a pattern for the token and the alphabet in its order. What fits none is base 64.
@@ -132,11 +133,21 @@ def battery(t: Column, a: Column) -> Column:
     half = F.floor(k / 2).cast("int")
     halves = F.call_function("translate", t, a, F.concat(F.repeat(F.lit("L"), half), F.repeat(F.lit("H"), k.cast("int") - half)))
 
+    # Runs of lower case, upper case and others: changes from one letter to the next, for independent letters.
+    def changes(s: Column) -> Column:
+        seen = sum((F.length(s) - without(s, F.lit(x + y)) for x in "LUD" for y in "LUD" if x != y), F.lit(0)) / 2
+        share = [F.regexp_count(a, F.lit(chars)) / k for chars in parts]
+        two, three = (sum((F.pow(x, F.lit(float(e))) for x in share), F.lit(0.0)) for e in (2, 3))
+        var = (n - 1) * two * (F.lit(1.0) - two) + (n - 2) * 2 * (three - two * two)
+        return F.when(kinds == 1, 1.0).otherwise(upper_tail(F.greatest((n - 1) * (F.lit(1.0) - two) - seen - 0.5, F.lit(0.0)) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
+
+    classes = F.translate(t, _LOW + _UP + _DIGITS + "+/", "L" * 26 + "U" * 26 + "D" * 12)
+
     # Serial correlation.
     codes = F.filter(F.transform(F.split(t, ""), lambda c: F.position(c, a).cast("double")), lambda v: v > 0)
     centred = let(codes, lambda x: let(total(x) / n, lambda m: F.transform(x, lambda v: v - m)))
     of_codes = lambda d: F.abs(total(F.zip_with(d, F.slice(d, F.lit(2), F.greatest(F.size(d) - 1, F.lit(0))), lambda u, v: u * F.coalesce(v, F.lit(0.0))))) / F.greatest(total(F.transform(d, lambda v: v * v)), F.lit(1e-9)) * F.sqrt(n)
-    return F.least(F.lit(1.0), F.least(letters, mix, let(halves, of_halves), upper_tail(let(centred, of_codes)) * 2) * TESTS)
+    return F.least(F.lit(1.0), F.least(letters, mix, let(halves, of_halves), let(classes, changes), upper_tail(let(centred, of_codes)) * 2) * TESTS)
 
 
 def bin_of(token: Column) -> Column:
