@@ -343,10 +343,16 @@ def battery(token):
     mean = 2 * h * (n - h) / n + 1
     runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
     p.append(2 * tail(max(0.0, abs(runs - mean) - 0.5) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))))
+    share = [sum(x in g for x in a) / k for g in groups]
+    two, three = sum(x**2 for x in share), sum(x**3 for x in share)
+    of = [next(i for i, g in enumerate(groups) if x in g) for x in t]
+    changes = sum(x != y for x, y in zip(of, of[1:], strict=False))
+    var = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two**2)
+    p.append(1.0 if len(groups) == 1 else tail(max(0.0, (n - 1) * (1 - two) - changes - 0.5) / math.sqrt(max(1e-9, var))))
     d = [a.index(x) + 1 for x in t]
     d = [x - sum(d) / n for x in d]
     p.append(2 * tail(abs(sum(x * y for x, y in zip(d, d[1:], strict=False))) / max(1e-9, sum(x * x for x in d)) * math.sqrt(n)))
-    return min(1.0, 4 * min(p))
+    return min(1.0, 5 * min(p))
 
 
 def test_op7_battery_and_selection(spark):
