@@ -6,11 +6,13 @@ regression with an L1 penalty keeps the rules that matter. What stays is compile
 The model is fitted on the driver on at most SAMPLE labelled rows, those with the smallest hashes of their ids; held-out
 rows are never among them. Scores use the text alone. Null text counts as empty and is scored like any other. Without
 labels of both classes the score is the share of the one there is (0.5 without any). A doc_id labelled twice counts
-once, with its lower label. Repeated rows are scored each on its own. Extra columns are kept.
+once, with its lower label. Repeated rows are scored each on its own. Very long texts are counted whole. Extra columns
+are kept; a clash with the added name gives it a suffix. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,17 @@ SAMPLE = 20_000
 TREES, DEPTH, LASSO = 24, 3, 0.002
 LIMIT = 0.7
 
-STATISTICS = [
-    "words", "word_length", "symbols", "marks", "uppers", "dup_lines", "repeats", "line_words", "digits", "stops", "distinct",
-]
+#: Statistics, and the counts that each is made of.
+STATISTICS = {
+    "words": ("n_words",), "word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "word_chars"), "marks": ("n_marks", "n_words"), "uppers": ("n_upper", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
+    "line_words": ("n_words", "n_lines"), "digits": ("word_chars",), "stops": ("n_words",), "distinct": ("n_words",),
+}
+NAMES = list(STATISTICS)
 
 
-def statistics(text: Column) -> Column:
-    """A struct of STATISTICS as doubles; all are rates but the logarithm of the number of words."""
+def statistics(text: Column, only: Collection[str] = NAMES) -> Column:
+    """A struct of STATISTICS as doubles; all are rates but the logarithm of the number of words. Those that aren't among
+    only are zero and cost nothing."""
     text = F.coalesce(text, F.lit(""))
     distinct = let(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.size(F.array_distinct(w)))
 
@@ -43,9 +49,9 @@ def statistics(text: Column) -> Column:
             c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)), c["n_repeat_words"] / words, c["n_words"] / F.greatest(c["n_lines"], F.lit(1)),
             F.regexp_count(text, F.lit("[0-9]")) / chars, F.regexp_count(text, F.lit(r"[.,;:?]")) / words, distinct / words,
         ]
-        return F.struct(*[F.round(v.cast("double"), 6).alias(n) for n, v in zip(STATISTICS, values, strict=True)])
+        return F.struct(*[(F.round(v.cast("double"), 6) if n in only else F.lit(0.0)).alias(n) for n, v in zip(NAMES, values, strict=True)])
 
-    return let(counts(text), of)
+    return let(counts(text, {c for n in only for c in STATISTICS[n]}), of)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,12 +63,16 @@ class Model:
     intercept: float
     rules: list[tuple[trees.Rule, float]]
 
+    def used(self) -> set[str]:
+        """The statistics that the rules ask for."""
+        return {NAMES[f] for rule, _ in self.rules for f, _, _ in rule}
+
     def score(self, stats: Column) -> Column:
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             met = F.lit(True)
             for f, low, t in rule:
-                x = stats[STATISTICS[f]]
+                x = stats[NAMES[f]]
                 met = met & ((x <= F.lit(t)) if low else (x > F.lit(t)))
             total = total + F.when(met, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -74,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     # At most SAMPLE ids and labels: bounded.
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("k")).select("k", F.col("y").cast("double").alias("y"), statistics(F.col(text_col).cast("string")).alias("s"))
     rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("s").alias("s")).select("k", "y", "s.*").toPandas().sort_values("k")
-    x, y = rows[STATISTICS].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float)
+    x, y = rows[NAMES].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float)
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Model(float(np.log(share / (1 - share))), [])
@@ -87,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:
     """docs with a score column, and its name."""
     (name,) = fresh(docs, "score")
-    of = let(statistics(F.col(text_col).cast("string")), model.score)
+    of = let(statistics(F.col(text_col).cast("string"), model.used()), model.score)
     return docs.withColumn(name, of), name
 
 

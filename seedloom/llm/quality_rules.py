@@ -13,6 +13,8 @@ added ones get a suffix. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,20 +56,18 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 5, zero).otherwise(count)
 
 
-def counts(text: Column) -> Column:
-    """A struct of COUNTS."""
+def counts(text: Column, only: Collection[str] = COUNTS) -> Column:
+    """A struct of COUNTS; those that aren't among only are zero and cost nothing."""
     text = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(w).alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
-            F.regexp_count(text, F.lit("!")).cast("long").alias("n_marks"), F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        )
+        values = {
+            "n_words": lambda: F.size(w), "word_chars": lambda: F.length(F.array_join(w, "")), "n_symbols": lambda: F.regexp_count(text, F.lit(r"[#*$%&|<>]")), "n_dup_lines": lambda: let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            "n_repeat_words": lambda: repeated_words(w), "n_lines": lambda: F.size(lines), "n_marks": lambda: F.regexp_count(text, F.lit("!")), "n_upper": lambda: F.regexp_count(text, F.lit("[A-Z]")),
+        }
+        return F.struct(*[(values[n]() if n in only else F.lit(0)).cast("long").alias(n) for n in COUNTS])
 
     return let(words, of)
 
