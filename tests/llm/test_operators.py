@@ -140,6 +140,14 @@ def test_op2_table(spark):
     assert name == "text_1" and [r[name] for r in out.orderBy("page_id", "html").collect()] == ["", "", "Hello there."]
 
 
+def test_op2_long_pages_in_a_table(spark):
+    long = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Paragraph {k} has some words to say.</p>" for k in range(40_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, 1), (2, "u", "<" * 200_000, 2), (3, "u", "<p title='" * 50_000, 3), (4, "u", "<b>" * 100_000 + "x", 4)], "page_id long, url string, html string, Text int")
+    out, name = html_text.extract(pages)
+    got = {r["page_id"]: r[name] for r in out.collect()}
+    assert name == "text_1" and got[1].count("\n") == 39_999 and len(got) == 4
+
+
 def test_op3(docs):
     rows, base, more = pii.scan(docs)
     assert base != "base_spans"
@@ -250,6 +258,27 @@ def test_op5(spark, docs):
     same([(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got], [(k, fp, least.get(r)) for (k, _), fp, r in zip(PAIRS, fps, root, strict=True)])
 
 
+def test_op5_long_white_space_and_clashing_names(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, None, "a" + " \t" * 500_000 + "b c", "a b c", "word " * 200_000]
+    d = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, fp string, N int")
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_groups(d, radius=3, shingle=3).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: op5(t) for k, t in enumerate(texts)} and {got[k][1] for k in (0, 1, 2)} == {0} and got[3] == got[4]
+    kept = simhash.near_dedup(d, radius=3, shingle=3, similar=True)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 5]
+
+
+def test_op5_trees_follow_only_near_edges():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in r.choice(64, 20, replace=False)) for _ in range(4000)], dtype=np.uint64)
+    values = np.unique(base ^ flips)
+    tree = simhash.BKTree.of(values)
+    found = {(int(values[q]), int(values[n])) for qs, ns in tree.search(values, 3) for q, n in zip(qs.tolist(), ns.tolist(), strict=True)}
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    assert found == {(int(values[a]), int(values[b])) for a, b in zip(*np.nonzero(near), strict=True)}
+    assert tree.visited < 0.5 * len(values) ** 2
+
+
 @pytest.mark.parametrize("shard_rows", [3, 20_000])
 @pytest.mark.parametrize("broadcast_nodes", [0, 1 << 20])
 def test_op5_links_and_chains(spark, shard_rows, broadcast_nodes):
@@ -406,6 +435,17 @@ def test_op8(spark):
     out, name = quality_model.score(docs, model)
     p = out.withColumn("held", quality_model.held_out(F.col("doc_id"))).toPandas()
     assert name == "score_1" and p[name].between(0, 1).all() and (p.held == [crc(str(k).encode()) % 4 == 2 for k in p.doc_id]).all()
+    # The compiled rules against a plain scoring of each row's statistics.
+    stats = docs.select("doc_id", quality_model.statistics(F.col("text")).alias("s"), "text").select("doc_id", "text", "s.*").toPandas()
+    for k, text in zip(stats.doc_id, stats.text, strict=True):
+        words, repeats = op10(text)[0], op10(text)[4]
+        row = stats[stats.doc_id == k].iloc[0]
+        assert row["words"] == pytest.approx(np.log1p(words), abs=1e-6) and row["repeats"] == pytest.approx(repeats / max(words, 1), abs=1e-6) if (stats.doc_id == k).sum() == 1 else True
+    x = stats[quality_model.NAMES].to_numpy(dtype=float)
+    total = model.intercept + sum(w * trees.holds(rule, x) for rule, w in model.rules)
+    plain = dict(zip(stats.doc_id, 1 / (1 + np.exp(-total)), strict=True))
+    once = p[~p.doc_id.duplicated(keep=False)]
+    assert all(plain[k] == pytest.approx(v, abs=1e-9) for k, v in zip(once.doc_id, once[name], strict=True))
     held = p[p.held]
     assert ((held[name] >= 0.7).astype(int) == held.text.map(good)).mean() > 0.93
     # Held-out labels change nothing.

@@ -108,3 +108,9 @@ def test_pipeline(spark, tmp_path):
         assert r["offset"] == used.get(r["sequence_id"], 0)
         used[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(used.values()) <= 1024
+
+
+def test_pipeline_on_empty_tables(spark, empty_tables):
+    assert corpus_pipeline.run(spark, empty_tables).count() == 0
+    docs = spark.read.parquet(f"{empty_tables}/documents.parquet")
+    assert [name for name, stage in corpus_pipeline.STAGES[:-1] if stage(spark, docs, empty_tables).columns != docs.columns] == []
