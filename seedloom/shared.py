@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seedloom.errors import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """This application's folder below spark.checkpoint.dir. Only a local session can do without: driver and tasks are one
+    machine there, and a temporary folder will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="seedloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/seedloom-{spark.sparkContext.applicationId}"
