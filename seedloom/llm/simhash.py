@@ -357,7 +357,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, sh
     kept = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in zip(names, ("bigint", *KINDS), strict=True))
     kept = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(kept).fields[: 4 if similar else 1]])
     whole = settle(docs.withColumn(last, text).mapInArrow(signer(shingle, names) if similar else fingerprinter(shingle, fp), kept))
-    signed = whole.select(*[F.col(n).alias(k) for n, k in zip(names, ("fp", "same", "n", "keys"), strict=True)], text.alias("text")) if similar else None
+    signed = whole.select(F.col(id_col).alias("id"), *[F.col(n).alias(k) for n, k in zip(names, ("fp", "same", "n", "keys"), strict=True)], text.alias("text")) if similar else None
     of, pairs = group_rows(whole.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), radius, shard_rows, signed, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
     best = settle(pairs.join(of, "fp").groupBy("label").agg(F.min(order).alias("best")))
