@@ -107,9 +107,11 @@ def candidates(live: DataFrame, last: bool) -> DataFrame:
     one = F.struct("same", "fp", "n", "label")
     whole = F.lit(last) | (F.col("size") <= SMALL)
     groups = live.filter(whole).groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("xs"))
-    each = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    # Pairs that are joined already, or too different in size, are left out before they become rows.
+    apart = lambda x, y: (x["label"] != y["label"]) & close(x["n"], y["n"])
+    each = F.flatten(F.transform("xs", lambda x, i: F.transform(F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: apart(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = live.filter(~whole).select(one.alias("x"), F.col("pivot").alias("y")).unionByName(groups.select(F.explode(each).alias("p")).select("p.x", "p.y"))
-    pairs = pairs.filter((F.col("x.label") != F.col("y.label")) & close(F.col("x.n"), F.col("y.n")))
+    pairs = pairs.filter(apart(F.col("x"), F.col("y")))
     first = F.col("x.same") < F.col("y.same")
     ordered = [F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(a) for a, c in (("s", "same"), ("a", "fp"))]
     ordered += [F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(a) for a, c in (("t", "same"), ("b", "fp"))]
@@ -123,6 +125,9 @@ def similar_links(rows: DataFrame, shingle: int, labels_of: Callable[[list[DataF
     up, down = SIMILAR
     texts = settle(rows.filter("n > 0").groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
 
+    # What fingerprints have joined needs no comparing.
+    texts = settle(texts.join(labels_of([]), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
     def with_text(same: DataFrame) -> DataFrame:
         """One row of each of these texts: the first by id. The texts stay where they are unless very many are asked for."""
         wanted = settle(texts.join(same, "same", "left_semi").select(F.col("same").alias("w_same"), F.col("id").alias("w_id")))
@@ -137,7 +142,7 @@ def similar_links(rows: DataFrame, shingle: int, labels_of: Callable[[list[DataF
 
     links: list[DataFrame] = []
     numbers = None
-    dealt = texts.select(F.explode("keys").alias("key"), "same", "fp", "n", F.col("fp").alias("label"))
+    dealt = texts.select(F.explode("keys").alias("key"), "same", "fp", "n", "label")
     for level in range(LEVELS + 2):
         pivot = F.min(F.struct(F.xxhash64("same").alias("order"), "same", "fp", "n", "label"))
         shared = settle(dealt.groupBy("key").agg(F.count("*").alias("size"), pivot.alias("p")).filter("size > 1").select("key", "size", F.struct("p.same", "p.fp", "p.n", "p.label").alias("pivot")))
