@@ -219,6 +219,17 @@ def test_op3_features_are_the_same_in_both_forms(spark):
     assert all(g["f"] == [float(v) for v in pii.features_of(rows[g["k"]][1], 5, rows[g["k"]][2], rows[g["k"]][3], words)] for g in got)
 
 
+def test_op3_prefilters():
+    """What a proposal matches has its hint, and what has a hint has the common one."""
+    r = random.Random(8)
+    pieces = ["12", "345", "6789", "ab", "cd", "EF", "ab", ":", "::", "-", ".", " ", "(at)", " [dot] ", "[", "org", "DE", "1980", "/", "{at}", "x"]
+    for _ in range(60_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(3, 14)))
+        for pattern, hint in pii.PROPOSED.values():
+            assert not re.search(pattern, text) or re.search(hint, text), text
+            assert not re.search(hint, text) or re.search(pii.ANY_HINT, text), text
+
+
 def test_op3_contexts_of_documents(spark):
     """Words that stand before base spans only become telling."""
     rows = [(k, f"some text here and there, reach me under jo{k}@a.example today" if k % 2 else "some text here and there about nothing at all that matters") for k in range(200)]
