@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 from seedloom.shared import settle, shared_dir  # noqa: F401 - for the operators
 
+
+def forget(df: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 a_z = A_Z.lower()
 

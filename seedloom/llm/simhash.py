@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.llm.common import fresh, settle, table
+from seedloom.llm.common import forget, fresh, settle, table
 from seedloom.llm.minhash import KINDS, shingle_hashes, signature, similar_links
 
 RADIUS = 3
@@ -313,8 +313,9 @@ def components(links: DataFrame) -> DataFrame:
 
     before = digest(edges)
     while before[0]:
-        edges = settle(star(star(edges, True), False))
+        done, edges = edges, settle(star(star(edges, True), False))
         now = digest(edges)
+        forget(done)  # the new table is written and doesn't depend on it
         if now == before:
             break
         before = now
