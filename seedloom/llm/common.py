@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,21 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a text whose words are held at once.
+PIECE = 1 << 20
+
+
+def word_lists(pattern: re.Pattern[bytes], text: bytes) -> Iterator[list[bytes]]:
+    """The matches of a pattern (a run of bytes of some kind) in a text, in lists of those of a piece of it."""
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text) and (m := pattern.match(text, end)):
+            end = m.end()
+        yield pattern.findall(text, at, end)
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
