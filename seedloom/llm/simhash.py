@@ -11,7 +11,7 @@
    fingerprint searches the trees of its own shards; beyond that bound each shard is searched by the task that holds it,
    for trees that grow with the corpus can't be sent to everyone. Searches go a level at a time over arrays and return
    links that join what they found, never all pairs.
-4. Components by alternating large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder.
+4. Components of the links (see components).
 
 Copies share a fingerprint and so cost one node. Repeated rows, ties and null ids are kept: a component's id is its
 smallest non-null id. Very long texts are read whole. Extra columns are kept by near_dedup(), whatever their names; the
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.llm.common import forget, fresh, settle, table
+from seedloom.llm.common import fresh, settle, table
+from seedloom.llm.components import components
 from seedloom.llm.minhash import KINDS, shingle_hashes, signature, similar_links
 
 RADIUS = 3
@@ -290,38 +291,6 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """fp, label: the smallest node of its component, for each node of a link."""
-    edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            both = e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        near = both.join(least, "u")
-        if large:
-            moved = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return moved.filter("u <> v").distinct()
-
-    def digest(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    before = digest(edges)
-    while before[0]:
-        done, edges = edges, settle(star(star(edges, True), False))
-        now = digest(edges)
-        forget(done)  # the new table is written and doesn't depend on it
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
-
-
 def group_rows(rows: DataFrame, radius: int, shard_rows: int, signed: DataFrame | None = None, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """From rows (doc_id, fp): fp with its component_id and label; and (doc_id, fp) pairs with their count.
 
