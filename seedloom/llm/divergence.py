@@ -1,10 +1,10 @@
 """Source divergence audit: how far each source's use of words is from its language's and from the other sources'.
 
 1. Sketch. Each task counts in how many of its documents a (language, term) occurs and adds that to a count-min sketch of
-   DEPTH rows of WIDTH counters. A counter stops at the least document frequency, which loses nothing: whether a sum
+   DEPTH rows of 2**WIDTH_BITS counters. A counter stops at the least document frequency, which loses nothing: whether a sum
    reaches it stays the same. Sketches are merged by adding, so they never underestimate; a term that has a counter below
    the least frequency can't be kept, and is left out before anything about it is shuffled. What is broadcast are the bits
-   of the counters that reach it, DEPTH * WIDTH bits however large the corpus is.
+   of the counters that reach it, DEPTH * 2**WIDTH_BITS bits however large the corpus is.
 2. Exact counts of the terms that are left, summed in each task before the shuffle, by language, source and term.
 3. Terms of a source against its language, and pairs of sources. A pair's sum goes over all kept terms, also those that
    neither source has. It is taken as if no term were common, from each source's histogram of counts; then only the
@@ -45,18 +45,18 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def slots(lang: bytes, terms: list[bytes]) -> np.ndarray:
+def slots(lang: bytes, terms: list[bytes], width_bits: int = WIDTH_BITS) -> np.ndarray:
     """The terms' counters, one of each row of the sketch, numbered through all rows."""
     import xxhash
 
     seed = xxhash.xxh64_intdigest(lang)
     h = np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in terms), dtype=np.uint64, count=len(terms))
-    rows = np.arange(DEPTH, dtype=np.int64) << WIDTH_BITS
-    return ((h[:, None] * _ODD[:DEPTH]) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64) + rows
+    rows = np.arange(DEPTH, dtype=np.int64) << width_bits
+    return ((h[:, None] * _ODD[:DEPTH]) >> np.uint64(64 - width_bits)).astype(np.int64) + rows
 
 
-def counted(batches: Iterator[pa.RecordBatch], by_source: bool) -> Iterator[tuple[dict, dict]]:
-    """Occurrences and documents of each term by (language, source), or documents by (language,), HELD terms at a time."""
+def counted(batches: Iterator[pa.RecordBatch], by_source: bool, most: int) -> Iterator[tuple[dict, dict]]:
+    """Occurrences and documents of each term by (language, source), or documents by (language,), some most terms at a time."""
     occurs: dict[tuple, Counter] = {}
     docs: dict[tuple, Counter] = {}
     held = 0
@@ -73,21 +73,21 @@ def counted(batches: Iterator[pa.RecordBatch], by_source: bool) -> Iterator[tupl
                     occurs[key].update(words)
             own.update(seen)
             held += len(own) - before
-            if held >= HELD:
+            if held >= most:
                 yield occurs, docs
                 occurs, docs, held = {}, {}, 0
     yield occurs, docs
 
 
-def sketcher(least: int):
+def sketcher(least: int, width_bits: int, held: int):
     """Counters of a task's documents: slot, n, at most least each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(DEPTH << WIDTH_BITS, dtype=np.int64)
-        for _, docs in counted(batches, False):
+        counters = np.zeros(DEPTH << width_bits, dtype=np.int64)
+        for _, docs in counted(batches, False, held):
             for (lang,), terms in docs.items():
                 n = np.minimum(np.fromiter(terms.values(), dtype=np.int64, count=len(terms)), least)
-                np.add.at(counters, slots(lang, list(terms)), n[:, None])
+                np.add.at(counters, slots(lang, list(terms), width_bits), n[:, None])
             np.minimum(counters, least, out=counters)
         at = np.flatnonzero(counters)
         for k in range(0, len(at), 1 << 16):
@@ -97,25 +97,25 @@ def sketcher(least: int):
     return run
 
 
-def sketch(rows: DataFrame, least: int) -> np.ndarray:
+def sketch(rows: DataFrame, least: int, width_bits: int = WIDTH_BITS, held: int = HELD) -> np.ndarray:
     """Packed bits of the merged sketch: which counters reach least."""
-    merged = rows.select("lang", "source", "text").mapInArrow(sketcher(least), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
-    reached = np.zeros(DEPTH << WIDTH_BITS, dtype=bool)
+    merged = rows.select("lang", "source", "text").mapInArrow(sketcher(least, width_bits, held), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    reached = np.zeros(DEPTH << width_bits, dtype=bool)
     reached[merged.filter(F.col("n") >= least).select("slot").toArrow().column(0).to_numpy()] = True
     return np.packbits(reached)
 
 
-def counter(shared):
+def counter(shared, width_bits: int, held: int):
     """lang, source, term, n, docs of the terms that the sketch lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = np.unpackbits(shared.value).astype(bool)
-        for occurs, docs in counted(batches, True):
+        for occurs, docs in counted(batches, True, held):
             for (lang, source), own in docs.items():
                 terms = list(own)
                 for k in range(0, len(terms), 1 << 16):
                     part = terms[k : k + (1 << 16)]
-                    stay = reached[slots(lang, part)].all(axis=1)
+                    stay = reached[slots(lang, part, width_bits)].all(axis=1)
                     part = [t for t, ok in zip(part, stay.tolist(), strict=True) if ok]
                     if part:
                         count = occurs[lang, source]
@@ -139,12 +139,12 @@ def value_of(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", width_bits: int = WIDTH_BITS, held: int = HELD) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    shared = rows.sparkSession.sparkContext.broadcast(sketch(rows, least_docs))
-    counts = rows.mapInArrow(counter(shared), "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    shared = rows.sparkSession.sparkContext.broadcast(sketch(rows, least_docs, width_bits, held))
+    counts = rows.mapInArrow(counter(shared, width_bits, held), "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = settle(counts)
     kept = settle(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))

@@ -2,7 +2,7 @@
 
 1. One pass over the documents keeps of each its length and how often it has each of the query terms. Length sums, and
    each term's document frequency, are counted over all documents.
-2. Each task takes its documents in ranges of RANGE. Of each query term a range has a tree of maxima: the leaves are its
+2. Each task takes its documents in ranges of FAN ** LEVELS. Of each query term a range has a tree of maxima: the leaves are its
    values in blocks of FAN documents, a node holds the maximum of FAN nodes below. An item's bound at a node is the sum of
    its terms' maxima there. The search opens the node with the highest bound first; a block that is opened gets its exact
    scores. It ends at a bound below the k-th best score that the task has found so far, in this range or an earlier one;
@@ -36,9 +36,8 @@ from seedloom.llm.common import settle, table, word_lists
 
 K = 20
 FAN = 16
-#: Documents in a range: FAN ** LEVELS.
+#: A range has FAN ** LEVELS documents.
 LEVELS = 3
-RANGE = FAN**LEVELS
 BLOCK_TERMS = 50_000
 #: Parts in which an item's results are ranked before they are ranked together.
 PARTS = 64
@@ -103,26 +102,26 @@ def indexer(shared):
 class MaxTrees:
     """A range of documents: exact values, and of each term that occurs the maxima of blocks, of blocks of blocks, to the root."""
 
-    def __init__(self, first: np.ndarray, terms: np.ndarray, values: np.ndarray, vocabulary: int) -> None:
-        self.first, self.terms, self.values = first, terms, values
+    def __init__(self, first: np.ndarray, terms: np.ndarray, values: np.ndarray, vocabulary: int, fan: int = FAN) -> None:
+        self.fan, self.first, self.terms, self.values = fan, first, terms, values
         self.size = len(first) - 1
         here, own = np.unique(terms, return_inverse=True)
         self.row = np.full(vocabulary, -1, dtype=np.int64)
         self.row[here] = np.arange(len(here))
-        n = RANGE // FAN
+        n = fan ** (LEVELS - 1)
         leaves = np.zeros((len(here), n), dtype=np.int64)
         doc = np.repeat(np.arange(self.size), np.diff(first))
-        np.maximum.at(leaves.reshape(-1), own * n + doc // FAN, values)
+        np.maximum.at(leaves.reshape(-1), own * n + doc // fan, values)
         #: From the root down.
         self.levels = [leaves]
         while self.levels[0].shape[1] > 1:
             below = self.levels[0]
-            self.levels.insert(0, below.reshape(len(here), below.shape[1] // FAN, FAN).max(axis=2))
+            self.levels.insert(0, below.reshape(len(here), below.shape[1] // fan, fan).max(axis=2))
         self.opened = 0
 
     def scores(self, block: int, times: np.ndarray) -> np.ndarray:
         """Exact scores of a block's documents; times: of each term of the vocabulary."""
-        low, high = block * FAN, min((block + 1) * FAN, self.size)
+        low, high = block * self.fan, min((block + 1) * self.fan, self.size)
         at = self.first[low : high + 1]
         sums = np.concatenate(([0], np.cumsum(self.values[at[0] : at[-1]] * times[self.terms[at[0] : at[-1]]])))
         return sums[at[1:] - at[0]] - sums[at[:-1] - at[0]]
@@ -139,11 +138,11 @@ class MaxTrees:
             if depth == len(self.levels) - 1:
                 for k, score in enumerate(self.scores(node, all_times).tolist()):
                     if score >= best.least:
-                        best.add(score, node * FAN + k)
+                        best.add(score, node * self.fan + k)
                 continue
-            for k, bound in enumerate((times @ self.levels[depth + 1][rows, node * FAN : (node + 1) * FAN]).tolist()):
+            for k, bound in enumerate((times @ self.levels[depth + 1][rows, node * self.fan : (node + 1) * self.fan]).tolist()):
                 if bound >= best.least:
-                    heapq.heappush(heap, (-bound, depth + 1, node * FAN + k))
+                    heapq.heappush(heap, (-bound, depth + 1, node * self.fan + k))
 
 
 class Best:
@@ -165,22 +164,22 @@ class Best:
             self.least = max(1, -self.found[-1][0])
 
 
-def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def ranges(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, RANGE - n)
+            part = batch.slice(at, size - n)
             held.append(part)
             at, n = at + part.num_rows, n + part.num_rows
-            if n == RANGE:
+            if n == size:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, n = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def searcher(shared, docs: int, length: int, k: int, item_type: pa.DataType):
+def searcher(shared, docs: int, length: int, k: int, item_type: pa.DataType, fan: int):
     """From the rows of indexer(): number, item_id, doc_id, score of each item's best k in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +187,7 @@ def searcher(shared, docs: int, length: int, k: int, item_type: pa.DataType):
         found = [Best(k) for _ in items.ids]
         times = np.zeros(len(items.words), dtype=np.int64)
         doc_type = pa.null()
-        for part in ranges(batches):
+        for part in ranges(batches, fan**LEVELS):
             doc_type = part.schema.field(0).type
             ids = part.column(0).to_pylist()
             n = part.column(1).to_numpy()
@@ -196,7 +195,7 @@ def searcher(shared, docs: int, length: int, k: int, item_type: pa.DataType):
             first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             terms, tf = (x.flatten().to_numpy().astype(np.int64) for x in (lists, counts))
             m = np.repeat(75 + (25 * n * docs) // max(length, 1), np.diff(first))
-            trees = MaxTrees(first, terms, items.weights[terms] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m)), len(items.words))
+            trees = MaxTrees(first, terms, items.weights[terms] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m)), len(items.words), fan)
             for own, own_times, best in zip(items.terms, items.times, found, strict=True):
                 times[own] = own_times
                 best.ids = ids
@@ -211,7 +210,7 @@ def searcher(shared, docs: int, length: int, k: int, item_type: pa.DataType):
     return run
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", fan: int = FAN) -> DataFrame:
     """item_id, rank, doc_id, score: of each item the k documents with the highest scores above 0."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -227,7 +226,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id"
         frequency = index.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # at most the block's terms
         df[frequency.column(0).to_numpy()] = frequency.column(1).to_numpy()
         block.weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * x + 1))) for x in df.tolist()], dtype=np.int64)
-        found = index.filter(F.size("terms") > 0).mapInArrow(searcher(spark.sparkContext.broadcast(block), n, length, k, to_arrow_type(item_kind)), schema)
+        found = index.filter(F.size("terms") > 0).mapInArrow(searcher(spark.sparkContext.broadcast(block), n, length, k, to_arrow_type(item_kind), fan), schema)
         part = Window.partitionBy("number", "part").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         found = found.withColumn("part", F.spark_partition_id() % PARTS).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k)
         parts.append(settle(found.drop("part", "rank")))
