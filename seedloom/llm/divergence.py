@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import settle, table, word_lists
+from seedloom.llm.common import forget, settle, table, word_lists
 
 #: A term is kept if it is in so many documents of its language.
 LEAST_DOCS = 3
 SCALE_DIGITS = 9
 TOP = 200
 DEPTH, WIDTH_BITS = 4, 20
+#: Counters in a piece of a sketch, and sketches that are merged at a time.
+PIECE_SLOTS, MERGED = 1 << 16, 256
 #: Terms that a task holds before it passes them on.
 HELD = 400_000
 #: ASCII letters and all beyond ASCII, in lower-cased UTF-8.
@@ -80,29 +82,43 @@ def counted(batches: Iterator[pa.RecordBatch], by_source: bool, most: int) -> It
 
 
 def sketcher(least: int, width_bits: int, held: int):
-    """Counters of a task's documents: slot, n, at most least each."""
+    """A task's sketch, in pieces: piece, counters (a byte each, at most least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(DEPTH << width_bits, dtype=np.int64)
+        counters = np.zeros(DEPTH << width_bits, dtype=np.int32)
         for _, docs in counted(batches, False, held):
             for (lang,), terms in docs.items():
-                n = np.minimum(np.fromiter(terms.values(), dtype=np.int64, count=len(terms)), least)
+                n = np.minimum(np.fromiter(terms.values(), dtype=np.int32, count=len(terms)), least)
                 np.add.at(counters, slots(lang, list(terms), width_bits), n[:, None])
             np.minimum(counters, least, out=counters)
-        at = np.flatnonzero(counters)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counters[part].astype(np.int32))], names=["slot", "n"])
+        pieces = counters.astype(np.uint8).reshape(-1, min(PIECE_SLOTS, len(counters)))
+        full = np.flatnonzero(pieces.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pieces[k].tobytes() for k in full], pa.binary())], names=["piece", "counters"])
+
+    return run
+
+
+def merger(least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.zeros(len(rows.column("counters")[0].as_py()), dtype=np.int32)
+        for x in rows.column("counters"):
+            total = np.minimum(total + np.frombuffer(x.as_py(), dtype=np.uint8), least)
+        return pa.table([rows.column("piece")[:1], rows.column("part")[:1], pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["piece", "part", "counters"])
 
     return run
 
 
 def sketch(rows: DataFrame, least: int, width_bits: int = WIDTH_BITS, held: int = HELD) -> np.ndarray:
-    """Packed bits of the merged sketch: which counters reach least."""
-    merged = rows.select("lang", "source", "text").mapInArrow(sketcher(least, width_bits, held), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
-    reached = np.zeros(DEPTH << width_bits, dtype=bool)
-    reached[merged.filter(F.col("n") >= least).select("slot").toArrow().column(0).to_numpy()] = True
-    return np.packbits(reached)
+    """Packed bits of the merged sketch: which counters reach least. MERGED sketches are merged at a time, in three steps."""
+    least = min(least, 255)
+    merged = rows.select("lang", "source", "text").mapInArrow(sketcher(least, width_bits, held), "piece int, counters binary").withColumn("part", F.spark_partition_id())
+    for _ in range(3):
+        merged = merged.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("piece", "part").applyInArrow(merger(least), "piece int, part int, counters binary")
+    counters = np.zeros(DEPTH << width_bits, dtype=np.uint8)
+    for row in merged.collect():  # a byte for each counter
+        at = row["piece"] * len(row["counters"])
+        counters[at : at + len(row["counters"])] = np.frombuffer(row["counters"], dtype=np.uint8)
+    return np.packbits(counters >= least)
 
 
 def counter(shared, width_bits: int, held: int):
@@ -144,17 +160,20 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, la
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     shared = rows.sparkSession.sparkContext.broadcast(sketch(rows, least_docs, width_bits, held))
-    counts = rows.mapInArrow(counter(shared, width_bits, held), "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = settle(counts)
-    kept = settle(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    own = settle(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    found = rows.mapInArrow(counter(shared, width_bits, held), "lang string, source string, term string, n long, docs long")
+    # One shuffle: all sources of a term are in one place, as many rows as there are sources.
+    counts = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of = Window.partitionBy("lang", "term")
+    counts = counts.withColumn("lang_docs", F.sum("docs").over(of)).withColumn("lang_n", F.sum("n").over(of)).withColumn("first", F.col("source") == F.min("source").over(of))
+    own = settle(counts.filter(F.col("lang_docs") >= least_docs).select("lang", "source", "term", "n", "lang_n", "first"))
+    langs = own.filter("first").groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     zero = F.lit(0).cast("long")
     groups = rows.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = settle(groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("v", "lang_total", "total", "terms")]).withColumn("p0", F.when(F.col("v") > 0, p_of(zero, F.col("total"), F.col("v")))))
 
     rated = settle(own.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", p_of(F.col("n"), F.col("total"), F.col("v")).alias("p"), p_of(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"), "p0"))
+    forget(own)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     terms = rated.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value_of(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
