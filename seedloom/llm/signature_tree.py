@@ -305,12 +305,11 @@ def set_links(texts: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
     shards = settle(shards.unionByName(shards.select(F.col("label").alias("fp"), "label").distinct()).select(F.col("fp").alias("same"), "label"))
     if shards.isEmpty():
         return None
-    members = classes.join(shards, "same").select("same", "label", "n", "id", F.size("keys").alias("n_keys"))
-    members = settle(members)
+    members = settle(classes.select("same", "id", "n", F.size("keys").alias("n_keys")).join(shards, "same").select("same", "label", "n", "id", "n_keys"))
     wanted = listed(members.select("id").distinct())
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = found.mapInArrow(set_reader(shingle, percent), "same long, n long, size int, hashes array<long>")
-    sets = settle(sets.join(members.select("same", "label"), "same"))
+    sets = settle(sets.join(listed(members.select("same", "label")), "same"))
 
     sizes = members.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     large = settle(sizes.filter((F.col("docs") > PART_DOCS) | (F.col("total") > PART_HASHES)).select("label"))
