@@ -229,25 +229,26 @@ UNION ALL SELECT 'segment', count(*) FILTER (WHERE c_mktsegment IN ('BUILDING',
 def plan_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = GapRules((gap_rule("low", "c_acctbal < 0", threshold=10), gap_rule("segment", "c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT c_acctbal BETWEEN 0 AND 5000", threshold=1_000_000)), DatasetStore())
     made = repair.plan(customers(spark, sf_dir), rules, SEED)["rules"]
-    return spark.createDataFrame([(r["id"], r["count"], r["threshold"], r["status"], len(r["patches"])) for r in made], "rule string, n long, threshold long, status string, patches long")
+    return spark.createDataFrame([(r["id"], r["count"], r["threshold"], r["status"], r["patches"]) for r in made], "rule string, n long, threshold long, status string, patches long")
 
 
-def patches(spark: SparkSession, doc: dict, key: str) -> DataFrame:
-    rows = [(p["key"][key], p["value"], "patched") for p in doc["patches"]] + [(p["key"][key], None, p["why"]) for p in doc.get("skipped", [])]
-    return spark.createDataFrame(rows, "key string, value string, what string")
+def planned(w: Warehouse, rule: GapRule, datasets: DatasetStore | None = None) -> DataFrame:
+    """What a rule plans for a table: patches and skipped rows."""
+    patches, skipped = repair.values(w, rule, datasets or DatasetStore(), w.table(rule.table_name), SEED)
+    out = patches.select("key", "value", F.lit("patched").alias("what"))
+    return out if skipped is None else out.unionByName(skipped.select("key", F.lit(None).cast("string").alias("value"), F.col("why").alias("what")))
 
 
 @query(f"SELECT CAST(c_custkey AS VARCHAR) AS key, list_extract([{', '.join(repr(w) for w in faker.LOREM)}], CAST(CAST('0x' || substr(md5('{SEED}|dbo.customer|e1|' || c_custkey || '|1|0'), 1, 8) AS BIGINT) % {len(faker.LOREM)} + 1 AS INTEGER)) AS value, 'patched' AS what FROM customer WHERE c_acctbal < 0")
 def plan_ephemeral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = customers(spark, sf_dir)
-    return patches(spark, repair.values(w, gap_rule("E1", "c_acctbal < 0"), DatasetStore(), w.table("dbo.customer"), SEED), "c_custkey")
+    return planned(customers(spark, sf_dir), gap_rule("E1", "c_acctbal < 0"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(CASE WHEN rooms IS NULL THEN NULL WHEN rooms < 1 THEN 1 ELSE (rooms + 2) // 3 END AS VARCHAR) AS value, CASE WHEN rooms IS NULL THEN 'an input is NULL' ELSE 'patched' END AS what FROM (SELECT p_partkey, nullif(p_size % 12, 5) AS rooms FROM part)")
 def plan_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = house(spark, "CREATE TABLE dbo.part (p_partkey BIGINT NOT NULL PRIMARY KEY, rooms INT, baths INT)", part=t(spark, sf_dir, "part").select("p_partkey", F.expr("nullif(p_size % 12, 5)").alias("rooms"), F.lit(None).alias("baths")))
     rule = gap_rule("D1", "baths IS NULL", table="dbo.part", key="p_partkey", column="baths", kind="derived", fix="security.bathroomsFromRooms", inputs=("rooms",))
-    return patches(spark, repair.values(w, rule, DatasetStore(), w.table("dbo.part"), SEED), "p_partkey")
+    return planned(w, rule)
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END AS value, CASE WHEN n_regionkey > 2 THEN 'no dataset row has these inputs' ELSE 'patched' END AS what FROM nation")
@@ -255,7 +256,7 @@ def plan_dataset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = house(spark, "CREATE TABLE dbo.nation (n_nationkey INT NOT NULL PRIMARY KEY, n_regionkey INT, zone VARCHAR(9))", nation=t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lit(None).alias("zone")))
     zones = DatasetStore([Dataset("zones", ("n_regionkey", "zone"), (("0", "south"), ("1", "west"), ("2", "east")))])
     rule = gap_rule("D2", "zone IS NULL", table="dbo.nation", key="n_nationkey", column="zone", kind="derived", fix="dataset.zones", inputs=("n_regionkey",))
-    return patches(spark, repair.values(w, rule, zones, w.table("dbo.nation"), SEED), "n_nationkey")
+    return planned(w, rule, zones)
 
 
 # Draws and strategies -----------------------------------------------------------------------------------------------------
@@ -537,9 +538,9 @@ def revert_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that patched cells twice is taken back: each gets its earliest old value."""
     w = customers(spark, sf_dir)
     rules = GapRules((gap_rule("B1", "c_acctbal < 0", column="c_acctbal"),), DatasetStore())
-    keys = [r[0] for r in gaps.gap_rows(rules.rules[0], w.table("dbo.customer")).collect()]  # as many as patches
-    entry = lambda k, old, new: {"rule": "B1", "id": {"c_custkey": str(k)}, "col": "c_acctbal", "old": old, "new": new}
-    repair.revert(w, rules, [entry(k, str(k / 2), "1") for k in keys] + [entry(k, "1", "2") for k in keys])
+    bad = gaps.gap_rows(rules.rules[0], w.table("dbo.customer"), ordered=False)
+    entry = lambda seq, old: bad.select(F.lit(seq).alias("seq"), F.lit("B1").alias("rule"), F.col("c_custkey").cast("string").alias("id"), F.lit("c_acctbal").alias("col"), old.cast("string").alias("old"))
+    repair.revert(w, rules, entry(1, F.lit("1")).unionByName(entry(0, F.col("c_custkey") / 2)))
     return w.table("dbo.customer")
 
 
@@ -551,9 +552,8 @@ def plan_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = supplier.filter("s_nationkey < 12").select(F.lit("dbo.supplier").alias("TargetTable"), F.col("s_suppkey").cast("string").alias("RowKey"), F.lit("code").alias("ColumnName"), F.concat(F.lit("K"), "s_suppkey").alias("Value"), F.lit("I1").alias("RuleId"), F.current_timestamp().alias("CreatedAt"), F.lit("x").alias("CreatedBy"))
     w.publish(w.manifest(), {LEDGER_NAME: [w.stage(LEDGER_NAME, w.with_entries(known))]})
     rule = gap_rule("I1", "code IS NULL", table="dbo.supplier", key="s_suppkey", column="code", kind="identity", fix="address.zipCode")
-    doc = repair.values(w, rule, DatasetStore(), w.table("dbo.supplier"), SEED)
-    minted = {p["key"]["s_suppkey"] for p in doc["newIdentities"]}
-    return spark.createDataFrame([(p["key"]["s_suppkey"], p["value"], "minted" if p["key"]["s_suppkey"] in minted else "ledger") for p in doc["patches"]], "key string, value string, origin string")
+    patches, _ = repair.values(w, rule, DatasetStore(), w.table("dbo.supplier"), SEED)
+    return patches.select("key", "value", F.when(F.col("minted"), "minted").otherwise("ledger").alias("origin"))
 
 
 QUERIES["plan_identity"] = plan_identity

@@ -192,14 +192,14 @@ def patch(a) -> int:
         A.write_json(folder / "baseline.json", repair.baseline(w, rules, checks, doc["runId"]))
         print("\n".join(repair.summary(doc)))
     elif verb == "apply":
-        print(f"{len(repair.apply(w, rules, folder))} patches")
+        print(f"{repair.apply(w, rules, folder).count()} patches")
     elif verb == "verify":
         doc = repair.verify(w, rules, A.read_json(folder / "plan.json"), A.read_json(folder / "baseline.json"), checks)
         A.write_json(folder / "verify.json", doc)
         print(json.dumps({k: doc[k] for k in ("l1", "l2", "l3", "regressions", "preexistingReds", "remainingPlannedGaps")}))
         return repair.exit_code(doc)
     elif verb == "revert":
-        print(f"{repair.revert(w, rules if a.only else everything, A.read_lines(folder / 'patches.jsonl'), a.only.split(',') if a.only else None)} cells")
+        print(f"{repair.revert(w, rules if a.only else everything, repair.run_log(w, A.read_json(folder / 'plan.json')['runId']), a.only.split(',') if a.only else None)} cells")
     return OK
 
 

@@ -26,15 +26,12 @@ def page(folder: str | Path) -> str:
         rows = [[t["table"], c["name"], c["nulls"], c["distinct"], "; ".join(c["signals"]), c["coveredByRule"]] for t in survey["tables"] for c in t["columns"] if c["signals"]]
         parts.append("<h2>Survey</h2>" + table(["table", "column", "nulls", "distinct", "signals", "rule"], rows, lambda r: None if r[5] else True))
     if plan := read("plan.json"):
-        rows = [[r["id"], f"{r['table']}.{r['column']}", r["kind"], r["status"], r["count"], r["threshold"], len(r["patches"]), len(r["skipped"]), len(r["newIdentities"])] for r in plan["rules"]]
+        rows = [[r["id"], f"{r['table']}.{r['column']}", r["kind"], r["status"], r["count"], r["threshold"], r["patches"], r["skipped"], r["newIdentities"]] for r in plan["rules"]]
         parts.append("<h2>Plan</h2>" + table(["rule", "column", "kind", "status", "rows", "threshold", "patches", "skipped", "new identities"], rows, lambda r: r[3] == "BLOCKED"))
     if approval := read("plan.approved"):
         parts.append("<h2>Approval</h2>" + table(["by", "at", "plan"], [[approval.get("gitEmail") or approval.get("osUser"), approval["timestampUtc"], approval["sha256"]]]))
-    if (f / "patches.jsonl").exists():
-        counts: dict[str, int] = {}
-        for entry in A.read_lines(f / "patches.jsonl"):
-            counts[entry["rule"]] = counts.get(entry["rule"], 0) + 1
-        parts.append("<h2>Patches</h2>" + table(["rule", "cells"], [[k, n] for k, n in counts.items()]))
+    if patches := read("patches.json"):
+        parts.append("<h2>Patches</h2>" + table(["rule", "cells"], [[k, n] for k, n in patches["rules"].items()]))
     if verify := read("verify.json"):
         rows = [["planned gaps closed", verify["l1"]], ["invariants", verify["l2"]], ["consumer checks", verify["l3"]]]
         parts.append("<h2>Verification</h2>" + table(["layer", "passed"], rows, lambda r: not r[1]) + table(["regressions", "failed before as well"], [[", ".join(verify["regressions"]), ", ".join(verify["preexistingReds"])]]))

@@ -74,10 +74,11 @@ def gap_counts(rules: list[GapRule], frame: DataFrame) -> dict[str, int]:
     return {r.id: row[f"r{k}"] for k, r in enumerate(rules)}
 
 
-def gap_rows(rule: GapRule, frame: DataFrame) -> DataFrame:
-    """Key, column and inputs of the bad rows, by key."""
+def gap_rows(rule: GapRule, frame: DataFrame, ordered: bool = True) -> DataFrame:
+    """Key, column and inputs of the bad rows, by key if ordered."""
     names = list(dict.fromkeys(next(f.name for f in frame.schema.fields if f.name.lower() == n.lower()) for n in [rule.key, rule.column, *(rule.inputs or ())]))
-    return frame.filter(gap(rule, frame)).select([f"`{n}`" for n in names]).orderBy(f"`{names[0]}`")
+    rows = frame.filter(gap(rule, frame)).select([f"`{n}`" for n in names])
+    return rows.orderBy(f"`{names[0]}`") if ordered else rows
 
 
 def remaining(rule: GapRule, frame: DataFrame, keys: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Repair: freeze replacement values in a plan, approve it by its hash, apply it as an overlay, verify, and revert.
 
-The rows that a plan touches are bounded by the rules' thresholds, so plans, approvals and logs are documents on the
-driver; whatever looks at whole tables is a join or an aggregate.
+A plan's rows (patches and skipped rows) are tables below the warehouse, in _runs/<run id>, and a run's log is a table that
+is published together with the tables and ledger entries it is about. What people read and approve is a short document:
+counts, examples, and the root of a hash tree over the rows, so that approving the document approves every cell. No row
+of a plan or log passes through the driver.
 """
 
 from __future__ import annotations
@@ -9,10 +11,11 @@ from __future__ import annotations
 import getpass
 import subprocess
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +25,9 @@ from seedloom.functions.coerce import canonical
 from seedloom.functions.draw import Draw
 from seedloom.functions.strategies import chosen
 from seedloom.operators import evaluate, gaps
+from seedloom.operators.digest import rows_digest
 from seedloom.operators.generate import ATTEMPTS, lookup
+from seedloom.operators.rest import RestSink
 from seedloom.shared import settle
 from seedloom.sources import artifacts as A
 from seedloom.sources.datasets import DatasetStore
@@ -32,67 +37,117 @@ from seedloom.sources.warehouse import LEDGER_NAME, Warehouse
 
 #: Patches that are sent to every task; more of them are joined by a shuffle.
 BROADCAST_PATCHES = 100_000
+#: Examples in documents.
+SHOWN = 5
+
+PATCHES = "rule string, key string, value string, inputs map<string,string>, minted boolean"
+SKIPPED = "rule string, key string, why string, policy string"
+LOG = "seq int, ts string, rule string, table string, keyColumn string, id string, col string, old string, new string, reason string"
 
 # Planning --------------------------------------------------------------------------------------------------------------
 
 
+def union(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
+
+
 def plan(w: Warehouse, rules: GapRules, seed: int = 0, rules_sha: str = "", run_id: str | None = None) -> dict:
-    """The plan document: for each rule its status, patches, skipped rows, new identities and coverage."""
-    out = []
+    """The plan document: for each rule its status, numbers of patches, skipped rows and new identities, and coverage."""
+    run_id = run_id or uuid.uuid4().hex[:12]
     counts: dict[str, int] = {}
     by_table: dict[str, list[GapRule]] = {}
     for r in rules.rules:
         by_table.setdefault(r.table_name, []).append(r)
     for table, own in by_table.items():
         counts |= gaps.gap_counts(own, w.table(table))
+    found = [(r, values(w, r, rules.datasets, w.table(r.table_name), seed)) for r in rules.rules if counts[r.id] <= r.threshold]
+    named = lambda frame, r: frame.select(F.lit(r.id).alias("rule"), "*")
+    folder = f"{w.root}/_runs/{run_id}"
+    tables = {"patches": (PATCHES, [named(p, r) for r, (p, _) in found]), "skipped": (SKIPPED, [named(s, r) for r, (_, s) in found if s is not None])}
+    for name, (schema, frames) in tables.items():
+        union(frames, w.spark, schema).write.parquet(f"{folder}/{name}")
+    doc = {"runId": run_id, "rulesSha": rules_sha, "tables": folder}
+    patches, skipped = patch_rows(w.spark, doc), skipped_rows(w.spark, doc)
+    patched_ = {x["rule"]: x for x in patches.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("minted").alias("minted")).collect()}
+    lacking = {x["rule"]: x["n"] for x in skipped.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    examples: dict[str, list[dict]] = {}
+    for x in first_rows(skipped).collect():
+        examples.setdefault(x["rule"], []).append({"key": {rules.get(x["rule"]).key: x["key"]}, "why": x["why"], "policy": x["policy"]})
+    out = []
     for r in rules.rules:
         n = counts[r.id]
-        doc = {"id": r.id, "table": r.table_name, "column": r.column, "kind": r.kind, "status": "OK" if n <= r.threshold else "BLOCKED", "count": n, "threshold": r.threshold, "reason": r.reason, "patches": [], "skipped": [], "newIdentities": []}
-        frame = w.table(r.table_name)
-        if n <= r.threshold:
-            doc |= values(w, r, rules.datasets, frame, seed)
-        c = gaps.rule_coverage(r, frame)
-        doc["coverage"] = None if c is None else {"uncovered": c.uncovered, "selectedValid": c.selected_valid, "indeterminate": c.indeterminate, "uncoveredKeys": c.uncovered_keys, "selectedValidKeys": c.selected_valid_keys, "indeterminateKeys": c.indeterminate_keys}
-        out.append(doc)
-    return {"runId": run_id or uuid.uuid4().hex[:12], "rulesSha": rules_sha, "rules": out}
+        own = {"id": r.id, "table": r.table_name, "key": r.key, "column": r.column, "kind": r.kind, "status": "OK" if n <= r.threshold else "BLOCKED", "count": n, "threshold": r.threshold, "reason": r.reason}
+        own |= {"patches": patched_[r.id]["n"] if r.id in patched_ else 0, "skipped": lacking.get(r.id, 0), "newIdentities": patched_[r.id]["minted"] if r.id in patched_ else 0, "skippedExamples": examples.get(r.id, [])}
+        c = gaps.rule_coverage(r, w.table(r.table_name))
+        own["coverage"] = None if c is None else {"uncovered": c.uncovered, "selectedValid": c.selected_valid, "indeterminate": c.indeterminate, "uncoveredKeys": c.uncovered_keys, "selectedValidKeys": c.selected_valid_keys, "indeterminateKeys": c.indeterminate_keys}
+        out.append(own)
+    return doc | {"rowsSha": rows_sha(w.spark, doc), "rules": out}
+
+
+def patch_rows(spark: SparkSession, plan_doc: dict) -> DataFrame:
+    return spark.read.schema(PATCHES).parquet(f"{plan_doc['tables']}/patches")
+
+
+def skipped_rows(spark: SparkSession, plan_doc: dict) -> DataFrame:
+    return spark.read.schema(SKIPPED).parquet(f"{plan_doc['tables']}/skipped")
+
 
+def rows_sha(spark: SparkSession, plan_doc: dict) -> str:
+    """One hash for both tables of a plan."""
+    return f"{rows_digest(patch_rows(spark, plan_doc))}-{rows_digest(skipped_rows(spark, plan_doc))}"
 
-def values(w: Warehouse, r: GapRule, datasets: DatasetStore, frame: DataFrame, seed: int) -> dict:
-    rows = gaps.gap_rows(r, frame)
-    key = gaps.key_text(r, rows)
+
+def first_rows(rows: DataFrame, n: int = SHOWN, key: str = "key") -> DataFrame:
+    """The first rows of each rule by key; short keys first, so that numbers are in order."""
+    order = Window.partitionBy("rule").orderBy(F.length(key), key)
+    return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).drop("r").orderBy("rule", F.length(key), key)
+
+
+def listed(spark: SparkSession, plan_doc: dict) -> dict:
+    """The plan document with its rows in lists, for plans that people read whole."""
+    rows = lambda frame, rule: frame.filter(F.col("rule") == rule).orderBy(F.length("key"), "key").collect()
+    out = []
+    for r in plan_doc["rules"]:
+        name = lambda x: {"key": {r["key"]: x["key"]}}  # noqa: B023, E731
+        own = rows(patch_rows(spark, plan_doc), r["id"])
+        patches = [name(x) | {"value": x["value"]} | ({"inputs": x["inputs"]} if x["inputs"] else {}) for x in own]
+        out.append(r | {"patches": patches, "skipped": [name(x) | {"why": x["why"], "policy": x["policy"]} for x in rows(skipped_rows(spark, plan_doc), r["id"])], "newIdentities": [name(x) | {"value": x["value"]} for x in own if x["minted"]]})
+    return plan_doc | {"rules": out}
+
+
+def values(w: Warehouse, r: GapRule, datasets: DatasetStore, frame: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Patches (key, value, inputs, minted) and skipped rows (key, why, policy)."""
+    rows = gaps.gap_rows(r, frame, ordered=False)
     draw = lambda attempt=0: Draw(seed, r.table_name, r.id, F.col("__key"), attempt)
-    rows = rows.withColumn("__key", key)
+    rows = rows.withColumn("__key", gaps.key_text(r, rows))
     if r.kind == "derived":
         return derived(r, datasets, rows)
     if r.kind == "identity":
-        return identities(w, r, rows, draw)
+        return identities(w, r, rows, draw), None
     if DatasetStore.is_key(r.fix):
         d, column = datasets.resolve(r.fix, r.column)
         at = d.index(column)
         value = F.element_at(F.array(*[F.lit(x[at]) for x in d.rows]), chosen(list(d.rows), list(d.weights) if d.weights else None, draw()) + 1)
     elif (query := G.find(G.CANDIDATES, r.fix)) is not None:
         source = lookup(w.spark, w.sql(query), r.column)
-        picked = rows.withColumn("pick", draw().below(source.size)).join(source.frame, "pick", "left")
-        return {"patches": collected(r, picked, F.col("value"))}
+        return replaced(rows.withColumn("pick", draw().below(source.size)).join(source.frame, "pick", "left"), F.col("value")), None
     else:
         value = G.random_value(r.fix, draw())
-    return {"patches": collected(r, rows, value)}
+    return replaced(rows, value), None
 
 
-def collected(r: GapRule, rows: DataFrame, value: Column, inputs: Iterable[str] = ()) -> list[dict]:
-    """Patches by key; their number is bounded by the rule's threshold."""
-    names = list(inputs)
-    seen = rows.select("__key", value.cast("string").alias("__value"), *[F.col(f"`{n}`").cast("string").alias(f"__in_{n}") for n in names]).orderBy(F.length("__key"), "__key").collect()
-    return [{"key": {r.key: x["__key"]}, "value": x["__value"]} | ({"inputs": {n: x[f"__in_{n}"] for n in names}} if names else {}) for x in seen]
+def replaced(rows: DataFrame, value: Column, inputs: Iterable[str] = (), minted: bool = False) -> DataFrame:
+    kept = [x for n in inputs for x in (F.lit(n), F.col(f"`{n}`").cast("string"))]
+    return rows.select(F.col("__key").alias("key"), value.cast("string").alias("value"), (F.create_map(*kept) if kept else F.lit(None)).cast("map<string,string>").alias("inputs"), F.lit(minted).alias("minted"))
 
 
-def derived(r: GapRule, datasets: DatasetStore, rows: DataFrame) -> dict:
+def derived(r: GapRule, datasets: DatasetStore, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     inputs = list(r.inputs or ())
     missing = F.lit(False)
     for name in inputs:
         missing = missing | F.col(f"`{name}`").isNull()
     lacking, whole = rows.filter(missing), rows.filter(~missing)
-    skipped = lambda frame, why: [{"key": {r.key: x["__key"]}, "why": why, "policy": r.on_missing_input or "block"} for x in frame.select("__key").orderBy(F.length("__key"), "__key").collect()]
+    skipped = lambda frame, why: frame.select(F.col("__key").alias("key"), F.lit(why).alias("why"), F.lit(r.on_missing_input or "block").alias("policy"))
     if DatasetStore.is_key(r.fix):
         d, column = datasets.resolve(r.fix, r.column)
         table = rows.sparkSession.createDataFrame([tuple([x[d.index(i)] for i in inputs] + [x[d.index(column)]]) for x in d.rows], T.StructType([T.StructField(f"d{k}", T.StringType()) for k in range(len(inputs) + 1)]))
@@ -101,49 +156,39 @@ def derived(r: GapRule, datasets: DatasetStore, rows: DataFrame) -> dict:
             match = match & (F.lower(F.col(f"`{i}`").cast("string")) == F.lower(f"d{k}"))
         found = whole.join(F.broadcast(table), match, "left")
         value = F.col(f"d{len(inputs)}")
-        return {"patches": collected(r, found.filter(value.isNotNull()), value, inputs), "skipped": skipped(lacking, "an input is NULL") + skipped(found.filter(value.isNull()), "no dataset row has these inputs")}
+        return replaced(found.filter(value.isNotNull()), value, inputs), skipped(lacking, "an input is NULL").unionByName(skipped(found.filter(value.isNull()), "no dataset row has these inputs"))
     method = G.find(G.DERIVED, r.fix)
-    value = method.value({i.lower(): F.col(f"`{i}`") for i in inputs})
-    patches = collected(r, whole, value, inputs)
+    patches = replaced(whole, method.value({i.lower(): F.col(f"`{i}`") for i in inputs}), inputs)
     if r.floor:
-        patches += collected(r, lacking, F.lit(method.floor), inputs)
-        return {"patches": patches}
-    return {"patches": patches, "skipped": skipped(lacking, "an input is NULL")}
+        return patches.unionByName(replaced(lacking, F.lit(method.floor), inputs)), None
+    return patches, skipped(lacking, "an input is NULL")
 
 
-def identities(w: Warehouse, r: GapRule, rows: DataFrame, draw) -> dict:
+def identities(w: Warehouse, r: GapRule, rows: DataFrame, draw: Callable[..., Draw]) -> DataFrame:
     """What the ledger has for a row is used again; other rows get values that neither table, ledger nor plan holds."""
     ledger = w.ledger().filter((F.lower("TargetTable") == r.table_name.lower()) & (F.lower("ColumnName") == r.column.lower()))
-    known = rows.select("__key").join(ledger.select(F.col("RowKey").alias("__key"), F.col("Value").alias("v")), "__key", "left")
-    reused = known.filter("v is not null")
-    left = settle(known.filter("v is null").select("__key"))
+    known = settle(rows.select("__key").join(ledger.select(F.col("RowKey").alias("__key"), F.col("Value").alias("v")), "__key", "left"))
+    left = known.filter("v is null").select("__key")
     table = w.table(r.table_name)
     column = next(f for f in table.schema.fields if f.name.lower() == r.column.lower())
     taken = table.filter(F.col(f"`{column.name}`").isNotNull()).select(canonical(F.col(f"`{column.name}`"), column.dataType).alias("v")).unionByName(ledger.select(F.col("Value").alias("v")))
     source = lookup(w.spark, w.sql(G.find(G.CANDIDATES, r.fix)), r.column) if G.find(G.CANDIDATES, r.fix) else None
-    minted: list[tuple[str, str]] = []
+    out = replaced(known.filter("v is not null"), F.col("v"))
     for attempt in range(ATTEMPTS):
         if left.isEmpty():
-            break
+            return out
         if source is None:
             drawn = left.select("__key", G.random_value(r.fix, draw(attempt)).cast("string").alias("v"))
         else:
             drawn = left.withColumn("pick", draw(attempt).below(source.size)).join(source.frame, "pick").select("__key", F.col("value").cast("string").alias("v"))
-        fresh = drawn.join(taken, "v", "left_anti").groupBy("v").agg(F.min("__key").alias("__key")).collect()  # bounded by the threshold
-        minted += [(x["__key"], x["v"]) for x in fresh]
-        if fresh:
-            now = w.spark.createDataFrame([(x["__key"], x["v"]) for x in fresh], "__key string, v string")
-            left = settle(left.join(now, "__key", "left_anti"))
-            taken = taken.unionByName(now.select("v"))
-    else:
-        if not left.isEmpty():
-            raise SeedloomError(f"rule {r.id!r}: no free identity within {ATTEMPTS} attempts")
-    order = lambda pairs: sorted(pairs, key=lambda p: (len(p[0]), p[0]))
-    old = [(x["__key"], x["v"]) for x in reused.collect()]
-    return {
-        "patches": [{"key": {r.key: k}, "value": v} for k, v in order(old + minted)],
-        "newIdentities": [{"key": {r.key: k}, "value": v} for k, v in order(minted)],
-    }
+        # A value goes to the smallest key that has drawn it.
+        fresh = settle(drawn.join(taken, "v", "left_anti").groupBy("v").agg(F.min("__key").alias("__key")))
+        out = out.unionByName(replaced(fresh, F.col("v"), minted=True))
+        left = settle(left.join(fresh, "__key", "left_anti"))
+        taken = taken.unionByName(fresh.select("v"))
+    if left.isEmpty():
+        return out
+    raise SeedloomError(f"rule {r.id!r}: no free identity within {ATTEMPTS} attempts")
 
 
 # Checks ----------------------------------------------------------------------------------------------------------------
@@ -181,18 +226,25 @@ def regressions(before: list[dict], after: list[dict]) -> tuple[list[str], list[
     return [n for n in failed if n.lower() in passed], [n for n in failed if n.lower() not in passed]
 
 
-def verify(w: Warehouse, rules: GapRules, plan_doc: dict, before: dict, checks: Iterable[Evaluation]) -> dict:
-    """Three layers: planned gaps are closed, no invariant and no consumer check got worse."""
-    left = []
+def remaining_gaps(w: Warehouse, rules: GapRules, plan_doc: dict) -> DataFrame:
+    """rule, key of planned rows that are still bad."""
+    out = []
     for doc in plan_doc["rules"]:
         r = rules.get(doc["id"])
         if doc["patches"]:
-            keys = w.spark.createDataFrame([(p["key"][r.key],) for p in doc["patches"]], "key string")
-            keys = F.broadcast(keys) if len(doc["patches"]) <= BROADCAST_PATCHES else keys
-            left += [f"{r.id}:{x['key']}" for x in gaps.remaining(r, w.table(r.table_name), keys).orderBy("key").collect()]
+            keys = patch_rows(w.spark, plan_doc).filter(F.col("rule") == r.id).select("key")
+            keys = F.broadcast(keys) if doc["patches"] <= BROADCAST_PATCHES else keys
+            out.append(gaps.remaining(r, w.table(r.table_name), keys).select(F.lit(r.id).alias("rule"), "key"))
+    return union(out, w.spark, "rule string, key string")
+
+
+def verify(w: Warehouse, rules: GapRules, plan_doc: dict, before: dict, checks: Iterable[Evaluation]) -> dict:
+    """Three layers: planned gaps are closed, no invariant and no consumer check got worse."""
+    left = settle(remaining_gaps(w, rules, plan_doc))
+    n = left.count()
     now = {"invariants": invariants(w, rules), "consumer": consumer(w, checks)}
     inv, con = (regressions(before[k], now[k]) for k in ("invariants", "consumer"))
-    return {"runId": plan_doc["runId"], "l1": not left, "l2": not inv[0], "l3": not con[0], "regressions": inv[0] + con[0], "preexistingReds": inv[1] + con[1], **now, "remainingPlannedGaps": left}
+    return {"runId": plan_doc["runId"], "l1": not n, "l2": not inv[0], "l3": not con[0], "regressions": inv[0] + con[0], "preexistingReds": inv[1] + con[1], **now, "remaining": n, "remainingPlannedGaps": [f"{x['rule']}:{x['key']}" for x in first_rows(left).collect()]}
 
 
 def exit_code(doc: dict) -> int:
@@ -206,10 +258,10 @@ def summary(plan_doc: dict) -> list[str]:
     """What an approver sees."""
     out = [f"run {plan_doc['runId']}"]
     for r in plan_doc["rules"]:
-        out.append(f"{r['status']} {r['id']} {r['table']}.{r['column']} ({r['kind']}): {r['count']} rows, threshold {r['threshold']}, {len(r['patches'])} patches, {len(r['skipped'])} skipped, {len(r['newIdentities'])} new identities")
+        out.append(f"{r['status']} {r['id']} {r['table']}.{r['column']} ({r['kind']}): {r['count']} rows, threshold {r['threshold']}, {r['patches']} patches, {r['skipped']} skipped, {r['newIdentities']} new identities")
         if c := r.get("coverage"):
             out.append(f"  coverage: {c['uncovered']} uncovered, {c['selectedValid']} selected but valid, {c['indeterminate']} not judged")
-        out += [f"  skipped {s['key']}: {s['why']}" for s in r["skipped"]]
+        out += [f"  skipped {s['key']}: {s['why']}" for s in r["skippedExamples"]]
     return out
 
 
@@ -224,7 +276,7 @@ def refuse_blocked(plan_doc: dict) -> None:
 
 
 def approve(folder: str | Path, email: str | None = None) -> dict:
-    """Bind the plan's bytes to who approves them."""
+    """Bind the plan's bytes, and by the hash in them its rows, to who approves them."""
     path = Path(folder) / "plan.json"
     refuse_blocked(A.read_json(path))
     doc = {"sha256": A.sha256(path), "osUser": getpass.getuser(), "gitEmail": email or git_email(folder), "timestampUtc": A.now()}
@@ -242,79 +294,116 @@ def overlay(frame: DataFrame, key: Column, patches: DataFrame, columns: list[str
     return joined.select(*[new[f].alias(f) if f in new else F.col(f"`{f}`") for f in kinds], *old, F.col("__key"))
 
 
-def patched(w: Warehouse, table: str, key: str, cells: list[tuple[str, str, str | None]]) -> tuple[list[str], list[tuple[str, str, str | None]]]:
-    """The table's folders and files with (key, column, value) cells set, staged, and the old values.
+CELLS = "key string, column string, value string, seq int"
+
+
+def patched(w: Warehouse, table: str, key: str, cells: DataFrame | list[tuple[str, str, str | None]]) -> tuple[list[str], DataFrame]:
+    """The table's folders and files with cells (key, column, value, seq; or a list of the first three) set, staged, and the
+    old values (key, column, old). Of several values for a cell the one of the highest seq is taken.
 
     Each key must have exactly one row. One pass over the key and the patched columns finds the rows; only the files that
     hold them are written anew."""
+    if isinstance(cells, list):
+        cells = w.spark.createDataFrame([(*c, k) for k, c in enumerate(cells)], CELLS)
     frame = w.table(table)
     kinds = {f.name.lower(): f for f in frame.schema.fields}
-    columns = sorted({kinds[c.lower()].name for _, c, _ in cells})
-    rows: dict[str, dict[str, tuple]] = {}
-    for k, c, v in cells:
-        rows.setdefault(k, {})[kinds[c.lower()].name] = (v,)
-    schema = T.StructType([T.StructField("key", T.StringType())] + [T.StructField(f"__new_{c}", T.StructType([T.StructField("v", T.StringType())])) for c in columns])
-    patches = w.spark.createDataFrame([(k, *[v.get(c) for c in columns]) for k, v in rows.items()], schema)
-    patches = F.broadcast(patches) if len(rows) <= BROADCAST_PATCHES else patches
+    columns = sorted({kinds[x[0]].name for x in cells.select(F.lower("column")).distinct().collect()})
+    is_of = lambda c: F.lower("column") == c.lower()
+    last = [F.max(F.when(is_of(c), F.struct("seq", F.struct(F.col("value").alias("v")).alias("n"))))["n"].alias(f"__new_{c}") for c in columns]
+    patches = settle(cells.groupBy("key").agg(*last))
+    n = patches.count()
+    sent = F.broadcast(patches) if n <= BROADCAST_PATCHES else patches
     key_text = canonical(F.col(f"`{kinds[key.lower()].name}`"), kinds[key.lower()].dataType)
     cell = [F.col(f"`{c}`").cast("string").alias(f"__old_{k}") for k, c in enumerate(columns)]
-    hits = frame.select(key_text.alias("key"), F.col("_metadata.file_path").alias("__file"), *cell).join(patches.select("key"), "key").collect()  # as many as patches
-    seen: dict[str, list] = {}
-    for x in hits:
-        seen.setdefault(x["key"], []).append(x)
-    bad = [k for k in rows if len(seen.get(k, [])) != 1]
-    if bad:
-        raise SeedloomError(f"{table}: {len(bad)} keys don't have exactly one row ({', '.join(bad[:5])}); nothing was changed")
-    old = [(k, c, seen[k][0][f"__old_{columns.index(c)}"]) for k, v in rows.items() for c in v]
-    touched = {tuple(x["__file"].rsplit("/", 2)[-2:]) for x in hits}
+    hits = settle(frame.select(key_text.alias("key"), F.col("_metadata.file_path").alias("__file"), *cell).join(sent.select("key"), "key"))
+    bad = patches.select("key").join(hits.groupBy("key").agg(F.count("*").alias("rows")), "key", "left").filter(F.coalesce("rows", F.lit(0)) != 1)
+    if some := bad.limit(SHOWN).collect():
+        raise SeedloomError(f"{table}: {bad.count()} keys don't have exactly one row ({', '.join(str(x['key']) for x in some)}); nothing was changed")
+    old = F.coalesce(*[F.when(is_of(c), F.col(f"__old_{k}")) for k, c in enumerate(columns)]) if columns else F.lit(None)
+    before = cells.select("key", "column").distinct().join(hits, "key").select("key", "column", old.cast("string").alias("old"))
+    files = [x[0] for x in hits.select("__file").distinct().collect()]
     entries = w.manifest().folders[Warehouse.key(table)]
-    within = w.spark.read.schema(frame.schema).parquet(*sorted({x["__file"] for x in hits}))
-    new = overlay(within, key_text, patches, columns).select([f"`{f.name}`" for f in frame.schema.fields])
-    return [*w.without(entries, touched), w.stage(Warehouse.key(table), new)], old
+    if not files:
+        return entries, before
+    within = w.spark.read.schema(frame.schema).parquet(*sorted(files))
+    new = overlay(within, key_text, sent, columns).select([f"`{f.name}`" for f in frame.schema.fields])
+    return [*w.without(entries, {tuple(f.rsplit("/", 2)[-2:]) for f in files}), w.stage(Warehouse.key(table), new)], before
+
+
+def rule_table(w: Warehouse, rules: Iterable[GapRule]) -> DataFrame:
+    """What a patch doesn't say itself; as many rows as rules."""
+    rows = [(r.id, k, r.table_name, r.key, r.column, r.kind, r.reason) for k, r in enumerate(rules)]
+    return F.broadcast(w.spark.createDataFrame(rows, "rule string, seq int, table string, keyColumn string, column string, kind string, reason string"))
+
+
+def by_table(rules: Iterable[GapRule]) -> dict[str, str]:
+    """The key of each table."""
+    keys: dict[str, str] = {}
+    for r in rules:
+        if keys.setdefault(r.table_name, r.key).lower() != r.key.lower():
+            raise ConfigError("rules of one table must name the same key")
+    return keys
+
 
+def log_name(run_id: str) -> str:
+    return f"_log/{run_id}"
 
-def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink=None) -> list[dict]:
+
+def apply(w: Warehouse, rules: GapRules, folder: str | Path, sink: RestSink | None = None) -> DataFrame:
     """Apply an approved plan; returns the log. All tables, ledger entries and the log become visible at once or not at all.
 
-    With a sink, each patch goes there instead (one call for each), after the ledger has its identities."""
-    folder = Path(folder)
-    plan_doc, approval = A.read_json(folder / "plan.json"), A.read_json(folder / "plan.approved")
+    With a sink, the patches go there instead, after the ledger has its identities."""
+    folder, spark = Path(folder), w.spark
+    doc, approval = A.read_json(folder / "plan.json"), A.read_json(folder / "plan.approved")
     if A.sha256(folder / "plan.json") != approval["sha256"].lower():
         raise ConfigError("plan.json is not what was approved")
-    refuse_blocked(plan_doc)
-    base, stamp = w.manifest(), A.now()
-    log, by_table, identities_ = [], {}, []
-    for doc in plan_doc["rules"]:
-        r = rules.get(doc["id"])
-        for p in doc["patches"]:
-            by_table.setdefault((r.table_name, r.key), []).append((p["key"][r.key], r, p["value"]))
-            if r.kind == "identity":
-                identities_.append((r.table_name, p["key"][r.key], r.column, p["value"], r.id, stamp, approval.get("gitEmail") or approval.get("osUser")))
-    if len({t for t, _ in by_table}) < len(by_table):
-        raise ConfigError("rules of one table must name the same key")
+    refuse_blocked(doc)
+    if rows_sha(spark, doc) != doc["rowsSha"]:
+        raise ConfigError("the plan's rows are not what was approved")
+    base, stamp, name = w.manifest(), A.now(), log_name(doc["runId"])
+    if name in base.folders:
+        raise ConfigError(f"run {doc['runId']} was applied already")
+    own = [rules.get(r["id"]) for r in doc["rules"] if r["patches"]]
+    cells = patch_rows(spark, doc).join(rule_table(w, own), "rule")
     folders = {}
-    if identities_:
-        rows = w.spark.createDataFrame(identities_, "TargetTable string, RowKey string, ColumnName string, Value string, RuleId string, CreatedAt string, CreatedBy string").withColumn("CreatedAt", F.col("CreatedAt").cast("timestamp"))
+    if any(r["newIdentities"] or r["kind"] == "identity" and r["patches"] for r in doc["rules"]):
+        who = approval.get("gitEmail") or approval.get("osUser")
+        rows = cells.filter("kind = 'identity'").select(F.col("table").alias("TargetTable"), F.col("key").alias("RowKey"), F.col("column").alias("ColumnName"), F.col("value").alias("Value"), F.col("rule").alias("RuleId"), F.lit(stamp).cast("timestamp").alias("CreatedAt"), F.lit(who).alias("CreatedBy"))
         folders[LEDGER_NAME] = [*base.folders.get(LEDGER_NAME, []), w.stage(LEDGER_NAME, w.with_entries(rows))]
+    keys = by_table(own)
     if sink is not None:
-        w.publish(base, folders)
-        for patches in by_table.values():
-            for k, r, v in patches:
-                log.append({"ts": stamp, "rule": r.id, "id": {r.key: k}, "col": r.column, "old": sink.patch(r.table_name, r.key, k, r.column, v), "new": v, "reason": r.reason})
+        if folders:
+            w.publish(base, folders)
+            base, folders = w.manifest(), {}
+        sent = sink.send(cells, doc["runId"], f"{doc['tables']}/rest")
+        before = [sent.select("table", "key", "column", "old")]
     else:
-        for (table, key), patches in by_table.items():
-            entries, old = patched(w, table, key, [(k, r.column, v) for k, r, v in patches])
-            before = {(k, c.lower()): v for k, c, v in old}
-            folders[Warehouse.key(table)] = entries
-            log += [{"ts": stamp, "rule": r.id, "id": {r.key: k}, "col": r.column, "old": before[k, r.column.lower()], "new": v, "reason": r.reason} for k, r, v in patches]
-    part = folder / "patches.jsonl.staged"
-    A.write_lines(part, log)
-    if sink is None:
-        w.publish(base, folders)
-    part.replace(folder / "patches.jsonl")
+        before = []
+        for table, key in keys.items():
+            folders[Warehouse.key(table)], old = patched(w, table, key, cells.filter(F.col("table") == table).select("key", "column", "value", "seq"))
+            before.append(old.select(F.lit(table).alias("table"), "key", "column", "old"))
+    old = union(before, spark, "table string, key string, column string, old string")
+    log = cells.join(old, ["table", "key", "column"]).select("seq", F.lit(stamp).alias("ts"), "rule", "table", "keyColumn", F.col("key").alias("id"), F.col("column").alias("col"), "old", F.col("value").alias("new"), "reason")
+    folders[name] = [w.stage(name, log)]
+    w.publish(base, folders)
+    log = run_log(w, doc["runId"])
+    counts = {x["rule"]: x["n"] for x in log.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    A.write_json(folder / "patches.json", {"runId": doc["runId"], "ts": stamp, "path": f"{w.root}/{folders[name][0]}", "rowsSha": rows_digest(log), "rules": counts})
     return log
 
 
+def run_log(w: Warehouse, run_id: str) -> DataFrame:
+    entries = w.manifest().folders.get(log_name(run_id))
+    if entries is None:
+        raise ConfigError(f"run {run_id} was not applied")
+    return w.read(entries, LOG)
+
+
+def log_rows(spark: SparkSession, patches_doc: dict) -> DataFrame:
+    """The log that patches.json names."""
+    return spark.read.schema(LOG).parquet(patches_doc["path"])
+
+
 def run(w: Warehouse, rules: GapRules, folder: str | Path, checks: Iterable[Evaluation] = (), seed: int = 0, rules_sha: str = "", email: str | None = None, approved: bool = False) -> dict:
     """Plan, approve, apply, verify and report, each with its artifacts; without an approval it ends after the plan."""
     from seedloom.operators import audit
@@ -334,53 +423,18 @@ def run(w: Warehouse, rules: GapRules, folder: str | Path, checks: Iterable[Eval
     return doc | {"verify": found, "facts": facts}
 
 
-def revert(w: Warehouse, rules: GapRules, log: list[dict], only: list[str] | None = None) -> int:
-    """Put back the earliest old value of each patched cell; the ledger keeps its entries."""
-    wanted = {i.lower() for i in only} if only else None
-    cells: dict[tuple[str, str], dict[tuple[str, str], str | None]] = {}
-    for entry in reversed(log):
-        if wanted is not None and entry["rule"].lower() not in wanted:
-            continue
-        r = rules.get(entry["rule"])
-        cells.setdefault((r.table_name, r.key), {})[entry["id"][r.key], entry["col"]] = entry["old"]
+def revert(w: Warehouse, rules: GapRules, log: DataFrame, only: list[str] | None = None) -> int:
+    """Put back the earliest old value of each patched cell (by seq); the ledger keeps its entries. log: rule, id, col, old,
+    seq, as apply gives it."""
+    if only:
+        log = log.filter(F.lower("rule").isin([i.lower() for i in only]))
+    own = [rules.get(x[0]) for x in log.select("rule").distinct().collect()]
+    of = rule_table(w, own).drop("seq", "reason", "column")
+    cells = log.select("rule", F.col("id").alias("key"), F.col("col").alias("column"), "old", "seq").join(of.select(F.lower("rule").alias("name"), F.col("table").alias("to")), F.lower("rule") == F.col("name"))
+    cells = settle(cells.groupBy("to", "key", "column").agg(F.min(F.struct("seq", "old"))["old"].alias("value")))
     base, folders = w.manifest(), {}
-    for (table, key), own in cells.items():
-        folders[Warehouse.key(table)], _ = patched(w, table, key, [(k, c, v) for (k, c), v in own.items()])
+    for table, key in by_table(own).items():
+        folders[Warehouse.key(table)], _ = patched(w, table, key, cells.filter(F.col("to") == table).select("key", "column", "value", F.lit(0).alias("seq")))
     if folders:
         w.publish(base, folders)
-    return sum(len(c) for c in cells.values())
-
-
-class RestSink:
-    """Patches over HTTP: read the row, then set one column. Only tables with a one-column key."""
-
-    def __init__(self, base_url: str, entities: dict[str, str], headers: dict[str, str] | None = None, opener=None) -> None:
-        from urllib.request import urlopen
-
-        self.base, self.entities, self.headers, self.open = base_url.rstrip("/"), {k.lower(): v for k, v in entities.items()}, headers or {}, opener or urlopen
-
-    def _call(self, method: str, url: str, body: dict | None = None) -> dict:
-        import json
-        from urllib.error import URLError
-        from urllib.request import Request
-
-        request = Request(url, None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers}, method=method)
-        try:
-            with self.open(request) as answer:
-                return json.loads(answer.read() or b"{}")
-        except URLError as e:
-            raise SeedloomError(f"{method} {url}: {e}") from e
-
-    def patch(self, table: str, key: str, key_value: str, column: str, value: str | None) -> str | None:
-        from urllib.parse import quote
-
-        if table.lower() not in self.entities:
-            raise ConfigError(f"no entity is known for table {table}")
-        url = f"{self.base}/{self.entities[table.lower()]}/{quote(key)}/{quote(key_value, safe='')}"
-        got = self._call("GET", url)
-        rows = got.get("value", [got])
-        if len(rows) != 1:
-            raise SeedloomError(f"{url}: {len(rows)} rows")
-        self._call("PATCH", url, {column: value})
-        old = rows[0].get(column)
-        return None if old is None else str(old)
+    return cells.count()

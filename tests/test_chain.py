@@ -60,15 +60,15 @@ def test_chain(w, tmp_path):
     assert n == 18 and w.table("Sales.Currency").count() == 25
     rules = gaprules.loads(GAPS, DATASETS)
     plan = repair.plan(w, rules, 5)
-    names, persons = plan["rules"]
+    names, persons = repair.listed(w.spark, plan)["rules"]
     assert len(names["patches"]) == 14 and [s["key"]["CurrencyCode"] for s in names["skipped"]] == ["ZZZ"] and len(persons["newIdentities"]) == 3
     A.write_json(tmp_path / "plan.json", plan)
     before = repair.baseline(w, rules, CHECKS, plan["runId"])
     repair.approve(tmp_path, "a@example.test")
     log = repair.apply(w, rules, tmp_path)
     verified = repair.verify(w, rules, plan, before, CHECKS)
-    assert len(log) == 17 and repair.exit_code(verified) == 0 and verified["preexistingReds"] == ["CUR-1.invariant"]
+    assert log.count() == 17 and repair.exit_code(verified) == 0 and verified["preexistingReds"] == ["CUR-1.invariant"]
     assert {r["CurrencyCode"]: r["Name"] for r in w.table("Sales.Currency").collect()} == dict(CODES) | {"ZZZ": None}
     corrupt(w, {("Sales.Customer", "CustomerID"): [(k, "PersonID", None) for k in ("1", "2", "3")]})
-    again = repair.plan(w, rules, 77)["rules"][1]
+    again = repair.listed(w.spark, repair.plan(w, rules, 77))["rules"][1]
     assert again["patches"] == persons["patches"] and not again["newIdentities"]
