@@ -9,15 +9,16 @@ that encoding:
 * runs above and below the middle of the alphabet, and runs of lower case, upper case and other letters, of which text has
   few and long ones; and the serial correlation of neighbours.
 
-The smallest p-value, times the number of tests, says how random a token looks. How random text looks to the same battery
-is known from DECOYS made-up identifiers, paths and words of each class of tokens (by length, and whether there are
-letters only): the share of them that looks as random is a candidate's p-value as a text. The Benjamini-Hochberg rule over
-all candidates of a class selects the secrets, so at most FDR of what is reported is expected to be text. Selected tokens
-become spans of kind "random"; they may hold or overlap base spans. P-values are kept in bins, so the rule needs counts
-only. Shorter tokens are found by the base patterns alone: in under 16 letters the battery can't tell keys from words.
-
-Null text counts as empty. Positions are code points. Repeated rows are scanned each on its own, ties end in the same
-bin. Very long texts and tokens are scanned whole. Extra columns are kept; if they clash with added names, the added ones
+The smallest p-value, times the number of tests, is the battery's; below ALPHA the token isn't random. Whether it is text
+is judged by its local false-discovery rate. Text is a model of pairs of letters, fitted once to made-up identifiers, paths
+and words; the exact likelihood ratio of uniform letters against it, times the odds of a secret among tokens of that
+length (ODDS: shorter tokens are text more often), says how likely the token is text. It becomes a span of kind "random" if
+that is at most FDR, so at most that share of what is reported is expected to be text, however few secrets there are; and
+a document's spans don't depend on other documents. Spans may hold or overlap base spans. Shorter tokens are found by
+the base patterns alone: in under 16 letters keys can't be told from words.
+
+Null text counts as empty. Positions are code points. Repeated rows are scanned each on its own, equal tokens are judged
+alike. Very long texts and tokens are scanned whole. Extra columns are kept; if they clash with added names, the added ones
 get a suffix. An empty table gives an empty result.
 """
 
@@ -25,7 +26,9 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,12 +47,16 @@ CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}"
 KINDS = ["assign", "access", "hex", "random"]
 
 FDR = 0.05
-#: Bins of a p-value's binary logarithm: STEPS to a power of two, BINS at most.
-STEPS, BINS = 8, 400
-#: Lengths from which the tests have more power, each a class of its own.
-LENGTHS = [16, 24, 40]
-#: Made-up text tokens of each class.
-DECOYS = 4000
+#: Least p-value of the battery.
+ALPHA = 0.002
+#: Secrets for each token of text, by the least length of a token.
+ODDS = {16: 1e-7, 24: 1e-6, 40: 1e-5}
+#: Made-up text tokens of each length and kind that the model of text is fitted to.
+DECOYS = 2000
+#: Weights of pairs of letters, single letters, and any letter in the model of text.
+MIX = 0.8, 0.15, 0.05
+#: A bit of the likelihood ratio, in the units of the model's table.
+UNIT = 64
 #: Letters up to which the number of equal pairs is tested exactly.
 EXACT = 64
 TESTS = 5
@@ -90,13 +97,18 @@ def upper_tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(z * 1.5976 + z * z * z * 0.07056))
 
 
-def p_value(token: Column) -> Column:
-    """The smallest of the battery's p-values times their number: small if the token isn't uniform in its encoding."""
+def encoded(token: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with the token's letters x.t and its alphabet x.a."""
     token = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     alphabet = F.lit(BASE64)
     for pattern, chars in reversed(ENCODINGS):
         alphabet = F.when(token.rlike(pattern), F.lit(chars)).otherwise(alphabet)
-    return let(F.struct(token.alias("t"), alphabet.alias("a")), lambda x: battery(x["t"], x["a"]))
+    return let(F.struct(token.alias("t"), alphabet.alias("a")), body)
+
+
+def p_value(token: Column) -> Column:
+    """The smallest of the battery's p-values times their number: small if the token isn't uniform in its encoding."""
+    return encoded(token, lambda x: battery(x["t"], x["a"]))
 
 
 def battery(t: Column, a: Column) -> Column:
@@ -150,20 +162,6 @@ def battery(t: Column, a: Column) -> Column:
     return F.least(F.lit(1.0), F.least(letters, mix, let(halves, of_halves), let(classes, changes), upper_tail(let(centred, of_codes)) * 2) * TESTS)
 
 
-def bin_of(token: Column) -> Column:
-    """The bin of its p-value: the lower, the more random."""
-    return F.least(F.floor(F.log2(F.greatest(p_value(token), F.lit(1e-30))) * -STEPS), F.lit(BINS)).cast("int")
-
-
-def class_of(token: Column) -> Column:
-    """The class of a token: its least length, and whether it has letters alone."""
-    n = F.length(F.rtrim(token, F.lit("=")))
-    out = F.lit(LENGTHS[0])
-    for least in LENGTHS[1:]:
-        out = F.when(n >= least, F.lit(least)).otherwise(out)
-    return out * 2 + F.when(token.rlike("^[A-Za-z]+$"), 1).otherwise(0)
-
-
 #: Parts of made-up identifiers.
 WORDS = """account action address admin after array async average backup batch before block browser buffer build button cache
 category center channel check child client cluster collection column command comment commit config connection container content
@@ -199,41 +197,74 @@ def decoy(r: random.Random, low: int, high: int, letters: bool) -> str:
             return out
 
 
+#: Words of several languages, in which pairs of letters are others than in identifiers.
+OTHER_WORDS = """aber acht alles anderen arbeit auch aufgabe auszug beaucoup beispiel besser biblioteca bleu bonheur bruecke buch
+cabeza caballo ceux chaque chateau chercher chevaux chose ciudad coche cheveux corazon cuatro danach dessous deutschland dieu
+donde doux drei durch eau eaux eigentlich einfach elle encore enfant ensuite entonces entschuldigung escuela espanol etwas europe
+faux fenetre feuille fuego fleur gabel gegen geschichte gesundheit glueck gracias haus heureux hijo hoch huevo huit ihr jahre jamais
+jeudi jeune joven jugend juego kaufen keit kirche kopf kurz langue leiten leute lieu llamar llave lourd lueur luz maintenant majeure
+mensch mieux milieu monde morgen muchacho nacht neuf neuve nieve noche nouveau nouvelle nunca oiseau oui ouvrir pfeffer pferd
+pflanze platz pourquoi pouvoir puente pueblo quand quatre que queue quiero quoi raison recht reich rouge rueda ruhig schiff schluss
+schnell schreiben schule schwarz sehr siecle soeur soleil sombra sprache stadt strasse stueck suerte tiempo topf toujours travail
+trois tzar ueber unterschied veinte verkauf vieux viel viento vogel voix wahrheit wasser weiss werk wichtig wirtschaft woche wunsch
+yeux zapato zeit zucker zukunft zurueck zwei zwischen""".split()
+
+
 @functools.cache
 def made_up(seed: int = 7) -> list[str]:
+    """Identifiers, paths, and words of several languages put together."""
     r = random.Random(seed)
-    ends = [*LENGTHS[1:], 2 * LENGTHS[-1]]
-    return [decoy(r, low, high, letters) for low, high in zip(LENGTHS, ends, strict=True) for letters in (False, True) for _ in range(DECOYS)]
+    lengths = [*ODDS, 2 * max(ODDS)]
+    out = [decoy(r, low, high, letters) for low, high in zip(lengths, lengths[1:], strict=False) for letters in (False, True) for _ in range(DECOYS)]
+    for _ in range(2 * DECOYS):
+        words = [r.choice(OTHER_WORDS) for _ in range(r.randint(3, 6))]
+        style = r.randrange(4)
+        out.append({0: "".join(words), 1: "_".join(words), 2: "".join(w.capitalize() for w in words), 3: "-".join(words)}[style])
+    return out
 
 
-_decoy_bins: dict[tuple[int, int], int] = {}
+@functools.cache
+def text_bits() -> list[list[int]]:
+    """Information of a letter (BASE64, - and _ as + and /) in text after the letter of the row, in UNIT-ths of a bit; the
+    last row is for first letters."""
+    n = len(BASE64)
+    of = {c: k for k, c in enumerate(BASE64)} | {"-": BASE64.index("+"), "_": BASE64.index("/")}
+    counts = np.zeros((n + 1, n))
+    for token in made_up():
+        at = [n, *(of[c] for c in token)]
+        np.add.at(counts, (at[:-1], at[1:]), 1)
+    single = (counts.sum(axis=0) + 1) / (counts.sum() + n)
+    rows = counts.sum(axis=1, keepdims=True)
+    pairs = np.where(rows > 0, counts / np.maximum(rows, 1), single)
+    return np.rint(-np.log2(MIX[0] * pairs + MIX[1] * single + MIX[2] / n) * UNIT).astype(int).tolist()
+
+
+def need(n: Column) -> Column:
+    """Bits by which letters must be likelier as random than as text, for a token of n letters."""
+    out = F.lit(0.0)
+    for least in sorted(ODDS):
+        out = F.when(n >= least, F.lit(math.log2((1 - FDR) / FDR / ODDS[least]))).otherwise(out)
+    return out
 
 
-def decoy_bins(spark: SparkSession) -> dict[tuple[int, int], int]:
-    """How many decoys each class has in each bin; counted once in a Python process."""
-    if not _decoy_bins:
-        tokens = spark.createDataFrame([(t,) for t in made_up()], "t string")
-        _decoy_bins.update(counted(tokens.select(class_of(F.col("t")).alias("c"), bin_of(F.col("t")).alias("bin"))))
-    return _decoy_bins
+def evidence(token: Column) -> Column:
+    """Bits of the likelihood ratio of uniform letters in the token's encoding against text."""
+    flat = F.from_json(F.lit(json.dumps([x for row in text_bits() for x in row])), "array<int>")
+    n = len(BASE64)
 
+    def of(x: Column) -> Column:
+        codes = F.transform(F.filter(F.split(x["t"], ""), lambda c: c != ""), lambda c: F.position(c, F.lit(BASE64)) - 1)
+        pairs = let(codes, lambda c: F.zip_with(F.concat(F.array(F.lit(n)), F.slice(c, F.lit(1), F.size(c) - 1)), c, lambda p, q: F.get(flat, p * n + q)))
+        total = F.aggregate(pairs, F.lit(0).cast("long"), lambda u, v: u + v)
+        return total / UNIT - F.length(x["t"]) * F.log2(F.length(x["a"]).cast("double"))
 
-def counted(bins: DataFrame) -> dict[tuple[int, int], int]:
-    """Rows of each class and bin: a bounded table."""
-    return {(r["c"], r["bin"]): r["count"] for r in bins.groupBy("c", "bin").count().collect()}
+    return encoded(token, of)
 
 
-def selected(seen: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int]) -> dict[int, int]:
-    """For each class the highest bin whose tokens count as secrets (Benjamini-Hochberg); classes without one are left out."""
-    out = {}
-    for c in {c for c, _ in seen}:
-        m, d = (sum(n for (k, _), n in counts.items() if k == c) for counts in (seen, decoys))
-        found = text = 0
-        for b in range(BINS + 1):
-            found += seen.get((c, b), 0)
-            text += decoys.get((c, b), 0)
-            if found and (1 + text) * m <= FDR * found * (1 + d):
-                out[c] = b
-    return out
+def is_random(token: Column) -> Column:
+    """Whether a token is a secret: likelier random than text by enough, and random to the battery."""
+    n = F.length(F.rtrim(token, F.lit("=")))
+    return F.when(evidence(token) >= need(n), p_value(token) >= ALPHA).otherwise(False)
 
 
 def kind_of(spans: Column, kind: str) -> Column:
@@ -252,34 +283,24 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[kind_of(x, kind) for x, kind in zip((assign, access, hexes), KINDS[:3], strict=True)])).cast(SPANS)
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<s, e, c, bin>> of long tokens that aren't inside a base span, with their class and bin."""
+def random_spans(text: Column, base: Column) -> Column:
+    """array<struct<s, k, e>> of random tokens that aren't inside a base span."""
     kind = "array<struct<s:int,token:boolean,e:int,m:string>>"
     mark = lambda spans, token: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(token).alias("token"), x["e"].alias("e"), (x["m"] if token else F.lit("")).alias("m"))).cast(kind)
     # By start, so that a token is inside a base span if one of those before it ends no earlier.
     step = lambda at, x: (F.when(x["token"], at).otherwise(F.greatest(at, x["e"])), F.filter(F.array(x), lambda y: y["token"] & (y["e"] > at)))
     found = fold(F.sort_array(F.concat(mark(base, False), mark(match_spans(text, CANDIDATE), True))), F.lit(0), kind, step)
-    scored = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), class_of(x["m"]).alias("c"), bin_of(x["m"]).alias("bin")))
-    out = "array<struct<s:int,e:int,c:int,bin:int>>"
-    return F.when(text.rlike(rf"[A-Za-z0-9+/_-]{{{SHORTEST}}}"), scored).otherwise(F.expr(f"cast(array() as {out})")).cast(out)
+    secrets = kind_of(F.filter(found, lambda x: is_random(x["m"])), "random")
+    return F.when(text.rlike(rf"[A-Za-z0-9+/_-]{{{SHORTEST}}}"), secrets).otherwise(F.expr(f"cast(array() as {SPANS})")).cast(SPANS)
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[DataFrame, str, str]:
     """The columns keep of docs with base spans and all spans (s, k: index in KINDS, e), and these columns' names."""
     base, more, text = fresh(docs, "base_spans", "spans", "scanned_text")
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text)))
-    rows = settle(rows.withColumn(more, candidates(F.col(text), F.col(base))).drop(text))
-    seen = counted(rows.select(F.explode(more).alias("x")).select("x.c", "x.bin"))
-    cut = selected(seen, decoy_bins(docs.sparkSession)) if seen else {}
-
-    def passed(x: Column) -> Column:
-        most = F.lit(-1)
-        for c, b in cut.items():
-            most = F.when(x["c"] == c, b).otherwise(most)
-        return x["bin"] <= most
-
-    found = kind_of(F.filter(more, passed), "random").cast(SPANS)
-    return rows.withColumn(more, F.sort_array(F.concat(F.col(base), found))), base, more
+    # Written once: what reads the spans would else look for them again for each of its uses.
+    rows = settle(rows.withColumn(more, random_spans(F.col(text), F.col(base))).drop(text))
+    return rows.withColumn(more, F.sort_array(F.concat(F.col(base), F.col(more)))), base, more
 
 
 def spelled(spans: Column) -> Column:
