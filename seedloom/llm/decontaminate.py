@@ -2,7 +2,7 @@
 
 Texts are lower-cased in A-Z; words are runs of ASCII letters and digits and of any non-ASCII characters. The windows of
 the benchmark go to the executors in blocks of bounded size: a benchmark beyond one block makes further passes over the
-documents, without any shuffle; an item beyond a block is cut at words into pieces that share their last windows. A block
+documents, each written before the next begins, without any shuffle; an item beyond a block is cut at words into pieces that share their last windows. A block
 holds its text, the places of its words, and its windows' hashes in order: some 30 bytes a word. A window is found by its
 rolling hash and then compared word by word.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.llm.common import fresh, table
+from seedloom.llm.common import forget, fresh, settle, table
 
 WINDOW = 10
 #: Words of the benchmark in one broadcast block: some 120 MB in a worker (a test measures it).
@@ -233,9 +233,17 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str
     added = T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
     schema = T.StructType([*docs.schema.fields, *added.fields])
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    out = docs
+    out, shared, written = docs, None, None
     for block in blocks(bench, item_col, item_text_col, window):
-        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(block), at, len(docs.columns)), schema)
+        if shared is not None:
+            # A pass is written before the next block goes out, so that no task holds two of them.
+            out, before = settle(out), written
+            written = out
+            shared.unpersist()
+            if before is not None:
+                forget(before)
+        shared = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(scanner(shared, at, len(docs.columns)), schema)
     return out, names
 
 

@@ -19,7 +19,7 @@ import functools
 import html as entities
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,33 +74,40 @@ def says(names: str) -> tuple[bool, bool]:
 FEATURES = ["article", "outside", "nav", "footer", "aside", "form", "header", "bad_name", "good_name", "hidden", "links", "words", "ends", "heading", "item"]
 
 
+ARTICLE_TAGS, FORM_TAGS = {"article", "main"}, {"form", "button", "select", "fieldset", "dialog"}
+#: What an element is inside of, as bits.
+ARTICLE, NAV, FOOTER, ASIDE, FORM, HEADER, BAD_NAME, GOOD_NAME, HIDDEN_IN, HEAD = (1 << k for k in range(10))
+OF_TAG = {"nav": NAV, "menu": NAV, "footer": FOOTER, "aside": ASIDE, "header": HEADER, "head": HEAD} | dict.fromkeys(ARTICLE_TAGS, ARTICLE) | dict.fromkeys(FORM_TAGS, FORM)
+
+
+class Element:
+    """An element on the way from the root to a block: it knows its parent and, in bits, what it is inside of."""
+
+    __slots__ = ("tag", "number", "parent", "depth", "own", "inside")
+
+    def __init__(self, tag: str, number: int, parent: Element | None, own: int) -> None:
+        self.tag, self.number, self.parent, self.own = tag, number, parent, own
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = own | (parent.inside if parent else 0)
+
+
 class Block:
-    __slots__ = ("text", "links", "path", "names", "hidden", "ids")
+    __slots__ = ("text", "links", "at")
 
-    def __init__(self, text: str, links: int, stack: list[tuple]) -> None:
-        self.text, self.links = text, links
-        self.path = [x[0] for x in stack]
-        self.names = [x[1] for x in stack]
-        self.hidden = any(x[2] for x in stack)
-        self.ids = [x[3] for x in stack]
+    def __init__(self, text: str, links: int, at: Element) -> None:
+        self.text, self.links, self.at = text, links, at
 
     def features(self, has_article: bool) -> list[float]:
-        p, words = set(self.path), self.text.split()
-        article = bool(p & ARTICLE)
-        last = self.path[-1] if self.path else ""
-        named = [says(n) for n in self.names if n]
+        i, last, words = self.at.inside, self.at.tag, self.text.split()
+        article = bool(i & ARTICLE)
         return [
-            article, has_article and not article, "nav" in p or "menu" in p, "footer" in p, "aside" in p, bool(p & {"form", "button", "select", "fieldset", "dialog"}), "header" in p and not article,
-            any(bad for bad, _ in named), any(good for _, good in named), self.hidden, min(1.0, self.links / max(1, len(self.text))), min(4.0, np.log1p(len(words))),
-            self.text[-1:] in ".!?:…”\"", last in {"h1", "h2", "h3", "h4", "h5", "h6"}, last in {"li", "option"},
+            article, has_article and not article, bool(i & NAV), bool(i & FOOTER), bool(i & ASIDE), bool(i & FORM), bool(i & HEADER) and not article, bool(i & BAD_NAME), bool(i & GOOD_NAME), bool(i & HIDDEN_IN),
+            min(1.0, self.links / max(1, len(self.text))), min(4.0, np.log1p(len(words))), self.text[-1:] in ".!?:…”\"", last in {"h1", "h2", "h3", "h4", "h5", "h6"}, last in {"li", "option"},
         ]
 
 
-ARTICLE = {"article", "main"}
-
-
 def features(found: list[Block]) -> np.ndarray:
-    has_article = any(not ARTICLE.isdisjoint(b.path) for b in found)
+    has_article = any(b.at.inside & ARTICLE for b in found)
     return np.array([b.features(has_article) for b in found], dtype=float).reshape(-1, len(FEATURES))
 
 
@@ -136,7 +143,11 @@ def tag_end(page: str, at: int) -> int:
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    root = Element("", 0, None, 0)
+    stack: list[Element] = [root]
+    #: How many open elements each tag has, and raw elements that nothing closes any more.
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
     links = number = at = 0
     in_link = False
@@ -147,7 +158,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, stack))
+                out.append(Block(text, links, stack[-1]))
             parts.clear()
         links = 0
 
@@ -179,16 +190,18 @@ def blocks(page: str) -> list[Block]:
         closing, tag = m[1], m[2].lower()
         at = m.end() if m.re is TAG else tag_end(page, m.end())
         inside = m[3] if m.re is TAG else page[m.end() : at].rstrip(">")
-        if tag in LITERAL or (tag in RAW and not any(x[0] == "svg" for x in stack)):
+        if tag in LITERAL or (tag in RAW and not open_tags["svg"]):
             if not closing and not inside.endswith("/"):
-                close = re.compile(rf"(?i)</{tag}(?=[\s>/])[^>]*>").search(page, at)
+                close = None if tag in unclosed else re.compile(rf"(?i)</{tag}(?=[\s>/])[^>]*>").search(page, at)
                 if close is not None:
                     if tag in LITERAL:
                         flush()
-                        out.extend(Block(t, 0, [*stack, (tag, "", False, number)]) for t in [" ".join(page[at : close.start()].split())] if t)
+                        out.extend(Block(t, 0, Element(tag, number, stack[-1], 0)) for t in [" ".join(page[at : close.start()].split())] if t)
                     at = close.end()
                 elif tag in ("script", "style"):
                     at = end
+                else:
+                    unclosed.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -200,25 +213,39 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    in_link = False
-                    break
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    open_tags[stack.pop().tag] -= 1
+                open_tags[stack.pop().tag] -= 1
+                in_link = False
         else:
-            shut = CLOSES.get(tag, ())
-            if stack and stack[-1][0] in shut:
-                stack.pop()
+            if stack[-1].tag in CLOSES.get(tag, ()):
+                open_tags[stack.pop().tag] -= 1
                 in_link = False
             names, hidden = attributes(inside)
-            hidden |= tag == "template"
+            bad, good = says(names) if names else (False, False)
             number += 1
-            if tag == "body":
-                stack = [x for x in stack if x[0] != "head"]
+            if tag == "body" and open_tags["head"]:
+                # What was open inside the head goes on without it.
+                above = []
+                while open_tags["head"]:
+                    x = stack.pop()
+                    open_tags[x.tag] -= 1
+                    if x.tag != "head":
+                        above.append(x)
+                for x in reversed(above):
+                    stack.append(Element(x.tag, x.number, stack[-1], x.own))
+                    open_tags[x.tag] += 1
             if not inside.endswith("/"):
-                stack.append((tag, names, hidden, number))
+                own = OF_TAG.get(tag, 0) | BAD_NAME * bad | GOOD_NAME * good | HIDDEN_IN * (hidden or tag == "template")
+                stack.append(Element(tag, number, stack[-1], own))
+                open_tags[tag] += 1
     flush()
-    return [b for b in out if "head" not in b.path]
+    return [b for b in out if not b.at.inside & HEAD]
+
+
+#: Room that the flow takes for none.
+TINY = 1e-9
 
 
 def maximum_flow(n: int, edges: list[tuple[int, int, float, float]], source: int, sink: int) -> list[bool]:
@@ -233,7 +260,7 @@ def maximum_flow(n: int, edges: list[tuple[int, int, float, float]], source: int
         out[b].append(len(to))
         to.append(a)
         room.append(back)
-    tiny = 1e-9
+    tiny = TINY
     while True:
         level = [-1] * n
         level[source] = 0
@@ -280,14 +307,20 @@ SMOOTH, FADE = 1.6, 0.5
 CERTAIN = 5.0
 
 
+#: Steps from which an edge weighs less than the flow takes for nothing.
+FAR = 32
+
+
 def apart(a: Block, b: Block) -> int:
-    """Steps between two blocks in the tree, beyond those of siblings."""
-    common = 0
-    for x, y in zip(a.ids, b.ids, strict=False):
-        if x != y:
-            break
-        common += 1
-    return max(0, max(len(a.ids), len(b.ids)) - common - 1)
+    """Steps between two blocks in the tree, beyond those of siblings; FAR if there are more."""
+    x, y = a.at, b.at
+    deepest = max(x.depth, y.depth)
+    while x is not y and deepest - min(x.depth, y.depth) <= FAR:
+        if x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+    return max(0, deepest - x.depth - 1) if x is y else FAR
 
 
 def content(found: list[Block], weights: tuple[float, np.ndarray], smooth: float = SMOOTH) -> list[Block]:
@@ -301,7 +334,7 @@ def content(found: list[Block], weights: tuple[float, np.ndarray], smooth: float
         near = set()
         if i:
             near.add(i - 1)
-        parent = b.ids[-2] if len(b.ids) > 1 else 0
+        parent = b.at.parent.number if b.at.parent else 0
         if parent in last_under:
             near.add(last_under[parent])
         last_under[parent] = i

@@ -7,7 +7,8 @@ open at the end of a partition are merged afterwards, best fit in falling order,
 A null text is an empty one (the end token alone). Empty input gives no pieces. Repeated rows are packed each on its
 own, and ids of documents keep their type. Of windows with equal room the oldest is filled first, of leftovers with
 equal fill the lower number. Extra columns are ignored, whatever their names. Very long texts, also those of one run of
-white space, are tokenized whole and cut at the window size; no id is dropped.
+white space, are tokenized whole and cut at the window size; no id is dropped. The string of a special token in a text is
+ordinary text (encode_special_tokens, as the vocabulary's own notes have it): what stands in a document can't end one.
 """
 
 from __future__ import annotations

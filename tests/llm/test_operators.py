@@ -48,6 +48,20 @@ def test_op1_in_blocks_and_removal(spark, monkeypatch):
     assert cut[0] == "some quite other words  some quite other words" and cut[5] is None and cut[4] == "" and cut[1] == contaminated()[1][1]
 
 
+def test_op1_holds_one_block_at_a_time(spark, monkeypatch):
+    """Of a benchmark of many blocks a task works on one: the passes before are written."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    bench = [(k, " ".join(word() for _ in range(12))) for k in range(24)]
+    texts = [(k, " ".join(word() for _ in range(20)) + " " + (bench[k % 24][1] if k % 3 else "") + " " + word()) for k in range(60)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 24)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    assert len(list(decontaminate.blocks(items, "item_id", "text", 10))) >= 10
+    found, (_, spans, names) = decontaminate.scan(spark.createDataFrame(texts, "doc_id long, text string"), items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {x["doc_id"]: x[names] for x in found.collect()} == {k: [str(k % 24)] if k % 3 else [] for k, _ in texts}
+
+
 def accuracy(pages, smooth):
     """Shares of blocks and of whole pages that are labelled right."""
     blocks = right = whole = 0
@@ -69,6 +83,18 @@ def test_op1_memory():
     assert len(pickle.dumps(decontaminate.Windows(items, 10), protocol=5)) / 300_000 < 32
 
 
+def test_op2_long_pages():
+    """A page of a megabyte whose elements nest without end, or whose markup isn't closed, takes seconds and little memory."""
+    import resource
+
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+    deep = html_text.main_text("<article>" + "<div>word here" * 70_000)
+    assert deep == "\n".join(["word here"] * 70_000)
+    for piece in ("<textarea>x", "</b></div></p></span></nav>y<div>", "<head><body>z", "<svg><title>", "<p>a</q></section>"):
+        assert isinstance(html_text.main_text(piece * (1_000_000 // len(piece))), str)
+    assert time.monotonic() - start < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 * 1024
+
+
 def test_op2_made_up_pages():
     """Pages that the classifier wasn't fitted on; the cut must do better than the classifier alone."""
     pages = [html_text.made_up_page(seed) for seed in range(5000, 5200)]
