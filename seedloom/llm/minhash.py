@@ -1,58 +1,33 @@
-"""Links between texts whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of SIMILAR percent or more.
 
-1. Each text gets BANDS keys, each made of ROWS minima of its shingle hashes. Two texts of similarity J share a key with
-   probability 1 - (1 - J ** ROWS) ** BANDS: 0.995 at 0.8, 0.9994 at 0.85.
-2. Of a key with at most SMALL texts all pairs are candidates. Of one with more, each text is paired with the key's pivot,
-   the text with the smallest hash; that joins a large group of near copies at a cost in proportion to its size. Where
-   texts of such a key are still apart (edits of edits, or texts that share a passage and not much else), they are dealt
-   again, WAYS times, by MORE further minima each, and pairs that are still apart are compared in the same way. After LEVELS
-   dealings a key that is still large is dealt by hash into parts of about SMALL texts. So a text is compared with a
-   bounded number of others in each of its keys; alike texts meet in most of their keys, and a text is left out of its
-   group only if it meets none of its near copies in any (the README has measured shares).
-3. Candidates are compared exactly, by their sets of shingle hashes (32 bits).
+Each text gets BANDS keys, each made of ROWS minima of its shingle hashes. Two texts of similarity J share a key with
+probability 1 - (1 - J ** ROWS) ** BANDS: 0.995 at 0.8, 0.9994 at 0.85. All texts that share a key, directly or through
+others, are compared exactly by the signature trees of signature_tree, however many they are: whole shards in a task,
+large ones block by block.
 
-Texts with equal shingles count as one. A wordless text has no shingles and no links.
+Texts with equal sets count as one. A wordless text has no shingles and no links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.llm import signature_tree
 from seedloom.llm.common import settle
+from seedloom.llm.shingles import class_hash, shingle_hashes  # noqa: F401
 
-#: Least similarity of a link, as a fraction.
-SIMILAR = (4, 5)
+#: Least similarity of a link, in percent.
+SIMILAR = 80
 BANDS, ROWS = 10, 4
-SMALL = 16
-LEVELS, WAYS, MORE = 2, 3, 2
-#: Texts to be compared, up to which their ids are broadcast; more of them are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
-_ODD = (np.random.default_rng(11).integers(0, 1 << 63, size=(BANDS * ROWS + LEVELS * WAYS * MORE, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ODD = (np.random.default_rng(11).integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Type of the columns that a signature adds: the multiset's hash, the set's size, the keys.
-KINDS = "bigint", "int", "array<bigint>"
-
-
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """A 64-bit hash of each word shingle, in order; of all words if there are fewer than the shingle has."""
-    import xxhash
-
-    words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype="<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    stops = ends[-n:].tolist()
-    h64 = xxhash.xxh64_intdigest
-    return np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=n)
+#: Type of the columns that a signature adds: the set's hash, its size, the keys.
+KINDS = "bigint", "bigint", "array<bigint>"
 
 
 def minima(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -63,108 +38,26 @@ def minima(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> tuple[int, int, list[int]]:
-    """Of shingle hashes: a hash of the multiset, the size of the set, and its keys."""
-    import xxhash
-
-    h = np.sort(h)
-    same = int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes()))))
+    """Of shingle hashes: a hash of their set, its size, and its keys."""
+    h = np.unique(h)
     if not len(h):
-        return same, 0, []
+        return class_hash(h), 0, []
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in minima(h, _ODD[: BANDS * ROWS]).reshape(BANDS, ROWS).T:
+    for row in minima(h, _ODD).reshape(BANDS, ROWS).T:
         keys = (keys ^ row) * _MIX
         keys ^= keys >> np.uint64(32)
-    return same, 1 + int((h[1:] != h[:-1]).sum()), keys.view(np.int64).tolist()
-
-
-def from_texts(shingle: int, name: str, kind: pa.DataType, value: Callable[[np.ndarray], np.ndarray]):
-    """same, and an array from the text's shingle hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [value(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(kind))], names=["same", name])
-
-    return run
-
-
-def shingle_set(h: np.ndarray) -> np.ndarray:
-    return np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-
-
-def further_minima(h: np.ndarray) -> np.ndarray:
-    return (minima(h, _ODD[BANDS * ROWS :]) >> np.uint64(1)).view(np.int64)
-
-
-def close(n: Column, m: Column) -> Column:
-    """Sizes further apart than the similarity allows can't reach it."""
-    up, down = SIMILAR
-    return F.least(n, m) * down >= F.greatest(n, m) * up
-
-
-def candidates(live: DataFrame, last: bool) -> DataFrame:
-    """s, t: distinct pairs of texts with fingerprints a, b, from rows (key, same, fp, n, label, size, pivot)."""
-    one = F.struct("same", "fp", "n", "label")
-    whole = F.lit(last) | (F.col("size") <= SMALL)
-    groups = live.filter(whole).groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("xs"))
-    # Pairs that are joined already, or too different in size, are left out before they become rows.
-    apart = lambda x, y: (x["label"] != y["label"]) & close(x["n"], y["n"])
-    each = F.flatten(F.transform("xs", lambda x, i: F.transform(F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: apart(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    pairs = live.filter(~whole).select(one.alias("x"), F.col("pivot").alias("y")).unionByName(groups.select(F.explode(each).alias("p")).select("p.x", "p.y"))
-    pairs = pairs.filter(apart(F.col("x"), F.col("y")))
-    first = F.col("x.same") < F.col("y.same")
-    ordered = [F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(a) for a, c in (("s", "same"), ("a", "fp"))]
-    ordered += [F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(a) for a, c in (("t", "same"), ("b", "fp"))]
-    return pairs.select(*ordered).distinct()
-
-
-def similar_links(rows: DataFrame, shingle: int, labels_of: Callable[[list[DataFrame]], DataFrame]) -> list[DataFrame]:
-    """Tables of links a, b between fingerprints, from rows (id, fp, same, n, keys, text).
-
-    labels_of gives each fingerprint's component (fp, label) by the links known without these and those passed."""
-    up, down = SIMILAR
-    texts = settle(rows.filter("n > 0").groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
-
-    # What fingerprints have joined needs no comparing.
-    texts = settle(texts.join(labels_of([]), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-
-    def with_text(same: DataFrame) -> DataFrame:
-        """One row of each of these texts: the first by id. The texts stay where they are unless very many are asked for."""
-        wanted = settle(texts.join(same, "same", "left_semi").select(F.col("same").alias("w_same"), F.col("id").alias("w_id")))
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        return rows.join(wanted, (F.col("same") == F.col("w_same")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi").select("same", "text")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        sets = with_text(pairs.select("s").unionByName(pairs.select(F.col("t").alias("s"))).distinct().withColumnRenamed("s", "same"))
-        sets = settle(sets.mapInArrow(from_texts(shingle, "set", pa.int32(), shingle_set), "same bigint, set array<int>").dropDuplicates(["same"]))
-        both = pairs.join(sets.select(F.col("same").alias("s"), F.col("set").alias("x")), "s").join(sets.select(F.col("same").alias("t"), F.col("set").alias("y")), "t")
-        return settle(both.filter(F.size(F.array_intersect("x", "y")) * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b").distinct())
-
-    links: list[DataFrame] = []
-    numbers = None
-    dealt = texts.select(F.explode("keys").alias("key"), "same", "fp", "n", "label")
-    for level in range(LEVELS + 2):
-        pivot = F.min(F.struct(F.xxhash64("same").alias("order"), "same", "fp", "n", "label"))
-        shared = settle(dealt.groupBy("key").agg(F.count("*").alias("size"), pivot.alias("p")).filter("size > 1").select("key", "size", F.struct("p.same", "p.fp", "p.n", "p.label").alias("pivot")))
-        live = settle(dealt.join(shared, "key"))
-        pairs = settle(candidates(live, level > LEVELS))
-        if not pairs.isEmpty():
-            found = compared(pairs)
-            if not found.isEmpty():
-                links.append(found)
-        hot = live.filter(F.col("size") > SMALL).drop("label", "pivot")
-        if level > LEVELS or hot.isEmpty():
-            break
-        named = settle(hot.join(labels_of(links), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        hot = settle(named.join(mixed, "key", "left_semi"))
-        if hot.isEmpty():
-            break
-        if level < LEVELS:
-            if numbers is None:
-                numbers = settle(with_text(hot.select("same").distinct()).mapInArrow(from_texts(shingle, "numbers", pa.int64(), further_minima), "same bigint, numbers array<bigint>").dropDuplicates(["same"]))
-            keys = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: F.xxhash64(F.col("key"), w, F.slice("numbers", (w + level * WAYS) * MORE + 1, F.lit(MORE))))  # noqa: B023
-            dealt = settle(hot.join(numbers, "same").select(F.explode(keys).alias("key"), "same", "fp", "n", "label"))
-        else:
-            dealt = hot.select(F.xxhash64("key", F.pmod(F.xxhash64("same", F.lit(1)), F.ceil(F.col("size") / SMALL))).alias("key"), "same", "fp", "n", "label")
-    return links
+    return class_hash(h), len(h), keys.view(np.int64).tolist()
+
+
+def similar_links(rows: DataFrame, shingle: int) -> DataFrame:
+    """Links a, b between fingerprints, from rows (id, fp, same, n, keys, text): all that similar texts join."""
+    classes = settle(rows.filter("n > 0").groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    first = classes.select("same", F.col("fp").alias("first"))
+    # Texts with one set but different fingerprints: words repeat in them.
+    parts = [rows.filter("n > 0").select("same", "fp").distinct().join(first, "same").filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))]
+    texts = rows.select(F.col("id").alias("doc_id"), "text")
+    links = signature_tree.set_links(texts, classes, signature_tree.shared_keys(classes), shingle, SIMILAR)
+    if links is not None:
+        of = lambda c: first.select(F.col("same").alias(c), F.col("first").alias(f"fp_{c}"))
+        parts.append(links.join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    return settle(reduce(DataFrame.unionByName, parts).filter("a <> b").distinct())

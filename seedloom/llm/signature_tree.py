@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import settle, table
 from seedloom.llm.components import components
-from seedloom.llm.minhash import shingle_hashes
+from seedloom.llm.shingles import class_hash, shingle_hashes
 
 SHINGLE = 3
 #: Least similarity of a link in percent of the union.
@@ -104,12 +104,6 @@ class Keys:
         return np.concatenate(out).view(np.int64)
 
 
-def class_hash(h: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
-
-
 def signer(shingle: int, percent: int):
     """doc_id, same (the set's hash), n, keys from doc_id, text."""
 

@@ -21,7 +21,6 @@ columns it adds on the way get other names. An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,8 @@ from pyspark.sql import types as T
 
 from seedloom.llm.common import fresh, settle, table
 from seedloom.llm.components import components
-from seedloom.llm.minhash import KINDS, shingle_hashes, signature, similar_links
+from seedloom.llm.minhash import KINDS, signature, similar_links
+from seedloom.llm.shingles import shingle_hashes
 
 RADIUS = 3
 SHINGLE = 5
@@ -77,7 +77,7 @@ def signer(shingle: int, names: list[str]):
         return fingerprint(h), *signature(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             found = [one((t.as_py() or "").encode()) for t in batch.column(batch.num_columns - 1)]
             columns = [pa.array((x[k] for x in found), kind, size=batch.num_rows) for k, kind in enumerate(kinds)]
@@ -299,9 +299,7 @@ def group_rows(rows: DataFrame, radius: int, shard_rows: int, signed: DataFrame
     fps = pairs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_links(settle(fps.select("fp")), radius, shard_rows)
     if signed is not None:
-        links = settle(links)
-        labels_of = lambda more: components(reduce(DataFrame.unionByName, more, links))
-        links = reduce(DataFrame.unionByName, similar_links(signed, shingle, labels_of), links)
+        links = links.unionByName(similar_links(signed, shingle))
     labels = components(links)
     # A node that is the label of its component has no row in labels.
     named = fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -320,7 +318,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, sh
     """docs with one row of each near-duplicate group: the one with the smallest id, null only where there is no other.
 
     Of rows with that id and different texts the smaller fingerprint stays, of equal rows one. With similar, texts whose
-    shingles have a Jaccard similarity of minhash.SIMILAR or more are near duplicates besides those by fingerprint."""
+    shingles have a Jaccard similarity of minhash.SIMILAR percent or more are near duplicates besides those by fingerprint."""
     names = fresh(docs, "fp", "same", "n", "keys")
     fp = names[0]
     last, text = fresh(docs, "text_for_fp")[0], F.col(text_col).cast("string")

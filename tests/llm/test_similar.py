@@ -62,3 +62,37 @@ def test_near_dedup_reaches_similarity(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter(x["doc_id"] for x in kept.collect()) == Counter(set(groups(texts)))
+
+
+def test_near_dedup_of_a_large_family(spark):
+    """3,000 texts around one: groups as by comparing all pairs, although most pairs aren't alike."""
+    r = random.Random(9)
+    source = [f"w{r.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for _ in range(1500):
+        t = source[:]
+        for at in r.sample(range(200), 3):
+            t[at] = f"new{r.randrange(10**9)}"
+        texts += [" ".join(t), edited(r, " ".join(t), 2)]
+    sets = [{hash(x) for x in shingles(t)} for t in texts]
+    where = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(k)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in where[x] if j < k)
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                a, b = find(k), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {find(k) for k in range(len(texts))}
