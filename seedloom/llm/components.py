@@ -34,19 +34,17 @@ def star(e: DataFrame, large: bool, links: int) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down, to a node that has none: then the labels are there."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down > 0 and up > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """fp, label: the smallest node of its component, for each node of a link a, b but the labels themselves."""
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = digest(edges)
-    while before[0]:
-        done, edges = edges, settle(star(star(edges, True, before[0]), False, before[0]))
-        now = digest(edges)
+    while not are_stars(edges):
+        done, n = edges, edges.count()
+        edges = settle(star(star(edges, True, n), False, n))
         forget(done)  # the new table is written and doesn't depend on it
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))

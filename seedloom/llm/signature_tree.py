@@ -242,6 +242,22 @@ def join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, g
     return out
 
 
+def to_stars(links: list[tuple[int, int]]) -> np.ndarray:
+    """Links of the same components, each to its component's smallest node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return np.array([(x, find(x)) for x in list(root) if find(x) != x], dtype=np.int64).reshape(-1, 2)
+
+
 def block_joiner(percent: int):
     """Links a, b of a block's rows (block, side, label, known, same, hashes): side 0 with itself label by label, 1 with 2."""
 
@@ -267,7 +283,7 @@ def block_joiner(percent: int):
             for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
                 if len(own) > 1:
                     joined(own, None)
-        links = np.array(out, dtype=np.int64).reshape(-1, 2)
+        links = to_stars(out)
         return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
