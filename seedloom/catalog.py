@@ -331,11 +331,11 @@ def gen_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated(spark, "CREATE TABLE dbo.D (Code CHAR(2) NOT NULL, Name VARCHAR(20) NOT NULL)", t(spark, sf_dir, "customer").count(), {"Code": ColumnRule("dataset", dataset="regions"), "Name": ColumnRule("dataset", dataset="regions")}, _REGIONS)
 
 
-def permuted(n: str, key: str, columns: str, more: str) -> str:
-    """SQL that permutes 0..n-1 (n: a query); a * side + b is the number that p becomes."""
+def permuted(n: str, key: str, columns: str, more: str, rows: str = "n") -> str:
+    """SQL that permutes 0..n-1 (n: a query), or the first rows of it; a * side + b is the number that p becomes."""
     return f"""
 WITH RECURSIVE n AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM ({n})),
-walk AS (SELECT p, 0 AS k, p // side AS a, p % side AS b FROM (SELECT unnest(range(n)) AS p, side FROM n)
+walk AS (SELECT p, 0 AS k, p // side AS a, p % side AS b FROM (SELECT unnest(range({rows})) AS p, side FROM n)
          UNION ALL SELECT p, k + 1, b, (a + CAST('0x' || substr(md5('{key}:' || (k % {ROUNDS} + 1) || ':' || b), 1, 8) AS BIGINT)) % side FROM walk, n WHERE k = 0 OR k % {ROUNDS} <> 0 OR a * side + b >= n.n),
 done AS (SELECT p, a * side + b AS v FROM walk, n WHERE k > 0 AND k % {ROUNDS} = 0 AND a * side + b < n.n)
 SELECT {columns} FROM done {more}
@@ -472,18 +472,21 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         printed(F.col("o_orderstatus").cast("binary"), T.BinaryType()).alias("bytes_cell"), printed(low, T.StringType()).alias("text_cell"), canonical(F.col("o_orderdate"), T.TimestampNTZType()).alias("key_text"))
 
 
-def _letter(row: str, attempt: str) -> str:
-    return f"substr('{ALPHABET}', CAST(CAST('0x' || substr(md5('{SEED}|dbo.u|code|' || {row} || '|0|' || {attempt}), 1, 15) AS BIGINT) % 62 + 1 AS INTEGER), 1)"
+def unranked(name: str, domain: int, kind: str, rule: ColumnRule, sql: str) -> None:
+    """As many unique values as there are customers; sql gives the value with the number v."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return generated(spark, f"CREATE TABLE dbo.U (Code {kind} NOT NULL)", t(spark, sf_dir, "customer").count(), {"Code": rule})
 
-@query(f"""
-WITH RECURSIVE made AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken
-  UNION ALL SELECT k + 1, list_append(taken, list_filter(list_transform(range(0, 100), lambda a: {_letter("(k + 1)", "a")}), lambda v: NOT list_contains(taken, v))[1]) FROM made WHERE k < 45)
-SELECT k, taken[CAST(k AS INTEGER)] AS Code FROM made WHERE k > 0
-""")
-def gen_unique_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique letters: most rows collide and draw again; a row's value is the first draw that no row before it has."""
-    return generated(spark, "CREATE TABLE dbo.U (Code CHAR(1) NOT NULL)", 45, {"Code": ColumnRule("string", length=1, unique=True)})
+    query(permuted(f"SELECT CAST({domain} AS BIGINT) AS n", f"{SEED}|dbo.u|code", f"p + 1 AS k, {sql} AS Code", "", "(SELECT count(*) FROM customer)"), name)(run)
+
+
+_AT = lambda values, v: f"list_extract([{', '.join(repr(x) for x in values)}], CAST({v} % {len(values)} + 1 AS INTEGER))"
+unranked("gen_unique_string", 62**4, "VARCHAR(9)", ColumnRule("string", length=4, unique=True), "concat(" + ", ".join(f"substr('{ALPHABET}', CAST(v // {62**k} % 62 + 1 AS INTEGER), 1)" for k in range(4)) + ")")
+unranked("gen_unique_template", 900 * 41_000, "VARCHAR(20)", ColumnRule("template", template="A{rand:100-999}-{rand:0-40999}.", unique=True), "'A' || (v % 900 + 100) || '-' || (v // 900 % 41000) || '.'")
+unranked("gen_unique_user", len(faker.FIRST) * len(faker.LAST) * 1000, "NVARCHAR(120)", ColumnRule("faker", method="internet.userName", unique=True),
+         f"lower({_AT(faker.FIRST, 'v')}) || '.' || lower({_AT(faker.LAST, f'v // {len(faker.FIRST)}')}) || (v // {len(faker.FIRST) * len(faker.LAST)} % 1000)")
+unranked("gen_unique_bytes", 256**3, "VARBINARY(3)", ColumnRule("bytes", length=3, unique=True), "unhex(lpad(hex(v), 6, '0'))")
 
 
 _FOUND = f"(SELECT n_nationkey, row_number() OVER (ORDER BY md5(CAST(n_nationkey AS VARCHAR))) - 1 AS p FROM nation)"

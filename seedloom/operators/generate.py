@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedloom.errors import GenerationError
+from seedloom.functions import unrank
 from seedloom.functions.coerce import coerce, truncated
 from seedloom.functions.draw import Draw
 from seedloom.functions.permute import permute, side_of
@@ -109,7 +110,7 @@ class Generator:
         return GenerationError(f"column {p.column.name!r}: {size} distinct values are not enough for unique values in {self.rules.rows} rows. Widen the range, add values or lower 'rows'.")
 
     def domain(self, p: Planned) -> int | None:
-        """How many distinct raw values a strategy has, where they can be numbered."""
+        """How many distinct values a strategy has, where they can be numbered."""
         c, s = self.context(p), p.rule.strategy
         if s == "int":
             low, high = int_range(c)
@@ -122,7 +123,8 @@ class Generator:
         elif s == "bool":
             n = 2
         else:
-            return None
+            found = unrank.places(c, s)
+            return found.size if found else None
         return n
 
     def value_at(self, p: Planned, index: Column) -> Column:
@@ -136,6 +138,8 @@ class Generator:
             return F.lit(day_range(c)[0].isoformat(" ")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), index.cast("decimal(18,6)"))
         if s == "bool":
             return index == 1
+        if s != "pick":
+            return unrank.value_at(c, s, unrank.places(c, s), index, SIMPLE[s][0])
         return F.element_at(F.array(*[F.lit(v) for v in dict.fromkeys(p.rule.values or ())]), (index + 1).cast("int"))
 
     def ranks(self, rows: DataFrame, p: Planned, size: int) -> tuple[DataFrame, Column]:

@@ -52,10 +52,62 @@ def test_unique_numbers(spark, rule):
     assert p.Age.is_unique
 
 
-def test_unique_from_an_open_domain_draws_again(spark):
-    g = Generator(spark, T, rules(150, Name="{strategy: string, length: 2, unique: true}", Code="{strategy: string, length: 1, unique: false}"))
-    assert g.tries(next(x for x in g.plan.columns if x.column.name == "Name")) is not None
-    assert g.frame().toPandas().Name.is_unique
+def test_unique_from_an_irregular_domain_draws_again(spark):
+    """Templates whose numbers run into each other, and decimals, can't be counted."""
+    table = parse_single("CREATE TABLE T (A VARCHAR(9) NULL, B DECIMAL(4,1) NULL)")
+    g = Generator(spark, table, R.loads("rows: 150\ncolumns:\n  A: {strategy: template, template: '{rand:1-99}{rand:1-9}', unique: true}\n  B: {strategy: decimal, min: 0, max: 40, unique: true}\n"))
+    assert all(g.domain(p) is None and g.tries(p) is not None for p in g.plan.columns)
+    p = g.frame().toPandas()
+    assert p.A.is_unique and p.B.is_unique
+
+
+@pytest.mark.parametrize(("kind", "rule", "domain"), [
+    ("VARCHAR(9)", "strategy: string, length: 2", 62**2), ("CHAR(3)", "strategy: string, length: 30", 62**3), ("VARCHAR(40)", "strategy: string, length: 30", 62**8), ("VARCHAR(20)", "strategy: template, template: 'A-{rand:1-40}-{rand:100-199}'", 4000),
+    ("VARCHAR(20)", "strategy: template, template: '{rand:10-99}{rand:1-50}'", 4500), ("VARBINARY(2)", "strategy: bytes, length: 2", 256**2), ("VARBINARY(20)", "strategy: bytes, length: 12", 256**7), ("TIME", "strategy: time", 86_400),
+    ("NVARCHAR(200)", "strategy: faker, method: name.fullName", None), ("NVARCHAR(200)", "strategy: faker, method: company.catchPhrase", 1600), ("NVARCHAR(MAX)", "strategy: faker, method: finance.iban", 10**18), ("NVARCHAR(200)", "strategy: faker, method: internet.email", None),
+])
+def test_unique_by_unranking(spark, kind, rule, domain):
+    """Numbered domains: unique without a shuffle, the same for more rows, as many as there are."""
+    g = Generator(spark, parse_single(f"CREATE TABLE T (V {kind} NULL)"), R.loads(f"rows: 1000\ncolumns:\n  V: {{{rule}, unique: true}}\n"))
+    (p,) = g.plan.columns
+    assert g.domain(p) == domain or domain is None and g.domain(p) >= 400
+    frame = g.frame(with_row=True)
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    values = {r["__row"]: r["V"] for r in frame.collect()}
+    assert len(set(map(bytes, values.values()) if "BIN" in kind else values.values())) == 1000
+    longer = Generator(spark, g.table, R.loads(f"rows: 1200\ncolumns:\n  V: {{{rule}, unique: true}}\n")).frame(with_row=True).collect()
+    assert all(values[r["__row"]] == r["V"] for r in longer if r["__row"] <= 1000)
+
+
+def test_unranked_vocabularies_are_one_to_one(spark):
+    """Every vocabulary that is counted gives different texts for different numbers, none longer than is assumed."""
+    from pyspark.sql import functions as F
+
+    from seedloom.functions import faker, strategies, unrank
+    from seedloom.functions.draw import Draw
+    from seedloom.functions.strategies import Context
+    from seedloom.sources.ddl import ColumnDef
+    from seedloom.sources.rules import ColumnRule
+
+    counted = 0
+    for method in faker.METHODS:
+        c = Context(ColumnDef("V", "nvarchar", -1), ColumnRule("faker", method=method), Draw(1, "t", "v", F.col("id")))
+        found = unrank.places(c, "faker")
+        if found is None:
+            continue
+        n = min(found.size, 30_000)
+        rows = spark.range(n).select(unrank.value_at(c, "faker", found, F.col("id"), strategies.faker_).alias("v")).agg(F.count_distinct("v"), F.max(F.length("v"))).first()
+        assert rows[0] == n and rows[1] <= unrank.LONGEST, method
+        counted += 1
+    assert counted >= 25
+
+
+def test_rows_as_many_as_the_domain(spark):
+    text = "rows: {}\ncolumns:\n  V: {{strategy: template, template: 'a{{rand:1-9}}b{{rand:1-9}}', unique: true, nullRate: 0.3}}\n"
+    p = Generator(spark, parse_single("CREATE TABLE T (V VARCHAR(9) NULL)"), R.loads(text.format(100))).frame().toPandas()
+    assert p.V.dropna().is_unique and p.V.notna().sum() <= 81
+    with pytest.raises(GenerationError, match="enough"):
+        Generator(spark, parse_single("CREATE TABLE T (V VARCHAR(9) NULL)"), R.loads(text.format(200))).frame()
 
 
 def test_nulls_are_exempt_from_unique(spark):
