@@ -121,6 +121,16 @@ def survey_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_values(_events(spark, sf_dir))
 
 
+_LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
+
+
+@query("SELECT name, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY ALL" for c in _LINE_COLUMNS) + ")) WHERE rank <= 5")
+def survey_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by heavy hitters: flags come from the sketch's candidates, keys from full counts."""
+    return S.top_values(t(spark, sf_dir, "lineitem").select(*_LINE_COLUMNS), approximate=True)
+
+
 _PCT = "regexp_replace(CAST(CAST(round({} * 100, 1) AS DECIMAL(10,1)) AS VARCHAR), '\\.0$', '') || '%'"
 
 

@@ -183,3 +183,26 @@ def test_jdbc_sink(spark, tmp_path):
     rules.write_text("rows: 7\ncolumns:\n  Name: {strategy: constant, value: x}\n")
     assert cli.main(["generate", "--ddl", str(ddl), "--rules", str(rules), "--jdbc", url]) == 0
     assert read("App.Names").count() == 7
+
+
+def test_survey_takes_one_exchange_of_values_and_heavy_hitters_are_exact(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seedloom.operators import survey as S
+
+    r = random.Random(3)
+    rows = [(k, r.choice(["a", "a", "a", "b", "c", "d", "e", "f", None]), float(r.choice([0.0, -0.0, 1.5])), r.randrange(400), f"v{min(int(r.paretovariate(0.7)), 10**6)}", None) for k in range(20_000)]
+    frame = spark.createDataFrame(rows, "id long, flag string, x double, part int, skewed string, empty int").repartition(5)
+    exact, quick = (S.survey_table(frame, ["id"], approximate=a) for a in (False, True))
+    columns = ["name", "rows", "nulls", "null_rate", "top_values"]
+    assert exact.select(columns).collect() == quick.select(columns).collect()
+    assert {r["name"]: r["distinct"] for r in exact.collect()} == {r["name"]: r["d"] for r in frame.select([F.count_distinct(c).alias(c) for c in frame.columns]).unpivot([], frame.columns, "name", "d").collect()}
+    asked = S.candidates(frame)
+    assert len(asked["id"][1]) <= S.TRACKED and set(asked["flag"][1]) == set("abcdef")
+    exact.collect()
+    text = exact._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("Generate explode") == text.count("ReusedExchange") == 1 or text.count("Generate explode") == 1, text
+    nothing = frame.filter("id < 0")
+    assert all(x["rows"] == 0 and list(x["signals"]) == ["table is empty"] for a in (False, True) for x in S.survey_table(nothing, approximate=a).collect())
