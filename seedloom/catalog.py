@@ -97,6 +97,23 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(spark, evaluate.run(checks, lambda q: spark.sql(translate_sql(q, names))))
 
 
+_FUSED = {
+    "rows": ("SELECT COUNT(*) FROM dbo.lineitem", "count(*)"), "cheap": ("SELECT COUNT(*) FROM [dbo].[lineitem] WHERE l_extendedprice < 5000", "count(*) FILTER (WHERE l_extendedprice < 5000)"),
+    "parts": ("SELECT COUNT(DISTINCT l_partkey) FROM dbo.lineitem WHERE l_quantity > 25 AND l_linenumber IN (1, 2)", "count(DISTINCT l_partkey) FILTER (WHERE l_quantity > 25 AND l_linenumber IN (1, 2))"),
+    "spread": ("SELECT MAX(l_quantity) - MIN(l_quantity) FROM dbo.lineitem WHERE l_linenumber = 3", "max(l_quantity) FILTER (WHERE l_linenumber = 3) - min(l_quantity) FILTER (WHERE l_linenumber = 3)"),
+    "none": ("SELECT SUM(l_linenumber) FROM dbo.lineitem WHERE l_quantity < 0", "sum(l_linenumber) FILTER (WHERE l_quantity < 0)"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS name, CAST(CAST({s} AS DOUBLE) AS VARCHAR) AS value FROM lineitem" for k, (_, s) in _FUSED.items()))
+def eval_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five checks of one table, asked together."""
+    t(spark, sf_dir, "lineitem").createOrReplaceTempView("eval__lineitem")
+    results = evaluate.run([Evaluation(k, q, None) for k, (q, _) in _FUSED.items()], lambda q: spark.sql(translate_sql(q, {"dbo.lineitem": "eval__lineitem"})))
+    rows = [(r.name, r.error if r.error else None if r.value is None else str(float(r.value))) for r in results]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 # Survey -----------------------------------------------------------------------------------------------------------------
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Evaluations: scalar queries against expectations."""
+"""Evaluations: scalar queries against expectations. Those that ask one table for aggregates read it together, once."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from seedloom.errors import SeedloomError
+from seedloom.plans import fuse
 from seedloom.sources.rules import Evaluation, Expectation
 
 
@@ -108,16 +109,31 @@ def first_within(frame: DataFrame, seconds: float):
         context.removeJobTag(tag)
 
 
+def alone(e: Evaluation, sql: Callable[[str], DataFrame], timeout: float) -> Result:
+    try:
+        row = first_within(sql(e.query), timeout)
+        return judge(e, row[0] if row else None)
+    except (PySparkException, SeedloomError) as error:
+        return Result(e.name, None, describe(e.expect), False, f"query failed: {str(error).splitlines()[0]}")
+
+
 def run(evaluations: Iterable[Evaluation], sql: Callable[[str], DataFrame], timeout: float = TIMEOUT) -> list[Result]:
-    """Each query's first cell against its expectation. A query that fails or takes too long is a failed result; the others go on."""
-    out = []
-    for e in evaluations:
-        try:
-            row = first_within(sql(e.query), timeout)
-            out.append(judge(e, row[0] if row else None))
-        except (PySparkException, SeedloomError) as error:
-            out.append(Result(e.name, None, describe(e.expect), False, f"query failed: {str(error).splitlines()[0]}"))
-    return out
+    """Each query's first cell against its expectation. A query that fails or takes too long is a failed result; the others
+    go on. Queries of one aggregate over the same table are asked together; if that fails, one by one."""
+    evaluations = list(evaluations)
+    groups: dict[tuple, list[tuple[int, fuse.Part]]] = {}
+    for k, e in enumerate(evaluations):
+        if (p := fuse.part(e.query)) is not None:
+            groups.setdefault(p.group, []).append((k, p))
+    out: dict[int, Result] = {}
+    for members in groups.values():
+        if len(members) > 1:
+            try:
+                row = first_within(sql(fuse.fused([p for _, p in members])), timeout)
+            except (PySparkException, SeedloomError):
+                continue
+            out |= {k: judge(evaluations[k], row[i]) for i, (k, _) in enumerate(members)}
+    return [out[k] if k in out else alone(e, sql, timeout) for k, e in enumerate(evaluations)]
 
 
 def report(spark: SparkSession, results: list[Result]) -> DataFrame:
