@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,11 +157,10 @@ WITH l AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents
 c AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, round(CAST(count(*) - count({c}) AS DOUBLE) / count(*), 4) AS rate, count(DISTINCT {c}) AS d FROM l" for c in ("lang", "source", "quality", "toxic"))}),
 v AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM l WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("lang", "source", "quality", "toxic"))}),
 top AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS k FROM v QUALIFY k <= 5),
-s AS (SELECT name, 1 AS o, 0 AS k, {_PCT.format("rate")} || ' NULL' AS signal FROM c WHERE nulls > 0 AND rate >= 0.05
-      UNION ALL SELECT name, 2, 0, 'nullable but never NULL' FROM c WHERE nulls = 0
-      UNION ALL SELECT name, 3, 0, 'single value across the whole table' FROM c WHERE d = 1 AND nulls < rows
-      UNION ALL SELECT name, 4, k, '''' || value || ''' in ' || {_PCT.format("CAST(n AS DOUBLE) / (rows - nulls)")} || ' of non-NULL rows: ' ||
-                CASE WHEN value IN ('0', '-1', '', ' ', '?', '-') AND CAST(n AS DOUBLE) / (rows - nulls) >= 0.02 THEN 'common sentinel' ELSE 'dominant' END
+s AS (SELECT name, 2 AS o, 0 AS k, {_PCT.format("rate")} || ' of rows NULL' AS signal FROM c WHERE nulls > 0 AND rate >= 0.05
+      UNION ALL SELECT name, 2, 0, 'NULL allowed, none found' FROM c WHERE nulls = 0
+      UNION ALL SELECT name, 1, 0, 'one value throughout' FROM c WHERE d = 1
+      UNION ALL SELECT name, 1, k, CASE WHEN value IN ('0', '-1', '', ' ', '?', '-') AND CAST(n AS DOUBLE) / (rows - nulls) >= 0.02 THEN 'placeholder ' ELSE '' END || '''' || value || ''' fills ' || {_PCT.format("CAST(n AS DOUBLE) / (rows - nulls)")}
       FROM top JOIN c USING (name) WHERE d > 1 AND (CAST(n AS DOUBLE) / (rows - nulls) >= 0.4 OR value IN ('0', '-1', '', ' ', '?', '-') AND CAST(n AS DOUBLE) / (rows - nulls) >= 0.02))
 SELECT c.name, coalesce(string_agg(signal, '; ' ORDER BY o, k), '') AS signals FROM c LEFT JOIN s USING (name) GROUP BY c.name
 """)
@@ -516,6 +516,51 @@ unranked("gen_unique_user", len(faker.FIRST) * len(faker.LAST) * 1000, "NVARCHAR
 unranked("gen_unique_bytes", 256**3, "VARBINARY(3)", ColumnRule("bytes", length=3, unique=True), "unhex(lpad(hex(v), 6, '0'))")
 
 
+@query(f"""
+SELECT k, CASE WHEN {bits("code", NULL_SLOT, "k", table="dbo.w")} / 4294967296.0::DOUBLE < 0.4::DOUBLE THEN NULL ELSE 'v' || (v + 100) END AS Code FROM (
+{permuted("SELECT count(*) * 2 AS n FROM customer", f"{SEED}|dbo.w|code", "p + 1 AS k, v", "", "(SELECT count(*) FROM customer)")})
+""")
+def gen_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of what is done to a value: made unique, then null; a null row's value goes to nobody else."""
+    n = t(spark, sf_dir, "customer").count()
+    return generated(spark, "CREATE TABLE dbo.W (Code VARCHAR(12) NULL)", n, {"Code": ColumnRule("template", template=f"v{{rand:100-{99 + 2 * n}}}", unique=True, null_rate=0.4)})
+
+
+@query("""
+SELECT k, CAST(list_extract(['AF', 'AM', 'AS', 'EU'], CAST({0} % 4 + 1 AS INTEGER)) AS VARCHAR) AS Region_Code, list_extract(['Africa', 'America', 'Asia', 'Europe'], CAST({0} % 4 + 1 AS INTEGER)) AS NAME_OF_REGION FROM {1}
+""".format(bits("dataset regions", PICK_SLOT, "k", table="dbo.m"), _ROWS))
+def gen_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that a dataset's patterns infer: of names in any case, without underscores, with * and ?."""
+    from seedloom.plans.infer import infer
+
+    matched = DatasetStore([Dataset("regions", ("Code", "Name"), (("AF", "Africa"), ("AM", "America"), ("AS", "Asia"), ("EU", "Europe")), None, {"Code": ("region*",), "Name": ("nam?of*",)})])
+    ddl = "CREATE TABLE dbo.M (Region_Code CHAR(2) NOT NULL, NAME_OF_REGION VARCHAR(20) NOT NULL)"
+    table = parse_single(ddl)
+    return generated(spark, ddl, t(spark, sf_dir, "customer").count(), {c.name: infer(c, table, matched) for c in table.columns}, matched)
+
+
+@query("""
+SELECT 'dbo.customer' AS child, 'c_nationkey' AS col, 'dbo.nation' AS parent, count(*) FILTER (WHERE n_nationkey IS NULL AND c_nationkey IS NOT NULL) AS orphans FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'dbo.nation', 'n_regionkey', 'dbo.region', count(*) FILTER (WHERE r_regionkey IS NULL AND n_regionkey IS NOT NULL) FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
+""")
+def catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys as a warehouse's registry lists them, each with the rows that have no parent; types by analysis alone."""
+    ddl = """
+    CREATE TABLE dbo.region (r_regionkey INT NOT NULL PRIMARY KEY, r_name VARCHAR(25));
+    CREATE TABLE dbo.nation (n_nationkey INT NOT NULL PRIMARY KEY, n_name VARCHAR(30), n_regionkey INT REFERENCES dbo.region(r_regionkey));
+    CREATE TABLE dbo.customer (c_custkey BIGINT NOT NULL PRIMARY KEY, c_nationkey INT REFERENCES dbo.nation(n_nationkey));
+    """
+    w = house(spark, ddl, **{n: t(spark, sf_dir, n) for n in ("region", "nation", "customer")})
+    out = []
+    for name in w.tables():
+        for fk in w.definition(name).foreign_keys:
+            child, parent = w.table(name).select(F.col(fk.columns[0]).alias("a")), w.table(fk.table).select(F.col(fk.referenced[0]).alias("b"))
+            assert child.schema[0].dataType == parent.schema[0].dataType
+            lost = child.filter("a is not null").join(parent, F.col("a") == F.col("b"), "left_anti").agg(F.count("*").alias("orphans"))
+            out.append(lost.select(F.lit(name).alias("child"), F.lit(fk.columns[0]).alias("col"), F.lit(Warehouse.key(fk.table)).alias("parent"), "orphans"))
+    return reduce(DataFrame.unionByName, out)
+
+
 _FOUND = f"(SELECT n_nationkey, row_number() OVER (ORDER BY md5(CAST(n_nationkey AS VARCHAR))) - 1 AS p FROM nation)"
 
 

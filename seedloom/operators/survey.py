@@ -119,20 +119,20 @@ def percent(share: Column) -> Column:
 
 
 def signals(rows: Column, nulls: Column, rate: Column, distinct: Column, nullable: Column, is_key: Column, top: Column) -> Column:
-    """Observations about one column; top: an array of (value, n) by falling n."""
-    live = rows - nulls
-    share = lambda x: x["n"].cast("double") / live
-    sentinel = lambda x: x["value"].isin(SENTINELS) | F.lower(x["value"]).isin(SENTINEL_WORDS)
-    said = lambda x: F.concat(F.lit("'"), x["value"], F.lit("' in "), percent(share(x)), F.lit(" of non-NULL rows: "))
-    values = F.transform(top, lambda x: F.when(sentinel(x) & (share(x) >= SENTINEL_SHARE), F.concat(said(x), F.lit("common sentinel"))).when(share(x) >= DOMINANT_SHARE, F.concat(said(x), F.lit("dominant"))))
-    found = F.concat(
-        F.array(
-            F.when((nulls > 0) & (rate >= NULL_SHARE), F.concat(percent(rate), F.lit(" NULL"))), F.when(nullable & (nulls == 0), F.lit("nullable but never NULL")),
-            F.when((distinct == 1) & (nulls < rows), F.lit("single value across the whole table")),
-        ),
-        F.when((live > 0) & (distinct > 1), values).otherwise(F.expr("cast(array() as array<string>)")),
-    )
-    return F.when(rows == 0, F.array(F.lit("table is empty"))).when(is_key, F.expr("cast(array() as array<string>)")).otherwise(F.array_compact(found))
+    """What stands out in a column that is no key: values first (placeholders and those that fill much of it), then how
+    often it is null. top: an array of (value, n) by falling n."""
+    filled = rows - nulls
+    none = F.expr("cast(array() as array<string>)")
+
+    def of_value(x: Column) -> Column:
+        share = x["n"].cast("double") / filled
+        placeholder = (share >= SENTINEL_SHARE) & (x["value"].isin(SENTINELS) | F.lower(x["value"]).isin(SENTINEL_WORDS))
+        text = F.concat(F.when(placeholder, "placeholder '").otherwise("'"), x["value"], F.lit("' fills "), percent(share))
+        return F.when(placeholder | (share >= DOMINANT_SHARE), text)
+
+    values = F.when(distinct == 1, F.array(F.lit("one value throughout"))).when(distinct > 1, F.transform(top, of_value)).otherwise(none)
+    empty = F.when(nulls == 0, F.when(nullable, "NULL allowed, none found")).when(rate >= NULL_SHARE, F.concat(percent(rate), F.lit(" of rows NULL")))
+    return F.when(rows == 0, F.array(F.lit("no rows"))).when(is_key, none).otherwise(F.array_compact(F.concat(values, F.array(empty))))
 
 
 def survey_table(frame: DataFrame, keys: list[str] = (), nullable: dict[str, bool] | None = None, k: int = TOP, approximate: bool = False) -> DataFrame:

@@ -118,11 +118,11 @@ def test_survey(spark, tmp_path):
     doc = survey(w, lambda table, column: "R" if column == "Note" else None)
     assert w.manifest() == before
     c = {x["name"]: x for x in doc["tables"][0]["columns"]}
-    assert (c["EnergyClass"]["nulls"], c["EnergyClass"]["nullRate"]) == (5, 0.25) and c["EnergyClass"]["signals"] == ["25% NULL"] and sum(v["count"] for v in c["EnergyClass"]["topValues"]) == 15
-    assert any("sentinel" in s for s in c["Legacy"]["signals"]) and "nullable but never NULL" in c["Note"]["signals"] and c["HouseId"]["isKey"] and not c["HouseId"]["signals"] and c["Note"]["coveredByRule"] == "R"
+    assert (c["EnergyClass"]["nulls"], c["EnergyClass"]["nullRate"]) == (5, 0.25) and c["EnergyClass"]["signals"] == ["25% of rows NULL"] and sum(v["count"] for v in c["EnergyClass"]["topValues"]) == 15
+    assert any("placeholder" in s for s in c["Legacy"]["signals"]) and "NULL allowed, none found" in c["Note"]["signals"] and c["HouseId"]["isKey"] and not c["HouseId"]["signals"] and c["Note"]["coveredByRule"] == "R"
     empty = parse_single("CREATE TABLE dbo.None1 (A INT)")
     w.create(empty)
-    assert survey(w, tables=["dbo.None1"])["tables"][0]["columns"][0]["signals"] == ["table is empty"]
+    assert survey(w, tables=["dbo.None1"])["tables"][0]["columns"][0]["signals"] == ["no rows"]
 
 
 def test_warehouse_csv_and_guard(spark, tmp_path):
@@ -205,4 +205,4 @@ def test_survey_takes_one_exchange_of_values_and_heavy_hitters_are_exact(spark):
     text = exact._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert text.count("Generate explode") == text.count("ReusedExchange") == 1 or text.count("Generate explode") == 1, text
     nothing = frame.filter("id < 0")
-    assert all(x["rows"] == 0 and list(x["signals"]) == ["table is empty"] for a in (False, True) for x in S.survey_table(nothing, approximate=a).collect())
+    assert all(x["rows"] == 0 and list(x["signals"]) == ["no rows"] for a in (False, True) for x in S.survey_table(nothing, approximate=a).collect())
