@@ -237,8 +237,10 @@ def remaining_gaps(w: Warehouse, rules: GapRules, plan_doc: dict) -> DataFrame:
         r = rules.get(doc["id"])
         if doc["patches"]:
             keys = patch_rows(w.spark, plan_doc).filter(F.col("rule") == r.id).select("key")
+            frame = w.table(r.table_name)
+            frame = w.holding(frame, next(f for f in frame.schema.fields if f.name.lower() == r.key.lower()), keys, doc["patches"])
             keys = F.broadcast(keys) if doc["patches"] <= BROADCAST_PATCHES else keys
-            out.append(gaps.remaining(r, w.table(r.table_name), keys).select(F.lit(r.id).alias("rule"), "key"))
+            out.append(gaps.remaining(r, frame, keys).select(F.lit(r.id).alias("rule"), "key"))
     return union(out, w.spark, "rule string, key string")
 
 
@@ -305,8 +307,8 @@ def patched(w: Warehouse, table: str, key: str, cells: DataFrame | list[tuple[st
     """The table's folders and files with cells (key, column, value, seq; or a list of the first three) set, staged, and the
     old values (key, column, old). Of several values for a cell the one of the highest seq is taken.
 
-    Each key must have exactly one row. One pass over the key and the patched columns finds the rows; only the files that
-    hold them are written anew."""
+    Each key must have exactly one row. One pass over the key and the patched columns finds the rows, of few keys only in
+    parts of files that can hold them; only the files that hold them are written anew."""
     if isinstance(cells, list):
         cells = w.spark.createDataFrame([(*c, k) for k, c in enumerate(cells)], CELLS)
     frame = w.table(table)
@@ -319,7 +321,7 @@ def patched(w: Warehouse, table: str, key: str, cells: DataFrame | list[tuple[st
     sent = F.broadcast(patches) if n <= BROADCAST_PATCHES else patches
     key_text = canonical(F.col(f"`{kinds[key.lower()].name}`"), kinds[key.lower()].dataType)
     cell = [F.col(f"`{c}`").cast("string").alias(f"__old_{k}") for k, c in enumerate(columns)]
-    hits = settle(frame.select(key_text.alias("key"), F.col("_metadata.file_path").alias("__file"), *cell).join(sent.select("key"), "key"))
+    hits = settle(w.holding(frame, kinds[key.lower()], patches, n).select(key_text.alias("key"), F.col("_metadata.file_path").alias("__file"), *cell).join(sent.select("key"), "key"))
     bad = patches.select("key").join(hits.groupBy("key").agg(F.count("*").alias("rows")), "key", "left").filter(F.coalesce("rows", F.lit(0)) != 1)
     if some := bad.limit(SHOWN).collect():
         raise SeedloomError(f"{table}: {bad.count()} keys don't have exactly one row ({', '.join(str(x['key']) for x in some)}); nothing was changed")
@@ -331,7 +333,7 @@ def patched(w: Warehouse, table: str, key: str, cells: DataFrame | list[tuple[st
         return entries, before
     within = w.spark.read.schema(frame.schema).parquet(*sorted(files))
     new = overlay(within, key_text, sent, columns).select([f"`{f.name}`" for f in frame.schema.fields])
-    return [*w.without(entries, {tuple(f.rsplit("/", 2)[-2:]) for f in files}), w.stage(Warehouse.key(table), new)], before
+    return [*w.without(entries, {tuple(f.rsplit("/", 2)[-2:]) for f in files}), w.stage(Warehouse.key(table), new, w.definition(table).primary_key)], before
 
 
 def rule_table(w: Warehouse, rules: Iterable[GapRule]) -> DataFrame:

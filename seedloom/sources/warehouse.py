@@ -25,6 +25,9 @@ from seedloom.sources.ddl import ColumnDef, ForeignKey, TableDef
 
 LEDGER = "TargetTable string, RowKey string, ColumnName string, Value string, RuleId string, CreatedAt timestamp, CreatedBy string"
 LEDGER_NAME = "ledger"
+#: Keys up to which a scan is asked for them: it then reads only the parts of files whose ranges and Bloom filters allow one
+#: of them. More keys are likely in most parts anyway, and are joined.
+ASKED_KEYS = 1000
 
 
 class Files:
@@ -91,6 +94,9 @@ class Warehouse:
         if allowed is not None:
             guard(root, allowed)
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        pushed = "spark.sql.parquet.pushdown.inFilterThreshold"
+        if int(spark.conf.get(pushed)) < ASKED_KEYS:
+            spark.conf.set(pushed, str(ASKED_KEYS))
 
     def manifest(self) -> Manifest:
         numbers = [int(n[:-5]) for n in self.files.names("_manifests") if n.endswith(".json") and n[:-5].isdigit()]
@@ -104,12 +110,23 @@ class Warehouse:
         if not self.files.create(f"_manifests/{base.number + 1:08d}.json", json.dumps(doc, indent=1, sort_keys=True)):
             raise SeedloomError("another writer has published meanwhile; start again")
 
-    def stage(self, name: str, frame: DataFrame) -> str:
-        """Write a frame to a new folder, not yet visible."""
-        folder = f"{name}/{uuid.uuid4().hex}"
-        frame.write.parquet(f"{self.root}/{folder}")
+    def stage(self, name: str, frame: DataFrame, key: tuple[str, ...] | list[str] = ()) -> str:
+        """Write a frame to a new folder, not yet visible; of a key of one column with Bloom filters beside the ranges."""
+        folder, writer = f"{name}/{uuid.uuid4().hex}", frame.write
+        if len(key) == 1:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key[0]}", "true")
+        writer.parquet(f"{self.root}/{folder}")
         return folder
 
+    @staticmethod
+    def holding(frame: DataFrame, key: T.StructField, keys: DataFrame, n: int) -> DataFrame:
+        """The rows of a table that can have one of n keys (text, column 'key'); all rows if these are many."""
+        if n > ASKED_KEYS:
+            return frame
+        # A null among the keys, from text that is no key, would have all of it read.
+        asked = [r[0] for r in keys.select("key").filter(F.col("key").try_cast(key.dataType).isNotNull()).limit(ASKED_KEYS).collect()]
+        return frame.filter(F.col(f"`{key.name}`").isin([F.lit(k).cast(key.dataType) for k in asked]) if asked else F.lit(False))
+
     # Tables ---------------------------------------------------------------------------------------------------------
 
     @staticmethod
@@ -121,7 +138,7 @@ class Warehouse:
         """Add a table, empty or with rows; computed columns and row versions are not stored."""
         base, key = self.manifest(), self.key(table.full_name)
         rows = frame if frame is not None else self.spark.createDataFrame([], table.struct())
-        self.publish(base, {key: [self.stage(key, rows)]}, {key: asdict(table)})
+        self.publish(base, {key: [self.stage(key, rows, table.primary_key)]}, {key: asdict(table)})
 
     def definition(self, table: str) -> TableDef:
         doc = self.manifest().tables.get(self.key(table))
@@ -156,7 +173,7 @@ class Warehouse:
 
     def append(self, name: str, frame: DataFrame, truncate: bool = False) -> None:
         base, key = self.manifest(), self.key(name)
-        new = self.stage(key, frame.select(self.definition(name).struct().names))
+        new = self.stage(key, frame.select(self.definition(name).struct().names), self.definition(name).primary_key)
         self.publish(base, {key: [new] if truncate else [*base.folders[key], new]})
 
     def without(self, entries: list[str], touched: set[tuple[str, str]]) -> list[str]:

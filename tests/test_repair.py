@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seedloom.errors import ConfigError, LedgerConflict
 from seedloom.functions import generators as G
+from seedloom.functions.coerce import canonical
 from seedloom.operators import audit, gaps, lint, repair
 from seedloom.operators.digest import rows_digest
 from seedloom.sources import artifacts as A
@@ -170,6 +171,33 @@ def test_only_files_with_patched_rows_are_written(w):
     assert content(w)[101][2] == 9 and content(w)[201][2] == 5 and len(content(w)) == 9
 
 
+@pytest.mark.parametrize(("kind", "value"), [("BIGINT", "(id * 7919) % 100003"), ("VARCHAR(40)", "md5(cast(id as string))"), ("DECIMAL(12,2)", "cast(id * 7919 % 100003 as decimal(12,2)) / 4")])
+def test_few_keys_are_looked_for_where_they_can_be(spark, tmp_path, kind, value):
+    """Of 40 files in no order of keys three keys' worth is read, by ranges and Bloom filters; the cells are the same."""
+    w = Warehouse(spark, str(tmp_path / "w"))
+    table = parse_single(f"CREATE TABLE dbo.K (Id {kind} NOT NULL PRIMARY KEY, V INT)")
+    rows = spark.range(0, 40_000, 1, 40).selectExpr(f"cast({value} as {table.struct()[0].dataType.simpleString()}) Id", "cast(id as int) V")
+    w.create(table, rows)
+    frame = w.table("dbo.K")
+    asked = [str(r[0]) for r in rows.filter("V in (5, 17777, 39999)").select(canonical(F.col("Id"), table.struct()[0].dataType)).collect()]
+    keys = spark.createDataFrame([(k,) for k in [*asked, "nobody"]], "key string")
+    few = w.holding(frame, frame.schema["Id"], keys, 4)
+    assert sorted(r["V"] for r in few.collect()) == [5, 17777, 39999]
+    few.collect()
+    plan, todo, read = few._jdf.queryExecution().executedPlan(), [], 0
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        if "Scan parquet" in node.nodeName():
+            read += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert 0 < read <= 6_000, read
+    entries, old = repair.patched(w, "dbo.K", "Id", [(k, "V", "-1") for k in asked])
+    assert sorted(x["old"] for x in old.collect()) == ["17777", "39999", "5"] and len([e for e in entries if e.endswith(".parquet")]) == 37
+    w.publish(w.manifest(), {Warehouse.key("dbo.K"): entries})
+    assert w.table("dbo.K").filter("V = -1").count() == 3 and w.table("dbo.K").count() == 40_000
+
+
 def test_ledger_is_append_only(w, spark):
     row = lambda k, v: spark.sql(f"SELECT 'dbo.Security' TargetTable, '{k}' RowKey, 'SecurityId' ColumnName, '{v}' Value, 'r' RuleId, current_timestamp() CreatedAt, 'me' CreatedBy")
     w.publish(w.manifest(), {"ledger": [w.stage("ledger", w.with_entries(row("1", "A")))]})
