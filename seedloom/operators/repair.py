@@ -94,7 +94,7 @@ def skipped_rows(spark: SparkSession, plan_doc: dict) -> DataFrame:
 
 def rows_sha(spark: SparkSession, plan_doc: dict) -> str:
     """One hash for both tables of a plan."""
-    return f"{rows_digest(patch_rows(spark, plan_doc))}-{rows_digest(skipped_rows(spark, plan_doc))}"
+    return rows_digest(patch_rows(spark, plan_doc), skipped_rows(spark, plan_doc))
 
 
 def first_rows(rows: DataFrame, n: int = SHOWN, key: str = "key") -> DataFrame:
