@@ -2,8 +2,10 @@
 
 Counts for each text, from built-in functions alone. Rates of them go into histogram sketches (a bucket keeps the leading
 bits of an integer, so a quantile is off by less than 1 / 64 of itself); sketches are exact sums of counts, so they merge
-in any order, by language and over all, and give the same limits at every partitioning. A source with too few documents
-takes its language's limits, a language with too few those of all documents. The limits are joined to the documents.
+in any order, by language and over all, and give the same limits at every partitioning. A language's limits lean on those
+of all documents as if WEIGHT documents spoke for these, a source's in the same way on its language's; so small groups
+take the limits of what they belong to, and a group that grows moves to its own without a step. The limits are joined to
+the documents.
 
 A null or wordless text has zero counts and fails the base rule of ten words. A null language or source is a group like
 others. Repeated rows are judged each on its own; rates that tie with a limit pass. Very long texts are handled whole.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import fresh, let, settle, table
 
-MIN_GROUP = 200
+#: Documents that a group's parent counts as.
+WEIGHT = 200
 #: Leading bits that a sketch bucket keeps.
 SKETCH_BITS = 7
 #: Rate names with the least distance in per mille between the limit and the upper quantile: most texts have rates of zero,
@@ -118,11 +121,14 @@ def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
     # One map of a limit for each rate.
     whole = each.filter("level = 2").select("m").first()
     whole = F.create_map(*[F.lit(x) for kv in (whole["m"] if whole else {"": 0}).items() for x in kv]).cast("map<string,bigint>")
+
+    def leaning(own: Column, total: Column, parent: Column) -> Column:
+        return F.transform_values(own, lambda rate, v: F.call_function("div", v * total + parent[rate] * WEIGHT, total + WEIGHT))
+
     own = each.filter("level = 0")
-    by_lang = each.filter("level = 1").select(F.col("lang").alias("l_lang"), F.col("m").alias("l_m"), F.col("total").alias("l_total"))
+    by_lang = each.filter("level = 1").select(F.col("lang").alias("l_lang"), leaning(F.col("m"), F.col("total"), whole).alias("l_m"))
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")))
-    chosen = F.when(F.col("total") >= MIN_GROUP, F.col("m")).when(F.col("l_total") >= MIN_GROUP, F.col("l_m")).otherwise(whole)
-    return joined.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), chosen.alias("limits"))
+    return joined.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), leaning(F.col("m"), F.col("total"), F.col("l_m")).alias("limits"))
 
 
 def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, str, Column]:
@@ -175,8 +181,9 @@ cum AS (SELECT level, lang, source, rate, b, count(*) OVER (PARTITION BY level,
 q AS (SELECT level, lang, source, rate, any_value(total) AS total, min(b) FILTER (WHERE cum * 100 >= total * {Q_MID}) AS mid,
              min(b) FILTER (WHERE cum * 100 >= total * {Q_HIGH}) AS high FROM cum GROUP BY ALL),
 f AS (SELECT *, high + greatest((high - mid) * {SPREAD}, CASE rate {" ".join(f"WHEN '{k}' THEN {m}" for k, m in RATES.items())} END) AS fence FROM q),
-chosen AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.total >= {MIN_GROUP} THEN o.fence WHEN l.total >= {MIN_GROUP} THEN l.fence ELSE a.fence END AS fence
-           FROM f o JOIN f l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.rate = o.rate JOIN f a ON a.level = 2 AND a.rate = o.rate WHERE o.level = 0),
+langs AS (SELECT l.lang, l.rate, CAST(l.fence * l.total + a.fence * {WEIGHT} AS BIGINT) // (l.total + {WEIGHT}) AS fence FROM f l JOIN f a ON a.level = 2 AND a.rate = l.rate WHERE l.level = 1),
+chosen AS (SELECT o.lang, o.source, o.rate, CAST(o.fence * o.total + l.fence * {WEIGHT} AS BIGINT) // (o.total + {WEIGHT}) AS fence
+           FROM f o JOIN langs l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rate = o.rate WHERE o.level = 0),
 p AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (WHERE rate = '{k}') AS f_{k}" for k in RATES)} FROM chosen GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
        NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AND {" AND ".join(f"{k} <= f_{k}" for k in RATES)} AS kept

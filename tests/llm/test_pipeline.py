@@ -49,11 +49,14 @@ def quality(rows):
                 groups.setdefault(g, {}).setdefault(k, []).append(bucket(v))
     kept = []
     for r, (failed, rates) in zip(rows, counts, strict=True):
-        g = next((x for x in ((r[2], r[3]), ("lang", r[2])) if len(groups[x]["mark_rate"]) >= Q.MIN_GROUP), "all")
-        def limit(k, g=g):
-            v = sorted(groups[g][k])
-            mid, high = (v[-(-len(v) * q // 100) - 1] for q in (Q.Q_MID, Q.Q_HIGH))
-            return high + max((high - mid) * Q.SPREAD, Q.RATES[k])
+        def limit(k, r=r):
+            fence = None
+            for g in ("all", ("lang", r[2]), (r[2], r[3])):
+                v = sorted(groups[g][k])
+                mid, high = (v[-(-len(v) * q // 100) - 1] for q in (Q.Q_MID, Q.Q_HIGH))
+                own = high + max((high - mid) * Q.SPREAD, Q.RATES[k])
+                fence = own if fence is None else (own * len(v) + fence * Q.WEIGHT) // (len(v) + Q.WEIGHT)
+            return fence
         if not failed and all(v <= limit(k) for k, v in rates.items()):
             kept.append(r)
     return kept
