@@ -14,7 +14,7 @@ from seedloom.functions import faker, generators
 from seedloom.functions.coerce import canonical, coerce, printed, truncated
 from seedloom.functions.draw import Draw
 from seedloom.functions.permute import ROUNDS, permute, side_of
-from seedloom.functions.strategies import ALPHABET, SIMPLE, Context
+from seedloom.functions.strategies import ALPHABET, SIMPLE, Context, alias_table
 from seedloom.operators import audit, evaluate, gaps, repair
 from seedloom.operators import survey as S
 from seedloom.operators.generate import NULL_SLOT, PICK_SLOT, Generator, lookup
@@ -321,7 +321,12 @@ _LONG = f"array_to_string(list_transform(range(0, 70), lambda k: substr('{ALPHAB
 strategy("gen_long_string", "varchar", ColumnRule("string", length=70), _LONG)
 strategy("gen_template", "varchar", ColumnRule("template", template="C{row}-{rand:10-99}-{rand:7}"), f"'C' || c_custkey || '-' || ({bits('gen_template', 2)} % 90 + 10) || '-7'")
 strategy("gen_pick", "varchar", ColumnRule("pick", values=("a", "b", "c")), f"list_extract(['a', 'b', 'c'], CAST({bits('gen_pick')} % 3 + 1 AS INTEGER))")
-strategy("gen_pick_weighted", "varchar", ColumnRule("pick", values=("a", "b", "c"), weights=(6.0, 3.0, 1.0)), f"CASE WHEN {bits('gen_pick_weighted')} / 4294967296.0::DOUBLE < 0.6::DOUBLE THEN 'a' WHEN {bits('gen_pick_weighted')} / 4294967296.0::DOUBLE < CAST({0.6 + 0.3!r} AS DOUBLE) THEN 'b' ELSE 'c' END")
+_WEIGHTS = (6.0, 3.0, 1.0, 2.5, 0.25)
+_STAY, _ALIAS = alias_table(list(_WEIGHTS))
+_SPUN = f"({bits('gen_pick_weighted')} / 4294967296.0::DOUBLE * 5.0::DOUBLE)"
+_PLACE = f"CAST(floor({_SPUN}) AS INTEGER)"
+strategy("gen_pick_weighted", "varchar", ColumnRule("pick", values=tuple("abcde"), weights=_WEIGHTS),
+         f"substr('abcde', 1 + CASE WHEN {_SPUN} - {_PLACE} < list_extract([{', '.join(f'{x!r}::DOUBLE' for x in _STAY)}], {_PLACE} + 1) THEN {_PLACE} ELSE list_extract({_ALIAS}, {_PLACE} + 1) END, 1)")
 strategy("gen_sequence", "bigint", ColumnRule("sequence", start=1000, step=5), "CAST(1000 + 5 * (c_custkey - 1) AS BIGINT)")
 strategy("gen_constant", "int", ColumnRule("constant", value="7"), "7")
 strategy("gen_null_rate", "int", ColumnRule("int", min="0", max="9", null_rate=0.3), f"CASE WHEN {bits('gen_null_rate', NULL_SLOT)} / 4294967296.0::DOUBLE < 0.3::DOUBLE THEN NULL ELSE CAST({bits('gen_null_rate')} % 10 AS INTEGER) END")

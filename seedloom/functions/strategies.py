@@ -147,21 +147,31 @@ def template(c: Context) -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
+def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
+    """Walker's tables: a place stays with the given share, else its alias is taken. Any number of weights costs one step."""
+    n, total = len(weights), sum(weights)
+    if total <= 0 or min(weights) < 0:
+        raise GenerationError("weights must add up to more than zero, and none may be below zero")
+    share, alias = [w * n / total for w in weights], list(range(n))
+    low, high = [k for k in range(n) if share[k] < 1], [k for k in range(n) if share[k] >= 1]
+    stay = [1.0] * n
+    while low and high:
+        a, b = low.pop(), high[-1]
+        stay[a], alias[a] = share[a], b
+        share[b] -= 1 - share[a]
+        if share[b] < 1:
+            low.append(high.pop())
+    return stay, alias
+
+
 def chosen(values: list[str | None], weights: list[float] | None, d: Draw, slot: int = 0) -> Column:
     """The index of a value, from 0."""
     if weights is None:
         return d.below(len(values), slot).cast("int")
-    total = sum(weights)
-    if total <= 0:
-        raise GenerationError("weights must add up to more than zero")
-    u, at, out = d.unit(slot), 0.0, F.lit(len(values) - 1)
-    bounds = []
-    for w in weights[:-1]:
-        at += w / total
-        bounds.append(at)
-    for k, bound in reversed(list(enumerate(bounds))):
-        out = F.when(u < F.lit(bound), k).otherwise(out)
-    return out.cast("int")
+    stay, alias = alias_table(weights)
+    at = d.unit(slot) * F.lit(float(len(weights)))
+    place = F.floor(at).cast("int")
+    return F.when(at - place < F.get(F.array(*map(F.lit, stay)), place), place).otherwise(F.get(F.array(*map(F.lit, alias)), place))
 
 
 def pick(c: Context) -> Column:

@@ -209,3 +209,29 @@ def test_lookups_with_a_value_very_many_times(spark, monkeypatch):
     source = generate.lookup(spark, spark.createDataFrame([("a",)] * 57 + [("b",)] + [(None,)], "v string"), "V")
     rows = source.frame.collect()
     assert source.size == 58 and sorted(r["pick"] for r in rows) == list(range(58)) and sum(r["value"] == "a" for r in rows) == 57
+
+
+def test_weighted_picks_by_alias_tables(spark):
+    """A thousand weights, some zero, in one step each; the shares are right by chi-squared."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seedloom.functions.draw import Draw
+    from seedloom.functions.strategies import alias_table, chosen
+
+    r = random.Random(4)
+    for weights in ([1.0], [0.0, 2.0], [r.choice([0, 1, 5, 0.01, r.random() * 30]) for _ in range(1000)]):
+        stay, alias = alias_table(weights)
+        n, share = len(weights), [0.0] * len(weights)
+        for k in range(n):
+            share[k] += stay[k] / n
+            share[alias[k]] += (1 - stay[k]) / n
+        assert all(abs(x - w / sum(weights)) < 1e-12 for x, w in zip(share, weights, strict=True))
+    rows = 200_000
+    seen = {x["v"]: x["count"] for x in spark.range(rows).select(chosen([None] * n, weights, Draw(3, "t", "c", F.col("id"))).alias("v")).groupBy("v").count().collect()}
+    assert all(weights[k] > 0 for k in seen)
+    chi = sum((seen.get(k, 0) - rows * x) ** 2 / (rows * x) for k, x in enumerate(share) if rows * x >= 5)
+    assert chi < n + 5 * (2 * n) ** 0.5
+    with pytest.raises(GenerationError, match="weights"):
+        alias_table([0.0, 0.0])
