@@ -9,6 +9,7 @@ of a plan or log passes through the driver.
 from __future__ import annotations
 
 import getpass
+import hashlib
 import subprocess
 import uuid
 from collections.abc import Callable, Iterable
@@ -194,21 +195,52 @@ def identities(w: Warehouse, r: GapRule, rows: DataFrame, draw: Callable[..., Dr
 # Checks ----------------------------------------------------------------------------------------------------------------
 
 
-def invariants(w: Warehouse, rules: GapRules) -> list[dict]:
-    """The rules' invariants; those of one table from one pass."""
+def counted_name(r: GapRule) -> str:
+    """The columns in which a rule's invariant is counted: another text is another invariant."""
+    return hashlib.sha256(f"{r.table_name.lower()} {r.key.lower()} {r.invariant}".encode()).hexdigest()[:16]
+
+
+def by_file(w: Warehouse, table: str, rules: list[GapRule], frame: DataFrame) -> DataFrame:
+    """For each file of a table the rows that break each rule's invariant, and those that it can't judge."""
+    holds = {counted_name(r): gaps.invariant(r, frame) for r in rules}
+    counts = [x for name, h in holds.items() for x in (F.count_if(~h).alias(f"bad_{name}"), F.count_if(h.isNull()).alias(f"open_{name}"))]
+    return frame.groupBy(F.col("_metadata.file_path").alias("file")).agg(*counts)
+
+
+def invariants(w: Warehouse, rules: GapRules, before: dict[str, str] | None = None, folder: str | None = None) -> tuple[list[dict], dict[str, str]]:
+    """The rules' invariants, and where their counts by file are kept; those of one table come from one pass. With counts of
+    an earlier pass only files that are new since then are read; a file never changes."""
     judged = [r for r in rules.rules if (r.invariant or "").strip()]
     counts: dict[str, tuple[int, int]] = {}
-    for table in dict.fromkeys(r.table_name for r in judged):
+    kept: dict[str, str] = {}
+    folder = folder or f"{w.root}/_runs/counts-{uuid.uuid4().hex}"
+    for k, table in enumerate(dict.fromkeys(r.table_name for r in judged)):
         frame, own = w.table(table), [r for r in judged if r.table_name == table]
-        holds = [gaps.invariant(r, frame) for r in own]
-        row = frame.agg(*[x for k, h in enumerate(holds) for x in (F.count_if(~h).alias(f"bad{k}"), F.count_if(h.isNull()).alias(f"open{k}"))]).first()
-        counts |= {r.id: (row[f"bad{k}"], row[f"open{k}"]) for k, r in enumerate(own)}
+        names = [f"{part}_{counted_name(r)}" for r in own for part in ("bad", "open")]
+        # As paths: Spark spells local ones in two ways.
+        files = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1]: f for f in frame.inputFiles()}
+        known = w.spark.read.parquet(before[table]) if before and table in before else None
+        if known is not None and set(names) <= set(known.columns):
+            tail = F.regexp_extract("file", "[^/]+/[^/]+$", 0)
+            now = w.spark.createDataFrame([(f,) for f in files], "tail string")  # as many as the manifest names
+            old = known.withColumn("tail", tail).join(now, "tail", "left_semi")
+            seen = {x["tail"] for x in old.select("tail").collect()}
+            new = [f for t, f in files.items() if t not in seen]
+            parts = [old.select("file", *names)] + ([by_file(w, table, own, w.spark.read.schema(frame.schema).parquet(*new)).select("file", *names)] if new else [])
+            found = reduce(DataFrame.unionByName, parts)
+        else:
+            found = by_file(w, table, own, frame)
+        path = f"{folder}/{k}"
+        found.write.parquet(path)
+        kept[table] = path
+        row = w.spark.read.parquet(path).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+        counts |= {r.id: (row[f"bad_{counted_name(r)}"], row[f"open_{counted_name(r)}"]) for r in own}
     out = []
     for r in judged:
         bad, unknown = counts[r.id]
         notes = ([f"expected 0, got {bad}"] if bad else []) + ([f"{unknown} row(s) not evaluated: the invariant is UNKNOWN where a column it references is NULL"] if unknown else [])
         out.append({"name": f"{r.id}.invariant", "passed": bad == 0, "detail": "; ".join(notes) or None})
-    return out
+    return out, kept
 
 
 def consumer(w: Warehouse, checks: Iterable[Evaluation]) -> list[dict]:
@@ -220,7 +252,8 @@ def consumer(w: Warehouse, checks: Iterable[Evaluation]) -> list[dict]:
 
 
 def baseline(w: Warehouse, rules: GapRules, checks: Iterable[Evaluation], run_id: str) -> dict:
-    return {"runId": run_id, "invariants": invariants(w, rules), "consumer": consumer(w, checks)}
+    found, kept = invariants(w, rules)
+    return {"runId": run_id, "invariants": found, "consumer": consumer(w, checks), "counts": kept}
 
 
 def regressions(before: list[dict], after: list[dict]) -> tuple[list[str], list[str]]:
@@ -245,10 +278,11 @@ def remaining_gaps(w: Warehouse, rules: GapRules, plan_doc: dict) -> DataFrame:
 
 
 def verify(w: Warehouse, rules: GapRules, plan_doc: dict, before: dict, checks: Iterable[Evaluation]) -> dict:
-    """Three layers: planned gaps are closed, no invariant and no consumer check got worse."""
+    """Three layers: planned gaps are closed, no invariant and no consumer check got worse. Of invariants only files that are
+    new since the baseline are counted."""
     left = settle(remaining_gaps(w, rules, plan_doc))
     n = left.count()
-    now = {"invariants": invariants(w, rules), "consumer": consumer(w, checks)}
+    now = {"invariants": invariants(w, rules, before.get("counts"))[0], "consumer": consumer(w, checks)}
     inv, con = (regressions(before[k], now[k]) for k in ("invariants", "consumer"))
     return {"runId": plan_doc["runId"], "l1": not n, "l2": not inv[0], "l3": not con[0], "regressions": inv[0] + con[0], "preexistingReds": inv[1] + con[1], **now, "remaining": n, "remainingPlannedGaps": [f"{x['rule']}:{x['key']}" for x in first_rows(left).collect()]}
 

@@ -198,6 +198,28 @@ def test_few_keys_are_looked_for_where_they_can_be(spark, tmp_path, kind, value)
     assert w.table("dbo.K").filter("V = -1").count() == 3 and w.table("dbo.K").count() == 40_000
 
 
+def test_invariants_of_new_files_only(w, monkeypatch):
+    """Counts by file are kept: after any changes the verdict is that of a full pass, and only new files are read."""
+    rules = gaprules.loads(RULES.replace('gap: "SecurityId IS NULL"', 'gap: "SecurityId IS NULL"\n    invariant: "Rooms > 2"'))
+    for k in range(4):
+        w.append("dbo.Security", w.spark.createDataFrame([(300 + 10 * k + j, "X", "EFH", j if j else None, j % 3) for j in range(6)], SECURITY.struct()).coalesce(1))
+    found, kept = repair.invariants(w, rules)
+    read, plain = [], repair.by_file
+    monkeypatch.setattr(repair, "by_file", lambda w_, t, r, frame: read.append(len(frame.inputFiles())) or plain(w_, t, r, frame))
+    r, key = random.Random(5), Warehouse.key("dbo.Security")
+    for _ in range(4):
+        cells = [(str(300 + 10 * r.randrange(4) + r.randrange(6)), r.choice(["Rooms", "Bathrooms"]), r.choice([None, "1", "7"])) for _ in range(2)]
+        w.publish(w.manifest(), {key: repair.patched(w, "dbo.Security", "PropertyId", list({c[:2]: c for c in cells}.values()))[0]})
+        read.clear()
+        found, kept = repair.invariants(w, rules, kept)
+        assert read and read[0] < len(w.table("dbo.Security").inputFiles())
+        assert found == repair.invariants(w, rules)[0]
+    read.clear()
+    assert repair.invariants(w, rules, kept)[0] == found and not read
+    other = gaprules.loads(RULES.replace('gap: "SecurityId IS NULL"', 'gap: "SecurityId IS NULL"\n    invariant: "Rooms > 3"'))
+    assert repair.invariants(w, other, kept)[0] == repair.invariants(w, other)[0]
+
+
 def test_ledger_is_append_only(w, spark):
     row = lambda k, v: spark.sql(f"SELECT 'dbo.Security' TargetTable, '{k}' RowKey, 'SecurityId' ColumnName, '{v}' Value, 'r' RuleId, current_timestamp() CreatedAt, 'me' CreatedBy")
     w.publish(w.manifest(), {"ledger": [w.stage("ledger", w.with_entries(row("1", "A")))]})
