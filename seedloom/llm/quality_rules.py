@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from seedloom.llm.common import fresh, let, settle, table
 
 #: Documents that a group's parent counts as.
-WEIGHT = 200
+WEIGHT = 50
 #: Leading bits that a sketch bucket keeps.
 SKETCH_BITS = 7
 #: Rate names with the least distance in per mille between the limit and the upper quantile: most texts have rates of zero,
