@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import contextlib
 import io
-import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,19 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.catalog import CUSTOMER, SEED, customers, gap_rule, generated, house, query, t
-from seedloom.errors import AllowlistError, ConfigError, LedgerConflict, SeedloomError
+from seedloom.errors import ConfigError, LedgerConflict
 from seedloom.functions import generators
-from seedloom.operators import audit, corrupt, dashboard, evaluate, lint, repair
-from seedloom.plans import genplan, infer
-from seedloom.plans.dialect import check_predicate
+from seedloom.operators import audit, corrupt, dashboard, repair
 from seedloom.shared import shared_dir
 from seedloom.sources import artifacts as A
 from seedloom.sources import gaprules
-from seedloom.sources import rules as R
-from seedloom.sources.datasets import DatasetStore, from_mapping
-from seedloom.sources.ddl import parse_script, parse_single
+from seedloom.sources.csvsink import CsvSink
+from seedloom.sources.datasets import DatasetStore
+from seedloom.sources.ddl import parse_single
 from seedloom.sources.rules import ColumnRule, Evaluation, Expectation
-from seedloom.sources.warehouse import LEDGER_NAME, CsvSink, TableSink, guard, sample
+from seedloom.sources.warehouse import LEDGER_NAME, TableSink, sample
 
 KINDS = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
@@ -64,12 +62,6 @@ def refuses(*errors: type[Exception]) -> Callable[[Callable[[], object]], bool]:
 
 faulty = refuses(ConfigError)
 
-# Definitions ------------------------------------------------------------------------------------------------------------
-
-
-# Rules and datasets -----------------------------------------------------------------------------------------------------
-
-
 RULE = "rules:\n  - {id: A, table: dbo.customer, key: c_custkey, column: c_mktsegment, kind: ephemeral, gap: c_acctbal < 0, fix: lorem.word, threshold: 5, reason: because}\n"
 
 
@@ -107,10 +99,10 @@ def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'k,name,flag,bytes' AS line UNION ALL
 SELECT n_nationkey || ',"a ""' || n_name || '"", b",' || CASE WHEN n_regionkey = 1 THEN '' WHEN n_regionkey > 1 THEN '1' ELSE '0' END || ',0x' || hex(encode(n_name)) FROM nation""")
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a CSV file: quotes doubled, bits as 1 and 0, NULL as nothing, bytes in hexadecimal."""
-    path = f"{shared_dir(spark)}/csv-{id(object())}-{len(sf_dir)}"
+    """The lines of a single CSV file: quotes doubled, bits as 1 and 0, NULL as nothing, bytes in hexadecimal."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.csv"
     frame = nations(spark, sf_dir).select(F.col("n_nationkey").alias("k"), F.concat(F.lit('a "'), "n_name", F.lit('", b')).alias("name"), F.when(F.col("n_regionkey") != 1, F.col("n_regionkey") > 1).alias("flag"), F.col("n_name").cast("binary").alias("bytes"))
-    CsvSink(path, single=True).load(frame, truncate=True)
+    CsvSink(path, single=True).load(frame)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

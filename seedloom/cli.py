@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     def add(to, name: str, text: str, *options: str) -> None:
         known = {
             "ddl": dict(required=True, help="CREATE TABLE script"), "table": dict(help="the table, if the script has several"), "rules": dict(required=True, help="rules file"), "out": dict(help="file or folder to write"),
-            "warehouse": dict(help="folder of tables"), "csv": dict(help="write CSV here instead"), "rows": dict(type=int), "seed": dict(type=int), "truncate": dict(action="store_true", help="replace the table's rows"),
+            "warehouse": dict(help="folder of tables"), "csv": dict(help="write CSV here instead: one file if the name ends in .csv, else a folder"), "rows": dict(type=int), "seed": dict(type=int), "truncate": dict(action="store_true", help="replace the table's rows"),
             "dry-run": dict(action="store_true", help="show the first rows only"), "json": dict(action="store_true"), "artifacts": dict(default="artifacts", help="folder of the run"), "consumer": dict(help="file of consumer checks"),
             "only": dict(help="rule ids, by commas"), "survey": dict(help="survey.json"), "tests": dict(help="folder of tests"), "allowlist": dict(help="JSON list of warehouse roots"), "repository": dict(help="git folder"), "email": dict(),
             "jdbc": dict(help="write to the database with this URL instead"), "yes": dict(action="store_true", help="approve what was planned"), "key": dict(required=True, help="key column"), "column": dict(required=True), "value": dict(help="new value; NULL if left out"),
@@ -83,9 +83,10 @@ def generate(a) -> int:
     from seedloom.operators.generate import ROW, Generator
     from seedloom.plans import genplan
     from seedloom.sources import rules as R
+    from seedloom.sources.csvsink import CsvSink
     from seedloom.sources.datasets import DatasetStore
     from seedloom.sources.ddl import parse_single
-    from seedloom.sources.warehouse import CsvSink, JdbcSink, TableSink, sample
+    from seedloom.sources.warehouse import JdbcSink, TableSink, sample
 
     rules = R.load(a.rules)
     rules = replace(rules, **{k: v for k, v in (("rows", a.rows), ("seed", a.seed)) if v is not None}, truncate_before_load=a.truncate or rules.truncate_before_load)
@@ -106,7 +107,7 @@ def generate(a) -> int:
         return OK
     frame = g.frame()
     g.check_unique(frame)
-    sink = CsvSink(a.csv) if a.csv else JdbcSink(a.jdbc, table.full_name, rules.batch_size) if a.jdbc else TableSink(w, table)
+    sink = CsvSink(a.csv, single=a.csv.endswith(".csv")) if a.csv else JdbcSink(a.jdbc, table.full_name, rules.batch_size) if a.jdbc else TableSink(w, table)
     n = sink.load(frame, rules.truncate_before_load)
     for column, cut in g.truncations().items():
         print(f"warning: {cut} values of {column!r} were cut to its length", file=sys.stderr)

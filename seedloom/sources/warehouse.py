@@ -34,13 +34,20 @@ class Files:
     """A folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm = spark.sparkContext._jvm
+        self.spark, self.jvm = spark, spark.sparkContext._jvm
         self.root = root.rstrip("/")
         self.fs = self.jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str = ""):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def paths(self, names: list[str]):
+        """An array of paths."""
+        out = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Path, len(names))
+        for k, name in enumerate(names):
+            out[k] = self.path(name)
+        return out
+
     def names(self, name: str = "") -> list[str]:
         p = self.path(name)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
@@ -251,19 +258,6 @@ class JdbcSink:
         return frame.count()
 
 
-class CsvSink:
-    """One header, cells as CSV prints them; several files unless single is set."""
-
-    def __init__(self, path: str, single: bool = False) -> None:
-        self.path, self.single = path, single
-
-    def load(self, frame: DataFrame, truncate: bool = False) -> int:
-        text = frame.select([printed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in frame.schema.fields])
-        text = text.coalesce(1) if self.single else text
-        text.write.mode("overwrite" if truncate else "errorifexists").csv(self.path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        return frame.count()
-
-
 def sample(frame: DataFrame, order: str, n: int = 5) -> Iterator[str]:
     """The first rows as text, NULL spelled out."""
     kinds = [f for f in frame.schema.fields if f.name != order]

@@ -9,11 +9,13 @@ from seedloom.operators import evaluate
 from seedloom.operators.survey import survey
 from seedloom.plans import infer as I
 from seedloom.plans.dialect import check_predicate, translate_sql
+from seedloom.sources import csvsink
 from seedloom.sources import rules as R
+from seedloom.sources.csvsink import CsvSink
 from seedloom.sources.datasets import Dataset, DatasetStore, from_mapping
 from seedloom.sources.ddl import parse_script, parse_single
 from seedloom.sources.rules import Evaluation, Expectation
-from seedloom.sources.warehouse import JdbcSink, CsvSink, Warehouse, guard, sample
+from seedloom.sources.warehouse import Files, JdbcSink, Warehouse, guard, sample
 
 
 def test_ddl():
@@ -135,9 +137,84 @@ def test_warehouse_csv_and_guard(spark, tmp_path):
         Warehouse(spark, ":memory:")
     frame = spark.createDataFrame([(1, True, 'a"b,c', bytearray(b"\x01\xff"), None), (2, False, "x\ny", None, "z")], "k int, b boolean, s string, r binary, n string")
     assert list(sample(frame, "k", 1)) == ["b | s | r | n", '1 | a"b,c | 0x01FF | NULL']
-    assert CsvSink(str(tmp_path / "c"), single=True).load(frame) == 2
-    text = next((tmp_path / "c").glob("*.csv")).read_text()
-    assert text == 'k,b,s,r,n\n1,1,"a""b,c",0x01FF,\n2,0,"x\ny",,z\n'
+    assert CsvSink(str(tmp_path / "c.csv"), single=True).load(frame) == 2
+    assert (tmp_path / "c.csv").read_text() == 'k,b,s,r,n\n1,1,"a""b,c",0x01FF,\n2,0,"x\ny",,z\n'
+    assert CsvSink(str(tmp_path / "c")).load(frame.repartition(2, "k")) == 2
+    assert all(f.read_text().startswith("k,b,s,r,n\n") for f in (tmp_path / "c").glob("*.csv"))
+
+
+def csv_rows(spark, n):
+    """Rows of different lengths over 7 tasks, some of them without any; a name and a cell that need quotes."""
+    from pyspark.sql import functions as F
+
+    return spark.range(0, n, 1, 7).filter("id not between 280 and 700").select("id", F.expr("repeat('ab', CAST(id % 90 AS INT))").alias('the "text"'), F.expr("IF(id % 3 = 0, NULL, concat('ü,', id))").alias("n"))
+
+
+def csv_text(n):
+    cell = lambda k: "" if k % 3 == 0 else f'"ü,{k}"'
+    return 'id,"the ""text""",n\n' + "".join(f"{k},{'ab' * (k % 90)},{cell(k)}\n" for k in range(n) if not 280 <= k <= 700)
+
+
+def test_single_csv_is_written_by_all_tasks(spark, tmp_path):
+    path = tmp_path / "a" / "t.csv"
+    sink = CsvSink(str(path), single=True)
+    assert sink.load(csv_rows(spark, 2000)) == 1579 and path.read_text() == csv_text(2000)
+    with pytest.raises(ConfigError):
+        sink.load(csv_rows(spark, 10))
+    assert path.read_text() == csv_text(2000)
+    assert sink.load(csv_rows(spark, 1000), truncate=True) == 579 and path.read_text() == csv_text(1000)
+    assert sink.load(csv_rows(spark, 0), truncate=True) == 0 and path.read_text() == csv_text(0)
+    assert [f.name for f in path.parent.iterdir()] == ["t.csv"]  # no parts and no sums of the former file are left
+
+
+def test_single_csv_by_concatenation(spark, tmp_path, monkeypatch):
+    """A file system that can concatenate is asked once, for all parts in the order of tasks; it moves them behind the first."""
+    asked = []
+
+    class Fs:
+        def __init__(self, files):
+            self.files = files
+
+        def concat(self, first, others):
+            asked.append(1 + len(others))
+            with open(first.toUri().getPath(), "ab") as f:
+                for o in others:
+                    f.write(open(o.toUri().getPath(), "rb").read())
+
+        def __getattr__(self, name):
+            return getattr(self.files.raw, name)
+
+    whole = csvsink.concatenated
+
+    def concatenated(files, parts):
+        files.raw = files.fs.getRawFileSystem()  # without sums, as the file grows behind its back
+        files.fs = Fs(files)
+        return whole(files, parts)
+
+    monkeypatch.setattr(csvsink, "joining", lambda files: "concat")
+    monkeypatch.setattr(csvsink, "concatenated", concatenated)
+    CsvSink(str(tmp_path / "t.csv"), single=True).load(csv_rows(spark, 2000))
+    assert (tmp_path / "t.csv").read_text() == csv_text(2000) and asked == [7]  # the header and 6 parts with rows
+
+
+def test_single_csv_where_files_cant_be_joined(spark, tmp_path, monkeypatch):
+    import json
+
+    monkeypatch.setattr(csvsink, "joining", lambda files: None)
+    sink = CsvSink(str(tmp_path / "t"), single=True)
+    for n in (1000, 2000):
+        sink.load(csv_rows(spark, n), truncate=n == 2000)
+        parts = json.loads((tmp_path / "t/parts.json").read_text())
+        texts = [(tmp_path / "t" / p["name"]).read_bytes() for p in parts]
+        assert b"".join(texts).decode() == csv_text(n) and [len(x) for x in texts] == [p["bytes"] for p in parts]
+
+
+def test_parts_are_in_the_order_of_tasks(spark, tmp_path):
+    for name in ("part-99999-u-c000.csv", "part-100000-u-c000.csv", "part-00002-u-c001.csv", "part-00002-u-c010.csv", "part-00002-u-c002.csv", "_SUCCESS"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "part-00001-u-c000.csv").write_text("")
+    found = csvsink.parts_of(Files(spark, str(tmp_path.parent)), tmp_path.name)
+    assert [p.name.split("/")[1] for p in found] == ["part-00002-u-c001.csv", "part-00002-u-c002.csv", "part-00002-u-c010.csv", "part-99999-u-c000.csv", "part-100000-u-c000.csv"]
 
 
 def test_cli(spark, tmp_path, capsys):
