@@ -21,16 +21,16 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import forget, settle, table, word_lists
+from seedloom.llm.common import PIECE, forget, settle, table
 
 #: A term is kept if it is in so many documents of its language.
 LEAST_DOCS = 3
@@ -41,18 +41,28 @@ DEPTH, WIDTH_BITS = 4, 20
 PIECE_SLOTS, MERGED = 1 << 16, 256
 #: Terms that a task holds before it passes them on.
 HELD = 400_000
-#: ASCII letters and all beyond ASCII, in lower-cased UTF-8.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Of UTF-8 bytes: A-Z lower-cased, a-z and all beyond ASCII as they are, which make up terms; a space for each other.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def term_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of those of a piece of it."""
+    text, at = text.translate(FOLDED), 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 def slots(lang: bytes, terms: list[bytes], width_bits: int = WIDTH_BITS) -> np.ndarray:
     """The terms' counters, one of each row of the sketch, numbered through all rows."""
     import xxhash
 
     seed = xxhash.xxh64_intdigest(lang)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in terms), dtype=np.uint64, count=len(terms))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms, repeat(seed)), dtype=np.uint64, count=len(terms))
     rows = np.arange(DEPTH, dtype=np.int64) << width_bits
     return ((h[:, None] * _ODD[:DEPTH]) >> np.uint64(64 - width_bits)).astype(np.int64) + rows
 
@@ -69,7 +79,7 @@ def counted(batches: Iterator[pa.RecordBatch], by_source: bool, most: int) -> It
                 docs[key], occurs[key] = Counter(), Counter()
             own, before = docs[key], len(docs[key])
             seen: set[bytes] = set()
-            for words in word_lists(TERM, text.lower()):
+            for words in term_lists(text):
                 seen.update(words)
                 if by_source:
                     occurs[key].update(words)
@@ -128,15 +138,13 @@ def counter(shared, width_bits: int, held: int):
         reached = np.unpackbits(shared.value).astype(bool)
         for occurs, docs in counted(batches, True, held):
             for (lang, source), own in docs.items():
-                terms = list(own)
+                terms, count = list(own), occurs[lang, source]
                 for k in range(0, len(terms), 1 << 16):
                     part = terms[k : k + (1 << 16)]
-                    stay = reached[slots(lang, part, width_bits)].all(axis=1)
-                    part = [t for t, ok in zip(part, stay.tolist(), strict=True) if ok]
+                    part = list(compress(part, reached[slots(lang, part, width_bits)].all(axis=1).tolist()))
                     if part:
-                        count = occurs[lang, source]
-                        columns = [pa.array([x] * len(part), pa.binary()).cast(pa.string()) for x in (lang, source)]
-                        columns += [pa.array(part, pa.binary()).cast(pa.string()), pa.array([count[t] for t in part], pa.int64()), pa.array([own[t] for t in part], pa.int64())]
+                        columns = [pa.repeat(x.decode(), len(part)) for x in (lang, source)]
+                        columns += [pa.array(part, pa.binary()).cast(pa.string()), *[pa.array(list(map(of.__getitem__, part)), pa.int64()) for of in (count, own)]]
                         yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     return run

@@ -248,3 +248,13 @@ def test_long_texts_in_pieces(monkeypatch):
 def test_queries_on_tables(spark, tables, empty_tables, name):
     assert catalog.QUERIES[name](spark, tables).count() > 0
     assert catalog.QUERIES[name](spark, empty_tables).count() == 0
+
+
+def test_terms_of_a_text_are_those_of_its_pattern(monkeypatch):
+    """Every byte, runs across the ends of pieces, texts without terms or without anything else."""
+    every = bytes(range(256))
+    texts = [b"", b" ", b"a", b"\x00A\x7f", every, every[::-1] * 3, "Ünïcode ÄB1c\t\u00a0x\u3000y".encode(), b"ab" * 40, b"  a  bc\n\nD'e" * 30]
+    for piece in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(divergence, "PIECE", piece)
+        for text in texts:
+            assert [w for part in divergence.term_lists(text) for w in part] == re.findall(rb"[a-z\x80-\xff]+", text.lower())
